@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, sharding, simhash
+from . import decontam, mixing, sharding, simhash, toxicity
 from .common import table
 
 
@@ -20,13 +20,28 @@ def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
+def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = mixing.mix(table(spark, sf_dir, "documents"))
+    return m.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
+
+
 def op8_wu_manber_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = decontam.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return d.select(F.col("id").alias("doc_id"), "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), "contaminated")
 
 
+def op9_tfidf_neighbour_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).withColumnRenamed("id", "doc_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_vector_bin_packing, op3_simhash_near_dedup, op8_wu_manber_decontamination)
+    f.__name__: f for f in (
+        op1_vector_bin_packing,
+        op3_simhash_near_dedup,
+        op4_source_mixing,
+        op8_wu_manber_decontamination,
+        op9_tfidf_neighbour_toxicity,
+    )
 }
 
 ORACLE_SQL: dict[str, str] = {}
