@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, mixing, sharding, simhash, toxicity
+from . import decontam, licenses, mixing, secrets, sharding, simhash, toxicity
 from .common import table
 
 
@@ -25,6 +25,11 @@ def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
+def op6_multipart_secret_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = secrets.scan(table(spark, sf_dir, "documents"))
+    return s.select(F.col("id").alias("doc_id"), "n_assign", "n_access", "n_hex", F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"), "spans")
+
+
 def op8_wu_manber_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = decontam.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return d.select(F.col("id").alias("doc_id"), "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), "contaminated")
@@ -34,13 +39,20 @@ def op9_tfidf_neighbour_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).withColumnRenamed("id", "doc_id")
 
 
+def op10_licence_paragraph_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(table(spark, sf_dir, "documents"))
+    return found.withColumnRenamed("id", "doc_id").withColumn("found", F.to_json("found"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_vector_bin_packing,
         op3_simhash_near_dedup,
         op4_source_mixing,
+        op6_multipart_secret_links,
         op8_wu_manber_decontamination,
         op9_tfidf_neighbour_toxicity,
+        op10_licence_paragraph_classifier,
     )
 }
 
