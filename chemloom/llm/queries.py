@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, licenses, mixing, secrets, sharding, simhash, toxicity
+from . import decontam, licenses, mixing, pst, secrets, sharding, simhash, toxicity
 from .common import table
 
 
@@ -30,6 +30,10 @@ def op6_multipart_secret_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select(F.col("id").alias("doc_id"), "n_assign", "n_access", "n_hex", F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"), "spans")
 
 
+def op7_suffix_tree_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pst.score(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op8_wu_manber_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = decontam.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return d.select(F.col("id").alias("doc_id"), "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), "contaminated")
@@ -50,6 +54,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op3_simhash_near_dedup,
         op4_source_mixing,
         op6_multipart_secret_links,
+        op7_suffix_tree_scores,
         op8_wu_manber_decontamination,
         op9_tfidf_neighbour_toxicity,
         op10_licence_paragraph_classifier,
