@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, licenses, mixing, pst, secrets, sharding, simhash, toxicity
+from . import decontam, licenses, mixing, pst, secrets, sharding, simhash, substring, toxicity
 from .common import table
 
 
@@ -16,6 +16,10 @@ def op1_vector_bin_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select(F.col("id").alias("doc_id"), "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "tokens")
 
 
+def op2_suffix_tree_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.dedup(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
@@ -51,6 +55,7 @@ def op10_licence_paragraph_classifier(spark: SparkSession, sf_dir: str) -> DataF
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_vector_bin_packing,
+        op2_suffix_tree_substring_dedup,
         op3_simhash_near_dedup,
         op4_source_mixing,
         op6_multipart_secret_links,
