@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, licenses, mixing, pst, secrets, sharding, simhash, substring, toxicity
+from . import ann, decontam, licenses, mixing, pst, secrets, sharding, simhash, substring, toxicity
 from .common import table
 
 
@@ -29,6 +29,10 @@ def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
+def op5_nn_descent_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0).withColumnRenamed("id", "vec_id")
+
+
 def op6_multipart_secret_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = secrets.scan(table(spark, sf_dir, "documents"))
     return s.select(F.col("id").alias("doc_id"), "n_assign", "n_access", "n_hex", F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"), "spans")
@@ -58,6 +62,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op2_suffix_tree_substring_dedup,
         op3_simhash_near_dedup,
         op4_source_mixing,
+        op5_nn_descent_search,
         op6_multipart_secret_links,
         op7_suffix_tree_scores,
         op8_wu_manber_decontamination,
