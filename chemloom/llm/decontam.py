@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 from collections import defaultdict
 
 import numpy as np
@@ -63,8 +62,8 @@ def build(rows: list[tuple[str, bytes]], window: int = 13) -> tuple[list[str], l
     return names, [WuManber({p: sorted(x) for p, x in ps.items()}, size) for size, ps in sorted(found.items())]
 
 
-def scan(docs: DataFrame, rows: list[tuple[str, bytes]], id_col: str, text_col: str, window: int) -> DataFrame:
-    """One pass over the documents with the patterns of the given items: (id, n_words, n_hit, items)."""
+def scan(docs: DataFrame, rows: list[tuple[str, bytes]], id_col: str, text_col: str, window: int, whole_rows: bool) -> DataFrame:
+    """One pass over the documents with the patterns of the given items: (id, n_words, n_hit, items), maybe with the row."""
     sent = docs.sparkSession.sparkContext.broadcast(rows)
     ready: list = []
 
@@ -73,7 +72,7 @@ def scan(docs: DataFrame, rows: list[tuple[str, bytes]], id_col: str, text_col:
             ready.append(build(sent.value, window))
         names, searches = ready[0]
         n_words, n_hit, own = [], [], []
-        for text in batch.column(1).to_pylist():
+        for text in batch.column("t").to_pylist():
             words = item_words(text)
             hit, items = np.zeros(len(words), bool), set()
             for s in searches:
@@ -81,10 +80,11 @@ def scan(docs: DataFrame, rows: list[tuple[str, bytes]], id_col: str, text_col:
             n_words.append(len(words))
             n_hit.append(int(hit.sum()))
             own.append(sorted({names[i] for i in items}))
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(own, pa.list_(pa.string()))], names=["id", "n_words", "n_hit", "items"])
+        own_names = [n for n in batch.schema.names if n != "t"]
+        return pa.RecordBatch.from_arrays([*(batch.column(n) for n in own_names), pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(own, pa.list_(pa.string()))], names=[*own_names, "n_words", "n_hit", "items"])
 
-    kind = dict(docs.dtypes)[id_col]
-    return per_batch(docs.select(F.col(id_col).alias("id"), text_bytes(text_col).alias("t")), work, f"id {kind}, {OUT}")
+    asked = docs.select(F.col(id_col).alias("id"), *([F.struct("*").alias("row")] if whole_rows else []), text_bytes(text_col).alias("t"))
+    return per_batch(asked, work, ", ".join(f"{n} {t}" for n, t in asked.dtypes if n != "t") + f", {OUT}")
 
 
 def scan_spans(docs: DataFrame, rows: list[tuple[str, bytes]], id_cols: list[str], text_col: str, window: int) -> DataFrame:
@@ -112,8 +112,8 @@ def scan_spans(docs: DataFrame, rows: list[tuple[str, bytes]], id_cols: list[str
     return per_batch(docs.select(*id_cols, text_bytes(text_col).alias("t")), work, ", ".join(f"{c} {kinds[c]}" for c in id_cols) + ", n_words long, places array<int>, items array<string>")
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", window: int = 13, share: int = 20, max_pattern_bytes: int = 64 << 20) -> DataFrame:
-    """(id, n_words, n_hit, n_items, items, contaminated) of every row of docs.
+def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", window: int = 13, share: int = 20, max_pattern_bytes: int = 64 << 20, whole_rows: bool = False) -> DataFrame:
+    """(id, n_words, n_hit, n_items, items, contaminated) of every row of docs; with ``whole_rows`` also ``row``, the row itself.
 
     Words are runs of a-z, 0-9 and characters beyond ASCII, after lower-casing A-Z. A window is ``window`` words of an item, or
     the whole of a shorter one. A row is contaminated if a word is hit and ``share`` * n_hit >= n_words. Null texts have no
@@ -127,18 +127,19 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     slices = int(total // max_pattern_bytes) + 1
     of = lambda k: [(r["item"], bytes(r["t"])) for r in items.filter(F.pmod(F.xxhash64("item", "t"), F.lit(slices)) == k).collect()]
     if slices == 1:
-        found = scan(docs, of(0), id_col, text_col, window)
+        found = scan(docs, of(0), id_col, text_col, window, whole_rows)
     else:
-        keyed = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("same"))
+        keyed = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("same"), *([F.struct("*").alias("row")] if whole_rows else []))
         passes = None
         for k in range(slices):
             one = scan_spans(keyed, of(k), ["id", "same"], "text", window).dropDuplicates(["id", "same"])
             passes = one if passes is None else passes.unionByName(one)
         merged = passes.groupBy("id", "same").agg(F.max("n_words").alias("n_words"), F.size(F.array_distinct(F.flatten(F.collect_list("places")))).cast("long").alias("n_hit"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-        left = keyed.select("id", "same").alias("l")
-        found = left.join(merged.alias("m"), F.expr("l.id <=> m.id and l.same <=> m.same")).select("l.id", "n_words", "n_hit", "items")
-    return found.select("id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), "items", ((F.col("n_hit") > 0) & (F.lit(share) * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"))
+        left = keyed.drop("text").alias("l")
+        found = left.join(merged.alias("m"), F.expr("l.id <=> m.id and l.same <=> m.same")).select("l.id", *(["l.row"] if whole_rows else []), "n_words", "n_hit", "items")
+    return found.select("id", *(["row"] if whole_rows else []), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), "items", ((F.col("n_hit") > 0) & (F.lit(share) * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"))
 
 
-def items_digest(items: list[str]) -> str:
-    return hashlib.sha256(",".join(items).encode()).hexdigest()
+def without_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
+    """The rows of docs that aren't contaminated, as they are."""
+    return decontaminate(docs, benchmark, whole_rows=True, **options).filter("not contaminated").select("row.*")

@@ -130,23 +130,21 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     return placed.join(taken, ["src", "bucket", "place"], "left").select("id", "same", "size", "source", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), F.coalesce("pieces", none).alias("pieces"))
 
 
-def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str = "n_chars", **options) -> DataFrame:
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", length_col: str = "n_chars", **options) -> DataFrame:
     """The rows of docs as the mix has them: a row for the first taking of its words and one for the second.
 
     A row whose words are all taken keeps its text as it is; else its text is the taken words, joined by blanks. ``length_col``
     is set to the new text's length. Rows of which nothing is taken go."""
-    got = mix(docs, id_col, text_col, **options)
+    got = mix(docs, id_col, text_col, source_col, **options)
     got = got.filter("taken > 0").select("id", "same", "size", "source", "pieces")
-    ranked = docs.withColumn("_same", F.xxhash64(text_col))
-    # Repeated rows have the same id and text; each has its own pieces, and they are matched by rank.
-    both = Window.partitionBy("id", "same", "source").orderBy("pieces")
-    got = got.withColumn("_rank", F.row_number().over(both)).alias("g")
-    own = Window.partitionBy(id_col, "_same", "source").orderBy(F.lit(0))
-    light = ranked.groupBy(id_col, "_same").agg(F.count("*").alias("_copies"))
-    repeated = light.filter("_copies > 1").drop("_copies")
-    single = ranked.join(repeated, [id_col, "_same"], "left_anti").withColumn("_rank", F.lit(1))
-    many = ranked.join(repeated, [id_col, "_same"], "left_semi").withColumn("_rank", F.row_number().over(own))
-    full = single.unionByName(many).alias("d").join(got, F.expr(f"d.{id_col} <=> g.id and d._same = g.same and d._rank = g._rank"))
+    rows = docs.withColumn("_same", F.xxhash64(text_col))
+    on = f"d.{id_col} <=> g.id and d._same = g.same and d.{source_col} <=> g.source"
+    if rows.groupBy(id_col, "_same").agg(F.count("*").alias("n")).filter("n > 1").isEmpty():
+        full = rows.alias("d").join(got.alias("g"), F.expr(on))
+    else:  # repeated rows have the same id and text; each has its own pieces, and they are matched by rank
+        rows = rows.withColumn("_rank", F.row_number().over(Window.partitionBy(id_col, "_same", source_col).orderBy(F.lit(0))))
+        got = got.withColumn("rank", F.row_number().over(Window.partitionBy("id", "same", "source").orderBy("pieces")))
+        full = rows.alias("d").join(got.alias("g"), F.expr(on + " and d._rank = g.rank"))
     passes = full.select("d.*", "g.size", "g.pieces", F.explode(F.array(F.lit(1), F.lit(2))).alias("_pass"))
     passes = passes.withColumn("pieces", F.filter("pieces", lambda p: p["times"] >= F.col("_pass"))).filter(F.size("pieces") > 0)
     passes = passes.withColumn("_cover", F.aggregate("pieces", F.lit(0).cast("long"), lambda s, p: s + p["to"] - p["from"]))

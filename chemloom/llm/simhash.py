@@ -41,14 +41,14 @@ def simhash(text: bytes, width: int = 4, seed: int = 42) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, seed: int = 42) -> DataFrame:
-    """(id, fp long): the fingerprint's 64 bits, as a signed number, of every whole text; null texts count as empty."""
+    """(id, same, fp long): a hash of the text, and the fingerprint's 64 bits, as a signed number, of every whole text; null texts count as empty."""
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        fp = np.array([simhash(t, width, seed) for t in batch.column(1).to_pylist()], np.uint64).view(np.int64)
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp)], names=["id", "fp"])
+        fp = np.array([simhash(t, width, seed) for t in batch.column("t").to_pylist()], np.uint64).view(np.int64)
+        return pa.RecordBatch.from_arrays([batch.column("id"), batch.column("same"), pa.array(fp)], names=["id", "same", "fp"])
 
     kind = dict(docs.dtypes)[id_col]
-    return per_batch(docs.select(F.col(id_col).alias("id"), text_bytes(text_col).alias("t")), work, f"id {kind}, fp long")
+    return per_batch(docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("same"), text_bytes(text_col).alias("t")), work, f"id {kind}, same long, fp long")
 
 
 def block_masks(distance: int, blocks: int) -> list[int]:
@@ -130,7 +130,7 @@ def near_links(prints: DataFrame, distance: int = 4, blocks: int = 6, tile: int
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = 4, width: int = 4, seed: int = 42, blocks: int = 6) -> DataFrame:
-    """(id, fingerprint, component_id) of every row: components of the links between fingerprints ``distance`` or fewer bits apart.
+    """(id, same, fingerprint, component_id) of every row: components of the links between fingerprints ``distance`` or fewer bits apart.
 
     component_id is the smallest id reachable, itself included. Null or empty texts have fingerprint 0 and link like any other;
     repeated rows each come back; an empty table gives an empty result; other columns are ignored. Equal fingerprints are one
@@ -142,6 +142,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     least = nodes.join(parts, nodes["fp"] == parts["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("group"))
     smallest = least.groupBy("group").agg(F.min("least").alias("component_id"))
     of_print = least.join(smallest, "group").select("fp", "component_id")
-    return prints.join(of_print, "fp").select("id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return prints.join(of_print, "fp").select("id", "same", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """One row of docs for each near-duplicate group: that of the smallest id (and text hash, if an id has several texts)."""
+    found, _ = cut(near_duplicates(docs, id_col, text_col, **options))
+    kept = found.groupBy("component_id").agg(F.min(F.struct("id", "same")).alias("k")).select("k.id", "k.same").distinct()
+    rows = docs.withColumn("_same", F.xxhash64(text_col)).alias("d").join(kept.alias("k"), F.expr(f"d.{id_col} <=> k.id and d._same = k.same"), "left_semi")
+    # A row that is repeated with its id stays once; the rows are gathered by key only where there are any such.
+    repeated = found.groupBy("id", "same").agg(F.count("*").alias("n")).filter("n > 1")
+    return (rows if repeated.isEmpty() else rows.dropDuplicates([id_col, "_same"])).drop("_same")
