@@ -32,7 +32,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         discard(spark, path)
         e, path = new, new_path
         if same:
-            return e.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "node")
+            found = e.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component"))
+            return found.unionByName(found.select(F.col("component").alias("node"), "component").distinct())
     raise RuntimeError("components did not settle")
 
 

@@ -136,24 +136,24 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     A row whose words are all taken keeps its text as it is; else its text is the taken words, joined by blanks. ``length_col``
     is set to the new text's length. Rows of which nothing is taken go."""
     got = mix(docs, id_col, text_col, source_col, **options)
-    got = got.filter("taken > 0").select("id", "same", "size", "source", "pieces")
+    got = got.filter("taken > 0").select("id", "same", F.col("size").alias("_size"), "source", F.col("pieces").alias("_pieces"))
     rows = docs.withColumn("_same", F.xxhash64(text_col))
     on = f"d.{id_col} <=> g.id and d._same = g.same and d.{source_col} <=> g.source"
     if rows.groupBy(id_col, "_same").agg(F.count("*").alias("n")).filter("n > 1").isEmpty():
         full = rows.alias("d").join(got.alias("g"), F.expr(on))
     else:  # repeated rows have the same id and text; each has its own pieces, and they are matched by rank
         rows = rows.withColumn("_rank", F.row_number().over(Window.partitionBy(id_col, "_same", source_col).orderBy(F.lit(0))))
-        got = got.withColumn("rank", F.row_number().over(Window.partitionBy("id", "same", "source").orderBy("pieces")))
+        got = got.withColumn("rank", F.row_number().over(Window.partitionBy("id", "same", "source").orderBy("_pieces")))
         full = rows.alias("d").join(got.alias("g"), F.expr(on + " and d._rank = g.rank"))
-    passes = full.select("d.*", "g.size", "g.pieces", F.explode(F.array(F.lit(1), F.lit(2))).alias("_pass"))
-    passes = passes.withColumn("pieces", F.filter("pieces", lambda p: p["times"] >= F.col("_pass"))).filter(F.size("pieces") > 0)
-    passes = passes.withColumn("_cover", F.aggregate("pieces", F.lit(0).cast("long"), lambda s, p: s + p["to"] - p["from"]))
+    passes = full.select("d.*", "g._size", "g._pieces", F.explode(F.array(F.lit(1), F.lit(2))).alias("_pass"))
+    passes = passes.withColumn("_pieces", F.filter("_pieces", lambda p: p["times"] >= F.col("_pass"))).filter(F.size("_pieces") > 0)
+    passes = passes.withColumn("_cover", F.aggregate("_pieces", F.lit(0).cast("long"), lambda s, p: s + p["to"] - p["from"]))
     names = docs.columns
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         cols = {n: batch.column(n) for n in names}
         texts = []
-        for text, pieces, whole in zip(batch.column("_text").to_pylist(), batch.column("pieces").to_pylist(), batch.column("_whole").to_pylist(), strict=True):
+        for text, pieces, whole in zip(batch.column("_text").to_pylist(), batch.column("_pieces").to_pylist(), batch.column("_whole").to_pylist(), strict=True):
             if not whole:
                 w = text.split()
                 text = b" ".join(b" ".join(w[p["from"] : p["to"]]) for p in pieces)
@@ -164,5 +164,5 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return pa.RecordBatch.from_arrays([cols[n] for n in names], names=names)
 
     kinds = dict(docs.dtypes)
-    ready = passes.select(*names, "pieces", text_bytes(text_col).alias("_text"), (F.col("_cover") >= F.col("size")).alias("_whole"))
+    ready = passes.select(*names, "_pieces", text_bytes(text_col).alias("_text"), (F.col("_cover") >= F.col("_size")).alias("_whole"))
     return per_batch(ready, work, ", ".join(f"`{n}` {kinds[n]}" for n in names))
