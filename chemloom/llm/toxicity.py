@@ -55,53 +55,59 @@ class BlockMaxIndex:
     """Posting lists of the examples, ordered by label and first term so that a block's examples are alike.
 
     For each term, the largest weight in each block of ``size`` examples bounds what the block's examples can gain from it.
-    Blocks are taken by falling bound until the bound is below the k-th best cosine found: the k nearest are exact."""
+    The blocks of highest bound are read first; of the rest only those whose bound reaches the k-th best cosine found so far
+    are read: the k nearest are exact."""
 
     def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, keys: np.ndarray, terms: int, size: int = 128):
         order = sorted((i for i, (t, _) in enumerate(vectors) if len(t)), key=lambda i: (labels[i], int(vectors[i][0][np.argmax(vectors[i][1])]), i))
         self.labels, self.keys, self.size = labels[order], keys[order], size
         self.blocks = -(-len(order) // size)
-        post = [[] for _ in range(self.blocks)]
-        self.bound: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        tops: dict[int, dict[int, float]] = {}
-        for place, i in enumerate(order):
-            b = place // size
-            for t, w in zip(vectors[i][0].tolist(), vectors[i][1].tolist(), strict=True):
-                post[b].append((t, place % size, w))
-                own = tops.setdefault(t, {})
-                own[b] = max(own.get(b, 0.0), w)
-        self.bound = {t: (np.array(list(x), np.int64), np.array(list(x.values()))) for t, x in tops.items()}
-        self.lists: list[dict[int, tuple[np.ndarray, np.ndarray]]] = []
-        for rows in post:
-            own: dict[int, list] = {}
-            for t, p, w in rows:
-                own.setdefault(t, []).append((p, w))
-            self.lists.append({t: (np.array([p for p, _ in x], np.int64), np.array([w for _, w in x])) for t, x in own.items()})
-
-    def nearest(self, t: np.ndarray, w: np.ndarray, k: int, skip: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        sizes = [len(vectors[i][0]) for i in order]
+        place = np.repeat(np.arange(len(order)), sizes)
+        term = np.concatenate([np.empty(0, np.int64), *[vectors[i][0] for i in order]])
+        weight = np.concatenate([np.empty(0), *[vectors[i][1] for i in order]])
+        by_term = np.lexsort((place, term))
+        self.place, self.weight, term = place[by_term], weight[by_term], term[by_term]
+        cell = term * self.blocks + self.place // size
+        self.begin = np.searchsorted(cell, np.arange(terms * self.blocks + 1))  # of each term's postings in each block
+        self.bound = np.zeros(terms * self.blocks)
+        np.maximum.at(self.bound, cell, self.weight)
+        self.bound = self.bound.reshape(terms, self.blocks)
+
+    def _cosines(self, t: np.ndarray, w: np.ndarray, blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places and cosines of the blocks' examples that share a term; only these blocks' postings are read."""
+        cells = (t[:, None] * self.blocks + blocks[None, :]).ravel()
+        start, n = self.begin[cells], self.begin[cells + 1] - self.begin[cells]
+        at = np.arange(n.sum()) + np.repeat(start - (np.cumsum(n) - n), n)
+        cos = np.bincount(self.place[at], weights=self.weight[at] * np.repeat(np.repeat(w, len(blocks)), n))
+        place = np.flatnonzero(cos > 1e-12)
+        return place, cos[place]
+
+    def nearest(self, t: np.ndarray, w: np.ndarray, k: int, skip: int | None = None, first: int = 4) -> tuple[np.ndarray, np.ndarray]:
         """Places and cosines of the k nearest with a cosine over 0; ``skip`` leaves out examples of this key."""
-        upper = np.zeros(self.blocks)
-        for i, x in zip(t.tolist(), w.tolist(), strict=True):
-            if i in self.bound:
-                at, top = self.bound[i]
-                upper[at] += x * top
-        best_p, best_c = np.empty(0, np.int64), np.empty(0)
-        for b in np.argsort(-upper, kind="stable"):
-            if upper[b] <= 0 or len(best_c) >= k and upper[b] < best_c[k - 1] - 1e-9:
-                break
-            cos, lists = np.zeros(self.size), self.lists[b]
-            for i, x in zip(t.tolist(), w.tolist(), strict=True):
-                if i in lists:
-                    at, own = lists[i]
-                    cos[at] += x * own
-            at = np.flatnonzero(cos > 1e-12)
-            place = at + b * self.size
+        none = np.empty(0, np.int64), np.empty(0)
+        if not len(t) or not self.blocks:
+            return none
+        upper = w @ self.bound[t]
+        order = np.argsort(-upper, kind="stable")
+        order = order[upper[order] > 0]
+        best = none
+        while len(order):
+            got = self._cosines(t, w, order[:first])
             if skip is not None:
-                at, place = at[self.keys[place] != skip], place[self.keys[place] != skip]
-            best_p, best_c = np.concatenate([best_p, place]), np.concatenate([best_c, cos[at]])
-            order = np.lexsort((self.keys[best_p], -best_c))[:k]
-            best_p, best_c = best_p[order], best_c[order]
-        return best_p, best_c
+                own = self.keys[got[0]] != skip
+                got = got[0][own], got[1][own]
+            place, cos = np.concatenate([best[0], got[0]]), np.concatenate([best[1], got[1]])
+            if len(cos) > 4 * k:
+                near = np.flatnonzero(cos >= np.partition(cos, len(cos) - k)[len(cos) - k])
+                place, cos = place[near], cos[near]
+            top = np.lexsort((self.keys[place], -cos))[:k]
+            best = place[top], cos[top]
+            order = order[first:]
+            if len(best[1]) >= k:
+                order = order[upper[order] >= best[1][k - 1] - 1e-9]
+            first = len(order)  # what can still hold a near one is read at once
+        return best
 
 
 def vote(labels: np.ndarray, cosines: np.ndarray) -> float:
