@@ -132,8 +132,8 @@ def platt(x: np.ndarray, y: np.ndarray, rounds: int = 50) -> tuple[float, float]
     return float(w[0]), float(w[1])
 
 
-def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", folds: int = 5, held_fold: int = 0, max_examples: int = 20_000, max_terms: int = 4000, k: int = 15) -> DataFrame:
-    """(id, held_out, score, predicted, evidence) of every row of docs.
+def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", folds: int = 5, held_fold: int = 0, max_examples: int = 20_000, max_terms: int = 4000, k: int = 15, whole_rows: bool = False) -> DataFrame:
+    """(id, held_out, score, predicted, evidence) of every row of docs; with ``whole_rows`` also ``row``, the row itself.
 
     Examples are labelled rows whose crc32(id as text) mod ``folds`` is not ``held_fold``: at most ``max_examples`` of them,
     those of least hash. Terms are words and word beginnings; the ``max_terms`` that tell the examples' labels apart best
@@ -225,7 +225,14 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                 scores.append(float(1 / (1 + np.exp(-np.clip(slope * vote(index.labels[p], c) + level, -30, 30)))))
                 evidence.append([{"example": by_key[int(index.keys[i])], "toxic": int(index.labels[i]), "cosine": float(x)} for i, x in zip(p[:3], c[:3], strict=True)])
             kind = pa.list_(pa.struct([("example", pa.int64()), ("toxic", pa.int32()), ("cosine", pa.float64())]))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(scores, pa.float64()), pa.array(evidence, kind)], names=["id", "score", "evidence"])
+            own = [n for n in batch.schema.names if n != "t"]
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in own), pa.array(scores, pa.float64()), pa.array(evidence, kind)], names=[*own, "score", "evidence"])
 
-    scored = rows.mapInArrow(work, f"id {kind}, {OUT}")
-    return scored.select("id", (fold(F.col("id")) == held_fold).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence")
+    asked = docs.select(F.col(id_col).alias("id"), *([F.struct("*").alias("row")] if whole_rows else []), text_bytes(text_col).alias("t"))
+    scored = asked.mapInArrow(work, ", ".join(f"{n} {t}" for n, t in asked.dtypes if n != "t") + f", {OUT}")
+    return scored.select(*asked.columns[:-1], (fold(F.col("id")) == held_fold).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence")
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
+    """The rows of docs that aren't predicted toxic, as they are."""
+    return score(docs, labels, whole_rows=True, **options).filter("predicted = 0").select("row.*")
