@@ -153,7 +153,8 @@ class Graph:
                         nodes.append(own)
                         ids.append(near[b])
                         sims.append(row[b])
-            return pd.DataFrame({"node": nodes, "ids": ids, "sims": sims}).astype({"node": "int64"})
+            # Objects: an empty column of lists must not become one of numbers.
+            return pd.DataFrame({"node": np.array(nodes, np.int64), "ids": pd.Series(ids, dtype=object), "sims": pd.Series(sims, dtype=object)})
 
         return self.dealt(frontier, "v").groupBy("bucket").cogroup(beside.groupBy("bucket")).applyInPandas(visit, f"node long, {LIST}")
 

@@ -148,7 +148,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", windo
     def tree(t: pd.DataFrame) -> pd.DataFrame:
         t = t.sort_values(["mark", "same"], kind="stable")
         found = repeated_starts([bytes(w).split() for w in t["words"]], t["n"].to_numpy(), window)
-        return pd.DataFrame({"mark": t["mark"], "same": t["same"], "starts": found})
+        return pd.DataFrame({"mark": t["mark"], "same": t["same"], "starts": pd.Series(found, index=t.index, dtype=object)})
 
     by_tree = different.join(large, "mark", "left_anti").withColumn("group", F.pmod(F.xxhash64("mark"), F.lit(groups))).groupBy("group").applyInPandas(tree, "mark long, same binary, starts array<long>")
 
