@@ -71,4 +71,28 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op2_suffix_tree_substring_dedup": r"""
+        with docs as (select row_number() over () as row_no, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+        windows as (select row_no, unnest(range(1, len(w) - 33)) as i, w from docs where len(w) >= 35),
+        keyed as (select row_no, i, sha256(array_to_string(w[i : i + 34], ' ')) as g from windows),
+        repeats as (select row_no, i from keyed where g in (select g from keyed group by g having count(*) > 1)),
+        gone as (select distinct row_no, unnest(range(i, i + 35)) as p from repeats),
+        kept as (select d.row_no, p, w[p] as word from (select row_no, w, unnest(range(1, len(w) + 1)) as p from docs) d anti join gone using (row_no, p)),
+        texts as (select row_no, string_agg(word, ' ' order by p) as t from kept group by row_no),
+        lost as (select row_no, count(*) as n from gone group by row_no)
+        select doc_id, cast(len(w) as bigint) as n_words, coalesce(lost.n, 0) as n_removed, sha256(coalesce(t, '')) as kept_sha256
+        from docs left join texts using (row_no) left join lost using (row_no)""",
+    "op8_wu_manber_decontamination": r"""
+        with docs as (select row_number() over () as row_no, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
+        items as (select item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from benchmark where item_id is not null),
+        sized as (select item_id, w, least(13, len(w)) as n from items where len(w) > 0),
+        patterns as (select distinct cast(item_id as varchar) as item_id, n, array_to_string(w[i : i + n - 1], ' ') as g from (select *, unnest(range(1, len(w) - n + 2)) as i from sized) x),
+        sizes as (select distinct n from patterns),
+        grams as (select row_no, n, i, array_to_string(w[i : i + n - 1], ' ') as g from (select row_no, w, n, unnest(range(1, len(w) - n + 2)) as i from docs, sizes where len(w) >= n) x),
+        hits as (select row_no, i, n, item_id from grams join patterns using (n, g)),
+        words as (select row_no, count(distinct p) as k from (select row_no, unnest(range(i, i + n)) as p from hits) x group by row_no),
+        own as (select row_no, count(*) as k, string_agg(item_id, ',' order by item_id) as names from (select distinct row_no, item_id from hits) x group by row_no)
+        select doc_id, cast(len(w) as bigint) as n_words, coalesce(words.k, 0) as n_hit, coalesce(own.k, 0) as n_items, sha256(coalesce(names, '')) as items_sha256,
+        coalesce(words.k, 0) > 0 and 20 * coalesce(words.k, 0) >= len(w) as contaminated from docs left join words using (row_no) left join own using (row_no)""",
+}
