@@ -27,12 +27,31 @@ def pack(loads: np.ndarray, shards: int) -> np.ndarray:
     return out
 
 
+def even_out(load: np.ndarray, bins: np.ndarray, shards: int, rounds: int = 64, close: float = 1e-3) -> np.ndarray:
+    """Swaps items between the fullest and the emptiest bin, one for one, while that brings their loads nearer."""
+    bins = bins.copy()
+    for _ in range(rounds):
+        sums = np.bincount(bins, weights=load, minlength=shards)
+        high, low = int(sums.argmax()), int(sums.argmin())
+        gap = sums[high] - sums[low]
+        a, b = np.flatnonzero(bins == high), np.flatnonzero(bins == low)
+        if gap <= close * sums.mean() or not len(a) or not len(b):
+            break
+        moved = load[a][:, None] - load[b][None, :]
+        i, j = np.unravel_index(np.abs(moved - gap / 2).argmin(), moved.shape)
+        if not 0 < moved[i, j] < gap:
+            break
+        bins[a[i]], bins[b[j]] = low, high
+    return bins
+
+
 def _packed(items: DataFrame, shards: int) -> DataFrame:
     """items(pack, item, bytes, tokens, rows) -> the same with bin; one task holds one pack at a time."""
 
     def run(t: pd.DataFrame) -> pd.DataFrame:
         t = t.sort_values("item", kind="stable")
-        return t.assign(bin=pack(t[list(DIMS)].to_numpy(float), shards))
+        loads = t[list(DIMS)].to_numpy(float)
+        return t.assign(bin=even_out(loads[:, 0], pack(loads, shards), shards))
 
     kinds = dict(items.dtypes)
     schema = ", ".join(f"{c} {kinds[c]}" for c in ("pack", "item", *DIMS))
@@ -48,7 +67,7 @@ def shard(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: st
 
     Rows with equal texts are a group and stay together unless the group is over 1/``grain`` of a shard in bytes, tokens or
     rows; then it is dealt out by id in as many parts as it takes. Groups are dealt by hash to packs of about ``per_pack``;
-    each pack is packed into ``shards`` bins, and the bins are packed again as items of the next level, until one pack is
+    each pack is packed into ``shards`` bins, whose bytes are then brought nearer by swaps, and the bins are packed again as items of the next level, until one pack is
     left. So every task holds a bounded number of groups, at any size. Slots count from 0 in each shard without gaps.
 
     size is UTF-8 bytes plus 1; null texts have none, form a group with empty ones and have the CRC of no bytes. Repeated rows
