@@ -15,6 +15,7 @@ from ..operators import endpoints as E
 from ..operators import ghs as G
 from ..operators import registry as R
 from ..operators import toxvals as V
+from ..sources import files
 from .fixtures import view, with_views
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -122,6 +123,25 @@ def scan_tables(s: SparkSession, d: str) -> DataFrame:
     return one("registry", "registry_raw").unionByName(one("toxvals", "toxval_raw"))
 
 
+@query("select casrn, dtxsid, preferred_name, molecular_formula, average_mass, count(*) as n from registry_raw group by all", "registry_raw")
+def scan_registry_csv(s: SparkSession, d: str) -> DataFrame:
+    """The registry written as CSV files and scanned as text: nothing, not even 'nan' or an empty name, is read as null."""
+    path = files.scratch(s)
+    names = ["casrn", "dtxsid", "preferred_name", "molecular_formula", "average_mass"]
+    view(s, d, "registry_raw").select(*names).write.option("header", True).option("emptyValue", "").csv(path)
+    found = files.scan_csv(s, path)
+    return found.select(*[F.coalesce(c, F.lit("")).alias(c) for c in names]).groupBy(*names).agg(F.count("*").alias("n"))
+
+
+@query("select distinct k as doc_id from tox_text union select cast(floor(p_partkey / 2.0) as bigint) from part where p_partkey % 2 = 0", "tox_text")
+def scan_annotations(s: SparkSession, d: str) -> DataFrame:
+    """Annotation documents landed as JSON lines and read back; each parses to a tree with sections."""
+    path = files.scratch(s)
+    documents(s, d).write.json(path)
+    landed = s.read.schema("doc_id bigint, doc string").json(path)
+    return landed.filter(F.get_json_object("doc", "$.Record.Section[0].TOCHeading").isNotNull()).select("doc_id")
+
+
 # Projections.
 
 _CLEAN = """select casrn as cas, nullif(dtxsid, 'nan') as dtxsid, nullif(trim(preferred_name), '') as preferred_name, cast(null as varchar) as systematic_name,
@@ -157,6 +177,25 @@ def numeric_only(s: SparkSession, d: str) -> DataFrame:
     return V.numeric_only(toxvals(s, d)).select("k", "ordinal", "toxval_numeric", "study_type")
 
 
+# Tables and files that are written: what is read back equals what went in.
+
+
+@query("also " + _MERGED + " select cas, dtxsid, replace(replace(cas, '-', ''), ' ', '') as cas_key from merged", "registry_raw")
+def write_registry(s: SparkSession, d: str) -> DataFrame:
+    return files.write_registry(registry_merged(s, d), files.scratch(s)).select("cas", "dtxsid", "cas_key")
+
+
+@query("select dtxsid, ordinal, study_type, try_cast(nullif(toxval_numeric, 'n/a') as double) as toxval_numeric from toxval_raw", "toxval_raw")
+def write_toxvals(s: SparkSession, d: str) -> DataFrame:
+    return files.write_toxvals(toxvals(s, d), files.scratch(s)).select("dtxsid", "ordinal", "study_type", "toxval_numeric")
+
+
+@query('select casrn as "CASRN", arg_min(dtxsid, row(src_file, row_idx)) as "DTXSID" from registry_raw group by casrn', "registry_raw")
+def write_mapping_csv(s: SparkSession, d: str) -> DataFrame:
+    raw = view(s, d, "registry_raw").withColumnRenamed("casrn", "cas")
+    return files.write_mapping(raw, files.scratch(s), ORDER)
+
+
 # Identifiers.
 
 @query(r"select query, regexp_matches(trim(query), '^\d{1,9}-\d{2}-\d$') as is_cas, count(*) as n from queries group by 1, 2", "queries")
