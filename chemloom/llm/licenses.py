@@ -156,18 +156,18 @@ def fit(docs: DataFrame, id_col: str, text_col: str, max_negatives: int) -> dict
         return float((np.log(np.exp(z).sum(axis=1)) - z[np.arange(len(y)), y]).mean())
 
     heat = min(np.arange(0.25, 4.01, 0.25), key=loss) if len(held) else 1.0
-    return {"terms": vocabulary, "names": names, "w": w / heat, "b": b / heat}
+    return {"terms": vocabulary, "names": names, "w": w / heat, "b": b / heat, "common": common}
 
 
 def anchors(model: dict, floor: float) -> list[str]:
     """Words without which no paragraph can reach the probability ``floor`` for a family.
 
     What a paragraph lacks of these words, and of the n-grams that hold them, bounds its margin over the unknown class by the
-    positive weights that are left; words are added until the bound is below the floor for every family."""
+    positive weights that are left; words other than common ones are added until the bound is below the floor for every family."""
     w, b, terms = model["w"], model["b"], model["terms"]
     gain = np.maximum(w[:-1] - w[-1], 0.0)
     need = np.log(floor / (1 - floor)) - (b[:-1] - b[-1])
-    vocabulary = sorted({x for t in terms for x in t.split()})
+    vocabulary = sorted({x for t in terms for x in t.split()} - set(model["common"]))
     holds = np.array([[x in t for t in map(str.split, terms)] for x in vocabulary], bool).reshape(len(vocabulary), len(terms))
     out: list[str] = []
     left = np.ones(len(terms), bool)
