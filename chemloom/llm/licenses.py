@@ -120,9 +120,10 @@ def training(docs: DataFrame, id_col: str, text_col: str, max_negatives: int, va
     base = spark.range(1).select(rows.alias("r")).select("r.label", words(F.col("r.text")).alias("w"))
     base = base.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(variants - 1))))
     base = base.select("label", F.filter("w", lambda x: (F.col("k") == 0) | (F.pmod(F.xxhash64(x, F.col("k")), F.lit(10)) > 0)).alias("w"), F.col("k"))
-    ids = docs.select(F.col(id_col).alias("id")).distinct().orderBy(F.xxhash64("id"), "id").limit(max_negatives)  # bounded
-    chosen = docs.join(F.broadcast(ids), F.expr(f"{id_col} <=> id"), "left_semi")
-    lines = paragraphs(chosen, id_col, text_col).filter(~F.rlike("paragraph", F.lit(SEEDS)))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    ids = rows.select("id").distinct().orderBy(F.xxhash64("id"), "id").limit(max_negatives)  # bounded
+    chosen = rows.alias("d").join(F.broadcast(ids.alias("i")), F.expr("d.id <=> i.id"), "left_semi")
+    lines = paragraphs(chosen, "id", "text").filter(~F.rlike("paragraph", F.lit(SEEDS)))
     lines = lines.orderBy(F.xxhash64("paragraph"), "paragraph").limit(max_negatives).select(F.lit(UNKNOWN).alias("label"), words(F.col("paragraph")).alias("w"), F.pmod(F.xxhash64("paragraph"), F.lit(8)).cast("int").alias("k"))
     both = base.withColumn("corpus", F.lit(False)).unionByName(lines.withColumn("corpus", F.lit(True)))
     return both.select("label", "w", (F.col("k") == 5).alias("held"), "corpus")
