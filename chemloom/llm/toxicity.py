@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM, cut, per_batch, text_bytes
+from .common import ALNUM, cut, text_bytes
 
 OUT = "score double, evidence array<struct<example:long,toxic:int,cosine:double>>"
 
@@ -118,27 +118,34 @@ def vote(labels: np.ndarray, cosines: np.ndarray) -> float:
     return float((weight * labels).sum() / weight.sum())
 
 
-def platt(x: np.ndarray, y: np.ndarray, rounds: int = 50) -> tuple[float, float]:
-    """Slope and intercept of a logistic curve, with a slight pull to 0; a class that is missing gives a constant."""
+def platt(x: np.ndarray, y: np.ndarray, rounds: int = 60) -> np.ndarray:
+    """Coefficients of a logistic curve over the columns of x, the last one its level, with a slight pull to 0; a class that is
+    missing gives a constant."""
     if not len(x) or y.min() == y.max():
         p = (y.sum() + 0.5) / (len(y) + 1)
-        return 0.0, float(np.log(p / (1 - p)))
-    a = np.stack([x, np.ones_like(x)], axis=1)
-    w = np.zeros(2)
+        return np.array([0.0] * x.shape[1] + [np.log(p / (1 - p))])
+    a = np.concatenate([x, np.ones((len(x), 1))], axis=1)
+    w = np.zeros(a.shape[1])
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        step = np.linalg.solve((a * (p * (1 - p))[:, None]).T @ a + 1e-3 * np.eye(2), a.T @ (y - p) - 1e-3 * w)
-        w += np.clip(step, -5, 5)
-    return float(w[0]), float(w[1])
+        step = np.linalg.solve((a * (p * (1 - p))[:, None]).T @ a + 1e-2 * np.eye(len(w)), a.T @ (y - p) - 1e-2 * w)
+        w += np.clip(step, -3, 3)
+    return w
 
 
-def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", folds: int = 5, held_fold: int = 0, max_examples: int = 20_000, max_terms: int = 4000, k: int = 15, whole_rows: bool = False) -> DataFrame:
+def evidence_of(share: float, terms: int) -> tuple[float, float]:
+    """What the calibration sees: the vote, and the vote again by how often the text has the terms."""
+    return share, share * float(np.log1p(terms))
+
+
+def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", folds: int = 5, held_fold: int = 0, max_examples: int = 20_000, max_terms: int = 4000, least_share: float = 0.45, k: int = 15, whole_rows: bool = False) -> DataFrame:
     """(id, held_out, score, predicted, evidence) of every row of docs; with ``whole_rows`` also ``row``, the row itself.
 
     Examples are labelled rows whose crc32(id as text) mod ``folds`` is not ``held_fold``: at most ``max_examples`` of them,
-    those of least hash. Terms are words and word beginnings; the ``max_terms`` that tell the examples' labels apart best
-    (chi-square over 20) are kept. Their document frequencies come from all docs. A text's score is its neighbours' vote,
-    calibrated by a logistic curve fitted to the examples with themselves and equal texts left out.
+    those of least hash. Terms are words and word beginnings; the ``max_terms`` with the most label-1 examples are kept
+    of those whose examples have label 1 in a share that is ``least_share`` or more at the lower end of its 99 % interval. Their
+    document frequencies come from all docs. A text's score is its neighbours' vote and how often it has the terms, calibrated
+    by a logistic curve fitted to the examples with themselves and equal texts left out.
 
     Null texts and texts without any of the terms have no neighbours: their vote is 0 and their score what that meant among
     the examples. Rows without labels, conflicting labels (the larger counts), null ids (held out), ties (smaller text hash first),
@@ -160,14 +167,11 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                     found.setdefault(f, [0, 0])[1 if y else 0] += 1
             yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array([x[0] for x in found.values()], pa.int64()), pa.array([x[1] for x in found.values()], pa.int64())], names=["term", "neg", "pos"])
 
-    n = {r["y"] or 0: r["n"] for r in examples.groupBy(F.when(F.col("y") != 0, 1).otherwise(0).alias("y")).agg(F.count("*").alias("n")).collect()}
-    n0, n1 = float(n.get(0, 0)), float(n.get(1, 0))
-    both = max(1.0, n0 + n1)
     terms = examples.select("y", "t").mapInArrow(presence, "term binary, neg long, pos long").groupBy("term").agg(F.sum("neg").alias("neg"), F.sum("pos").alias("pos"))
-    a, b = F.col("pos"), F.col("neg")
-    diff = a * n0 - b * n1
-    chi = diff * diff * both / ((a + b) * (F.lit(both) - a - b) * max(1.0, n0) * max(1.0, n1) + 1e-9)
-    picked = terms.filter(a + b >= 3).withColumn("chi", chi).filter("chi > 20").orderBy(F.desc("chi"), "term").limit(max_terms)
+    n, z = F.col("pos") + F.col("neg"), 2.576
+    share = F.col("pos") / n
+    lower = (share + z * z / (2 * n) - z * F.sqrt((share * (1 - share) + z * z / (4 * n)) / n)) / (1 + z * z / n)
+    picked = terms.filter(lower >= least_share).orderBy(F.desc("pos"), "term").limit(max_terms)
     vocabulary = sorted(bytes(r["term"]) for r in picked.select("term").collect())
     sent = spark.sparkContext.broadcast(vocabulary)
 
@@ -205,15 +209,16 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         index, idf, _ = model.value
         terms = Terms(sent.value)
         for t in batches:
-            votes = []
+            seen = []
             for text, same in zip(t["t"], t["same"], strict=True):
-                p, c = index.nearest(*vector(terms.count(text), idf), k, skip=same)
-                votes.append(vote(index.labels[p], c))
-            yield pd.DataFrame({"vote": votes, "y": (t["y"] != 0).astype(int)})
+                counts = terms.count(text)
+                p, c = index.nearest(*vector(counts, idf), k, skip=same)
+                seen.append(evidence_of(vote(index.labels[p], c), counts.total()))
+            yield pd.DataFrame({"a": [x[0] for x in seen], "b": [x[1] for x in seen], "y": (t["y"] != 0).astype(int)})
 
-    fitted = examples.mapInPandas(left_out, "vote double, y int").groupBy("vote", "y").agg(F.count("*").alias("n")).toPandas()  # bounded by max_examples
-    fitted = fitted.sort_values(["vote", "y"])
-    slope, level = platt(np.repeat(fitted["vote"].to_numpy(float), fitted["n"]), np.repeat(fitted["y"].to_numpy(float), fitted["n"]))
+    fitted = examples.mapInPandas(left_out, "a double, b double, y int").groupBy("a", "b", "y").agg(F.count("*").alias("n")).toPandas()  # bounded by max_examples
+    fitted = fitted.sort_values(["a", "b", "y"])
+    curve = platt(np.repeat(fitted[["a", "b"]].to_numpy(float), fitted["n"], axis=0), np.repeat(fitted["y"].to_numpy(float), fitted["n"]))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index, idf, by_key = model.value
@@ -221,12 +226,14 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         for batch in batches:
             scores, evidence = [], []
             for text in batch.column("t").to_pylist():
-                p, c = index.nearest(*vector(terms.count(text), idf), k)
-                scores.append(float(1 / (1 + np.exp(-np.clip(slope * vote(index.labels[p], c) + level, -30, 30)))))
+                counts = terms.count(text)
+                p, c = index.nearest(*vector(counts, idf), k)
+                seen = np.array([*evidence_of(vote(index.labels[p], c), counts.total()), 1.0])
+                scores.append(float(1 / (1 + np.exp(-np.clip(seen @ curve, -30, 30)))))
                 evidence.append([{"example": by_key[int(index.keys[i])], "toxic": int(index.labels[i]), "cosine": float(x)} for i, x in zip(p[:3], c[:3], strict=True)])
             kind = pa.list_(pa.struct([("example", pa.int64()), ("toxic", pa.int32()), ("cosine", pa.float64())]))
-            own = [n for n in batch.schema.names if n != "t"]
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in own), pa.array(scores, pa.float64()), pa.array(evidence, kind)], names=[*own, "score", "evidence"])
+            names = [n for n in batch.schema.names if n != "t"]
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(scores, pa.float64()), pa.array(evidence, kind)], names=[*names, "score", "evidence"])
 
     asked = docs.select(F.col(id_col).alias("id"), *([F.struct("*").alias("row")] if whole_rows else []), text_bytes(text_col).alias("t"))
     scored = asked.mapInArrow(work, ", ".join(f"{n} {t}" for n, t in asked.dtypes if n != "t") + f", {OUT}")
