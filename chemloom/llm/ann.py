@@ -226,6 +226,7 @@ def nearest(vectors: DataFrame, queries: Column, id_col: str = "vec_id", vec_col
     scored = pairs.join(of_node, "node").join(of_other, "other").select("node", dot("a", "b").alias("score"), "members")
     kept = scored.withColumn("r", F.row_number().over(Window.partitionBy("node").orderBy(F.desc("score"), F.col("members")[0]))).filter(f"r <= {k + 1}").drop("r")
     kept, _ = cut(kept)
+    graph.beside.unpersist()
     out = asked.join(kept, "node").select("query_id", "score", F.explode("members").alias("id")).filter("id <> query_id")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
     return out.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "id", "score")
