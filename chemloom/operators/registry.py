@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import cas
-from ..functions.text import number, strip
+from ..functions.text import strip
 
 FIELDS = ["cas", "dtxsid", "preferred_name", "systematic_name", "molecular_formula", "average_mass", "monoisotopic_mass", "inchi", "inchikey", "smiles"]
 # Accepted headers of each field, the first present wins.
@@ -118,7 +118,3 @@ def sections(registry: DataFrame, key: str = "cas") -> DataFrame:
 def cas_audit(df: DataFrame, column: str, source: str, compat: bool = False) -> DataFrame:
     """Rows of each source by status of the registry number."""
     return df.groupBy(source, cas.status(F.col(column), compat).alias("status")).agg(F.count("*").alias("n"))
-
-
-def mass(c: Column) -> Column:
-    return number(c)
