@@ -1,6 +1,7 @@
 """Every registered query of the domain against its SQL in DuckDB."""
 
 import glob
+import json
 import math
 import os
 
@@ -38,3 +39,15 @@ def test_no_nested_loops(spark, sf_dir):
     for name in ("toxicity_summary", "lookup_registry_by_cas", "assemble_dossier", "exposure_bands"):
         plan = plans.QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
         assert "Cartesian" not in plan and "NestedLoop" not in plan and "Python" not in plan
+
+
+def test_report_json_nests_what_the_flat_report_has(spark, sf_dir):
+    flat = {}
+    for r in plans.QUERIES["report_csv"](spark, sf_dir).filter("Row > 0").orderBy("CAS", "Row").collect():
+        flat.setdefault(r["CAS"], []).append((r["Exposure_Pathway"], r["Species"], r["Value"]))
+    for r in plans.QUERIES["report_json"](spark, sf_dir).collect():
+        report = json.loads(r["report"])
+        got = [(e["exposure_pathway"], e["species"], e["value"]) for e in report.get("toxicity_endpoints", [])]
+        assert got == flat.get(r["cas"], [])
+        assert report["query_info"] == {"timestamp": "2024-01-01T00:00:00", "cas_number": r["cas"]}
+        assert all(h.startswith("H4") for h in report["ecotoxicity"].get("h_codes_aquatic", []))
