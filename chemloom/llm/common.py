@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,6 +55,14 @@ def text_bytes(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("binary"), F.lit(b""))
 
 
+def each_text(batch: pa.RecordBatch, name: str | None = None, step: int = 256) -> Iterator[bytes]:
+    """A batch's texts as bytes, none for nulls: its column t, or the named field of its column row. A few rows are held at a time."""
+    column = batch.column("t") if name is None else pc.struct_field(batch.column("row"), name).cast(pa.binary())
+    for at in range(0, len(column), step):
+        for x in column.slice(at, step).to_pylist():
+            yield x or b""
+
+
 def per_batch(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
     """mapInArrow with one output batch for each input batch."""
 

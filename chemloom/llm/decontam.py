@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM, per_batch, text_bytes
+from .common import ALNUM, each_text, per_batch, text_bytes
 
 OUT = "n_words long, n_hit long, items array<string>"
 
@@ -66,13 +66,14 @@ def scan(docs: DataFrame, rows: list[tuple[str, bytes]], id_col: str, text_col:
     """One pass over the documents with the patterns of the given items: (id, n_words, n_hit, items), maybe with the row."""
     sent = docs.sparkSession.sparkContext.broadcast(rows)
     ready: list = []
+    field = text_col if whole_rows else None
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         if not ready:
             ready.append(build(sent.value, window))
         names, searches = ready[0]
         n_words, n_hit, own = [], [], []
-        for text in batch.column("t").to_pylist():
+        for text in each_text(batch, field):
             words = item_words(text)
             hit, items = np.zeros(len(words), bool), set()
             for s in searches:
@@ -83,7 +84,7 @@ def scan(docs: DataFrame, rows: list[tuple[str, bytes]], id_col: str, text_col:
         own_names = [n for n in batch.schema.names if n != "t"]
         return pa.RecordBatch.from_arrays([*(batch.column(n) for n in own_names), pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(own, pa.list_(pa.string()))], names=[*own_names, "n_words", "n_hit", "items"])
 
-    asked = docs.select(F.col(id_col).alias("id"), *([F.struct("*").alias("row")] if whole_rows else []), text_bytes(text_col).alias("t"))
+    asked = docs.select(F.col(id_col).alias("id"), F.struct("*").alias("row") if whole_rows else text_bytes(text_col).alias("t"))
     return per_batch(asked, work, ", ".join(f"{n} {t}" for n, t in asked.dtypes if n != "t") + f", {OUT}")
 
 
@@ -97,7 +98,7 @@ def scan_spans(docs: DataFrame, rows: list[tuple[str, bytes]], id_cols: list[str
             ready.append(build(sent.value, window))
         names, searches = ready[0]
         n_words, places, own = [], [], []
-        for text in batch.column(batch.num_columns - 1).to_pylist():
+        for text in each_text(batch):
             words = item_words(text)
             hit, items = np.zeros(len(words), bool), set()
             for s in searches:

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, cut, text_bytes
+from .common import LOWER, cut, each_text, text_bytes
 
 DEPTH = 5
 END, BEGIN, PAD, WIDTH = 256, 257, 258, 259
@@ -69,7 +69,7 @@ def gather(train: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.nulls(len(c), pa.binary()), pa.array(c), pa.array(n)], names=["word", "code", "n"])
 
         for batch in batches:
-            for text in batch.column("t").to_pylist():
+            for text in each_text(batch):
                 own = text.translate(LOWER).split()
                 words.update(own)
                 held.append(_symbols(own))

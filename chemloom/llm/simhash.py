@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, cut, per_batch, text_bytes
+from .common import LOWER, cut, each_text, per_batch, text_bytes
 from .components import connected_components
 
 #: Bit masks of byte values: row b holds the 8 bits of b, highest first.
@@ -44,7 +44,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """(id, same, fp long): a hash of the text, and the fingerprint's 64 bits, as a signed number, of every whole text; null texts count as empty."""
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        fp = np.array([simhash(t, width, seed) for t in batch.column("t").to_pylist()], np.uint64).view(np.int64)
+        fp = np.array([simhash(t, width, seed) for t in each_text(batch)], np.uint64).view(np.int64)
         return pa.RecordBatch.from_arrays([batch.column("id"), batch.column("same"), pa.array(fp)], names=["id", "same", "fp"])
 
     kind = dict(docs.dtypes)[id_col]

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, discard, equal_text_key, per_batch, text_bytes
+from .common import cut, discard, each_text, equal_text_key, per_batch, text_bytes
 
 KEYS = ["key_a", "key_b", "key_n"]
 
@@ -93,7 +93,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", windo
 
     def look(batch: pa.RecordBatch) -> pa.RecordBatch:
         n_words, digests, marks, places = [], [], [], []
-        for text in batch.column("t").to_pylist():
+        for text in each_text(batch):
             words = text.split()
             n_words.append(len(words))
             digests.append(hashlib.sha256(b" ".join(words)).hexdigest())

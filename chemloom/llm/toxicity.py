@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM, cut, text_bytes
+from .common import ALNUM, cut, each_text, text_bytes
 
 OUT = "score double, evidence array<struct<example:long,toxic:int,cosine:double>>"
 
@@ -162,7 +162,7 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     def presence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found: dict[bytes, list[int]] = {}
-            for y, text in zip(batch.column("y").to_pylist(), batch.column("t").to_pylist(), strict=True):
+            for y, text in zip(batch.column("y").to_pylist(), each_text(batch), strict=True):
                 for f in {f for w in set(text.translate(ALNUM).split()) for f in features(w)}:
                     found.setdefault(f, [0, 0])[1 if y else 0] += 1
             yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array([x[0] for x in found.values()], pa.int64()), pa.array([x[1] for x in found.values()], pa.int64())], names=["term", "neg", "pos"])
@@ -179,7 +179,7 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         """Documents that hold each term, and all documents under the number -1."""
         terms, total, rows = Terms(sent.value), np.zeros(len(sent.value), np.int64), 0
         for batch in batches:
-            for text in batch.column("t").to_pylist():
+            for text in each_text(batch):
                 own = list(terms.count(text))
                 total[own] += 1
                 rows += 1
@@ -220,12 +220,14 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     fitted = fitted.sort_values(["a", "b", "y"])
     curve = platt(np.repeat(fitted[["a", "b"]].to_numpy(float), fitted["n"], axis=0), np.repeat(fitted["y"].to_numpy(float), fitted["n"]))
 
+    field = text_col if whole_rows else None
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index, idf, by_key = model.value
         terms = Terms(sent.value)
         for batch in batches:
             scores, evidence = [], []
-            for text in batch.column("t").to_pylist():
+            for text in each_text(batch, field):
                 counts = terms.count(text)
                 p, c = index.nearest(*vector(counts, idf), k)
                 seen = np.array([*evidence_of(vote(index.labels[p], c), counts.total()), 1.0])
@@ -235,9 +237,9 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             names = [n for n in batch.schema.names if n != "t"]
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(scores, pa.float64()), pa.array(evidence, kind)], names=[*names, "score", "evidence"])
 
-    asked = docs.select(F.col(id_col).alias("id"), *([F.struct("*").alias("row")] if whole_rows else []), text_bytes(text_col).alias("t"))
+    asked = docs.select(F.col(id_col).alias("id"), F.struct("*").alias("row") if whole_rows else text_bytes(text_col).alias("t"))
     scored = asked.mapInArrow(work, ", ".join(f"{n} {t}" for n, t in asked.dtypes if n != "t") + f", {OUT}")
-    return scored.select(*asked.columns[:-1], (fold(F.col("id")) == held_fold).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence")
+    return scored.select(*[n for n in asked.columns if n != "t"], (fold(F.col("id")) == held_fold).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence")
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
