@@ -129,28 +129,31 @@ def near_links(prints: DataFrame, distance: int = 4, blocks: int = 6, tile: int
     return dealt.repartition(shares, "room").sortWithinPartitions("room").mapInPandas(link, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = 4, width: int = 4, seed: int = 42, blocks: int = 6) -> DataFrame:
-    """(id, same, fingerprint, component_id) of every row: components of the links between fingerprints ``distance`` or fewer bits apart.
-
-    component_id is the smallest id reachable, itself included. Null or empty texts have fingerprint 0 and link like any other;
-    repeated rows each come back; an empty table gives an empty result; other columns are ignored. Equal fingerprints are one
-    node, so copies are never paired with each other.
-    """
+def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = 4, width: int = 4, seed: int = 42, blocks: int = 6) -> DataFrame:
+    """What near_duplicates() returns, and ``group``, the component's smallest fingerprint: components whose smallest ids are equal or null differ in it."""
     prints, _ = cut(fingerprints(docs, id_col, text_col, width, seed))
     nodes = prints.groupBy("fp").agg(F.min("id").alias("least"))
     parts = connected_components(near_links(nodes.select("fp"), distance, blocks))
     least = nodes.join(parts, nodes["fp"] == parts["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("group"))
     smallest = least.groupBy("group").agg(F.min("least").alias("component_id"))
-    of_print = least.join(smallest, "group").select("fp", "component_id")
-    return prints.join(of_print, "fp").select("id", "same", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    of_print = least.join(smallest, "group").select("fp", "component_id", "group")
+    return prints.join(of_print, "fp").select("id", "same", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "group")
 
 
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = 4, width: int = 4, seed: int = 42, blocks: int = 6) -> DataFrame:
+    """(id, same, fingerprint, component_id) of every row: components of the links between fingerprints ``distance`` or fewer bits apart.
+
+    component_id is the smallest id reachable, itself included. Null or empty texts have fingerprint 0 and link like any other;
+    repeated rows each come back; an empty table gives an empty result; other columns are ignored. Equal fingerprints are one
+    node, so copies are never paired with each other.
+    """
+    return grouped(docs, id_col, text_col, distance, width, seed, blocks).drop("group")
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """One row of docs for each near-duplicate group: that of the smallest id (and text hash, if an id has several texts)."""
-    found, _ = cut(near_duplicates(docs, id_col, text_col, **options))
-    kept = found.groupBy("component_id").agg(F.min(F.struct("id", "same")).alias("k")).select("k.id", "k.same").distinct()
+    found, _ = cut(grouped(docs, id_col, text_col, **options))
+    kept = found.groupBy("group").agg(F.min(F.struct("id", "same")).alias("k")).select("k.id", "k.same").distinct()
     rows = docs.withColumn("_same", F.xxhash64(text_col)).alias("d").join(kept.alias("k"), F.expr(f"d.{id_col} <=> k.id and d._same = k.same"), "left_semi")
     # A row that is repeated with its id stays once; the rows are gathered by key only where there are any such.
     repeated = found.groupBy("id", "same").agg(F.count("*").alias("n")).filter("n > 1")

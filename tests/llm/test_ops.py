@@ -124,6 +124,16 @@ def test_simhash_components(spark):
     assert simhash.near_duplicates(frame(spark, ["x"]).limit(0)).count() == 0
 
 
+def test_one_of_each_with_shared_and_null_ids(spark):
+    near = re.sub(r"alpha\d+", "Alpha0", prose(0, 60), count=1)
+    rows = [(None, prose(i, 60)) for i in range(3)] + [(7, prose(i, 60)) for i in range(3, 6)] + [(9, prose(6, 60)), (8, prose(3, 60)), (None, prose(1, 60)), (None, near)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("group", F.lit("x"))
+    got = Counter((r["doc_id"], r["text"]) for r in simhash.one_of_each(df).collect())
+    link = (brute_print(prose(0, 60)) ^ brute_print(near)).bit_count() <= 4
+    assert link and set(got.values()) == {1} and all(r in rows for r in got)
+    assert sorted(0 if t == near else [prose(i, 60) for i in range(7)].index(t) for _, t in got) == list(range(7))
+
+
 def test_hot_bucket_in_tiles_loses_no_link(spark):
     rng = random.Random(3)
     base = rng.getrandbits(64)
