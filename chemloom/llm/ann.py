@@ -29,7 +29,7 @@ def dot(a: str, b: str) -> Column:
 
 
 def _matrix(packed: pd.Series) -> np.ndarray:
-    return np.frombuffer(b"".join(packed), np.int8).reshape(len(packed), -1).astype(np.float32)
+    return np.frombuffer(b"".join(packed), np.float32).reshape(len(packed), -1)
 
 
 def _top(ids: np.ndarray, sims: np.ndarray, k: int, own: int | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -60,17 +60,26 @@ def plant_trees(sample: np.ndarray, trees: int, levels: int, seed: int) -> list[
 class Graph:
     """nodes(node, vec packed) and, for each, the k nearest nodes found so far."""
 
-    def __init__(self, nodes: DataFrame, k: int, leaf: int, trees: int, rounds: int, seed: int, sample: int = 20_000):
+    def __init__(self, nodes: DataFrame, k: int, leaf: int, trees: int, rounds: int, settled: float, seed: int, sample: int = 20_000):
         self.spark, self.nodes, self.k = nodes.sparkSession, nodes, k
-        self.n = nodes.count()
-        self.parts = max(1, self.n * (2 * k * 72 + 64) // (12 << 20) + 1)
+        self.n, width = nodes.agg(F.count("*"), F.coalesce(F.max(F.octet_length("vec")), F.lit(0))).first()
+        self.parts = self.n * (2 * k * (width + 16) + 64) // (16 << 20) + 1
         self.lists, path = cut(self._first(leaf, trees, seed, sample))
-        for _ in range(rounds):
+        while True:
             new, new_path = cut(self._round())
+            changed = self._changed(new)
             discard(self.spark, path)
-            self.lists, path = new, new_path
+            self.lists, path, rounds = new, new_path, rounds - 1
+            self.spark.sparkContext._jvm.System.gc()  # the round's shuffle files go once its plans are collected
+            if rounds <= 0 and changed <= settled * self.n * k:
+                break
         self.beside = self.adjacency().persist()
 
+    def _changed(self, new: DataFrame) -> int:
+        """Neighbours in the lists of ``new`` that the present ones don't hold. Lists only get nearer, so it comes to 0 in the end."""
+        both = new.select("node", "ids").join(self.lists.select("node", F.col("ids").alias("was")), "node")
+        return both.agg(F.sum(F.size(F.array_except("ids", "was")))).first()[0] or 0
+
     def _merged(self, found: DataFrame, k: int) -> DataFrame:
         """found(node, ids, sims), many for a node -> one list of the k nearest for each node."""
 
@@ -120,15 +129,13 @@ class Graph:
         return merged
 
     def adjacency(self) -> DataFrame:
-        """(bucket, v, near, vecs): each node's neighbours and up to k of the nodes that have it as one, with their vectors."""
+        """(v, w, way, bucket): each node's neighbours and up to k of the nodes that have it as one, a row each, with their vectors."""
         ahead = self.lists.select("node", F.explode(F.arrays_zip("ids", "sims")).alias("x")).select(F.col("node").alias("v"), F.col("x.ids").alias("w"), F.col("x.sims").alias("sim"))
         best = Window.partitionBy("v").orderBy(F.desc("sim"), "w")
         back = ahead.select(F.col("w").alias("v"), F.col("v").alias("w"), "sim").withColumn("r", F.row_number().over(best)).filter(f"r <= {self.k}").drop("r")
         edges = ahead.unionByName(back).select("v", "w").distinct()
-        full = edges.join(self.nodes.select(F.col("node").alias("w"), "vec"), "w")
-        packed = full.groupBy("v").agg(F.collect_list(F.struct("w", "vec")).alias("x"))
-        packed = packed.select("v", F.transform("x", lambda x: x["w"]).alias("near"), F.transform("x", lambda x: x["vec"]).alias("vecs"))
-        return self.dealt(packed, "v")
+        full = edges.join(self.nodes.select(F.col("node").alias("w"), F.col("vec").alias("way")), "w")
+        return self.dealt(full.select("v", "w", "way"), "v")
 
     def dealt(self, rows: DataFrame, by: str) -> DataFrame:
         return rows.withColumn("bucket", F.pmod(F.xxhash64(by), F.lit(self.parts))).repartition(int(self.parts), "bucket")
@@ -137,14 +144,14 @@ class Graph:
         """frontier(node, vec, floor, v) -> (node, ids, sims): of v's neighbours, the ``keep`` nearest to node above its floor."""
 
         def visit(front: pd.DataFrame, graph: pd.DataFrame) -> pd.DataFrame:
-            where = {v: i for i, v in enumerate(graph["v"])}
+            where = graph.groupby("v", sort=False).indices
             nodes, ids, sims = [], [], []
             for v, t in front.groupby("v", sort=False):
                 if v not in where:
                     continue
                 i = where[v]
-                near = np.asarray(graph["near"].iloc[i])
-                s = _matrix(t["vec"]) @ _matrix(pd.Series(list(graph["vecs"].iloc[i]))).T
+                near = graph["w"].to_numpy()[i]
+                s = _matrix(t["vec"]) @ _matrix(graph["way"].iloc[i]).T
                 s[s <= t["floor"].to_numpy(np.float32)[:, None]] = -np.inf
                 best = np.argsort(-s, axis=1)[:, :keep]
                 for own, b, row in zip(t["node"], best, s, strict=True):
@@ -193,13 +200,14 @@ class Graph:
         return state.select("node", "ids")
 
 
-def nearest(vectors: DataFrame, queries: Column, id_col: str = "vec_id", vec_col: str = "embedding", k: int = 20, links: int = 40, leaf: int = 1600, trees: int = 8, rounds: int = 2, beam: int = 160, step: int = 40, pool: int = 200, seed: int = 42) -> DataFrame:
+def nearest(vectors: DataFrame, queries: Column, id_col: str = "vec_id", vec_col: str = "embedding", k: int = 20, links: int = 40, leaf: int = 1600, trees: int = 8, rounds: int = 2, beam: int = 160, step: int = 40, pool: int = 200, seed: int = 42, settled: float = 0.01) -> DataFrame:
     """(query_id, rank, id, score): for each query row its k nearest other rows by inner product, nearest first, ties to the
     smaller id. ``queries`` is a condition on the column ``id``.
 
     Equal vectors are one node of the graph; of a node's rows only the k + 1 smallest ids can be among anyone's k nearest, so
-    those are kept. The graph and the search use components rounded to 8 bits; the nearest ``pool`` nodes found are scored
-    anew from the original vectors in double precision. Vectors that are null, zero, of another length than most, or hold null
+    those are kept. NN-descent takes ``rounds`` rounds at least and goes on until one replaces ``settled`` of all neighbours or
+    less. The graph and the search use single precision; the nearest ``pool`` nodes found are scored anew from the original
+    vectors in double precision. Vectors that are null, zero, of another length than most, or hold null
     or non-finite components take no part; repeated ids count once; fewer rows than k give all; an empty table gives an empty
     result; other columns are ignored.
     """
@@ -213,10 +221,11 @@ def nearest(vectors: DataFrame, queries: Column, id_col: str = "vec_id", vec_col
 
     def packed(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for t in parts:
-            yield pd.DataFrame({"node": t["node"], "vec": [np.rint(np.asarray(v, float) / top * 127).astype(np.int8).tobytes() for v in t["v"]]})
+            # The largest component becomes 2^56: neither products of large ones nor of those 1e35 times smaller leave the range.
+            yield pd.DataFrame({"node": t["node"], "vec": [np.ldexp(np.asarray(v, float) / top, 56).astype(np.float32).tobytes() for v in t["v"]]})
 
     nodes, _ = cut(classes.select("node", "v").mapInPandas(packed, "node long, vec binary"))
-    graph = Graph(nodes, links, leaf, trees, rounds, seed)
+    graph = Graph(nodes, links, leaf, trees, rounds, settled, seed)
     asked = rows.filter(queries).select(F.col("id").alias("query_id"), "h", "g")
     asked, _ = cut(asked.join(classes.select("h", "g", "node"), ["h", "g"]).select("query_id", "node"))
     found = graph.search(asked.select("node").distinct(), beam, step, pool)

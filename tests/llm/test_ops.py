@@ -228,6 +228,23 @@ def test_nearest(spark):
     assert ann.nearest(df.limit(0), F.col("id") % 20 == 0).count() == 0
 
 
+@pytest.mark.parametrize("n", [600, 4000])
+def test_nearest_with_outlier_norms(spark, n):
+    rng = np.random.default_rng(1)
+    rows = rng.standard_normal((n, 16)) * np.exp(rng.standard_normal((n, 1)))
+    rows[7] *= 1e6
+    rows[11, 3] = 3e9
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(rows.tolist())], "vec_id long, embedding array<double>")
+    found = defaultdict(set)
+    for r in ann.nearest(df, F.col("id") % 20 == 0, leaf=100).collect():
+        found[r["query_id"]].add(r["id"])
+    asked = np.arange(0, n, 20)
+    scores = rows[asked] @ rows.T
+    scores[np.arange(len(asked)), asked] = -np.inf
+    want = np.argsort(-scores, axis=1)[:, :20]
+    assert np.mean([len(found[q] & set(w)) / 20 for q, w in zip(asked.tolist(), want.tolist())]) >= 0.95
+
+
 # 6
 
 
