@@ -23,10 +23,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none (tests)."""
+    """The folder that driver and executors share. Where a session of one machine names none (tests) a temporary one is set;
+    on a cluster that is an error, as machines would not see each other's files."""
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not found:
+        if sc.master != "local" and not sc.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
         found = sc.getCheckpointDir()
     return found.rstrip("/")
@@ -50,6 +53,17 @@ def discard(spark: SparkSession, *paths: str) -> None:
         at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def join_unique(left: DataFrame, right: DataFrame, keys: list[str], n: str, total: int, how: str = "inner", hot: int = 256) -> DataFrame:
+    """left joined to right, which has each key once and, as ``n``, how many of left's ``total`` rows have it.
+
+    Keys with over 1/``hot`` of all rows, fewer than ``hot`` by their definition, are joined by broadcast where the rows lie;
+    the other keys are shuffled, none of them with a large share. ``how`` is inner or left_semi; n doesn't come back."""
+    often = F.col(n) * hot > total
+    large, small = right.filter(often).drop(n), right.filter(~often).drop(n)
+    rest = left.join(F.broadcast(large.select(*keys)), keys, "left_anti")
+    return left.join(F.broadcast(large), keys, how).unionByName(rest.join(small, keys, how))
+
+
 def text_bytes(name: str = "text") -> Column:
     """UTF-8 bytes of a text; none for a null."""
     return F.coalesce(F.col(name).cast("binary"), F.lit(b""))

@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE_WORD, cut, equal_text_key, text_bytes
+from .common import SPACE_WORD, cut, discard, equal_text_key, join_unique, text_bytes
 
 DIMS = ("bytes", "tokens", "rows")
 
@@ -27,20 +27,24 @@ def pack(loads: np.ndarray, shards: int) -> np.ndarray:
     return out
 
 
-def even_out(load: np.ndarray, bins: np.ndarray, shards: int, rounds: int = 64, close: float = 1e-3) -> np.ndarray:
-    """Swaps items between the fullest and the emptiest bin, one for one, while that brings their loads nearer."""
+def even_out(loads: np.ndarray, bins: np.ndarray, shards: int, rounds: int = 64, close: float = 1e-3) -> np.ndarray:
+    """Swaps items between the bins with most and fewest bytes, one for one, while that brings their bytes nearer.
+
+    A swap must not set the two bins further apart in any other dimension than they are, or than ``close`` of the mean."""
     bins = bins.copy()
     for _ in range(rounds):
-        sums = np.bincount(bins, weights=load, minlength=shards)
-        high, low = int(sums.argmax()), int(sums.argmin())
+        sums = np.stack([np.bincount(bins, weights=c, minlength=shards) for c in loads.T], axis=1)
+        high, low = int(sums[:, 0].argmax()), int(sums[:, 0].argmin())
         gap = sums[high] - sums[low]
         a, b = np.flatnonzero(bins == high), np.flatnonzero(bins == low)
-        if gap <= close * sums.mean() or not len(a) or not len(b):
+        if gap[0] <= close * sums[:, 0].mean() or not len(a) or not len(b):
             break
-        moved = load[a][:, None] - load[b][None, :]
-        i, j = np.unravel_index(np.abs(moved - gap / 2).argmin(), moved.shape)
-        if not 0 < moved[i, j] < gap:
+        moved = loads[a][:, None] - loads[b][None, :]
+        good = (moved[..., 0] > 0) & (moved[..., 0] < gap[0])
+        good &= (np.abs(gap - 2 * moved) <= np.maximum(np.abs(gap), close * sums.mean(axis=0)))[..., 1:].all(axis=-1)
+        if not good.any():
             break
+        i, j = np.unravel_index(np.where(good, np.abs(moved[..., 0] - gap[0] / 2), np.inf).argmin(), good.shape)
         bins[a[i]], bins[b[j]] = low, high
     return bins
 
@@ -51,7 +55,7 @@ def _packed(items: DataFrame, shards: int) -> DataFrame:
     def run(t: pd.DataFrame) -> pd.DataFrame:
         t = t.sort_values("item", kind="stable")
         loads = t[list(DIMS)].to_numpy(float)
-        return t.assign(bin=even_out(loads[:, 0], pack(loads, shards), shards))
+        return t.assign(bin=even_out(loads, pack(loads, shards), shards))
 
     kinds = dict(items.dtypes)
     schema = ", ".join(f"{c} {kinds[c]}" for c in ("pack", "item", *DIMS))
@@ -66,7 +70,7 @@ def shard(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: st
     """(id, size, text_crc32, tokens, group, shard, slot) of every row.
 
     Rows with equal texts are a group and stay together unless the group is over 1/``grain`` of a shard in bytes, tokens or
-    rows; then it is dealt out by id in as many parts as it takes. Groups are dealt by hash to packs of about ``per_pack``;
+    rows; then it is dealt out by id (rows without one by their place) in as many parts as it takes. Groups are dealt by hash to packs of about ``per_pack``;
     each pack is packed into ``shards`` bins, whose bytes are then brought nearer by swaps, and the bins are packed again as items of the next level, until one pack is
     left. So every task holds a bounded number of groups, at any size. Slots count from 0 in each shard without gaps.
 
@@ -76,15 +80,16 @@ def shard(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: st
     b = text_bytes(text_col)
     rows = docs.select(F.col(id_col).alias("id"), *equal_text_key(text_col), F.crc32(b).alias("text_crc32"), (F.octet_length(b) + 1).cast("long").alias("bytes"), F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(SPACE_WORD)).cast("long").alias("tokens"))
     rows = rows.withColumns({"rows": F.lit(1).cast("long"), "group": F.xxhash64("key_a", "key_b", "key_n")}).drop("key_a", "key_b", "key_n")
-    rows, _ = cut(rows)
+    rows, seen_at = cut(rows.withColumn("place", F.monotonically_increasing_id()))  # fixed by being written
     groups = _sums(rows, "group")
     whole = rows.agg(*[F.coalesce(F.sum(d), F.lit(0)).alias(d) for d in DIMS]).first()
     limit = {d: max(1.0, whole[d] / (shards * grain)) for d in DIMS}
     parts = F.greatest(*[F.ceil(F.col(d) / limit[d]) for d in DIMS], F.lit(1)).cast("long")
-    rows = rows.join(groups.select("group", parts.alias("parts")), "group")
-    part = F.pmod(F.xxhash64(F.coalesce(F.col("id").cast("string"), F.lit(""))), F.col("parts"))
+    rows = join_unique(rows, groups.select("group", parts.alias("parts"), F.col("rows").alias("n")), ["group"], "n", whole["rows"])
+    part = F.pmod(F.xxhash64(F.coalesce(F.col("id").cast("string"), F.col("place").cast("string"))), F.col("parts"))
     rows = rows.withColumn("item", F.when(F.col("parts") == 1, F.col("group")).otherwise(F.xxhash64("group", part)))
-    rows, _ = cut(rows)
+    rows, _ = cut(rows.drop("place"))
+    discard(docs.sparkSession, seen_at)
     items, n = _sums(rows, "item"), rows.select("item").distinct().count()
 
     packs = -(-n // per_pack) or 1

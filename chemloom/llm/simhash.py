@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, cut, each_text, per_batch, text_bytes
+from .common import LOWER, cut, each_text, join_unique, per_batch, text_bytes
 from .components import connected_components
 
 #: Bit masks of byte values: row b holds the 8 bits of b, highest first.
@@ -41,7 +41,8 @@ def simhash(text: bytes, width: int = 4, seed: int = 42) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, seed: int = 42) -> DataFrame:
-    """(id, same, fp long): a hash of the text, and the fingerprint's 64 bits, as a signed number, of every whole text; null texts count as empty."""
+    """(id, same, fp long): a hash of the text, and the fingerprint's 64 bits, as a signed number, of every whole text; null and
+    empty texts have fingerprint 0. Repeated rows each come back; ids may be null; an empty table gives an empty result."""
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         fp = np.array([simhash(t, width, seed) for t in each_text(batch)], np.uint64).view(np.int64)
@@ -61,23 +62,14 @@ def block_masks(distance: int, blocks: int) -> list[int]:
 def _forest(fp: np.ndarray, other: np.ndarray | None, distance: int) -> np.ndarray:
     """Links that connect what lies within the distance, inside fp or between fp and other: at most one for each row joined."""
     whole = fp if other is None else np.concatenate([fp, other])
-    parent = np.arange(len(whole))
-
-    def root(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
+    label = np.arange(len(whole))
     out = []
-    step = max(1, 2_000_000 // max(1, len(whole)))
-    for i in range(0, len(fp), step):
-        near = np.bitwise_count(fp[i : i + step, None] ^ whole[None, :]) <= distance
-        for x, y in zip(*np.nonzero(near), strict=True):
-            x += i
-            if x < y and (a := root(x)) != (b := root(y)):
-                parent[max(a, b)] = min(a, b)
-                out.append((whole[x], whole[y]))
+    for x in range(len(fp)):
+        near = np.flatnonzero(np.bitwise_count(whole ^ fp[x]) <= distance)
+        own, first = np.unique(label[near], return_index=True)
+        if len(own) > 1:  # one link to each component that wasn't joined yet
+            out += [(fp[x], whole[y]) for c, y in zip(own, near[first], strict=True) if c != label[x]]
+            label[np.isin(label, own)] = own[0]
     return np.array(out, np.uint64).reshape(-1, 2)
 
 
@@ -86,14 +78,14 @@ def near_links(prints: DataFrame, distance: int = 4, blocks: int = 6, tile: int
 
     Every fingerprint gets a row for each choice of blocks - distance of its blocks. Rows of a bucket are compared in tiles of
     about ``tile`` x ``tile``: larger buckets are dealt to several tiles, so no task takes a whole hot bucket, and a tile
-    returns a spanning forest of its links, not all pairs.
+    returns a spanning forest of its links, not all pairs. No prints, no links; a fingerprint alone has none.
     """
     masks = block_masks(distance, blocks)
     signed = [m - (1 << 64) if m >= 1 << 63 else m for m in masks]
     keyed = prints.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in signed])).alias("mask", "block"))
     sizes = keyed.groupBy("mask", "block").agg(F.count("*").alias("n")).filter("n > 1").withColumn("parts", F.ceil(F.col("n") / tile).cast("int"))
     part = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
-    full = keyed.join(sizes, ["mask", "block"]).withColumn("part", part)
+    full = join_unique(keyed, sizes.withColumn("share", F.col("n")), ["mask", "block"], "n", len(masks) * prints.count()).withColumn("part", part)
     # Tile (i, j), i <= j, takes parts i and j; part p goes to the tiles (min(p, q), max(p, q)) of all q.
     tiles = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda q: F.struct(F.least(q, F.col("part")).alias("i"), F.greatest(q, F.col("part")).alias("j")))
     dealt = full.select("mask", "block", "fp", "part", F.explode(tiles).alias("tile"))
@@ -132,12 +124,13 @@ def near_links(prints: DataFrame, distance: int = 4, blocks: int = 6, tile: int
 def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = 4, width: int = 4, seed: int = 42, blocks: int = 6) -> DataFrame:
     """What near_duplicates() returns, and ``group``, the component's smallest fingerprint: components whose smallest ids are equal or null differ in it."""
     prints, _ = cut(fingerprints(docs, id_col, text_col, width, seed))
-    nodes = prints.groupBy("fp").agg(F.min("id").alias("least"))
+    nodes, _ = cut(prints.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("n")))
     parts = connected_components(near_links(nodes.select("fp"), distance, blocks))
-    least = nodes.join(parts, nodes["fp"] == parts["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("group"))
-    smallest = least.groupBy("group").agg(F.min("least").alias("component_id"))
-    of_print = least.join(smallest, "group").select("fp", "component_id", "group")
-    return prints.join(of_print, "fp").select("id", "same", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "group")
+    least, _ = cut(nodes.join(parts, nodes["fp"] == parts["node"], "left").select("fp", "least", "n", F.coalesce("component", "fp").alias("group")))
+    smallest = least.groupBy("group").agg(F.min("least").alias("component_id"), F.count("*").alias("prints"))
+    of_print, _ = cut(join_unique(least, smallest, ["group"], "prints", least.count()).select("fp", "component_id", "group", "n"))
+    whole = join_unique(prints, of_print, ["fp"], "n", prints.count())
+    return whole.select("id", "same", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "group")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = 4, width: int = 4, seed: int = 42, blocks: int = 6) -> DataFrame:
@@ -151,10 +144,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """One row of docs for each near-duplicate group: that of the smallest id (and text hash, if an id has several texts)."""
+    """One row of docs for each near-duplicate group: that of the smallest id (and text hash, if an id has several texts).
+
+    Null ids come first. Groups are told apart by their fingerprints, so unrelated texts whose ids are null or equal all stay.
+    Null and empty texts are one group; of rows that agree in id and text one stays; an empty table gives an empty result.
+    All columns come back as they are, whatever their names."""
     found, _ = cut(grouped(docs, id_col, text_col, **options))
     kept = found.groupBy("group").agg(F.min(F.struct("id", "same")).alias("k")).select("k.id", "k.same").distinct()
-    rows = docs.withColumn("_same", F.xxhash64(text_col)).alias("d").join(kept.alias("k"), F.expr(f"d.{id_col} <=> k.id and d._same = k.same"), "left_semi")
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("same")).alias("d")
+    rows = rows.join(kept.alias("k"), F.expr("d.id <=> k.id and d.same = k.same"), "left_semi")
     # A row that is repeated with its id stays once; the rows are gathered by key only where there are any such.
     repeated = found.groupBy("id", "same").agg(F.count("*").alias("n")).filter("n > 1")
-    return (rows if repeated.isEmpty() else rows.dropDuplicates([id_col, "_same"])).drop("_same")
+    return (rows if repeated.isEmpty() else rows.dropDuplicates(["id", "same"])).select("row.*")
