@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE_WORD, cut, per_batch, text_bytes
+from .common import SPACE_WORD, cut, discard, each_text, per_batch
 
 
 def targets(sizes: list[float], weights: list[float], total: float, cap: float) -> list[float]:
@@ -29,23 +28,24 @@ def targets(sizes: list[float], weights: list[float], total: float, cap: float)
     return out
 
 
-def draw_counts(need: np.ndarray, shards: int, seed: int) -> np.ndarray:
-    """Slots of each source in each output shard, (shards, sources).
+def draw_counts(need: np.ndarray, limit: np.ndarray, shards: int, seed: int) -> np.ndarray:
+    """Slots of each source in each output shard, (shards, sources): one multinomial draw for each shard.
 
-    A shard takes the whole part of its expected share of what each source still needs; the rest of its slots is drawn
-    multinomially by the fractions that are left. So shards are random mixtures, while the sums over all shards are ``need``."""
-    rng, left, out = np.random.default_rng(seed), need.astype(np.int64).copy(), np.zeros((shards, len(need)), np.int64)
+    A shard's chances are what each source is short of its part of ``need`` up to this shard, so a draw that falls short is
+    made up for by the next ones: totals differ from ``need`` by the chance of about one shard. No total exceeds ``limit``;
+    what a source may not take any more is drawn again from the others."""
+    rng, drawn, out = np.random.default_rng(seed), np.zeros(len(need), np.int64), np.zeros((shards, len(need)), np.int64)
     for k in range(shards):
-        size = -(-int(left.sum()) // (shards - k))
-        if not size:
-            continue
-        share = left * (size / left.sum())
-        took = np.minimum(np.floor(share).astype(np.int64), left)
-        while (more := size - int(took.sum())) > 0:
-            p = np.where(left > took, np.maximum(share - took, 1e-9), 0.0)
-            took = np.minimum(took + rng.multinomial(more, p / p.sum()), left)
-        out[k] = took
-        left -= took
+        part = (k + 1) / shards
+        left = round(need.sum() * part) - int(drawn.sum())
+        due = np.minimum(np.maximum(need * part - drawn, 0.0), limit - drawn)
+        while left > 0 and (drawn < limit).any():
+            chance = due if due.sum() > 0 else (limit - drawn).astype(float)
+            got = np.minimum(rng.multinomial(left, chance / chance.sum()), limit - drawn)
+            out[k] += got
+            drawn += got
+            left -= int(got.sum())
+            due = np.where(drawn < limit, np.maximum(due - got, 0.0), 0.0)
     return out
 
 
@@ -69,100 +69,113 @@ def permute(x: np.ndarray, n: int, key: int) -> np.ndarray:
     return v.astype(np.int64)
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, cap: float = 2.0, block: int = 64, shards: int = 16, seed: int = 42, per_bucket: int = 2048) -> DataFrame:
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, cap: float = 2.0, block: int = 32, shards: int = 256, seed: int = 42, per_bucket: int = 2048, draw_seed: int = 42) -> DataFrame:
     """(id, same, size, source, source_size, target, taken, pieces) of every row.
 
     size counts the words of the text (null: none). Sources in code point order, null last, have the weights in turn; their
     targets share ``share`` times all words, none above ``cap`` times its source's. A source's rows, in the order of a hash,
-    form a stream that is cut into blocks of ``block`` words. The output's slots are dealt to shards, and a shard's slots to
-    sources by multinomial draws; slot i of a source is block perm(i mod n) under the permutation of pass i div n. ``pieces``
-    lists the ranges of words taken and how often; ``taken`` sums them up. ``same`` is a hash of the text.
+    form a stream that is cut into blocks of ``block`` words. Each output shard draws how many of its slots each source gets
+    (draw_counts(), by ``draw_seed``). A source's slots are numbered through the shards; slot i is block perm(i mod n) under
+    the permutation of pass i div n (by ``seed``), and blocks and slots are joined by index. ``pieces`` lists the ranges of
+    words taken, with pass, shard and place in the shard; a pass takes a word once at most, and ``cap`` rounded up is the
+    number of passes. ``taken`` sums the pieces up. ``same`` is a hash of the text.
 
     Ties and repeated rows each have their own place; sources without words have target 0; an empty table gives an empty
     result; other columns are ignored; reruns agree. One row for each source goes through the driver, none for a document.
+    Rows that agree in id and text share a bucket of the prefix sums.
     """
     spark = docs.sparkSession
     words = F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(SPACE_WORD)).cast("long")
-    rows, _ = cut(docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("same"), F.col(source_col).cast("string").alias("source"), words.alias("size")))
+    rows, rows_at = cut(docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("same"), F.col(source_col).cast("string").alias("source"), words.alias("size")))
     found = rows.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect()
     found.sort(key=lambda r: (r["source"] is None, r["source"] or ""))
     sizes = [r["size"] for r in found]
     goal = targets([float(s) for s in sizes], [float(weights[i % len(weights)]) for i in range(len(found))], share * sum(sizes), cap)
-    blocks = [-(-s // block) for s in sizes]
-    need = np.array([min(round(g * b / s), math.floor(cap) * b) if s else 0 for g, b, s in zip(goal, blocks, sizes, strict=True)], np.int64)
+    blocks = np.array([-(-s // block) for s in sizes], np.int64)
+    need = np.array([g * b / s if s else 0.0 for g, b, s in zip(goal, blocks, sizes, strict=True)])
     of_source = spark.createDataFrame([(i, r["source"], r["size"], goal[i]) for i, r in enumerate(found)], "src int, source string, source_size long, target double")
 
     # Where each row's words begin in its source's stream: sums by bucket, then inside the bucket.
     buckets = max(1, -(-sum(r["n"] for r in found) // per_bucket))
-    rows = rows.withColumn("bucket", F.pmod(F.xxhash64(F.coalesce(F.col("id").cast("string"), F.lit("")), F.lit(seed)), F.lit(buckets)))
+    rows = rows.withColumn("bucket", F.pmod(F.xxhash64(F.coalesce(F.col("id").cast("string"), F.lit("")), "same", F.lit(seed)), F.lit(buckets)))
     sums = rows.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
     before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     bases = sums.select("source", "bucket", F.coalesce(F.sum("words").over(before), F.lit(0)).alias("base"))
-    bases = bases.alias("b").join(F.broadcast(of_source).alias("o"), F.expr("b.source <=> o.source")).select("b.*", "src", "source_size", "target")
+    bases = bases.alias("b").join(of_source.alias("o"), F.expr("b.source <=> o.source")).select("b.*", "src", "source_size", "target")
     inside = Window.partitionBy("source", "bucket").orderBy("id", "same", "size")
     placed = rows.withColumns({"place": F.row_number().over(inside), "ahead": F.coalesce(F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))}).alias("r")
     placed = placed.join(bases.alias("b"), F.expr("r.source <=> b.source and r.bucket = b.bucket")).select("id", "same", "r.source", "size", "src", "r.bucket", "place", "source_size", "target", (F.col("base") + F.col("ahead")).alias("start"))
     placed, _ = cut(placed)
+    discard(spark, rows_at)
 
-    # Slots: each (shard, source) has a run of the source's indexes; perm() turns them into blocks.
-    counts = draw_counts(need, shards, seed)
-    first = np.cumsum(counts, axis=0) - counts
-    runs = [(int(s), int(first[k, s]), int(counts[k, s]), int(blocks[s])) for k in range(shards) for s in range(len(found)) if counts[k, s]]
-    step = 1 << 16
-    dealt = spark.createDataFrame(runs, "src int, at long, n long, blocks long")
-    dealt = dealt.select("src", "blocks", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(step).cast("long"))).alias("from"), "at", "n")
-    dealt = dealt.select("src", "blocks", (F.col("at") + F.col("from")).alias("at"), F.least(F.col("n") - F.col("from"), F.lit(step)).alias("n"))
-
-    def slots(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for t in parts:
-            for src, n, at, count in t.itertuples(index=False):
-                i = np.arange(at, at + count, dtype=np.int64)
-                yield pd.DataFrame({"src": np.full(count, src, np.int32), "block": np.concatenate([permute(i[i // n == p] % n, n, seed * 1_000_003 + src * 101 + int(p)) for p in np.unique(i // n)])})
-
-    times = dealt.repartition(int(need.sum() // 250_000) + 1, "src", "at").mapInPandas(slots, "src int, block long").groupBy("src", "block").agg(F.count("*").alias("times"))
-
+    counts = draw_counts(need, np.floor(cap * blocks).astype(np.int64), shards, draw_seed)
+    taken_slots = slots(spark, counts, blocks, seed)
     blocks_of = placed.filter("size > 0").select("src", "bucket", "place", "start", "size", F.explode(F.sequence(F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("size") - 1) / block))).alias("block"))
     begin = F.greatest(F.col("block") * block - F.col("start"), F.lit(0))
     end = F.least((F.col("block") + 1) * block - F.col("start"), F.col("size"))
-    pieces = blocks_of.join(times, ["src", "block"]).select("src", "bucket", "place", F.struct(begin.alias("from"), end.alias("to"), "times").alias("p"))
-    taken = pieces.groupBy("src", "bucket", "place").agg(F.sum((F.col("p.to") - F.col("p.from")) * F.col("p.times")).alias("taken"), F.array_sort(F.collect_list("p")).alias("pieces"))
-    none = F.array().cast("array<struct<from:bigint,to:bigint,times:bigint>>")
+    pieces = blocks_of.join(taken_slots, ["src", "block"]).select("src", "bucket", "place", F.struct(begin.alias("from"), end.alias("to"), "pass", "shard", "slot").alias("p"))
+    taken = pieces.groupBy("src", "bucket", "place").agg(F.sum(F.col("p.to") - F.col("p.from")).alias("taken"), F.array_sort(F.collect_list("p")).alias("pieces"))
+    none = F.array().cast("array<struct<from:bigint,to:bigint,pass:int,shard:int,slot:bigint>>")
     return placed.join(taken, ["src", "bucket", "place"], "left").select("id", "same", "size", "source", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), F.coalesce("pieces", none).alias("pieces"))
 
 
+def slots(spark: SparkSession, counts: np.ndarray, blocks: np.ndarray, seed: int, step: int = 1 << 16) -> DataFrame:
+    """(src, block, pass, shard, slot): the block of each slot of the output shards.
+
+    counts(shards, sources) are runs of a source's indexes, taken in the order of the shards; each index goes through the
+    permutation of its pass. Inside a shard, slots are dealt by another permutation, so that its sources lie mixed."""
+    first, ahead, sizes = np.cumsum(counts, axis=0) - counts, np.cumsum(counts, axis=1) - counts, counts.sum(axis=1)
+    runs = [(int(s), int(k), int(first[k, s]), int(ahead[k, s]), int(counts[k, s]), int(blocks[s]), int(sizes[k])) for k, s in zip(*np.nonzero(counts), strict=True)]
+    dealt = spark.createDataFrame(runs, "src int, shard int, at long, ahead long, n long, blocks long, size long")
+    dealt = dealt.withColumn("from", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(step).cast("long"))))
+    dealt = dealt.select("src", "shard", (F.col("at") + F.col("from")).alias("at"), (F.col("ahead") + F.col("from")).alias("ahead"), F.least(F.col("n") - F.col("from"), F.lit(step)).alias("n"), "blocks", "size")
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for t in parts:
+            for src, shard, at, ahead, count, n, size in t.itertuples(index=False):
+                i = np.arange(at, at + count, dtype=np.int64)
+                block = np.concatenate([permute(i[i // n == p] % n, n, seed * 1_000_003 + src * 101 + int(p)) for p in np.unique(i // n)])
+                slot = permute(np.arange(ahead, ahead + count, dtype=np.int64), size, seed * 7919 + shard)
+                yield pd.DataFrame({"src": np.full(count, src, np.int32), "block": block, "pass": (i // n).astype(np.int32), "shard": np.full(count, shard, np.int32), "slot": slot})
+
+    return dealt.repartition(int(counts.sum() // 250_000) + 1, "src", "at").mapInPandas(run, "src int, block long, pass int, shard int, slot long")
+
+
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", length_col: str = "n_chars", **options) -> DataFrame:
-    """The rows of docs as the mix has them: a row for the first taking of its words and one for the second.
-
-    A row whose words are all taken keeps its text as it is; else its text is the taken words, joined by blanks. ``length_col``
-    is set to the new text's length. Rows of which nothing is taken go."""
-    got = mix(docs, id_col, text_col, source_col, **options)
-    got = got.filter("taken > 0").select("id", "same", F.col("size").alias("_size"), "source", F.col("pieces").alias("_pieces"))
-    rows = docs.withColumn("_same", F.xxhash64(text_col))
-    on = f"d.{id_col} <=> g.id and d._same = g.same and d.{source_col} <=> g.source"
-    if rows.groupBy(id_col, "_same").agg(F.count("*").alias("n")).filter("n > 1").isEmpty():
-        full = rows.alias("d").join(got.alias("g"), F.expr(on))
-    else:  # repeated rows have the same id and text; each has its own pieces, and they are matched by rank
-        rows = rows.withColumn("_rank", F.row_number().over(Window.partitionBy(id_col, "_same", source_col).orderBy(F.lit(0))))
-        got = got.withColumn("rank", F.row_number().over(Window.partitionBy("id", "same", "source").orderBy("_pieces")))
-        full = rows.alias("d").join(got.alias("g"), F.expr(on + " and d._rank = g.rank"))
-    passes = full.select("d.*", "g._size", "g._pieces", F.explode(F.array(F.lit(1), F.lit(2))).alias("_pass"))
-    passes = passes.withColumn("_pieces", F.filter("_pieces", lambda p: p["times"] >= F.col("_pass"))).filter(F.size("_pieces") > 0)
-    passes = passes.withColumn("_cover", F.aggregate("_pieces", F.lit(0).cast("long"), lambda s, p: s + p["to"] - p["from"]))
-    names = docs.columns
+    """The rows of docs as the mix has them: a row for each pass of the mix that takes some of its words.
+
+    A row whose words are all taken keeps its text as it is; else its text is the taken words, joined by blanks. ``length_col``,
+    if docs has it, is set to the new text's length. Rows of which nothing is taken, as null and empty texts, go. Rows that
+    agree in id, text and source are matched with their takings by a hash of the whole row. An empty table gives an empty
+    result; all other columns come back as they are, whatever their names."""
+    got = mix(docs, id_col, text_col, source_col, **options).filter("taken > 0")
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("same"), F.col(source_col).cast("string").alias("source"))
+    on = "d.id <=> g.id and d.same = g.same and d.source <=> g.source"
+    if not rows.groupBy("id", "same").agg(F.count("*").alias("n")).filter("n > 1").isEmpty():
+        key = Window.partitionBy("id", "same", "source")
+        rows = rows.withColumn("rank", F.row_number().over(key.orderBy(F.xxhash64("row"))))
+        got = got.withColumn("rank", F.row_number().over(key.orderBy("pieces")))
+        on += " and d.rank = g.rank"
+    full = rows.alias("d").join(got.alias("g"), F.expr(on)).select("d.row", "g.size", "g.pieces")
+    full = full.withColumn("pass", F.explode(F.array_distinct(F.transform("pieces", lambda p: p["pass"]))))
+    full = full.withColumn("pieces", F.filter("pieces", lambda p: p["pass"] == F.col("pass")))
+    cover = F.aggregate("pieces", F.lit(0).cast("long"), lambda s, p: s + p["to"] - p["from"])
+    names, kinds = docs.columns, [t for _, t in docs.dtypes]
+    text_at, length_at = names.index(text_col), names.index(length_col) if length_col in names else None
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        cols = {n: batch.column(n) for n in names}
+        cols = [batch.column(i) for i in range(len(names))]
         texts = []
-        for text, pieces, whole in zip(batch.column("_text").to_pylist(), batch.column("_pieces").to_pylist(), batch.column("_whole").to_pylist(), strict=True):
+        for text, pieces, whole in zip(each_text(batch), batch.column("pieces").to_pylist(), batch.column("whole").to_pylist(), strict=True):
             if not whole:
                 w = text.split()
                 text = b" ".join(b" ".join(w[p["from"] : p["to"]]) for p in pieces)
             texts.append(text.decode("utf-8", "replace"))
-        cols[text_col] = pa.array(texts, pa.string())
-        if length_col in cols:
-            cols[length_col] = pa.array([len(t) for t in texts], pa.int64())
-        return pa.RecordBatch.from_arrays([cols[n] for n in names], names=names)
-
-    kinds = dict(docs.dtypes)
-    ready = passes.select(*names, "_pieces", text_bytes(text_col).alias("_text"), (F.col("_cover") >= F.col("_size")).alias("_whole"))
-    return per_batch(ready, work, ", ".join(f"`{n}` {kinds[n]}" for n in names))
+        cols[text_at] = pa.array(texts, pa.string())
+        if length_at is not None:
+            cols[length_at] = pa.array([len(t) for t in texts]).cast(cols[length_at].type)
+        return pa.RecordBatch.from_arrays(cols, names=[f"c{i}" for i in range(len(names))])
+
+    own = [F.col("row").getField(n).alias(f"c{i}") for i, n in enumerate(names)]
+    ready = full.select(*own, F.transform("pieces", lambda p: F.struct(p["from"].alias("from"), p["to"].alias("to"))).alias("pieces"), F.col("row").getField(text_col).cast("binary").alias("t"), (cover >= F.col("size")).alias("whole"))
+    return per_batch(ready, work, ", ".join(f"c{i} {k}" for i, k in enumerate(kinds))).toDF(*names)

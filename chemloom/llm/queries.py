@@ -26,7 +26,7 @@ def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = mixing.mix(table(spark, sf_dir, "documents"))
-    return m.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
+    return m.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken", F.array_sort(F.array_distinct(F.transform("pieces", lambda p: p["shard"]))).alias("shards"))
 
 
 def op5_nn_descent_search(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -163,10 +163,28 @@ def test_permutation_is_one():
         assert sorted(mixing.permute(np.arange(n), n, 9)) == list(range(n))
 
 
-def test_counts_add_up():
-    need = np.array([100, 0, 7, 33])
-    got = mixing.draw_counts(need, 9, 1)
-    assert (got.sum(axis=0) == need).all() and got.sum(axis=1).max() - got.sum(axis=1).min() <= 1
+def test_draws_follow_the_need():
+    need, limit = np.array([400.0, 0, 28, 132.4]), np.array([400, 10, 300, 300])
+    got = mixing.draw_counts(need, limit, 40, 1)
+    assert (got.sum(axis=0) <= limit).all() and got.sum() == round(need.sum()) and got[:, 1].sum() == 0
+    assert (abs(got.sum(axis=0) - need) <= 5 * np.sqrt(need / 40 + 1)).all() and got.sum(axis=1).max() - got.sum(axis=1).min() <= 1
+    assert len({tuple(r) for r in got}) > 5 and (mixing.draw_counts(need, limit, 40, 2) != got).any()
+    assert mixing.draw_counts(np.array([9.0, 9]), np.array([4, 4]), 3, 1).sum() == 8  # no more than there is
+
+
+def brute_targets(size, weight, total, cap):
+    """Targets by repeated sharing of what sources at their stop leave."""
+    goal, full = {}, set()
+    while True:
+        left = total - sum(goal[s] for s in full)
+        free = [s for s in size if s not in full]
+        goal |= {s: left * weight[s] / sum(weight[x] for x in free) for s in free}
+        over = [s for s in free if goal[s] > cap * size[s]]
+        if not over:
+            return goal
+        for s in over:
+            goal[s] = cap * size[s]
+            full.add(s)
 
 
 def test_mixing(spark):
@@ -178,22 +196,56 @@ def test_mixing(spark):
     size = {i: len(WORD.findall(t or "")) for i, t in enumerate(texts)}
     order = [*sorted({s for s in sources if s is not None}), None]
     total = {s: sum(size[i] for i in size if sources[i] == s) for s in order}
-    goal = dict(zip(order, mixing.targets([total[s] for s in order], [[5, 2, 1][k % 3] for k in range(len(order))], 1.5 * sum(size.values()), 2), strict=True))
-    taken = Counter()
+    goal = brute_targets(total, {s: [5, 2, 1][k % 3] for k, s in enumerate(order)}, 1.5 * sum(size.values()), 2)
+    taken, of_slot, of_source = Counter(), {}, defaultdict(Counter)
     for i, r in got.items():
         assert (r["size"], r["source_size"]) == (size[i], total[sources[i]])
         assert r["target"] == pytest.approx(goal[sources[i]])
-        assert 0 <= r["taken"] <= 2 * size[i]
-        assert r["taken"] == sum((p["to"] - p["from"]) * p["times"] for p in r["pieces"])
+        assert r["taken"] == sum(p["to"] - p["from"] for p in r["pieces"])
+        covered = Counter((p["pass"], w) for p in r["pieces"] for w in range(p["from"], p["to"]))
+        assert set(covered.values()) <= {1} and max((p for p, _ in covered), default=0) <= 1  # a word twice at most, once a pass
         taken[sources[i]] += r["taken"]
-    assert len(got) == len(texts) and all(abs(taken[s] - goal[s]) <= 64 for s in order)
+        for p in r["pieces"]:
+            assert of_slot.setdefault((p["shard"], p["slot"]), sources[i]) == sources[i]
+            of_source[sources[i]][p["shard"], p["slot"]] += p["to"] - p["from"]
+    assert len(got) == len(texts) and all(abs(taken[s] - goal[s]) <= 16 * 8 for s in order)
+    # Slots are gapless in each shard, hold a block each, and sources get what was drawn.
+    in_shard = defaultdict(list)
+    for shard, slot in of_slot:
+        in_shard[shard].append(slot)
+    assert all(sorted(x) == list(range(len(x))) for x in in_shard.values())
+    for s in order:
+        n = -(-total[s] // 16)
+        assert all(w == 16 or w == total[s] - (n - 1) * 16 for w in of_source[s].values())
+    need = np.array([goal[s] * -(-total[s] // 16) / total[s] for s in order])
+    drawn = mixing.draw_counts(need, np.array([2 * -(-total[s] // 16) for s in order]), 256, 42)
+    assert [[sum(k == s and x[0] == j for x, k in of_slot.items()) for s in order] for j in range(0, 256, 17)] == drawn[::17].tolist()
     again = {r["id"]: r["taken"] for r in mixing.mix(df.repartition(5), block=16).collect()}
     assert again == {i: r["taken"] for i, r in got.items()}
-    out = mixing.mixed_documents(df.unionByName(df), block=16)
-    assert out.columns == df.columns
+    other = {r["id"]: r["taken"] for r in mixing.mix(df, block=16, draw_seed=7).collect()}
+    assert other != again  # the draws alone decide what is taken
     assert mixing.mix(df.limit(0)).count() == 0 and mixing.mixed_documents(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("cap, share", [(2.0, 1.5), (3.5, 3.0), (1.5, 1.2)])
+def test_mixed_documents(spark, cap, share):
+    rng = random.Random(2)
+    rows = [(rng.choice([None, 3, k]), prose(k % 25, rng.randrange(1, 90)), rng.choice(["a", "b", None]), k, "s", "p", 5, 0) for k in range(60)]
+    rows += [rows[3], rows[3], (None, None, "a", 1, "s", "p", 5, 0), (None, "", "a", 1, "s", "p", 5, 0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, `a.b` int, _same string, pieces string, `pass` int, n_chars int").repartition(3)
+    got = mixing.mix(df, block=8, cap=cap, share=share).collect()
+    want = sorted(sum(p["to"] - p["from"] for p in r["pieces"] if p["pass"] == k) for r in got for k in {p["pass"] for p in r["pieces"]})
+    out = mixing.mixed_documents(df, block=8, cap=cap, share=share)
+    assert out.columns == df.columns and out.dtypes == df.dtypes
+    out = out.collect()
+    assert sorted(len(WORD.findall(r["text"])) for r in out) == want and max(Counter(p["pass"] for r in got for p in r["pieces"])) <= cap
+    by_key = defaultdict(list)
+    for r in rows:
+        by_key[r[0], r[2], r[3]].append(set(WORD.findall(r[1] or "")))
+    assert all(r["n_chars"] == len(r["text"]) and (r["_same"], r["pieces"], r["pass"]) == ("s", "p", 5) for r in out)
+    assert all(any(set(WORD.findall(r["text"])) <= w for w in by_key[r["doc_id"], r["source"], r["a.b"]]) for r in out)
+
+
 # 5
 
 
