@@ -13,87 +13,111 @@ from pyspark.sql import functions as F
 
 from .common import ALNUM, cut, each_text, text_bytes
 
-OUT = "score double, evidence array<struct<example:long,toxic:int,cosine:double>>"
+Vector = tuple[np.ndarray, np.ndarray]
 
 
-def features(word: bytes) -> list[bytes]:
-    """A word stands for itself and for its beginnings of 4 and 5 characters (marked by a star)."""
-    text = word.decode("utf-8", "replace")
-    return [word, *{(text[:n] + "*").encode() for n in (4, 5) if len(text) > n}]
+def words(text: bytes) -> list[bytes]:
+    """Runs of letters, digits and characters beyond ASCII, A-Z in lower case."""
+    return text.translate(ALNUM).split()
 
 
-class Terms:
-    """Word -> numbers of the selected terms, kept for words seen before (at most ``keep`` words at a time)."""
+class Numbers(dict):
+    """Term -> number, -1 for other words."""
 
-    def __init__(self, vocabulary: list[bytes], keep: int = 300_000):
-        self.number = {t: i for i, t in enumerate(vocabulary)}
-        self.seen: dict[bytes, tuple[int, ...]] = {}
-        self.keep = keep
+    def __missing__(self, word: bytes) -> int:
+        return -1
 
-    def count(self, text: bytes) -> Counter:
-        out: Counter = Counter()
-        if len(self.seen) > self.keep:
-            self.seen.clear()
-        seen, number = self.seen, self.number
-        for word, n in Counter(text.translate(ALNUM).split()).items():
-            own = seen.get(word)
-            if own is None:
-                own = seen[word] = tuple(number[f] for f in features(word) if f in number)
-            for i in own:
-                out[i] += n
-        return out
 
-
-def vector(counts: Counter, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Unit vector of (1 + log tf) * idf; empty for a text without selected terms."""
-    t = np.array(sorted(counts), np.int64)
-    w = (1 + np.log(np.array([counts[i] for i in t], float))) * idf[t] if len(t) else np.empty(0)
+def vector(text: bytes, number: Numbers, weight: np.ndarray) -> Vector:
+    """Terms in order, and the unit vector of (1 + log tf) times the terms' weights; empty for a text without known words."""
+    own = words(text)
+    t, n = np.unique(np.fromiter(map(number.__getitem__, own), np.int64, len(own)), return_counts=True)
+    if len(t) and t[0] < 0:
+        t, n = t[1:], n[1:]
+    w = (1 + np.log(n)) * weight[t]
     return t, w / max(1e-12, np.sqrt((w**2).sum()))
 
 
+def gains(pos: np.ndarray, neg: np.ndarray, positives: int, negatives: int, least: float = 0.02, full: float = 20.0) -> np.ndarray:
+    """How much a term counts beside its idf, from ``least`` to 1: by the divergence of its examples' labels from all examples'.
+
+    The divergence is n times the relative entropy of the term's smoothed label share, less what the most extreme of so many
+    terms reaches by chance; ``full`` of it give 1. No term is left out."""
+    base = (positives + 0.5) / (positives + negatives + 1)
+    n = pos + neg
+    p = (pos + 2 * base) / (n + 2)
+    g = n * (p * np.log(p / base) + (1 - p) * np.log((1 - p) / (1 - base)))
+    return np.maximum(least, np.minimum(1.0, (g - np.log(max(1, len(n))) / 2) / full))
+
+
 class BlockMaxIndex:
-    """Posting lists of the examples, ordered by label and first term so that a block's examples are alike.
+    """Posting lists of the examples, ordered by label and heaviest term so that a block's examples are alike.
 
     For each term, the largest weight in each block of ``size`` examples bounds what the block's examples can gain from it.
     The blocks of highest bound are read first; of the rest only those whose bound reaches the k-th best cosine found so far
-    are read: the k nearest are exact."""
+    are read: the k nearest are exact. Lists of over 1/``wide`` of the examples are kept as rows of a matrix; what a text
+    gains from them is summed for all examples at once, and its maximum in each block is part of the bound."""
 
-    def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, keys: np.ndarray, terms: int, size: int = 128):
+    def __init__(self, vectors: list[Vector], labels: np.ndarray, keys: np.ndarray, terms: int, size: int = 128, wide: int = 8):
         order = sorted((i for i, (t, _) in enumerate(vectors) if len(t)), key=lambda i: (labels[i], int(vectors[i][0][np.argmax(vectors[i][1])]), i))
-        self.labels, self.keys, self.size = labels[order], keys[order], size
-        self.blocks = -(-len(order) // size)
-        sizes = [len(vectors[i][0]) for i in order]
-        place = np.repeat(np.arange(len(order)), sizes)
+        self.labels, self.keys, self.size, self.blocks = labels[order], keys[order], size, -(-len(order) // size)
+        place = np.repeat(np.arange(len(order)), [len(vectors[i][0]) for i in order])
         term = np.concatenate([np.empty(0, np.int64), *[vectors[i][0] for i in order]])
         weight = np.concatenate([np.empty(0), *[vectors[i][1] for i in order]])
+        often = np.bincount(term, minlength=terms) * wide > max(len(order), size)
+        self.row = np.where(often, np.cumsum(often) - 1, -1)
+        self.dense = np.zeros((int(often.sum()), self.blocks * size))
+        far = often[term]
+        self.dense[self.row[term[far]], place[far]] = weight[far]
+        place, term, weight = place[~far], term[~far], weight[~far]
         by_term = np.lexsort((place, term))
-        self.place, self.weight, term = place[by_term], weight[by_term], term[by_term]
+        self.place, self.weight, term = place[by_term].astype(np.int32), weight[by_term], term[by_term]
         cell = term * self.blocks + self.place // size
-        self.begin = np.searchsorted(cell, np.arange(terms * self.blocks + 1))  # of each term's postings in each block
-        self.bound = np.zeros(terms * self.blocks)
-        np.maximum.at(self.bound, cell, self.weight)
-        self.bound = self.bound.reshape(terms, self.blocks)
-
-    def _cosines(self, t: np.ndarray, w: np.ndarray, blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places and cosines of the blocks' examples that share a term; only these blocks' postings are read."""
-        cells = (t[:, None] * self.blocks + blocks[None, :]).ravel()
-        start, n = self.begin[cells], self.begin[cells + 1] - self.begin[cells]
+        self.begin = np.searchsorted(cell, np.arange(terms * self.blocks + 1)).astype(np.int32)  # of each term's postings in each block
+        bound = np.zeros(terms * self.blocks)
+        np.maximum.at(bound, cell, self.weight)
+        self.bound = np.nextafter(bound.astype(np.float32), np.float32(2)).reshape(terms, self.blocks)
+        self.bound[bound.reshape(terms, self.blocks) == 0] = 0
+
+    def _cosines(self, t: np.ndarray, w: np.ndarray, base: np.ndarray, blocks: np.ndarray) -> Vector:
+        """Places of the blocks' examples with a cosine over 0, and the cosines; others don't count."""
+        if 2 * len(blocks) > self.blocks:  # lists are read whole: that is less work than to skip parts
+            start, end, each = self.begin[t * self.blocks], self.begin[(t + 1) * self.blocks], w
+        else:
+            cells = (t[:, None] * self.blocks + blocks[None, :]).ravel()
+            start, end, each = self.begin[cells], self.begin[cells + 1], np.repeat(w, len(blocks))
+        n = end - start
         at = np.arange(n.sum()) + np.repeat(start - (np.cumsum(n) - n), n)
-        cos = np.bincount(self.place[at], weights=self.weight[at] * np.repeat(np.repeat(w, len(blocks)), n))
-        place = np.flatnonzero(cos > 1e-12)
-        return place, cos[place]
-
-    def nearest(self, t: np.ndarray, w: np.ndarray, k: int, skip: int | None = None, first: int = 4) -> tuple[np.ndarray, np.ndarray]:
-        """Places and cosines of the k nearest with a cosine over 0; ``skip`` leaves out examples of this key."""
-        none = np.empty(0, np.int64), np.empty(0)
-        if not len(t) or not self.blocks:
-            return none
-        upper = w @ self.bound[t]
+        cos = np.bincount(self.place[at], weights=self.weight[at] * np.repeat(each, n), minlength=len(base))
+        place = (blocks[:, None] * self.size + np.arange(self.size)).ravel()
+        cos = cos[place] + base[place]
+        own = cos > 1e-12
+        return place[own], cos[own]
+
+    def nearest(self, texts: list[Vector], k: int, skip: list[int] | None = None, first: int = 4, together: int = 64) -> Iterator[Vector]:
+        """For each text: places and cosines of its k nearest with a cosine over 0, ties to the smaller key. ``skip`` names a
+        key for each text whose examples are left out."""
+        for at in range(0, len(texts), together):
+            some = texts[at : at + together]
+            q = np.zeros((len(some), len(self.dense)))
+            for i, (t, w) in enumerate(some):
+                r = self.row[t]
+                q[i, r[r >= 0]] = w[r >= 0]
+            base = q @ self.dense
+            peak = base.reshape(len(some), self.blocks, self.size).max(axis=2) if self.blocks else base
+            for i, (t, w) in enumerate(some):
+                listed = self.row[t] < 0
+                yield self._one(t[listed], w[listed], base[i], peak[i], k, first, None if skip is None else skip[at + i])
+
+    def _one(self, t: np.ndarray, w: np.ndarray, base: np.ndarray, peak: np.ndarray, k: int, first: int, skip: int | None) -> Vector:
+        best = np.empty(0, np.int64), np.empty(0)
+        if not self.blocks:
+            return best
+        upper = peak + w @ self.bound[t]
         order = np.argsort(-upper, kind="stable")
         order = order[upper[order] > 0]
-        best = none
         while len(order):
-            got = self._cosines(t, w, order[:first])
+            got = self._cosines(t, w, base, order[:first])
             if skip is not None:
                 own = self.keys[got[0]] != skip
                 got = got[0][own], got[1][own]
@@ -133,23 +157,17 @@ def platt(x: np.ndarray, y: np.ndarray, rounds: int = 60) -> np.ndarray:
     return w
 
 
-def evidence_of(share: float, terms: int) -> tuple[float, float]:
-    """What the calibration sees: the vote, and the vote again by how often the text has the terms."""
-    return share, share * float(np.log1p(terms))
-
-
-def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", folds: int = 5, held_fold: int = 0, max_examples: int = 20_000, max_terms: int = 4000, least_share: float = 0.45, k: int = 15, whole_rows: bool = False) -> DataFrame:
+def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", folds: int = 5, held_fold: int = 0, max_examples: int = 4000, k: int = 15, whole_rows: bool = False) -> DataFrame:
     """(id, held_out, score, predicted, evidence) of every row of docs; with ``whole_rows`` also ``row``, the row itself.
 
     Examples are labelled rows whose crc32(id as text) mod ``folds`` is not ``held_fold``: at most ``max_examples`` of them,
-    those of least hash. Terms are words and word beginnings; the ``max_terms`` with the most label-1 examples are kept
-    of those whose examples have label 1 in a share that is ``least_share`` or more at the lower end of its 99 % interval. Their
-    document frequencies come from all docs. A text's score is its neighbours' vote and how often it has the terms, calibrated
-    by a logistic curve fitted to the examples with themselves and equal texts left out.
+    those of least hash; nothing else is bounded. Every word of an example is a term. Its weight is its inverse document
+    frequency over all docs times its gain, see gains(). A text's score is the vote of its k nearest examples by cosine,
+    calibrated by a logistic curve that is fitted to the examples with themselves and equal texts left out.
 
     Null texts and texts without any of the terms have no neighbours: their vote is 0 and their score what that meant among
-    the examples. Rows without labels, conflicting labels (the larger counts), null ids (held out), ties (smaller text hash first),
-    repeated rows, extra columns and empty tables are allowed; without labels every score is 0.5.
+    the examples. Rows without labels, conflicting labels (the larger counts), null ids (held out), ids of any type, ties
+    (smaller text hash first), repeated rows, extra columns and empty tables are allowed; without labels every score is 0.5.
     """
     spark = docs.sparkSession
     fold = lambda c: F.pmod(F.coalesce(F.crc32(c.cast("string")), F.lit(0)), F.lit(folds))
@@ -157,91 +175,79 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     marked = labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).filter(fold(F.col(id_col)) != held_fold)
     marked = marked.groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("y")).orderBy(F.xxhash64("id"), "id").limit(max_examples)
     marked, _ = cut(marked)  # bounded by max_examples
-    examples, _ = cut(rows.join(F.broadcast(marked), "id").select("id", "y", "t", F.xxhash64("t").alias("same")).dropDuplicates(["same", "y"]))
+    examples, _ = cut(rows.join(F.broadcast(marked), "id").select("id", F.when(F.col("y") != 0, 1).otherwise(0).alias("y"), "t", F.xxhash64("t").alias("same")).dropDuplicates(["same", "y"]))
 
     def presence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[bytes, list[int]] = {}
         for batch in batches:
-            found: dict[bytes, list[int]] = {}
             for y, text in zip(batch.column("y").to_pylist(), each_text(batch), strict=True):
-                for f in {f for w in set(text.translate(ALNUM).split()) for f in features(w)}:
-                    found.setdefault(f, [0, 0])[1 if y else 0] += 1
-            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array([x[0] for x in found.values()], pa.int64()), pa.array([x[1] for x in found.values()], pa.int64())], names=["term", "neg", "pos"])
-
-    terms = examples.select("y", "t").mapInArrow(presence, "term binary, neg long, pos long").groupBy("term").agg(F.sum("neg").alias("neg"), F.sum("pos").alias("pos"))
-    n, z = F.col("pos") + F.col("neg"), 2.576
-    share = F.col("pos") / n
-    lower = (share + z * z / (2 * n) - z * F.sqrt((share * (1 - share) + z * z / (4 * n)) / n)) / (1 + z * z / n)
-    picked = terms.filter(lower >= least_share).orderBy(F.desc("pos"), "term").limit(max_terms)
-    vocabulary = sorted(bytes(r["term"]) for r in picked.select("term").collect())
-    sent = spark.sparkContext.broadcast(vocabulary)
+                for w in set(words(text)):
+                    found.setdefault(w, [0, 0])[y] += 1
+        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), *(pa.array([x[y] for x in found.values()], pa.int64()) for y in (0, 1))], names=["term", "neg", "pos"])
+
+    terms = examples.select("y", "t").mapInArrow(presence, "term binary, neg long, pos long").groupBy("term").agg(F.sum("neg").alias("neg"), F.sum("pos").alias("pos")).toPandas()  # the words of max_examples texts
+    terms["term"] = terms["term"].map(bytes)
+    terms = terms.sort_values("term").reset_index(drop=True)
+    sent = spark.sparkContext.broadcast(Numbers((t, i) for i, t in enumerate(terms["term"])))
 
     def frequency(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Documents that hold each term, and all documents under the number -1."""
-        terms, total, rows = Terms(sent.value), np.zeros(len(sent.value), np.int64), 0
+        number = sent.value
+        total, rows = np.zeros(len(number), np.int64), 0
         for batch in batches:
             for text in each_text(batch):
-                own = list(terms.count(text))
-                total[own] += 1
+                own = set(words(text))
+                own = np.fromiter(map(number.__getitem__, own), np.int64, len(own))
+                total[own[own >= 0]] += 1
                 rows += 1
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1).astype(np.int32)), pa.array(np.append(total[at], rows))], names=["term", "df"])
 
-    df = {r["term"]: r["df"] for r in rows.select("t").mapInArrow(frequency, "term int, df long").groupBy("term").agg(F.sum("df").alias("df")).collect()}
-    idf = np.array([np.log((1 + df.get(-1, 0)) / (1 + df.get(i, 0))) + 0.1 for i in range(len(vocabulary))])
+    df = rows.select("t").mapInArrow(frequency, "term int, df long").groupBy("term").agg(F.sum("df").alias("df")).toPandas()
+    every, often = int(df["df"][df["term"] < 0].sum()), np.zeros(len(terms))
+    often[df["term"][df["term"] >= 0]] = df["df"][df["term"] >= 0]
+    ys = {r["y"]: r["n"] for r in examples.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    weight = (np.log((1 + every) / (1 + often)) + 0.1) * gains(terms["pos"].to_numpy(float), terms["neg"].to_numpy(float), ys.get(1, 0), ys.get(0, 0))
 
     def vectors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        terms = Terms(sent.value)
         for t in batches:
-            got = [vector(terms.count(x), idf) for x in t["t"]]
+            got = [vector(bytes(x), sent.value, weight) for x in t["t"]]
             yield pd.DataFrame({"id": t["id"], "y": t["y"], "same": t["same"], "terms": [g[0] for g in got], "weights": [g[1] for g in got]})
 
     kind = dict(rows.dtypes)["id"]
     held = examples.mapInPandas(vectors, f"id {kind}, y int, same long, terms array<long>, weights array<double>").toPandas()  # bounded by max_examples
     held = held.sort_values(["same", "id"], kind="stable")
-    y = (held["y"].to_numpy() != 0).astype(int) if len(held) else np.empty(0, int)
     vecs = [(np.asarray(t, np.int64), np.asarray(w, float)) for t, w in zip(held["terms"], held["weights"], strict=True)]
-    index = BlockMaxIndex(vecs, y, held["same"].to_numpy(np.int64), len(vocabulary))
-    names = held["id"].to_numpy()
-    by_key = dict(zip(held["same"].tolist(), names.tolist(), strict=True))
-    model = spark.sparkContext.broadcast((index, idf, by_key))
+    index = BlockMaxIndex(vecs, held["y"].to_numpy(int), held["same"].to_numpy(np.int64), len(terms))
+    model = spark.sparkContext.broadcast((index, weight, dict(zip(held["same"].tolist(), held["id"].tolist(), strict=True))))
 
     def left_out(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        index, idf, _ = model.value
-        terms = Terms(sent.value)
+        index, weight, _ = model.value
         for t in batches:
-            seen = []
-            for text, same in zip(t["t"], t["same"], strict=True):
-                counts = terms.count(text)
-                p, c = index.nearest(*vector(counts, idf), k, skip=same)
-                seen.append(evidence_of(vote(index.labels[p], c), counts.total()))
-            yield pd.DataFrame({"a": [x[0] for x in seen], "b": [x[1] for x in seen], "y": (t["y"] != 0).astype(int)})
-
-    fitted = examples.mapInPandas(left_out, "a double, b double, y int").groupBy("a", "b", "y").agg(F.count("*").alias("n")).toPandas()  # bounded by max_examples
-    fitted = fitted.sort_values(["a", "b", "y"])
-    curve = platt(np.repeat(fitted[["a", "b"]].to_numpy(float), fitted["n"], axis=0), np.repeat(fitted["y"].to_numpy(float), fitted["n"]))
+            near = index.nearest([vector(bytes(x), sent.value, weight) for x in t["t"]], k, t["same"].tolist())
+            yield pd.DataFrame({"vote": [vote(index.labels[p], c) for p, c in near], "y": t["y"]})
 
+    fitted = examples.mapInPandas(left_out, "vote double, y int").groupBy("vote", "y").agg(F.count("*").alias("n")).toPandas()  # bounded by max_examples
+    fitted = fitted.sort_values(["vote", "y"])
+    curve = platt(np.repeat(fitted[["vote"]].to_numpy(float), fitted["n"], axis=0), np.repeat(fitted["y"].to_numpy(float), fitted["n"]))
     field = text_col if whole_rows else None
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, idf, by_key = model.value
-        terms = Terms(sent.value)
+        index, weight, names = model.value
         for batch in batches:
             scores, evidence = [], []
-            for text in each_text(batch, field):
-                counts = terms.count(text)
-                p, c = index.nearest(*vector(counts, idf), k)
-                seen = np.array([*evidence_of(vote(index.labels[p], c), counts.total()), 1.0])
-                scores.append(float(1 / (1 + np.exp(-np.clip(seen @ curve, -30, 30)))))
-                evidence.append([{"example": by_key[int(index.keys[i])], "toxic": int(index.labels[i]), "cosine": float(x)} for i, x in zip(p[:3], c[:3], strict=True)])
-            kind = pa.list_(pa.struct([("example", pa.int64()), ("toxic", pa.int32()), ("cosine", pa.float64())]))
-            names = [n for n in batch.schema.names if n != "t"]
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(scores, pa.float64()), pa.array(evidence, kind)], names=[*names, "score", "evidence"])
+            for p, c in index.nearest([vector(x, sent.value, weight) for x in each_text(batch, field)], k):
+                scores.append(float(1 / (1 + np.exp(-np.clip(vote(index.labels[p], c) * curve[0] + curve[1], -30, 30)))))
+                evidence.append([{"example": names[int(index.keys[i])], "toxic": int(index.labels[i]), "cosine": float(x)} for i, x in zip(p[:3], c[:3], strict=True)])
+            shape = pa.list_(pa.struct([("example", batch.schema.field("id").type), ("toxic", pa.int32()), ("cosine", pa.float64())]))
+            kept = [n for n in batch.schema.names if n != "t"]
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in kept), pa.array(scores, pa.float64()), pa.array(evidence, shape)], names=[*kept, "score", "evidence"])
 
     asked = docs.select(F.col(id_col).alias("id"), F.struct("*").alias("row") if whole_rows else text_bytes(text_col).alias("t"))
-    scored = asked.mapInArrow(work, ", ".join(f"{n} {t}" for n, t in asked.dtypes if n != "t") + f", {OUT}")
+    scored = asked.mapInArrow(work, ", ".join(f"{n} {t}" for n, t in asked.dtypes if n != "t") + f", score double, evidence array<struct<example:{kind},toxic:int,cosine:double>>")
     return scored.select(*[n for n in asked.columns if n != "t"], (fold(F.col("id")) == held_fold).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence")
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """The rows of docs that aren't predicted toxic, as they are."""
+    """The rows of docs that aren't predicted toxic, as they are, repeated ones too; null and empty texts as score() has them."""
     return score(docs, labels, whole_rows=True, **options).filter("predicted = 0").select("row.*")

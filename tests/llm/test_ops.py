@@ -434,17 +434,85 @@ def test_toxicity(spark):
 
 def test_block_max_search_is_exact():
     rng = np.random.default_rng(2)
-    idf = rng.random(50) + 0.1
-    vecs = [toxicity.vector(Counter(rng.integers(0, 50, rng.integers(0, 9)).tolist()), idf) for _ in range(300)]
-    index = toxicity.BlockMaxIndex(vecs, rng.integers(0, 2, 300), np.arange(300), 50, size=8)
-    dense = np.zeros((300, 50))
+    vecs = []
+    for _ in range(300):
+        t = np.unique(np.minimum(rng.zipf(1.4, rng.integers(1, 30)), 80) - 1)
+        w = rng.random(len(t)) + 0.01
+        vecs.append((t, w / np.sqrt((w**2).sum())))
+    vecs[7] = (np.empty(0, np.int64), np.empty(0))
+    index = toxicity.BlockMaxIndex(vecs, rng.integers(0, 2, 300), np.arange(300), 80, size=8)
+    assert 0 < len(index.dense) < 80
+    dense = np.zeros((300, 80))
     for i, (t, w) in enumerate(vecs):
         dense[i, t] = w
-    for i, (t, w) in enumerate(vecs[:60]):
-        place, cos = index.nearest(t, w, 10, skip=i)
+    for i, (place, cos) in enumerate(index.nearest(vecs[:90], 10, list(range(90)))):
         every = np.delete(dense @ dense[i], i)
         want = np.sort(every[every > 1e-12])[::-1][:10]
         assert np.allclose(cos, want) and i not in index.keys[place]
+        assert np.allclose(dense[index.keys[place]] @ dense[i], cos)
+
+
+def brute_toxic(texts, marks, k):
+    """Scores by plain sums: weights, cosines with every example, votes, and a logistic curve found by small steps."""
+    split = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    docs = {i: Counter(split(t)) for i, t in texts.items()}
+    examples, seen = [], set()
+    for i, y in marks.items():
+        if zlib.crc32(str(i).encode()) % 5 and i in texts and (texts[i] or "", y) not in seen:
+            seen.add((texts[i] or "", y))
+            examples.append((texts[i] or "", docs[i], y))
+    df = Counter(w for d in docs.values() for w in d)
+    pos, neg = Counter(w for _, d, y in examples if y for w in d), Counter(w for _, d, y in examples if not y for w in d)
+    terms = set(pos) | set(neg)
+    base = (sum(y for *_, y in examples) + 0.5) / (len(examples) + 1)
+    weight = {}
+    for w in terms:
+        n = pos[w] + neg[w]
+        p = (pos[w] + 2 * base) / (n + 2)
+        g = n * (p * np.log(p / base) + (1 - p) * np.log((1 - p) / (1 - base)))
+        weight[w] = (np.log((1 + len(docs)) / (1 + df[w])) + 0.1) * max(0.02, min(1, (g - np.log(len(terms)) / 2) / 20))
+
+    def unit(d):
+        v = {w: (1 + np.log(n)) * weight[w] for w, n in d.items() if w in weight}
+        size = np.sqrt(sum(x * x for x in v.values())) or 1
+        return {w: x / size for w, x in v.items()}
+
+    known = [(t, unit(d), y) for t, d, y in examples]
+
+    def share(v, skip=None):
+        near = sorted((-sum(x * u.get(w, 0) for w, x in v.items()), y) for t, u, y in known if t != skip)[:k]
+        near = [(-c, y) for c, y in near if c < -1e-12]
+        return sum(y / (1.1 - c) for c, y in near) / sum(1 / (1.1 - c) for c, _ in near) if near else 0.0
+
+    x, y = np.array([share(u, t) for t, u, _ in known]), np.array([y for *_, y in known])
+    a = b = 0.0
+    for _ in range(40_000):
+        p = 1 / (1 + np.exp(-(a * x + b)))
+        a, b = a + ((x * (y - p)).sum() - 0.01 * a) / len(x), b + ((y - p).sum() - 0.01 * b) / len(x)
+    return {i: 1 / (1 + np.exp(-(a * share(unit(d)) + b))) for i, d in docs.items()}
+
+
+def test_toxicity_against_brute_force(spark):
+    rng = random.Random(9)
+    texts, marks = {}, {}
+    for i in range(220):
+        w = prose(i, 25).split()
+        if i % 4 == 0:
+            w += rng.sample(["grubnak", "vorptil", "zosskin", "quend", "mirdle"], 2)
+        texts[f"d{i}"] = " ".join(w)
+        marks[f"d{i}"] = int(i % 4 == 0)
+    texts |= {"null": None, "empty": "", "other": "none of these", "again": texts["d4"]}
+    df = spark.createDataFrame(list(texts.items()), "doc_id string, text string").withColumns({"id": F.lit(1), "score": F.lit(2), "row": F.lit(3)}).repartition(3)
+    labels = spark.createDataFrame(list(marks.items()), "doc_id string, toxic int")
+    got = {r["id"]: r for r in toxicity.score(df.unionByName(df.filter("doc_id = 'again'")), labels, k=7).collect()}
+    want = brute_toxic({**texts, "again2": texts["again"]}, marks, 7)
+    assert set(got) == set(texts)
+    for i, r in got.items():
+        assert r["score"] == pytest.approx(want[i], abs=2e-3)
+        assert all(e["example"] in marks and e["toxic"] == marks[e["example"]] for e in r["evidence"])
+    nulls = df.unionByName(df.withColumn("doc_id", F.lit(None).cast("string")).limit(3))
+    kept = toxicity.without_toxic(nulls, labels, k=7)
+    assert kept.columns == df.columns and kept.filter("doc_id is null").count() <= 3
 
 
 # 10
