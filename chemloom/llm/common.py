@@ -57,11 +57,11 @@ def join_unique(left: DataFrame, right: DataFrame, keys: list[str], n: str, tota
     """left joined to right, which has each key once and, as ``n``, how many of left's ``total`` rows have it.
 
     Keys with over 1/``hot`` of all rows, fewer than ``hot`` by their definition, are joined by broadcast where the rows lie;
-    the other keys are shuffled, none of them with a large share. ``how`` is inner or left_semi; n doesn't come back."""
+    the other keys are shuffled, none of them with a large share. ``how`` is inner, left or left_semi; n doesn't come back."""
     often = F.col(n) * hot > total
     large, small = right.filter(often).drop(n), right.filter(~often).drop(n)
     rest = left.join(F.broadcast(large.select(*keys)), keys, "left_anti")
-    return left.join(F.broadcast(large), keys, how).unionByName(rest.join(small, keys, how))
+    return left.join(F.broadcast(large), keys, "inner" if how == "left" else how).unionByName(rest.join(small, keys, how))
 
 
 def text_bytes(name: str = "text") -> Column:

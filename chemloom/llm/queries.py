@@ -17,7 +17,7 @@ def op1_vector_bin_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_suffix_tree_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring.dedup(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+    return substring.dedup(table(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), "n_words", "n_removed", "kept_sha256")
 
 
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -83,17 +83,41 @@ def brute_windows(texts, window):
     return out
 
 
-@pytest.mark.parametrize("window, most", [(35, 20_000), (12, 20_000), (12, 1)])
+@pytest.mark.parametrize("window, most", [(35, 100_000), (12, 100_000), (35, 3), (20, 1)])
 def test_substring_dedup(spark, window, most):
     shared = prose(1, 50)
     texts = [prose(100 + i, 80) for i in range(30)]
     texts += [f"{prose(i, 9)} {shared} {prose(i + 1, i % 50)}" for i in range(200, 230)] + [f"{shared[:-9]} end", "p q r " * 60, prose(5, 90)]
     texts += [prose(5, 90)] * 20 + ODD + ODD
-    got = {r["id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in substring.dedup(frame(spark, texts), window=window, most_runs=most, group_bytes=3000).collect()}
+    rows = substring.dedup(frame(spark, texts), window=window, most=most, group_rows=500).collect()
+    got = {r["id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in rows}
     assert got == dict(enumerate(brute_windows(texts, window)))
+    assert all(sum(x["to"] - x["from"] for x in r["removed"]) == r["n_removed"] for r in rows)
+    kept = {r["doc_id"]: r["text"] for r in substring.kept_texts(frame(spark, texts), window=window, most=most).collect()}
+    for i, (_, removed, digest) in got.items():
+        assert kept[i] == texts[i] if not removed else hashlib.sha256(kept[i].encode()).hexdigest() == digest
     assert substring.dedup(frame(spark, ["x"]).limit(0)).count() == 0
 
 
+def test_substring_dedup_with_null_ids_and_repeated_rows(spark):
+    texts = [prose(i, 60) for i in range(4)] + [prose(9, 20) + " " + prose(0, 60), prose(3, 60), None, ""]
+    rows = [(None if i % 2 else 5, t) for i, t in enumerate(texts)] * 2 + [(None, prose(70, 50)), (5, prose(71, 50))]
+    got = substring.dedup(spark.createDataFrame(rows, "doc_id long, text string").withColumns({"mark": F.lit(1), "n": F.lit(2), "removed": F.lit(3)})).collect()
+    want = brute_windows([t for _, t in rows], 35)
+    assert Counter((r["id"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in got) == Counter((i, *w) for (i, _), w in zip(rows, want))
+
+
+def test_deep_nodes_are_classes_of_equal_suffixes():
+    rng = np.random.default_rng(4)
+    symbols = rng.integers(-2, 2, (500, 4))
+    node = substring.deep_nodes(symbols)
+    by_node = defaultdict(set)
+    for n, s in zip(node.tolist(), map(tuple, symbols.tolist())):
+        by_node[n].add(s)
+    assert all(len(x) == 1 for x in by_node.values()) and len(by_node) == len(set(map(tuple, symbols.tolist())))
+    assert substring.symbol_places(35, 8) == [0, 8, 16, 24, 27] and substring.symbol_places(16, 8) == [0, 8]
+
+
 # 3
 
 
