@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import CountVectorizerModel
@@ -18,12 +20,14 @@ TEMPLATES: dict[str, list[str]] = {
         "Licensed under the MIT License.",
         "This project is licensed under the terms of the MIT license.",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction.",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software, subject to the following conditions: the above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
         "SPDX-License-Identifier: MIT",
     ],
     "Apache-2.0": [
         "Licensed under the Apache License, Version 2.0.",
         "Released under the Apache License 2.0.",
         "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License.",
+        "Unless required by applicable law or agreed to in writing, software distributed under the Apache License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.",
         "SPDX-License-Identifier: Apache-2.0",
     ],
     "GPL-3.0": [
@@ -45,6 +49,7 @@ TEMPLATES: dict[str, list[str]] = {
     "BSD": [
         "Licensed under the BSD 3-Clause License.",
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met.",
+        "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
         "SPDX-License-Identifier: BSD-3-Clause",
     ],
     "MPL-2.0": [
@@ -71,6 +76,7 @@ TEMPLATES: dict[str, list[str]] = {
         "Copyright. All rights reserved. Unauthorized copying of this file is strictly prohibited.",
         "This software is proprietary and confidential. All rights reserved.",
         "No part of this publication may be reproduced without prior written permission. All rights reserved.",
+        "All rights reserved.",
     ],
 }
 # Sentences with the same words that grant nothing.
@@ -85,7 +91,15 @@ LOOKALIKES = [
     "The public domain of the function is the set of all reals.",
     "All conditions were met, and the copy was permitted.",
     "The university MIT released a report on the version 2.0 model.",
+    "See the MIT License for an example of a short license text.",
+    "The Mozilla Public License was drafted by a lawyer.",
+    "They discussed the Apache License at the meeting.",
+    "Unlike the BSD License, the agreement says nothing about patents.",
+    "An essay on the GNU General Public License and its history.",
+    "He reserved all rights to the seat.",
 ]
+# Words whose negation turns a notice into a statement that grants nothing.
+NEGATED = r"(?i)\b(licensed|released|granted|dedicated|distributed|permitted|subject|free|proprietary)\b"
 SEEDS = r"(?i)licen[cs]e|copyright|spdx|warrant|permission|public domain|rights reserved"
 WORD = r"[a-z0-9]+(?:[.-][a-z0-9]+)*"
 
@@ -103,52 +117,68 @@ def ngrams(w: Column) -> Column:
     return F.array_distinct(F.concat(*runs))
 
 
+#: A line break inside a paragraph: the line before ends without a stop, and neither line is blank.
+WRAP = r"(?<=\S)(?<![.!?:;][\"')\]]{0,2})[ \t]*\r?\n[ \t]*(?=\S)"
+
+
 def paragraphs(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, row, place, paragraph): lines that hold a word; row tells repeated ids apart by their texts' hash."""
-    lines = F.split(F.coalesce(F.col(text_col), F.lit("")), r"[\r\n]+")
-    return docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("row"), F.posexplode(lines).alias("place", "paragraph"))
+    """(id, row, place, paragraph): lines, wrapped ones joined; row tells repeated ids apart by their texts' hash."""
+    joined = F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), WRAP, " ")
+    return docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("row"), F.posexplode(F.split(joined, r"[\r\n]+")).alias("place", "paragraph"))
 
 
 def training(docs: DataFrame, id_col: str, text_col: str, max_negatives: int, variants: int = 8) -> DataFrame:
-    """(label, w, held, corpus): templates, each with words left out in several ways; lookalikes and corpus lines as unknown.
+    """(label, w, held, corpus): templates, each with words left out in several ways; negated templates, lookalikes and
+    paragraphs of the corpus as unknown.
 
-    A line of the corpus is taken for unknown only if it has no word like licence or copyright; at most ``max_negatives``
-    lines, of as many documents of least hash."""
+    Every fourth template, with all its variants, is held out. A paragraph of the corpus is taken for unknown only if it has no
+    word like licence or copyright and is unlike every template; at most ``max_negatives``, of as many documents of least hash."""
     spark = docs.sparkSession
-    fixed = [(family, text) for family, texts in TEMPLATES.items() for text in texts] + [(UNKNOWN, t) for t in LOOKALIKES]
-    rows = F.explode(F.array(*[F.struct(F.lit(a).alias("label"), F.lit(b).alias("text")) for a, b in fixed]))
-    base = spark.range(1).select(rows.alias("r")).select("r.label", words(F.col("r.text")).alias("w"))
+    notices = [(family, t, i % 4 == 1) for family, ts in TEMPLATES.items() for i, t in enumerate(ts)]
+    negated = [(UNKNOWN, re.sub(NEGATED, r"not \1", t, count=1), h) for _, t, h in notices if re.search(NEGATED, t)]
+    fixed = [*notices, *negated, *((UNKNOWN, t, i % 4 == 1) for i, t in enumerate(LOOKALIKES))]
+    rows = F.explode(F.array(*[F.struct(F.lit(a).alias("label"), F.lit(b).alias("text"), F.lit(h).alias("held")) for a, b, h in fixed]))
+    base = spark.range(1).select(rows.alias("r")).select("r.label", "r.held", words(F.col("r.text")).alias("w"))
     base = base.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(variants - 1))))
-    base = base.select("label", F.filter("w", lambda x: (F.col("k") == 0) | (F.pmod(F.xxhash64(x, F.col("k")), F.lit(10)) > 0)).alias("w"), F.col("k"))
+    base = base.select("label", F.filter("w", lambda x: (F.col("k") == 0) | (x == "not") | (F.pmod(F.xxhash64(x, F.col("k")), F.lit(10)) > 0)).alias("w"), "held")
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     ids = rows.select("id").distinct().orderBy(F.xxhash64("id"), "id").limit(max_negatives)  # bounded
     chosen = rows.alias("d").join(F.broadcast(ids.alias("i")), F.expr("d.id <=> i.id"), "left_semi")
     lines = paragraphs(chosen, "id", "text").filter(~F.rlike("paragraph", F.lit(SEEDS)))
-    lines = lines.orderBy(F.xxhash64("paragraph"), "paragraph").limit(max_negatives).select(F.lit(UNKNOWN).alias("label"), words(F.col("paragraph")).alias("w"), F.pmod(F.xxhash64("paragraph"), F.lit(8)).cast("int").alias("k"))
-    both = base.withColumn("corpus", F.lit(False)).unionByName(lines.withColumn("corpus", F.lit(True)))
-    return both.select("label", "w", (F.col("k") == 5).alias("held"), "corpus")
+    lines = lines.orderBy(F.xxhash64("paragraph"), "paragraph").limit(max_negatives).select(words(F.col("paragraph")).alias("w"), (F.pmod(F.xxhash64("paragraph"), F.lit(4)) == 1).alias("held"))
+    shapes = F.array(*[F.array(*[F.lit(x) for x in sorted(set(re.findall(WORD, t.lower())))]) for ts in TEMPLATES.values() for t in ts])
+    lines = lines.filter(~F.exists(shapes, lambda own: 2 * F.size(F.array_intersect(own, "w")) >= F.size(own)))
+    both = base.withColumn("corpus", F.lit(False)).unionByName(lines.select(F.lit(UNKNOWN).alias("label"), "w", "held", F.lit(True).alias("corpus")))
+    return both.select("label", "w", "held", "corpus")
 
 
-def fit(docs: DataFrame, id_col: str, text_col: str, max_negatives: int) -> dict:
-    """Weights of the families and of the unknown class, the temperature that calibrates them, and the anchors."""
-    spark = docs.sparkSession
-    rows, _ = cut(training(docs, id_col, text_col, max_negatives).coalesce(4))
+def common_words(docs: DataFrame, text_col: str, of: list[str], share: float) -> list[str]:
+    """Those of the given words that ``share`` of all documents have, lines that look like notices left aside."""
+    plain = F.array_join(F.filter(F.split(F.coalesce(F.col(text_col), F.lit("")), r"[\r\n]+"), lambda x: ~F.rlike(x, F.lit(SEEDS))), " ")
+    own = docs.select(F.explode(F.array_intersect(words(plain), F.array(*[F.lit(x) for x in of]))).alias("x")).groupBy("x").agg(F.count("*").alias("n"))
+    return sorted(r["x"] for r in own.filter(F.col("n") >= max(2.0, share * docs.count())).collect())  # some of the given words
+
+
+def fit(docs: DataFrame, id_col: str, text_col: str, max_negatives: int, common_share: float = 0.1) -> dict:
+    """Weights of the families and of the unknown class, the temperature that calibrates them, and the common words.
+
+    The temperature is fitted on held-out templates with a model that hasn't seen them; the weights then on all rows."""
+    # A bounded number of rows; in one order, so that reruns fit the same weights.
+    rows, _ = cut(training(docs, id_col, text_col, max_negatives).repartition(1).sortWithinPartitions("label", "w"))
     rows, _ = cut(rows.withColumn("grams", ngrams(F.col("w"))))  # apart, else the words are found anew for every run
-    # Terms made of the negatives' common words alone tell nothing; without them a line of plain prose has no term at all.
-    negative = rows.filter((F.col("label") == UNKNOWN) & F.col("corpus"))
-    often = max(2.0, 0.002 * negative.count())
-    common = [r[0] for r in negative.select(F.explode(F.array_distinct("w")).alias("x")).groupBy("x").agg(F.count("*").alias("n")).filter(F.col("n") >= often).select("x").collect()]  # bounded by max_negatives
-    grams = rows.filter(F.col("label") != UNKNOWN).select(F.explode("grams").alias("g")).distinct().collect()  # bounded by the templates
-    vocabulary = sorted(r["g"] for r in grams if not set(r["g"].split()) <= set(common))
+    grams = [r["g"] for r in rows.filter("not corpus").select(F.explode("grams").alias("g")).distinct().collect()]  # bounded by the templates
+    # Terms made of common words alone tell nothing; without them plain prose has no term at all.
+    common = common_words(docs, text_col, sorted({x for g in grams for x in g.split()}), common_share)
+    vocabulary = sorted(g for g in grams if not set(g.split()) <= set(common))
     names = [*TEMPLATES, UNKNOWN]
     number = F.element_at(F.create_map(*[x for i, n in enumerate(names) for x in (F.lit(n), F.lit(float(i)))]), F.col("label"))
-    ready = CountVectorizerModel.from_vocabulary(vocabulary, inputCol="grams", outputCol="features").setBinary(True).transform(rows.withColumn("y", number))
+    ready = CountVectorizerModel.from_vocabulary(vocabulary, inputCol="grams", outputCol="features").setBinary(True).transform(rows.withColumn("y", number)).cache()  # bounded rows
     # Every class has the same say, whatever the number of its rows.
     n = {r["y"]: r["n"] for r in ready.groupBy("y").agg(F.count("*").alias("n")).collect()}
     weight = F.element_at(F.create_map(*[x for y, c in n.items() for x in (F.lit(y), F.lit(100.0 / c * (4 if names[int(y)] == UNKNOWN else 1)))]), F.col("y"))
-    model = LogisticRegression(featuresCol="features", labelCol="y", weightCol="weight", family="multinomial", regParam=0.002, elasticNetParam=0.0, maxIter=40, standardization=False).fit(ready.filter("not held").withColumn("weight", weight))
-    w, b = model.coefficientMatrix.toArray(), model.interceptVector.toArray()
-    held = model.transform(ready.filter("held")).select("y", "rawPrediction").collect()  # bounded by the training rows
+    model = LogisticRegression(featuresCol="features", labelCol="y", weightCol="weight", family="multinomial", regParam=0.002, elasticNetParam=0.0, maxIter=40, standardization=False)
+    ready = ready.withColumn("weight", weight)
+    held = model.fit(ready.filter("not held")).transform(ready.filter("held")).select("y", "rawPrediction").collect()  # bounded by the training rows
     raw, y = np.array([r["rawPrediction"].toArray() for r in held]), np.array([int(r["y"]) for r in held])
 
     def loss(t: float) -> float:
@@ -157,7 +187,9 @@ def fit(docs: DataFrame, id_col: str, text_col: str, max_negatives: int) -> dict
         return float((np.log(np.exp(z).sum(axis=1)) - z[np.arange(len(y)), y]).mean())
 
     heat = min(np.arange(0.25, 4.01, 0.25), key=loss) if len(held) else 1.0
-    return {"terms": vocabulary, "names": names, "w": w / heat, "b": b / heat, "common": common}
+    whole = model.fit(ready)
+    ready.unpersist()
+    return {"terms": vocabulary, "names": names, "w": whole.coefficientMatrix.toArray() / heat, "b": whole.interceptVector.toArray() / heat, "common": common}
 
 
 def anchors(model: dict, floor: float) -> list[str]:
@@ -182,7 +214,6 @@ def anchors(model: dict, floor: float) -> list[str]:
     return sorted(out)
 
 
-
 def one_of(strings: list[str]) -> str:
     """A pattern for any of the strings that tests each common beginning once."""
     by_first: dict[str, list[str]] = {}
@@ -192,25 +223,26 @@ def one_of(strings: list[str]) -> str:
     return f"(?:{'|'.join(tails)})" + ("?" if "" in by_first else "") if tails else ""
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", floor: float = 0.5, least_match: float = 0.6, max_negatives: int = 4000) -> DataFrame:
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", floor: float = 0.5, least_match: float = 0.6, max_negatives: int = 4000, model: dict | None = None) -> DataFrame:
     """(id, family, probability, confirmed, n_licence, found) of every row of docs.
 
-    Each line with a word is a paragraph. A paragraph's features are its distinct runs of one to three words that occur in the
+    Lines are paragraphs; a line that ends without a stop goes on in the next one. A paragraph's features are its distinct runs of one to three words that occur in the
     templates; a multinomial logistic regression, its temperature fitted on held-out rows, gives the families and an unknown
     class. A family of probability ``floor`` or more is a finding; it is confirmed if ``least_match`` of some template's
-    one- to three-word runs occur in the paragraph. ``family`` is the finding with the highest probability (earliest line on ties).
+    one- to three-word runs occur in the paragraph. ``family`` is the finding with the highest probability (earliest on ties).
 
-    The negatives are a bounded sample (``max_negatives``); everything else covers every line. Paragraphs without any anchor
+    ``model`` is what fit() returns, here or for other documents. The negatives are a bounded sample (``max_negatives``); everything else covers every paragraph, common words all documents. Paragraphs without any anchor
     word are unknown by proof, see anchors(), and aren't scored. Null and empty texts have no findings; repeated rows each come
     back; ids may be null; an empty table gives an empty result; other columns are ignored.
     """
     spark = docs.sparkSession
-    model = fit(docs, id_col, text_col, max_negatives)
+    model = model or fit(docs, id_col, text_col, max_negatives)
     names, terms, needed = model["names"], model["terms"], anchors(model, floor)
     base = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("row"))
-    lines = paragraphs(docs, id_col, text_col)
+    near = F.lit("(?i)(?<![a-z0-9])" + one_of(needed))
+    lines = paragraphs(docs.filter(F.rlike(F.coalesce(F.col(text_col), F.lit("")), near)) if needed else docs, id_col, text_col)
     if needed:
-        lines = lines.filter(F.rlike("paragraph", F.lit("(?i)(?<![a-z0-9])" + one_of(needed))))
+        lines = lines.filter(F.rlike("paragraph", near))
     lines, _ = cut(lines.distinct().withColumn("w", words(F.col("paragraph"))))  # apart, else the words are found anew for every run
     lines, _ = cut(lines.select("id", "row", "place", ngrams(F.col("w")).alias("grams")))
     deltas = [(t, [float(x) for x in model["w"][:, i]]) for i, t in enumerate(terms)]

@@ -594,6 +594,35 @@ def test_licences(spark):
     assert licenses.scan(frame(spark, ["x"]).limit(0)).count() == 0
 
 
+def test_licences_of_wrapped_and_negated_notices(spark):
+    grant = "Permission is hereby granted, free of charge, to any person\nobtaining a copy of this software and associated documentation files,\n  to deal in the Software without restriction."
+    texts = [f"{prose(1, 9)}.\n\n{grant}\n\n{prose(2, 9)}", "The software is not licensed under the MIT License.", "This essay is about the history of the Apache License.", "Redistribution and use in source and binary forms, with or without modification, are permitted\r\nprovided that the following conditions are met.", "All rights reserved.", "Licensed under the Mozilla Public License, version 2.0"]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(None, texts[0]), (0, texts[1]), (0, texts[0]), *((100 + i, prose(i, 40) + ".") for i in range(60))]
+    df = spark.createDataFrame(rows, "doc_id int, text string").withColumns({"row": F.lit(1), "place": F.lit(2), "label": F.lit(3)})
+    found = licenses.scan(df).collect()
+    got = Counter((r["id"], r["family"], r["confirmed"]) for r in found if r["id"] is None or r["id"] < 100)
+    assert got == Counter({(0, "MIT", True): 2, (0, "unknown", False): 1, (None, "MIT", True): 1, (1, "unknown", False): 1, (2, "unknown", False): 1, (3, "BSD", True): 1, (4, "Proprietary", True): 1, (5, "MPL-2.0", True): 1})
+    assert all(r["family"] == "unknown" for r in found if (r["id"] or 0) >= 100)
+
+
+def test_licence_probabilities_by_brute_force(spark):
+    texts = [f"{prose(i, 12)}. {t}" for i, t in enumerate(t for ts in licenses.TEMPLATES.values() for t in ts)] + [prose(i, 30) for i in range(40)]
+    df = frame(spark, texts)
+    model = licenses.fit(df, "doc_id", "text", 4000)
+    got = {r["id"]: r for r in licenses.scan(df, floor=0.05, model=model).collect()}
+    assert np.allclose(model["w"], licenses.fit(df, "doc_id", "text", 4000)["w"], atol=1e-9)
+    for i, t in enumerate(texts):
+        w = re.findall(licenses.WORD, t.lower())
+        grams = {" ".join(w[k : k + n]) for n in (1, 2, 3) for k in range(len(w) - n + 1)}
+        z = model["b"] + sum((model["w"][:, k] for k, term in enumerate(model["terms"]) if term in grams), np.zeros(len(model["b"])))
+        p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+        best = int(p[:-1].argmax())
+        if p[best] >= 0.05:
+            assert got[i]["family"] == model["names"][best] and got[i]["probability"] == pytest.approx(p[best], abs=1e-6)
+        else:
+            assert got[i]["family"] == "unknown"
+
+
 def test_pattern_of_strings():
     words = ["mit", "mpl-2.0", "mpl", "a", "ab"]
     p = re.compile(licenses.one_of(words) + "$")
