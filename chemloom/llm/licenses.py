@@ -110,11 +110,12 @@ def words(text: Column) -> Column:
 
 def ngrams(w: Column) -> Column:
     """Distinct runs of one to three words."""
-    runs = [w]
-    for n in (2, 3):
+
+    def runs(n: int) -> Column:
         starts = F.when(F.size(w) >= n, F.sequence(F.lit(1), F.size(w) - (n - 1))).otherwise(F.array().cast("array<int>"))
-        runs.append(F.transform(starts, lambda i, n=n: F.array_join(F.slice(w, i, n), " ")))
-    return F.array_distinct(F.concat(*runs))
+        return F.transform(starts, lambda i: F.array_join(F.slice(w, i, n), " "))
+
+    return F.array_distinct(F.concat(w, runs(2), runs(3)))
 
 
 #: A line break inside a paragraph: the line before ends without a stop, and neither line is blank.

@@ -21,7 +21,9 @@ DEPTH = 5
 END, BEGIN, WIDTH = 256, 257, 258
 BITS = 9
 #: Symbols that are worked on at once.
-CHUNK = 1 << 21
+CHUNK = 1 << 19
+#: Counts of symbol runs, and an eighth of it words, that a task holds before it passes them on.
+HELD = 1_500_000
 
 
 def fold(id_col: Column, folds: int) -> Column:
@@ -79,11 +81,11 @@ def gather(train: DataFrame) -> DataFrame:
                 if waiting > CHUNK:
                     codes.append(_gram_counts(held))
                     held, waiting = [], 0
-                    if len(codes) > 8:
+                    if sum(len(c) for c, _ in codes) > HELD:
                         codes[:] = [summed()]
-                    if len(codes[0][0]) > 2_000_000:
-                        yield out_codes()
-                if len(words) > 200_000:
+                        if 2 * len(codes[0][0]) > HELD:
+                            yield out_codes()
+                if 8 * len(words) > HELD:
                     yield out_words()
         if held:
             codes.append(_gram_counts(held))
@@ -241,7 +243,7 @@ def _more(rows: DataFrame, tree: SuffixTree, own: np.ndarray) -> DataFrame:
     return out
 
 
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 5, held_fold: int = 1, least_count: int = 500, z: float = 3.1, often_share: float = 4e-6, most_contexts: int = 100_000) -> DataFrame:
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 5, held_fold: int = 1, least_count: int = 1000, z: float = 3.1, often_share: float = 4e-6, most_contexts: int = 50_000) -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row.
 
     The model and the base learn from all rows whose crc32(id as text) mod ``folds`` is not ``held_fold``. Tokens are the
