@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, cut, discard, each_text, per_batch, text_bytes
+from .common import LOWER, cut, discard, each_text, text_bytes
 
 DEPTH = 5
 END, BEGIN, WIDTH = 256, 257, 258
@@ -233,17 +233,30 @@ def _more(rows: DataFrame, tree: SuffixTree, own: np.ndarray) -> DataFrame:
     """(same, score): what the part's contexts add to the score of each different text; written, so that its broadcast goes."""
     sent = rows.sparkSession.sparkContext.broadcast((tree, own))
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tree, own = sent.value
-        scores = [float(tree.score([_symbols(t.translate(LOWER).split())], own=own)[0]) for t in each_text(batch)]
-        return pa.RecordBatch.from_arrays([batch.column("same"), pa.array(scores, pa.float64())], names=["same", "score"])
+        texts, same, waiting = [], [], 0
+
+        def done() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(same, pa.int64()), pa.array(tree.score(texts, own=own))], names=["same", "score"])
+
+        for batch in batches:
+            for key, text in zip(batch.column("same").to_pylist(), each_text(batch), strict=True):
+                same.append(key)
+                texts.append(_symbols(text.translate(LOWER).split()))
+                waiting += len(texts[-1])
+                if waiting > CHUNK:
+                    yield done()
+                    texts, same, waiting = [], [], 0
+        if texts:
+            yield done()
 
-    out, _ = cut(per_batch(rows.select(F.xxhash64("t").alias("same"), "t"), run, "same long, score double").groupBy("same").agg(F.first("score").alias("score")))
+    out, _ = cut(rows.select(F.xxhash64("t").alias("same"), "t").mapInArrow(run, "same long, score double").groupBy("same").agg(F.first("score").alias("score")))
     sent.destroy()
     return out
 
 
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 5, held_fold: int = 1, least_count: int = 1000, z: float = 3.1, often_share: float = 4e-6, most_contexts: int = 50_000) -> DataFrame:
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 5, held_fold: int = 1, least_count: int = 2000, z: float = 3.1, often_share: float = 4e-6, most_contexts: int = 60_000) -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row.
 
     The model and the base learn from all rows whose crc32(id as text) mod ``folds`` is not ``held_fold``. Tokens are the
