@@ -58,7 +58,7 @@ class BlockMaxIndex:
     are read: the k nearest are exact. Lists of over 1/``wide`` of the examples are kept as rows of a matrix; what a text
     gains from them is summed for all examples at once, and its maximum in each block is part of the bound."""
 
-    def __init__(self, vectors: list[Vector], labels: np.ndarray, keys: np.ndarray, terms: int, size: int = 128, wide: int = 8):
+    def __init__(self, vectors: list[Vector], labels: np.ndarray, keys: np.ndarray, terms: int, size: int = 256, wide: int = 8):
         order = sorted((i for i, (t, _) in enumerate(vectors) if len(t)), key=lambda i: (labels[i], int(vectors[i][0][np.argmax(vectors[i][1])]), i))
         self.labels, self.keys, self.size, self.blocks = labels[order], keys[order], size, -(-len(order) // size)
         place = np.repeat(np.arange(len(order)), [len(vectors[i][0]) for i in order])
@@ -73,11 +73,12 @@ class BlockMaxIndex:
         by_term = np.lexsort((place, term))
         self.place, self.weight, term = place[by_term].astype(np.int32), weight[by_term], term[by_term]
         cell = term * self.blocks + self.place // size
-        self.begin = np.searchsorted(cell, np.arange(terms * self.blocks + 1)).astype(np.int32)  # of each term's postings in each block
-        bound = np.zeros(terms * self.blocks)
-        np.maximum.at(bound, cell, self.weight)
-        self.bound = np.nextafter(bound.astype(np.float32), np.float32(2)).reshape(terms, self.blocks)
-        self.bound[bound.reshape(terms, self.blocks) == 0] = 0
+        # The first posting of each term in each block, and the bounds, rounded up.
+        self.begin = np.zeros(terms * self.blocks + 1, np.int32)
+        np.cumsum(np.bincount(cell, minlength=terms * self.blocks), out=self.begin[1:])
+        self.bound = np.zeros(terms * self.blocks, np.float32)
+        np.maximum.at(self.bound, cell, np.nextafter(self.weight.astype(np.float32), np.float32(2)))
+        self.bound = self.bound.reshape(terms, self.blocks)
 
     def _cosines(self, t: np.ndarray, w: np.ndarray, base: np.ndarray, blocks: np.ndarray) -> Vector:
         """Places of the blocks' examples with a cosine over 0, and the cosines; others don't count."""
@@ -185,10 +186,10 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                     found.setdefault(w, [0, 0])[y] += 1
         yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), *(pa.array([x[y] for x in found.values()], pa.int64()) for y in (0, 1))], names=["term", "neg", "pos"])
 
-    terms = examples.select("y", "t").mapInArrow(presence, "term binary, neg long, pos long").groupBy("term").agg(F.sum("neg").alias("neg"), F.sum("pos").alias("pos")).toPandas()  # the words of max_examples texts
-    terms["term"] = terms["term"].map(bytes)
-    terms = terms.sort_values("term").reset_index(drop=True)
-    sent = spark.sparkContext.broadcast(Numbers((t, i) for i, t in enumerate(terms["term"])))
+    terms = examples.select("y", "t").mapInArrow(presence, "term binary, neg long, pos long").groupBy("term").agg(F.sum("neg").alias("neg"), F.sum("pos").alias("pos")).toArrow().sort_by("term")  # the words of max_examples texts
+    pos, neg = terms.column("pos").to_numpy().astype(float), terms.column("neg").to_numpy().astype(float)
+    sent = spark.sparkContext.broadcast(Numbers((t, i) for i, t in enumerate(terms.column("term").to_pylist())))
+    del terms
 
     def frequency(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Documents that hold each term, and all documents under the number -1."""
@@ -203,11 +204,12 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1).astype(np.int32)), pa.array(np.append(total[at], rows))], names=["term", "df"])
 
-    df = rows.select("t").mapInArrow(frequency, "term int, df long").groupBy("term").agg(F.sum("df").alias("df")).toPandas()
-    every, often = int(df["df"][df["term"] < 0].sum()), np.zeros(len(terms))
-    often[df["term"][df["term"] >= 0]] = df["df"][df["term"] >= 0]
+    df = rows.select("t").mapInArrow(frequency, "term int, df long").groupBy("term").agg(F.sum("df").alias("df")).toArrow()
+    term, n = df.column("term").to_numpy(), df.column("df").to_numpy()
+    every, often = int(n[term < 0].sum()), np.zeros(len(pos))
+    often[term[term >= 0]] = n[term >= 0]
     ys = {r["y"]: r["n"] for r in examples.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    weight = (np.log((1 + every) / (1 + often)) + 0.1) * gains(terms["pos"].to_numpy(float), terms["neg"].to_numpy(float), ys.get(1, 0), ys.get(0, 0))
+    weight = (np.log((1 + every) / (1 + often)) + 0.1) * gains(pos, neg, ys.get(1, 0), ys.get(0, 0))
 
     def vectors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for t in batches:
@@ -215,11 +217,12 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             yield pd.DataFrame({"id": t["id"], "y": t["y"], "same": t["same"], "terms": [g[0] for g in got], "weights": [g[1] for g in got]})
 
     kind = dict(rows.dtypes)["id"]
-    held = examples.mapInPandas(vectors, f"id {kind}, y int, same long, terms array<long>, weights array<double>").toPandas()  # bounded by max_examples
-    held = held.sort_values(["same", "id"], kind="stable")
-    vecs = [(np.asarray(t, np.int64), np.asarray(w, float)) for t, w in zip(held["terms"], held["weights"], strict=True)]
-    index = BlockMaxIndex(vecs, held["y"].to_numpy(int), held["same"].to_numpy(np.int64), len(terms))
-    model = spark.sparkContext.broadcast((index, weight, dict(zip(held["same"].tolist(), held["id"].tolist(), strict=True))))
+    held = examples.mapInPandas(vectors, f"id {kind}, y int, same long, terms array<long>, weights array<double>").toArrow().sort_by([("same", "ascending"), ("y", "ascending")])  # bounded by max_examples
+    vecs = [(np.asarray(t.values), np.asarray(w.values)) for t, w in zip(held.column("terms"), held.column("weights"), strict=True)]
+    same = held.column("same").to_numpy()
+    index = BlockMaxIndex(vecs, held.column("y").to_numpy().astype(int), same, len(pos))
+    model = spark.sparkContext.broadcast((index, weight, dict(zip(same.tolist(), held.column("id").to_pylist(), strict=True))))
+    del held, vecs
 
     def left_out(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         index, weight, _ = model.value
@@ -227,9 +230,9 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             near = index.nearest([vector(bytes(x), sent.value, weight) for x in t["t"]], k, t["same"].tolist())
             yield pd.DataFrame({"vote": [vote(index.labels[p], c) for p, c in near], "y": t["y"]})
 
-    fitted = examples.mapInPandas(left_out, "vote double, y int").groupBy("vote", "y").agg(F.count("*").alias("n")).toPandas()  # bounded by max_examples
-    fitted = fitted.sort_values(["vote", "y"])
-    curve = platt(np.repeat(fitted[["vote"]].to_numpy(float), fitted["n"], axis=0), np.repeat(fitted["y"].to_numpy(float), fitted["n"]))
+    fitted = examples.mapInPandas(left_out, "vote double, y int").groupBy("vote", "y").agg(F.count("*").alias("n")).toArrow().sort_by([("vote", "ascending"), ("y", "ascending")])  # bounded by max_examples
+    votes, ys, n = (fitted.column(c).to_numpy() for c in ("vote", "y", "n"))
+    curve = platt(np.repeat(votes[:, None], n, axis=0), np.repeat(ys.astype(float), n))
     field = text_col if whole_rows else None
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
