@@ -42,11 +42,12 @@ def phrases(spark: SparkSession) -> DataFrame:
 
 
 def expand(codes: DataFrame) -> DataFrame:
-    """Adds phrase and line to rows with a code; the 25 phrases are broadcast. Unknown codes say so."""
+    """Adds phrase and line, the code and the phrase, to rows with a code; the 25 phrases are broadcast. The phrase of an unknown
+    code says so, after the code, so its line has the code twice."""
     got = codes.join(F.broadcast(phrases(codes.sparkSession)), "code", "left")
     known = F.col("phrase").isNotNull()
     phrase = F.coalesce("phrase", F.concat("code", F.lit(": (phrase not found)")))
-    return got.withColumns({"known": known, "phrase": phrase, "line": F.when(known, F.concat_ws(": ", "code", "phrase")).otherwise(phrase)})
+    return got.withColumns({"known": known, "phrase": phrase, "line": F.concat(F.col("code"), F.lit(": "), phrase)})
 
 
 def known_only(codes: DataFrame) -> DataFrame:

@@ -74,6 +74,11 @@ def merge_registry(df: DataFrame, order: list[str], key: str = "cas") -> DataFra
     return df.filter(F.col(key).isNotNull()).groupBy(key).agg(*[F.min_by(f, F.when(F.col(f).isNotNull(), by)).alias(f) for f in fields])
 
 
+def registry_simple(registry: DataFrame) -> DataFrame:
+    """(cas, dtxsid, preferred_name): the projection that look-ups of two fields need, so that no other column is read."""
+    return registry.select("cas", "dtxsid", "preferred_name")
+
+
 def keep_first(df: DataFrame, key: str, order: list[str]) -> DataFrame:
     """The first row of each key, in the given order."""
     rest = [c for c in df.columns if c != key]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import blank_to_null, number, strip, study_category
@@ -43,6 +43,12 @@ def summary(toxvals: DataFrame, by: list[str]) -> DataFrame:
     return toxvals.groupBy(*by).agg(F.count("*").alias("record_count"), F.count(v).alias("numeric_count"), F.min(v).alias("min_value"), F.max(v).alias("max_value"))
 
 
+def in_summary_order(summary: DataFrame, key: str) -> DataFrame:
+    """Adds place, from 1 inside each key: study types with most records first, ties by name, the missing one last."""
+    order = Window.partitionBy(key).orderBy(F.desc("record_count"), F.asc_nulls_last("study_type"))
+    return summary.withColumn("place", F.row_number().over(order).cast("long"))
+
+
 def table_stats(toxvals: DataFrame, registry: DataFrame) -> DataFrame:
     """(table, rows, chemicals) of both tables."""
     one = lambda df, name: df.agg(F.lit(name).alias("table"), F.count("*").alias("rows"), F.countDistinct("dtxsid").alias("chemicals"))

@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 _ORDER = "l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice"
 _BODY = "((k + 50) * 100 + k % 100)"
-_CHECK = "((" + " + ".join(f"(cast(floor({_BODY} / {10**j}.0) as bigint) % 10) * {j + 1}" for j in range(8)) + ") % 10)"
-_CASRN = f"concat(cast(k + 50 as string), '-', lpad(cast(k % 100 as string), 2, '0'), '-', cast(case when k % 7 = 0 then ({_CHECK} + 1) % 10 else {_CHECK} end as string))"
+_SUM = " + ".join(f"(cast(floor({_BODY} / {10**j}.0) as bigint) % 10) * {j + 1}" for j in range(8))
+#: The check digit; every seventh chemical has a wrong one.
+_CHECK = f"(({_SUM} + case when k % 7 = 0 then 1 else 0 end) % 10)"
+_CASRN = f"concat(cast(k + 50 as string), '-', lpad(cast(k % 100 as string), 2, '0'), '-', cast({_CHECK} as string))"
 
 #: Each view may use the tables and the views before it.
 VIEWS = {
@@ -33,7 +35,8 @@ VIEWS = {
         else 'Irritating concentration reported' end as value from lineitem""",
     "ghs_text": """select p_partkey, 'H' as kind, 1 as item, case p_partkey % 4 when 0 then 'H225 (100%): Highly Flammable liquid; H319 (87.5%)' when 1 then 'H300+310 (10%); H410' when 2 then 'H360FD; H999' else 'Not Classified' end as txt from part
         union all select p_partkey, 'P', 2, case p_partkey % 2 when 0 then 'P210, P261, and P305+P351+P338' else 'P273, and P501' end from part
-        union all select p_partkey, 'S', 3, case p_partkey % 3 when 0 then 'Danger' when 1 then 'Warning' else 'N/A' end from part""",
+        union all select p_partkey, 'S', 3, case p_partkey % 3 when 0 then 'Danger' when 1 then 'Warning' else 'N/A' end from part
+        union all select p_partkey, 'G', 4, case p_partkey % 3 when 0 then 'Flame' when 1 then 'Irritant' else 'Environmental Hazard' end from part""",
     "payloads": """select l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, case when l_linenumber % 2 = 0
         then concat('{"data":[{"studyType":"acute LD50","toxValNumeric":', cast(l_quantity as string), ',"toxValUnits":"mg/kg"}]}')
         else concat('[{"study_type":"ecotox fish","toxval_numeric":', cast(l_quantity as string), ',"toxval_units":"mg/L"}]') end as payload from lineitem""",

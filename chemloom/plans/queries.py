@@ -15,7 +15,7 @@ from ..operators import endpoints as E
 from ..operators import ghs as G
 from ..operators import registry as R
 from ..operators import toxvals as V
-from ..sources import files
+from ..sources import files, workbooks
 from .fixtures import view, with_views
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -65,18 +65,21 @@ def endpoints(s: SparkSession, d: str) -> DataFrame:
     return E.union_endpoints(mined(s, d).withColumnRenamed("k", "chem"), toxvals(s, d).withColumnRenamed("k", "chem"))
 
 
+def of_chemical(parts: DataFrame) -> DataFrame:
+    """Adds k, the chemical of a part, and at, the place of a part's item among those of its chemical."""
+    return parts.withColumns({"k": F.floor(F.col("p_partkey") / 2).cast("long"), "at": F.struct("p_partkey", "item")})
+
+
 def documents(s: SparkSession, d: str) -> DataFrame:
     """(doc_id, doc): one nested annotation document for each chemical, made of its sentences, statements and metrics."""
-    item = lambda name, value: F.struct(name.alias("Name"), F.struct(F.array(F.struct(value.alias("String"), F.array(F.struct(F.concat(F.lit("https://example.org/"), F.md5(value)).alias("URL"))).alias("Markup"))).alias("StringWithMarkup")).alias("Value"))
+    item = lambda name, value: F.struct(name.alias("Name"), F.struct(F.array(F.struct(value.alias("String"), F.array(F.struct(F.concat(F.lit("https://example.org/"), F.md5(value)).alias("URL"), F.when(name == "Pictogram(s)", value).alias("Extra"))).alias("Markup"))).alias("StringWithMarkup")).alias("Value"))
     by = lambda df, key, at, name, value, out: df.groupBy(F.col(key).alias("doc_id")).agg(F.array_sort(F.collect_list(F.struct(F.col(at).alias("o"), item(name, value).alias("i")))).alias(out)).select("doc_id", F.transform(out, lambda x: x["i"]).alias(out))
     tox = view(s, d, "tox_text")
     texts = by(tox.filter("ordinal > 1"), "k", "ordinal", F.col("type"), F.col("value"), "tox")
     parent = by(tox.filter("ordinal = 1"), "k", "ordinal", F.col("type"), F.col("value"), "first")
-    chem = F.floor(F.col("p_partkey") / 2).cast("long")
-    ghs = view(s, d, "ghs_text").filter("p_partkey % 2 = 0").withColumn("k", chem)
-    names = F.element_at(F.create_map(F.lit("H"), F.lit("GHS Hazard Statements"), F.lit("P"), F.lit("Precautionary Statement Codes"), F.lit("S"), F.lit("Signal")), F.col("kind"))
-    codes = by(ghs, "k", "item", names, F.col("txt"), "ghs")
-    metrics = by(view(s, d, "metric_text").filter("p_partkey % 2 = 0").withColumn("k", chem), "k", "item", F.col("name"), F.col("txt"), "met")
+    names = F.element_at(F.create_map(F.lit("H"), F.lit("GHS Hazard Statements"), F.lit("P"), F.lit("Precautionary Statement Codes"), F.lit("S"), F.lit("Signal"), F.lit("G"), F.lit("Pictogram(s)")), F.col("kind"))
+    codes = by(of_chemical(view(s, d, "ghs_text")), "k", "at", names, F.col("txt"), "ghs")
+    metrics = by(of_chemical(view(s, d, "metric_text")), "k", "at", F.col("name"), F.col("txt"), "met")
     rows = texts.join(parent, "doc_id", "full").join(codes, "doc_id", "full").join(metrics, "doc_id", "full")
     leaf = lambda heading, info: F.struct(F.lit(heading).alias("TOCHeading"), F.col(info).alias("Information"))
     untitled = F.struct(F.lit("").alias("TOCHeading"), F.col("tox").alias("Information"))
@@ -133,7 +136,7 @@ def scan_registry_csv(s: SparkSession, d: str) -> DataFrame:
     return found.select(*[F.coalesce(c, F.lit("")).alias(c) for c in names]).groupBy(*names).agg(F.count("*").alias("n"))
 
 
-@query("select distinct k as doc_id from tox_text union select cast(floor(p_partkey / 2.0) as bigint) from part where p_partkey % 2 = 0", "tox_text")
+@query("select distinct k as doc_id from tox_text union select cast(floor(p_partkey / 2.0) as bigint) from part", "tox_text")
 def scan_annotations(s: SparkSession, d: str) -> DataFrame:
     """Annotation documents landed as JSON lines and read back; each parses to a tree with sections."""
     path = files.scratch(s)
@@ -142,6 +145,14 @@ def scan_annotations(s: SparkSession, d: str) -> DataFrame:
     return landed.filter(F.get_json_object("doc", "$.Record.Section[0].TOCHeading").isNotNull()).select("doc_id")
 
 
+@query("select src_file, cast(row_number() over (partition by src_file order by row_idx) - 1 as bigint) as row_idx, casrn as cas, dtxsid, nullif(preferred_name, '') as preferred_name, molecular_formula from registry_raw", "registry_raw")
+def scan_workbooks(s: SparkSession, d: str) -> DataFrame:
+    """The registry as workbooks of spreadsheets, one for each source file, scanned and read by their headers."""
+    raw = view(s, d, "registry_raw").withColumnRenamed("molecular_formula", "formula")
+    books = workbooks.write(raw, "src_file", "row_idx", ["casrn", "dtxsid", "preferred_name", "formula"])
+    return workbooks.columns(workbooks.read(books), R.ALIASES).select("src_file", "row_idx", "cas", "dtxsid", "preferred_name", "molecular_formula")
+
+
 # Projections.
 
 _CLEAN = """select casrn as cas, nullif(dtxsid, 'nan') as dtxsid, nullif(trim(preferred_name), '') as preferred_name, cast(null as varchar) as systematic_name,
@@ -271,6 +282,11 @@ def resolve_compound(s: SparkSession, d: str) -> DataFrame:
     return D.resolve(a.unionByName(b), view(s, d, "xref"), "kind").select("row_idx", "kind", "query", "cid")
 
 
+@query("also " + _MERGED + " select cas, dtxsid, preferred_name from merged", "registry_raw")
+def registry_simple(s: SparkSession, d: str) -> DataFrame:
+    return R.registry_simple(registry_merged(s, d))
+
+
 # Set operations.
 
 
@@ -322,6 +338,14 @@ def toxicity_summary(s: SparkSession, d: str) -> DataFrame:
     return V.summary(t, ["cas", "study_type"])
 
 
+@query(
+    "also " + _MERGED + f", sums as (select m.cas, t.study_type, {_SUM} from merged m join toxval_raw t on t.dtxsid = m.dtxsid group by 1, 2) select *, row_number() over (partition by cas order by record_count desc, study_type nulls last) as place from sums",
+    "registry_raw", "toxval_raw",
+)
+def sort_summary(s: SparkSession, d: str) -> DataFrame:
+    return V.in_summary_order(toxicity_summary(s, d), "cas")
+
+
 @query("select 'registry' as \"table\", count(*) as rows, count(distinct dtxsid) as chemicals from registry_raw union all select 'toxvals', count(*), count(distinct dtxsid) from toxval_raw", "registry_raw", "toxval_raw")
 def table_stats(s: SparkSession, d: str) -> DataFrame:
     return V.table_stats(view(s, d, "toxval_raw"), view(s, d, "registry_raw"))
@@ -420,7 +444,7 @@ _DUCK_PHRASES = "phrases as (select * from (values " + ", ".join(f"('{c}', '{p}'
 
 
 def statement_codes(s: SparkSession, d: str) -> DataFrame:
-    t = view(s, d, "ghs_text").filter("kind <> 'S'")
+    t = view(s, d, "ghs_text").filter("kind in ('H', 'P')")
     return A.codes(t, "p_partkey", "kind", "txt", F.col("item"))
 
 
@@ -429,7 +453,7 @@ def extract_ghs(s: SparkSession, d: str) -> DataFrame:
     return statement_codes(s, d).select("p_partkey", "kind", "code")
 
 
-@query(f"also {_DUCK_CODES}, {_DUCK_PHRASES} select c.p_partkey, c.code, coalesce(p.phrase, concat(c.code, ': (phrase not found)')) as phrase, case when p.phrase is null then concat(c.code, ': (phrase not found)') else concat(c.code, ': ', p.phrase) end as line from codes c left join phrases p on p.code = c.code", "ghs_text")
+@query(f"also {_DUCK_CODES}, {_DUCK_PHRASES} select c.p_partkey, c.code, coalesce(p.phrase, concat(c.code, ': (phrase not found)')) as phrase, concat(c.code, ': ', coalesce(p.phrase, concat(c.code, ': (phrase not found)'))) as line from codes c left join phrases p on p.code = c.code", "ghs_text")
 def expand_ghs_phrases(s: SparkSession, d: str) -> DataFrame:
     return G.expand(statement_codes(s, d)).select("p_partkey", "code", "phrase", "line")
 
@@ -457,8 +481,8 @@ def shown_signal_words(s: SparkSession, d: str) -> DataFrame:
 # Annotation documents.
 
 _DUCK_ITEMS = """items as (select k as doc_id, type as name, value as text, 'Toxicity' as heading, case when ordinal = 1 then 'Toxicity' else '' end as own_heading from tox_text
-    union all select cast(floor(p_partkey / 2.0) as bigint), case kind when 'H' then 'GHS Hazard Statements' when 'P' then 'Precautionary Statement Codes' else 'Signal' end, txt, 'GHS Classification', 'GHS Classification' from ghs_text where p_partkey % 2 = 0
-    union all select cast(floor(p_partkey / 2.0) as bigint), name, txt, 'Experimental', 'Experimental' from metric_text where p_partkey % 2 = 0)"""
+    union all select cast(floor(p_partkey / 2.0) as bigint), case kind when 'H' then 'GHS Hazard Statements' when 'P' then 'Precautionary Statement Codes' when 'S' then 'Signal' else 'Pictogram(s)' end, txt, 'GHS Classification', 'GHS Classification' from ghs_text
+    union all select cast(floor(p_partkey / 2.0) as bigint), name, txt, 'Experimental', 'Experimental' from metric_text)"""
 _ITEM_VIEWS = ("tox_text", "ghs_text", "metric_text")
 
 
@@ -477,20 +501,27 @@ def annotation_urls(s: SparkSession, d: str) -> DataFrame:
     return items(s, d).filter("not overflow").select("doc_id", F.explode(A.urls(F.col("raw"))).alias("url"))
 
 
-@query("also " + _DUCK_CODES + " select cast(floor(p_partkey / 2.0) as bigint) as doc_id, kind, code from codes where p_partkey % 2 = 0", "ghs_text")
+@query("also " + _DUCK_CODES + " select distinct cast(floor(p_partkey / 2.0) as bigint) as doc_id, kind, code from codes", "ghs_text")
 def document_statements(s: SparkSession, d: str) -> DataFrame:
     return A.statements(items(s, d)).select("doc_id", "kind", "code")
 
 
-@query("select cast(floor(p_partkey / 2.0) as bigint) as doc_id, txt as signal_word from ghs_text where kind = 'S' and p_partkey % 2 = 0", "ghs_text")
+@query("select cast(floor(p_partkey / 2.0) as bigint) as doc_id, arg_max(txt, p_partkey) as signal_word from ghs_text where kind = 'S' group by 1", "ghs_text")
 def document_signal_words(s: SparkSession, d: str) -> DataFrame:
     return A.signal_words(items(s, d))
 
 
+@query("select k as doc_id, row_number() over (partition by k order by spot) as place, txt as pictogram from (select cast(floor(p_partkey / 2.0) as bigint) as k, txt, min(p_partkey) as spot from ghs_text where kind = 'G' group by 1, 2) g", "ghs_text")
+def document_pictograms(s: SparkSession, d: str) -> DataFrame:
+    """Names of each chemical's pictograms in document order."""
+    lists = D.ordered(A.pictograms(items(s, d)), "doc_id", "pictogram", "at", "names")
+    return lists.select("doc_id", F.posexplode("names").alias("pos", "pictogram")).select("doc_id", (F.col("pos") + 1).cast("long").alias("place"), "pictogram")
+
+
 _DUCK_METRICS = "case name when 'Flash Point' then 'flash_point' when 'Vapor Pressure' then 'vapor_pressure' when 'NFPA Health Rating' then 'nfpa' when 'IARC Carcinogens' then 'iarc' else 'prop65' end"
 
 
-@query(f"select distinct cast(floor(p_partkey / 2.0) as bigint) as doc_id, {_DUCK_METRICS} as metric, txt as text from metric_text where p_partkey % 2 = 0", "metric_text")
+@query(f"select distinct cast(floor(p_partkey / 2.0) as bigint) as doc_id, {_DUCK_METRICS} as metric, txt as text from metric_text", "metric_text")
 def extract_hazard_metrics(s: SparkSession, d: str) -> DataFrame:
     return A.metrics(items(s, d)).select("doc_id", "metric", "text")
 
@@ -538,13 +569,13 @@ def complete_endpoints(s: SparkSession, d: str) -> DataFrame:
 
 def metric_lists(s: SparkSession, d: str) -> DataFrame:
     """(k, flash_point, vapor_pressure) lists of each compound's metrics."""
-    m = view(s, d, "metric_text").filter("p_partkey % 2 = 0").withColumn("k", F.floor(F.col("p_partkey") / 2).cast("long"))
-    flash = D.ordered(m.filter("name = 'Flash Point'"), "k", "txt", "item", "flash_point")
-    return flash.join(D.ordered(m.filter("name = 'Vapor Pressure'"), "k", "txt", "item", "vapor_pressure"), "k", "full")
+    m = of_chemical(view(s, d, "metric_text"))
+    flash = D.ordered(m.filter("name = 'Flash Point'"), "k", "txt", "at", "flash_point")
+    return flash.join(D.ordered(m.filter("name = 'Vapor Pressure'"), "k", "txt", "at", "vapor_pressure"), "k", "full")
 
 
 _DUCK_LISTS = """lists as (select k, string_agg(txt, ' | ' order by spot) filter (name = 'Flash Point') as fp, string_agg(txt, ' | ' order by spot) filter (name = 'Vapor Pressure') as vp, count(*) filter (name = 'Flash Point') as nf, count(*) filter (name = 'Vapor Pressure') as nv
-    from (select cast(floor(p_partkey / 2.0) as bigint) as k, name, txt, min(item) as spot from metric_text where p_partkey % 2 = 0 group by 1, 2, 3) m group by k)"""
+    from (select cast(floor(p_partkey / 2.0) as bigint) as k, name, txt, min(row(p_partkey, item)) as spot from metric_text group by 1, 2, 3) m group by k)"""
 
 
 @query(
@@ -562,13 +593,18 @@ def registry_sections(s: SparkSession, d: str) -> DataFrame:
     return R.sections(registry_merged(s, d))
 
 
+def chemical_key(s: SparkSession, d: str) -> DataFrame:
+    """(cas, k): the registry number of every chemical."""
+    return view(s, d, "registry_raw").select(F.col("casrn").alias("cas"), "k").distinct()
+
+
 def dossiers(s: SparkSession, d: str) -> DataFrame:
     """One row for each registry chemical with its compound, statements, metrics and aquatic summary; facets may be missing."""
     base = registry_merged(s, d).select("cas", "dtxsid", "preferred_name")
-    key = view(s, d, "registry_raw").filter("row_idx % 2 = 0").select(F.col("casrn").alias("cas"), "k")
+    key = chemical_key(s, d)
     cid = D.resolve(base.select("cas", F.lit("cas").alias("kind"), F.col("cas").alias("query")), view(s, d, "xref"), "kind").select("cas", "cid")
     compound = D.compounds(view(s, d, "compound"))
-    codes = statement_codes(s, d).filter("p_partkey % 2 = 0").withColumn("k", F.floor(F.col("p_partkey") / 2).cast("long")).withColumn("place", F.struct("at", "code"))
+    codes = statement_codes(s, d).withColumns({"k": F.floor(F.col("p_partkey") / 2).cast("long"), "place": F.struct("p_partkey", "at", "code")})
     h = D.ordered(codes.filter("kind = 'H'"), "k", "code", "place", "h_codes")
     p = D.ordered(codes.filter("kind = 'P'"), "k", "code", "place", "p_codes")
     eco = E.ecotox_summary(view(s, d, "tox_text"), "k", "ordinal").select("k", "lc50", "ec50")
@@ -578,7 +614,7 @@ def dossiers(s: SparkSession, d: str) -> DataFrame:
     return full.join(compound, "cid", "left").join(tox, "dtxsid", "left").withColumns({"n_toxvals": F.coalesce("n_toxvals", F.lit(0)).cast("long"), "has_toxvals": F.col("n_toxvals").isNotNull()})
 
 
-_DUCK_DOSSIER = _MERGED + """, keyed as (select m.*, r.k from merged m left join (select casrn, k from registry_raw where row_idx % 2 = 0) r on r.casrn = m.cas), ids as (select identifier, arg_min(cid, row(ordinal, cid)) as cid from xref where identifier_type = 'cas' group by 1),
+_DUCK_DOSSIER = _MERGED + """, keyed as (select m.*, r.k from merged m left join (select distinct casrn, k from registry_raw) r on r.casrn = m.cas), ids as (select identifier, arg_min(cid, row(ordinal, cid)) as cid from xref where identifier_type = 'cas' group by 1),
     tox as (select dtxsid, count(*) as n from toxval_raw group by 1)"""
 
 
@@ -588,17 +624,21 @@ def assemble_dossier(s: SparkSession, d: str) -> DataFrame:
 
 
 def report_endpoints(s: SparkSession, d: str) -> DataFrame:
-    key = view(s, d, "registry_raw").filter("row_idx % 2 = 0").select(F.col("casrn").alias("cas"), "k")
-    return mined(s, d).join(key, "k")
+    return mined(s, d).join(chemical_key(s, d), "k")
+
+
+_DUCK_TOLD = r"""seen as (select cast(floor(p_partkey / 2.0) as bigint) as k, kind, trim(regexp_replace(c[pos], '\s*\([^)]+\)', '', 'g')) as code, min(row(p_partkey, item, pos)) as spot from (select *, unnest(range(1, len(c) + 1)) as pos
+    from (select *, case kind when 'H' then regexp_extract_all(txt, 'H\d+(?:\+\d+)?(?:\s*\([^)]+\))?') else regexp_extract_all(txt, 'P\d+(?:\+\d+)?(?:\s*\([^)]+\))?') end as c from ghs_text where kind in ('H', 'P')) t) u group by 1, 2, 3),
+    told as (select k, string_agg(code, ' | ' order by spot) filter (kind = 'H') as h, string_agg(code, ' | ' order by spot) filter (kind = 'P') as p, string_agg(code, ' | ' order by spot) filter (code like 'H4%') as a from seen group by k)"""
+_DUCK_AQUATIC = _DUCK_ECO + ", doses as (select k, arg_min(value_num, ordinal) filter (value_num <> 0 and not coalesce(starts_with(endpoint, 'EC'), false)) as lc50, arg_max(value_num, ordinal) filter (value_num is not null and starts_with(endpoint, 'EC')) as ec50 from eco group by k)"
 
 
-@query(f"also {_DUCK_DOSSIER}, {_DUCK_MINED} select m.cas as \"CAS\", coalesce(m.dtxsid, '') as \"DTXSID\", coalesce(c.formula, '') as \"Formula\", coalesce(printf('%.2f', c.mw), '') as \"MW\", coalesce(e.ordinal, 0) as \"Row\", coalesce(e.route, '') as \"Exposure_Pathway\", coalesce(e.species, '') as \"Species\", trim(coalesce(e.type, '')) as \"Endpoint\", coalesce(e.value, '') as \"Value\", coalesce(e.unit, '') as \"Unit\" from keyed m left join ids i on i.identifier = m.cas left join compound c on c.cid = i.cid left join mined e on e.k = m.k", "registry_raw", "xref", "compound", "toxval_raw", "tox_text")
+@query(f"also {_DUCK_DOSSIER}, {_DUCK_LISTS}, {_DUCK_TOLD}, {_DUCK_AQUATIC}, {_DUCK_MINED} select m.cas as \"CAS\", coalesce(m.dtxsid, '') as \"DTXSID\", coalesce(m.preferred_name, '') as \"Preferred_Name\", coalesce(c.iupac_name, '') as \"IUPAC_Name\", coalesce(replace(l.fp, ' | ', '; '), '') as \"Flash_Point\", coalesce(replace(l.vp, ' | ', '; '), '') as \"Vapor_Pressure\", coalesce(h.h, '') as \"GHS_H\", coalesce(h.p, '') as \"GHS_P\", coalesce(h.a, '') as \"Aquatic_H\", x.lc50 as \"Aquatic_LC50_mg_L\", x.ec50 as \"Aquatic_EC50_mg_L\", coalesce(c.formula, '') as \"Formula\", coalesce(printf('%.2f', c.mw), '') as \"MW\", coalesce(e.ordinal, 0) as \"Row\", coalesce(e.route, '') as \"Exposure_Pathway\", coalesce(e.species, '') as \"Species\", trim(coalesce(e.type, '')) as \"Endpoint\", coalesce(e.value, '') as \"Value\", coalesce(e.unit, '') as \"Unit\" from keyed m left join ids i on i.identifier = m.cas left join compound c on c.cid = i.cid left join mined e on e.k = m.k left join lists l on l.k = m.k left join told h on h.k = m.k left join doses x on x.k = m.k", "registry_raw", "xref", "compound", "toxval_raw", "tox_text", "metric_text", "ghs_text")
 def report_csv(s: SparkSession, d: str) -> DataFrame:
-    return D.report_csv(dossiers(s, d), report_endpoints(s, d)).select("CAS", "DTXSID", "Formula", "MW", "Row", "Exposure_Pathway", "Species", "Endpoint", "Value", "Unit")
+    return D.report_csv(dossiers(s, d), report_endpoints(s, d))
 
 
 @query()
 def report_json(s: SparkSession, d: str) -> DataFrame:
-    key = view(s, d, "registry_raw").filter("row_idx % 2 = 0").select(F.col("casrn").alias("cas"), "k")
-    entries = E.ecotox_entries(view(s, d, "tox_text")).join(key, "k")
+    entries = E.ecotox_entries(view(s, d, "tox_text")).join(chemical_key(s, d), "k")
     return D.report_json(dossiers(s, d), report_endpoints(s, d), entries, "cas", "2024-01-01T00:00:00")

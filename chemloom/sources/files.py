@@ -22,6 +22,8 @@ def scratch(spark: SparkSession) -> str:
     sc = spark.sparkContext
     folder = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not folder:
+        if sc.master != "local" and not sc.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
         folder = sc.getCheckpointDir()
     return f"{folder.rstrip('/')}/chemloom-{uuid.uuid4().hex}"
@@ -45,9 +47,9 @@ def scan_csv(spark: SparkSession, path: str, order: bool = True) -> DataFrame:
     """A CSV file, every column text, nothing read as null; rows that don't fit keep their line in _corrupt_record.
 
     Adds src_file and row_idx, which order the rows as the file has them."""
-    columns = spark.read.option("header", True).option("quote", '"').option("escape", '"').csv(path).columns
+    columns = spark.read.option("header", True).option("multiLine", True).option("quote", '"').option("escape", '"').csv(path).columns
     schema = ST.StructType([ST.StructField(c, ST.StringType()) for c in [*columns, CORRUPT]])
-    df = spark.read.schema(schema).option("header", True).option("quote", '"').option("escape", '"').option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT).option("nullValue", "\x00").option("emptyValue", "").csv(path)
+    df = spark.read.schema(schema).option("header", True).option("quote", '"').option("escape", '"').option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT).option("multiLine", True).option("nullValue", "\x00").option("emptyValue", "").csv(path)
     df = df.withColumn("src_file", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1))
     return df.withColumn("row_idx", F.monotonically_increasing_id()) if order else df
 

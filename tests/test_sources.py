@@ -21,14 +21,15 @@ def test_folder_of_csv(spark, tmp_path):
     (tmp_path / "b.csv").write_text("CAS,Preferred Name\n67-64-1,later\n")
     (tmp_path / "c.csv").write_text("version https://git-lfs.github.com/spec/v1\noid sha256:0\nsize 1\n")
     (tmp_path / "d.csv").write_text("other\n1\n")
+    (tmp_path / "f.csv").write_text('CAS,NAME\n50-00-0,"two\nlines"\n')
     (tmp_path / "e.csv").write_text("CASRN,DTXSID\n71-43-2,D3\n1,2,3,4\n")
-    assert [r["path"][-5:] for r in files.discover(spark, str(tmp_path)).collect()] == ["a.csv", "b.csv", "c.csv", "d.csv", "e.csv"]
+    assert [r["path"][-5:] for r in files.discover(spark, str(tmp_path)).collect()] == ["a.csv", "b.csv", "c.csv", "d.csv", "e.csv", "f.csv"]
     registry, rejects = files.load_registry(spark, str(tmp_path))
     merged = R.merge_registry(R.scrub_nulls(registry, R.FIELDS), ["src_file", "row_idx"])
     got = {r["cas"]: (r["dtxsid"], r["preferred_name"]) for r in merged.collect()}
-    assert got == {"67-64-1": ("D1", 'a, "b"'), "64-17-5": (None, "x"), "71-43-2": ("D3", None)}
+    assert got == {"67-64-1": ("D1", 'a, "b"'), "64-17-5": (None, "x"), "71-43-2": ("D3", None), "50-00-0": (None, "two\nlines")}
     assert sorted((r["src_file"], r["reason"]) for r in rejects.collect()) == [("d.csv", "no registry number"), ("e.csv", "line")]
-    assert files.write_registry(merged, str(tmp_path / "out")).count() == 3
+    assert files.write_registry(merged, str(tmp_path / "out")).count() == 4
     mapped = files.write_mapping(registry, str(tmp_path / "map"), ["src_file", "row_idx"])
     assert {r["CASRN"]: r["DTXSID"] for r in mapped.collect()}["67-64-1"] == "D1"
 
@@ -36,8 +37,12 @@ def test_folder_of_csv(spark, tmp_path):
 def test_workbooks(spark, tmp_path):
     book(tmp_path / "x.xlsx")
     (tmp_path / "y.xls").write_text("old")
+    with zipfile.ZipFile(tmp_path / "x.xlsx") as z, zipfile.ZipFile(tmp_path / "z.xlsx", "w") as broken:
+        for n in z.namelist():
+            broken.writestr(n, z.read(n)[:-30] if n.endswith("s1.xml") else z.read(n))
     got = workbooks.scan(spark, str(tmp_path))
-    assert [r["error"] for r in got.filter("error is not null").collect()] == ["no workbook"]
+    assert sorted((r["src_file"], r["sheet"], r["error"]) for r in got.filter("error is not null").collect()) == [("y.xls", None, "no workbook"), ("z.xlsx", "one", "broken: ParseError")]
+    got = got.filter("src_file = 'x.xlsx'")
     fields = workbooks.columns(got, R.ALIASES).select("sheet", "cas", "dtxsid").orderBy("sheet").collect()
     assert [tuple(r) for r in fields] == [("one", "67-64-1", "DTXSID1"), ("two", "64-17-5", None)]
 
