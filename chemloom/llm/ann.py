@@ -240,7 +240,7 @@ class Graph:
         return state.select("node", "ids")
 
 
-def nearest(vectors: DataFrame, queries: Column, id_col: str = "vec_id", vec_col: str = "embedding", k: int = 20, links: int = 40, leaf: int = 256, trees: int = 8, rounds: int = 2, beam: int = 160, step: int = 40, pool: int = 200, seed: int = 42, settled: float = 0.02) -> DataFrame:
+def nearest(vectors: DataFrame, queries: Column, id_col: str = "vec_id", vec_col: str = "embedding", k: int = 20, links: int = 40, leaf: int = 256, trees: int = 8, rounds: int = 2, beam: int = 160, step: int = 160, pool: int = 200, seed: int = 42, settled: float = 0.02) -> DataFrame:
     """(query_id, rank, id, score): for each query row its k nearest other rows by inner product, nearest first, ties to the
     smaller id. ``queries`` is a condition on the column ``id``.
 
