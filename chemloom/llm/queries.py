@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontam, licenses, mixing, pst, secrets, sharding, simhash, substring, toxicity
-from .common import table
+from . import ann, decontam, licenses, mixing, pst, runs, secrets, sharding, simhash, substring, toxicity
+from .common import SPACE_WORD, table
 
 
 def op1_vector_bin_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,6 +56,27 @@ def op10_licence_paragraph_classifier(spark: SparkSession, sf_dir: str) -> DataF
     return found.withColumnRenamed("id", "doc_id").withColumn("found", F.to_json("found"))
 
 
+def with_periods(docs: DataFrame) -> DataFrame:
+    """documents in which every text whose hash ends in 0 turns periodic at a word that the hash names."""
+    h, w = F.crc32(F.col("doc_id").cast("string").cast("binary")), F.col("_words")
+    n, g = F.size(w), F.floor(h / 10)
+    split = docs.withColumn("_words", F.when(h % 10 == 0, F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(SPACE_WORD), F.lit(0))))
+    split = split.withColumn("_a", F.when(n > 0, g % n)).withColumn("_p", 1 + F.floor((n - F.col("_a")) / (3 + g % 8)))
+    at = lambda x, i: F.when(i < F.col("_a"), x).otherwise(F.get(w, (F.col("_a") + (i - F.col("_a")) % F.col("_p")).cast("int")))
+    return split.select("doc_id", F.when(n > 0, F.array_join(F.transform(w, at), " ")).otherwise(F.col("text")).alias("text"))
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = runs.periodic_runs(with_periods(table(spark, sf_dir, "documents")))
+    top = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("n"), (-r["start"]).alias("s"), (-r["period"]).alias("p"))))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(r["start"].cast("string"), F.lit(","), r["length"].cast("string"), F.lit(","), r["period"].cast("string"), F.lit("\n"))), "")
+    sha = lambda c: F.sha2(c.cast("binary"), 256)
+    return found.withColumn("top", top).select(
+        F.col("id").alias("doc_id"), F.size("runs").cast("long").alias("n_runs"), (-F.col("top.s")).alias("start"), F.col("top.n").alias("length"), (-F.col("top.p")).alias("period"),
+        F.floor(1000 * F.col("top.n") / -F.col("top.p")).alias("exponent_milli"), sha(lines).alias("runs_sha256"), sha(F.col("collapsed")).alias("collapsed_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_vector_bin_packing,
@@ -68,9 +89,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_wu_manber_decontamination,
         op9_tfidf_neighbour_toxicity,
         op10_licence_paragraph_classifier,
+        op11_periodic_runs,
     )
 }
 
+#: CRC-32 of an ASCII text, which DuckDB lacks: bytes, then bits, folded into the remainder.
+DUCK_CRC32 = """xor(4294967295, list_reduce(list_prepend(4294967295::bigint, list_transform(string_split({0}, ''), lambda c: ascii(c)::bigint)),
+            lambda r, c: list_reduce([xor(r, c), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: case when x % 2 = 1 then xor(x // 2, 3988292384) else x // 2 end)))"""
+
 ORACLE_SQL: dict[str, str] = {
     "op2_suffix_tree_substring_dedup": r"""
         with docs as (select row_number() over () as row_no, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
@@ -95,4 +121,18 @@ ORACLE_SQL: dict[str, str] = {
         own as (select row_no, count(*) as k, string_agg(item_id, ',' order by item_id) as names from (select distinct row_no, item_id from hits) x group by row_no)
         select doc_id, cast(len(w) as bigint) as n_words, coalesce(words.k, 0) as n_hit, coalesce(own.k, 0) as n_items, sha256(coalesce(names, '')) as items_sha256,
         coalesce(words.k, 0) > 0 and 20 * coalesce(words.k, 0) >= len(w) as contaminated from docs left join words using (row_no) left join own using (row_no)""",
+    "op11_periodic_runs": r"""
+        with raw as (select row_number() over () as row_no, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w, CRC as h from documents),
+        put as (select *, case when h % 10 = 0 and len(w) > 0 then (h // 10) % len(w) end as a from raw),
+        docs as (select row_no, doc_id, case when a is null then w else list_transform(range(0, len(w)), lambda i: case when i < a then w[i + 1] else w[a + (i - a) % (1 + (len(w) - a) // (3 + (h // 10) % 8)) + 1] end) end as w from put),
+        grams as (select row_no, i, array_to_string(w[i + 1 : i + 6], ' ') as g from (select row_no, w, unnest(range(0, len(w) - 5)) as i from docs where len(w) > 5) x),
+        pairs as (select a.row_no, a.i, b.i - a.i as q from grams a join grams b on a.row_no = b.row_no and a.g = b.g and a.i < b.i),
+        isles as (select row_no, q, min(i) as s, max(i) - min(i) + 6 + q as n from (select *, i - row_number() over (partition by row_no, q order by i) as isle from pairs) x group by row_no, q, isle),
+        runs as (select row_no, s, n, min(q) as q from isles where n >= greatest(12, 2 * q) group by row_no, s, n),
+        words as (select row_no, p, w[p + 1] as word from (select row_no, w, unnest(range(0, len(w))) as p from docs) x),
+        gone as (select distinct row_no, unnest(range(s + q, s + n)) as p from runs),
+        texts as (select row_no, string_agg(word, ' ' order by p) as t from (select * from words anti join gone using (row_no, p)) x group by row_no),
+        best as (select row_no, count(*) as k, string_agg(concat(s, ',', n, ',', q, chr(10)), '' order by s, q) as told, arg_max(row(s, n, q), row(n, -s, -q)) as r from runs group by row_no)
+        select doc_id, coalesce(k, 0) as n_runs, r[1] as start, r[2] as length, r[3] as period, (1000 * r[2]) // r[3] as exponent_milli, sha256(coalesce(told, '')) as runs_sha256, sha256(coalesce(t, '')) as collapsed_sha256
+        from docs left join best using (row_no) left join texts using (row_no)""".replace("CRC", DUCK_CRC32.format("cast(doc_id as varchar)")),
 }
