@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontam, licenses, mixing, pst, runs, secrets, sharding, simhash, substring, toxicity
+from . import ann, decontam, licenses, mixing, pst, repair, runs, secrets, sharding, simhash, substring, toxicity
 from .common import SPACE_WORD, table
 
 
@@ -77,6 +77,23 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def with_faults(rows: DataFrame) -> DataFrame:
+    """conversations with turns dropped, emptied, without stops, repeated or of another role, as a hash of their number says."""
+    blank = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    n = F.crc32(F.concat(blank("conv_id"), F.lit(":"), blank("turn")).cast("binary")) % 20
+    text = F.when(n == 1, "").when(n == 2, F.regexp_replace(blank("text"), "[.!?]", "")).otherwise(blank("text"))
+    times = F.when(n == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    return rows.filter(n != 0).select("conv_id", "turn", F.when(n == 4, "user").otherwise(blank("role")).alias("role"), text.alias("text"), F.explode(times).alias("copy")).drop("copy")
+
+
+def op13_four_russians_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    done = repair.repair(with_faults(rows)).withColumnRenamed("id", "found")
+    whole = rows.select("conv_id").distinct().join(done, F.col("conv_id").eqNullSafe(F.col("found")), "left")
+    counts = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return whole.select("conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_vector_bin_packing,
@@ -90,6 +107,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_tfidf_neighbour_toxicity,
         op10_licence_paragraph_classifier,
         op11_periodic_runs,
+        op13_four_russians_conversation_repair,
     )
 }
 
