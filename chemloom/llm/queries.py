@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontam, licenses, mixing, pst, repair, runs, secrets, sharding, simhash, substring, toxicity
+from . import ann, decontam, licenses, mixing, pst, repair, rules, runs, secrets, sharding, simhash, substring, toxicity
 from .common import SPACE_WORD, table
 
 
@@ -77,6 +77,11 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_risk_controlled_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return judged.select(F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.array_join("broken", ",").alias("broken"))
+
+
 def with_faults(rows: DataFrame) -> DataFrame:
     """conversations with turns dropped, emptied, without stops, repeated or of another role, as a hash of their number says."""
     blank = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
@@ -107,6 +112,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_tfidf_neighbour_toxicity,
         op10_licence_paragraph_classifier,
         op11_periodic_runs,
+        op12_risk_controlled_quality_rules,
         op13_four_russians_conversation_repair,
     )
 }
@@ -115,7 +121,47 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 DUCK_CRC32 = """xor(4294967295, list_reduce(list_prepend(4294967295::bigint, list_transform(string_split({0}, ''), lambda c: ascii(c)::bigint)),
             lambda r, c: list_reduce([xor(r, c), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: case when x % 2 = 1 then xor(x // 2, 3988292384) else x // 2 end)))"""
 
+
+
+def _rules_sql() -> str:
+    """Counts, then a path for each rule on what the mildest cutoffs before it leave, then the binomial test of each level."""
+    names = rules.RULES
+    parts = [r"""
+        with raw as (select row_number() over () as row_no, doc_id, coalesce(lang, '') as stratum, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w, CRC % 2 as fold from documents),
+        wins as (select row_no, i, array_to_string(w[i : i + 2], ' ') as g from (select row_no, w, unnest(range(1, len(w) - 1)) as i from raw where len(w) > 2) x),
+        again as (select row_no, unnest([i, i + 1, i + 2]) as p from (select *, count(*) over (partition by row_no, g) as n from wins) x where n > 1),
+        spots as (select row_no, count(distinct p) as n from again group by row_no),
+        counted as (select raw.*, cast(len(w) as bigint) as n_words, cast(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) as bigint) as word_chars, cast(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) as bigint) as n_symbols,
+            list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as lines, coalesce(spots.n, 0) as n_repeat_words from raw left join spots using (row_no)),
+        full_of as (select *, cast(len(lines) - len(list_distinct(lines)) as bigint) as n_dup_lines, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed from counted),
+        rows_of as (select *, least(64 * n_symbols // greatest(n_words, 1), 1023) as b0, least(64 * n_dup_lines // greatest(len(lines), 1), 1023) as b1, least(64 * n_repeat_words // greatest(n_words, 1), 1023) as b2,
+            least(16 * word_chars // greatest(n_words, 1), 1023) as b3, -least(16 * word_chars // greatest(n_words, 1), 1023) as b4 from full_of),
+        known as (select r.*, good from rows_of r join (select doc_id, min(quality) as good from labels where quality is not null group by doc_id) l using (doc_id) where not base_failed),
+        levels as (select unnest(range(1, LEVELS + 1)) as level, unnest(SHARES) as share),
+        rest0 as (select * from known where fold = 0)"""]
+    for r in range(len(names)):
+        parts.append(f"""
+        sum{r} as (select *, sum(g) over (partition by stratum order by w desc) as cg, sum(b) over (partition by stratum order by w desc) as cb, sum(g) over (partition by stratum) as total
+            from (select stratum, b{r} as w, count(*) filter (good = 1) as g, count(*) filter (good <> 1) as b from rest{r} group by 1, 2) x),
+        way{r} as (select stratum, level, arg_max(w, row(cb, w)) - 1 as cut from sum{r}, levels where cg <= share * total and cg <= cb and cb > 0 group by stratum, level),
+        rest{r + 1} as (select x.* from rest{r} x left join way{r} y on y.stratum = x.stratum and y.level = 1 where not coalesce(x.b{r} > y.cut, false))""")
+    cuts = ", ".join(f"way{r}.cut as c{r}" for r in range(len(names)))
+    joins = " ".join(f"left join way{r} on way{r}.stratum = s.stratum and way{r}.level = l.level" for r in range(len(names)))
+    breaks = " or ".join(f"coalesce(b{r} > c{r}, false)" for r in range(len(names)))
+    parts.append(f"""
+        strata as (select stratum from ({" union ".join(f"select stratum from way{r} where level = {len(rules.LEVELS)}" for r in range(len(names)))}) x),
+        way as (select s.stratum, l.level, {cuts} from strata s cross join levels l {joins}),
+        tests as (select stratum, level, count(*) as n, count(*) filter ({breaks}) as k from known join way using (stratum) where fold = 1 and good = 1 group by 1, 2),
+        chances as (select stratum, level, (select sum(exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln(0.05::double) + (n - j) * ln(0.95::double))) from (select unnest(range(0, k + 1)) as j) x) as p from tests),
+        held as (select stratum, max(level) as level from (select *, max(p) over (partition by stratum order by level) as worst from chances) x where worst <= 0.05::double / (select count(*) from strata) group by stratum),
+        chosen as (select way.* from way join held using (stratum, level))
+        select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and not ({breaks}) as kept,
+        concat_ws(',', {", ".join(f"case when b{r} > c{r} then '{n}' end" for r, n in enumerate(names))}) as broken from rows_of left join chosen using (stratum)""")
+    return ",".join(parts).replace("CRC", DUCK_CRC32.format("cast(doc_id as varchar)")).replace("LEVELS", str(len(rules.LEVELS))).replace("SHARES", "[" + ", ".join(f"{x}::double" for x in rules.LEVELS) + "]")
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op12_risk_controlled_quality_rules": _rules_sql(),
     "op2_suffix_tree_substring_dedup": r"""
         with docs as (select row_number() over () as row_no, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
         windows as (select row_no, unnest(range(1, len(w) - 33)) as i, w from docs where len(w) >= 35),
