@@ -114,14 +114,15 @@ def cutoffs(rows: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_co
     known = rows.filter(~failed()).join(own, "id").select("stratum", "good", badness().alias("worse"), (F.crc32(F.col("id").cast("string").cast("binary")) % 2).alias("fold"))
     known, _ = cut(known)
     rest = known.filter("fold = 0").select("stratum", "good", "worse")
-    sizes, total = rest.groupBy("stratum").agg(F.count("*").alias("n")), rest.count()
-    way = sizes
+    sizes, _ = cut(rest.groupBy("stratum").agg(F.count("*").alias("n")))
+    way, total = sizes, rest.count()
     for r, rule in enumerate(RULES):
         tally = rest.groupBy("stratum", F.col("worse")[r].alias("worse")).agg(F.count_if(F.col("good") == 1).alias("good"), F.count_if(F.col("good") != 1).alias("bad"))
         step, _ = cut(tally.groupBy("stratum").applyInPandas(lambda t: pd.DataFrame({"stratum": [t["stratum"].iloc[0]], "cuts": [path(t)]}), "stratum string, cuts array<int>"))
         way = way.join(step.withColumnRenamed("cuts", rule), "stratum", "left")
-        passed = join_unique(rest, sizes.join(step, "stratum"), ["stratum"], "n", total)
-        rest = passed.filter(~F.coalesce(F.col("worse")[r] > F.col("cuts")[0], F.lit(False))).drop("cuts")
+        if r + 1 < len(RULES):
+            passed = join_unique(rest, sizes.join(step, "stratum"), ["stratum"], "n", total)
+            rest, _ = cut(passed.filter(~F.coalesce(F.col("worse")[r] > F.col("cuts")[0], F.lit(False))).drop("cuts"))
     at = lambda i: F.array(*[F.get(F.col(rule), i) for rule in RULES])
     way = way.filter(F.coalesce(*[F.get(F.col(rule), F.lit(len(LEVELS) - 1)) for rule in RULES]).isNotNull())
     way, _ = cut(way.select("stratum", F.array(*[at(F.lit(i)) for i in range(len(LEVELS))]).alias("path")))
