@@ -2,47 +2,56 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources.landing import land
 
-INFO = "Information: array<struct<Name: string, Value: string>>"
 MARKUP = "array<struct<String: string, Markup: array<struct<URL: string, Extra: string>>>>"
 # Headings whose items are toxicity texts; names and headings of metrics.
 TOX_HEADINGS = "tox|safety|hazard|health|exposure|pharmacokinetics|carcinogen"
 METRICS = {"flash_point": "flash point", "vapor_pressure": "vapor pressure", "nfpa": "nfpa", "iarc": "iarc"}
 
 
-def section_type(depth: int) -> str:
-    """Sections nested ``depth`` times; what is deeper stays text."""
-    inner = "string"
-    for _ in range(depth):
-        inner = f"array<struct<TOCHeading: string, {INFO}, Section: {inner}>>"
-    return inner
-
-
-def flatten(docs: DataFrame, key: str = "doc_id", doc: str = "doc", depth: int = 6) -> DataFrame:
-    """(key, path, info_pos, own_heading, heading, name, raw, overflow): a row for each Information item of the section tree.
+def flatten(docs: DataFrame, key: str = "doc_id", doc: str = "doc", step: int = 4) -> DataFrame:
+    """(key, path, info_pos, own_heading, heading, name, raw): a row for each Information item of the section tree, however deep.
 
     ``path`` holds the section's place at each level; with ``info_pos`` it gives the document order. ``heading`` is the
-    section's own or the nearest above it. Sections deeper than ``depth`` are not read, but a row with overflow tells of them.
-    Documents that are no JSON have no rows. The document is parsed once; each step adds the sections of one more level."""
-    info_type = "array<struct<Name: string, Value: string>>"
-    rows = docs.select(key, F.from_json(F.col(doc), f"Record struct<Section: {section_type(depth)}>")["Record"]["Section"].alias("below"))
-    rows = rows.withColumns({"path": F.array().cast("array<int>"), "own": F.lit(None).cast("string"), "heading": F.lit(None).cast("string"), "info": F.lit(None).cast(info_type)})
-    for d in range(depth):
-        under = section_type(depth - d - 1)
-        child = lambda s, i: F.struct(F.concat("path", F.array(i)).alias("path"), s["TOCHeading"].alias("own"), F.coalesce(T.blank_to_null(s["TOCHeading"]), F.col("heading")).alias("heading"), s["Information"].alias("info"), s["Section"].alias("below"))
-        own = F.array(F.struct("path", "own", "heading", "info", F.lit(None).cast(under).alias("below")))
-        below = F.when(F.col("below").isNotNull(), F.concat(own, F.transform("below", child))).otherwise(own)
-        rows = rows.select(key, F.explode(below).alias("s")).select(key, "s.*")
-    item = lambda x, i: F.struct(i.alias("info_pos"), x["Name"].alias("name"), x["Value"].alias("raw"), F.lit(False).alias("overflow"))
-    none = F.lit(None).cast("string")
-    deeper = F.when(F.col("below") != "[]", F.array(F.struct(F.lit(-1).alias("info_pos"), none.alias("name"), none.alias("raw"), F.lit(True).alias("overflow"))))
-    found = F.array_compact(F.array(F.transform("info", item), deeper))
-    rows = rows.select(key, "path", F.col("own").alias("own_heading"), "heading", F.explode(F.flatten(found)).alias("x"))
-    return rows.select(key, "path", "x.info_pos", "own_heading", "heading", "x.name", "x.raw", "x.overflow")
+    section's own or the nearest above it. Documents that are no JSON, or have no list of sections, have no rows; what is no
+    object where a section or an item should be is left out.
+
+    A document is parsed once, as a VARIANT. A pass goes down ``step`` levels in one stage and lands its items beside the
+    sections it didn't enter; these alone feed the next pass, until there are none. Most documents end in the first."""
+    sections = lambda v, at: F.try_variant_get(v, at, "array<variant>")
+    rows = docs.select(key, sections(F.try_parse_json(doc), "$.Record.Section").alias("below"), F.array().cast("array<int>").alias("path"), F.lit(None).cast("string").alias("heading"))
+    passes = []
+    while True:
+        landed = land(_descend(rows.filter(F.size("below") > 0), key, step, sections))
+        passes.append(landed.filter("info_pos >= 0").drop("below"))
+        rows = landed.filter("info_pos < 0").select(key, "below", "path", "heading")
+        if rows.isEmpty():
+            return reduce(DataFrame.unionByName, passes)
+
+
+def _descend(rows: DataFrame, key: str, step: int, sections: Callable[[Column, str], Column]) -> DataFrame:
+    """Items of the next ``step`` levels under rows(key, path, heading, below), and a row at -1 for each section with more below it."""
+    none = F.lit(None)
+    rows = rows.withColumns({"own": none.cast("string"), "info": none.cast("array<variant>")})
+    for _ in range(step):
+        named = lambda s: F.try_variant_get(s, "$.TOCHeading", "string")
+        child = lambda s, i: F.struct(F.concat("path", F.array(i)).alias("path"), named(s).alias("own"), F.coalesce(T.blank_to_null(named(s)), F.col("heading")).alias("heading"), sections(s, "$.Information").alias("info"), sections(s, "$.Section").alias("below"))
+        own = F.array(F.struct("path", "own", "heading", "info", none.cast("array<variant>").alias("below")))
+        rows = rows.select(key, F.explode(F.concat(own, F.coalesce(F.transform("below", child), F.array().cast("array<struct<path: array<int>, own: string, heading: string, info: array<variant>, below: array<variant>>>")))).alias("s"))
+        rows = rows.select(key, "s.*")
+    is_item = lambda x: F.coalesce(F.startswith(F.schema_of_variant(x), F.lit("OBJECT")), F.lit(False))
+    item = lambda x, i: F.struct(i.alias("info_pos"), F.try_variant_get(x, "$.Name", "string").alias("name"), F.try_variant_get(x, "$.Value", "string").alias("raw"), is_item(x).alias("fits"), none.cast("array<variant>").alias("below"))
+    deeper = F.when(F.size("below") > 0, F.array(F.struct(F.lit(-1).alias("info_pos"), none.cast("string").alias("name"), none.cast("string").alias("raw"), F.lit(True).alias("fits"), "below")))
+    found = rows.select(key, "path", F.col("own").alias("own_heading"), "heading", F.explode(F.flatten(F.array_compact(F.array(F.transform("info", item), deeper)))).alias("x")).filter("x.fits")
+    return found.select(key, "path", "x.info_pos", "own_heading", "heading", "x.name", "x.raw", "x.below")
 
 
 def _markup(raw: Column) -> Column:

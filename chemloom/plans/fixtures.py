@@ -48,6 +48,9 @@ VIEWS = {
         union all select 'name', p_name, 1000 + cast(floor(p_partkey / 2.0) as bigint), cast(floor(p_partkey / 2.0) as bigint) from part where p_partkey % 2 = 0""",
     "queries": """select row_idx, case row_idx % 5 when 0 then casrn when 1 then replace(casrn, '-', '') when 2 then concat('  ', casrn, ' ')
         when 3 then concat(casrn, ' (', preferred_name, ')') else concat('name ', cast(row_idx as string)) end as query from registry_raw""",
+    "deep_docs": """select k as doc_id, concat('{"Record":{"Section":[{"TOCHeading":"', name, '"},', repeat('{"TOCHeading":"Level","Information":[{"Name":"n","Value":1},{"Name":"m"}],"Section":[{"TOCHeading":"","Information":[{"Value":{"StringWithMarkup":[{"String":"s"}]}}]},', d),
+        '{"TOCHeading":"Leaf","Information":[{"Name":"leaf","Value":"', name, '"}],"Section":[]}', repeat(']}', d), ']}}') as doc from (
+        select cast(floor(p_partkey / 2.0) as bigint) as k, cast(1 + p_size % 16 as int) as d, p_name as name from part where p_partkey % 2 = 0) p""",
     "metric_text": """select p_partkey, item, name, txt from (
         select p_partkey, 1 as item, 'Flash Point' as name, concat(cast(p_size as string), ' °C') as txt from part
         union all select p_partkey, 2, 'Flash Point', concat(cast(p_size as string), ' °C') from part where p_partkey % 2 = 0
@@ -91,4 +94,5 @@ def with_views(sql: str, *names: str) -> str:
 
     for n in names:
         add(n)
-    return "with " + ",\n".join(f"{n} as ({VIEWS[n]})" for n in order) + ("," if sql.lstrip().startswith("also ") else "") + "\n" + sql.lstrip().removeprefix("also ")
+    sql, recursive = (sql.replace("also recursive ", "also ", 1), "recursive ") if sql.startswith("also recursive ") else (sql, "")
+    return f"with {recursive}" + ",\n".join(f"{n} as ({VIEWS[n]})" for n in order) + ("," if sql.lstrip().startswith("also ") else "") + "\n" + sql.lstrip().removeprefix("also ")

@@ -91,7 +91,7 @@ def documents(s: SparkSession, d: str) -> DataFrame:
 
 
 def items(s: SparkSession, d: str) -> DataFrame:
-    return A.flatten(documents(s, d), depth=4)
+    return A.flatten(documents(s, d))
 
 
 # Sources.
@@ -488,17 +488,30 @@ _ITEM_VIEWS = ("tox_text", "ghs_text", "metric_text")
 
 @query("also " + _DUCK_ITEMS + " select doc_id, own_heading, heading, name from items", *_ITEM_VIEWS)
 def flatten_annotations(s: SparkSession, d: str) -> DataFrame:
-    return items(s, d).filter("not overflow").select("doc_id", "own_heading", "heading", "name")
+    return items(s, d).select("doc_id", "own_heading", "heading", "name")
+
+
+@query(
+    """also recursive walk as (select doc_id, cast(i as varchar) as path, json_extract(doc, concat('$.Record.Section[', i, ']')) as node, nullif(json_extract_string(doc, concat('$.Record.Section[', i, '].TOCHeading')), '') as heading
+    from (select *, unnest(range(cast(json_array_length(doc, '$.Record.Section') as bigint))) as i from deep_docs) r
+    union all select doc_id, concat(path, '.', i), json_extract(node, concat('$.Section[', i, ']')), coalesce(nullif(json_extract_string(node, concat('$.Section[', i, '].TOCHeading')), ''), heading) from (select *, unnest(range(cast(json_array_length(node, '$.Section') as bigint))) as i from walk) w)
+    select doc_id, path, cast(i as int) as info_pos, node ->> '$.TOCHeading' as own_heading, heading, node ->> concat('$.Information[', i, '].Name') as name, node ->> concat('$.Information[', i, '].Value') as raw
+    from (select *, unnest(range(cast(json_array_length(node, '$.Information') as bigint))) as i from walk) x""",
+    "deep_docs",
+)
+def flatten_deep_annotations(s: SparkSession, d: str) -> DataFrame:
+    """Documents of up to 17 levels, every item with its place."""
+    return A.flatten(view(s, d, "deep_docs")).withColumn("path", F.array_join(F.col("path").cast("array<string>"), "."))
 
 
 @query("also " + _DUCK_ITEMS + " select doc_id, name, trim(text) as text from items", *_ITEM_VIEWS)
 def annotation_text(s: SparkSession, d: str) -> DataFrame:
-    return items(s, d).filter("not overflow").select("doc_id", "name", A.text(F.col("raw")).alias("text"))
+    return items(s, d).select("doc_id", "name", A.text(F.col("raw")).alias("text"))
 
 
 @query("also " + _DUCK_ITEMS + " select doc_id, concat('https://example.org/', md5(text)) as url from items", *_ITEM_VIEWS)
 def annotation_urls(s: SparkSession, d: str) -> DataFrame:
-    return items(s, d).filter("not overflow").select("doc_id", F.explode(A.urls(F.col("raw"))).alias("url"))
+    return items(s, d).select("doc_id", F.explode(A.urls(F.col("raw"))).alias("url"))
 
 
 @query("also " + _DUCK_CODES + " select distinct cast(floor(p_partkey / 2.0) as bigint) as doc_id, kind, code from codes", "ghs_text")

@@ -2,33 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as ST
 
 from ..operators import registry as R
 from ..operators import toxvals as V
+from .landing import scratch  # noqa: F401
 
 CORRUPT = "_corrupt_record"
 # What a placeholder of a large-file store says in its first bytes.
 PLACEHOLDER = ["git-lfs", "oid sha256"]
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new path in the folder that driver and executors share; a temporary one where the session names none (tests)."""
-    sc = spark.sparkContext
-    folder = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not folder:
-        if sc.master != "local" and not sc.master.startswith("local["):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
-        folder = sc.getCheckpointDir()
-    return f"{folder.rstrip('/')}/chemloom-{uuid.uuid4().hex}"
-
-
 def discover(spark: SparkSession, folder: str, suffixes: tuple[str, ...] = ("csv", "xlsx", "xls")) -> DataFrame:
     """(path, length) of a folder's files with one of the suffixes, in the order of their names; contents aren't read."""
     found = spark.read.format("binaryFile").option("pathGlobFilter", f"*.{{{','.join(suffixes)}}}").load(folder)

@@ -1,5 +1,7 @@
 """Operators of the chemical domain on literal inputs."""
 
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -113,8 +115,36 @@ def test_payload_forms(spark):
     assert got == [("genotoxicity", 0.0), ("neurotoxicity", 2.0)]
 
 
-def test_flatten_order_headings_and_overflow(spark):
-    doc = '{"Record":{"Section":[{"TOCHeading":"Toxicity","Information":[{"Name":"a","Value":"x"}],"Section":[{"Information":[{"Name":"b","Value":{"StringWithMarkup":{"String":" y "}}}],"Section":[{"TOCHeading":"Deep","Section":[{"TOCHeading":"Deeper"}]}]}]}]}}'
-    items = A.flatten(spark.createDataFrame([(1, doc), (2, "bad"), (3, None)], "doc_id int, doc string"), depth=3)
-    got = items.withColumn("text", A.text(F.col("raw"))).orderBy("path", "info_pos").collect()
-    assert [(r["path"], r["heading"], r["name"], r["text"], r["overflow"]) for r in got] == [([0], "Toxicity", "a", "x", False), ([0, 0], "Toxicity", "b", "y", False), ([0, 0, 0], "Deep", None, None, True)]
+def walk(sections, path=(), heading=None):
+    """Items of nested sections, one section after the other."""
+    for i, s in enumerate(sections or []):
+        if isinstance(s, dict):
+            own = s.get("TOCHeading") or heading
+            for j, x in enumerate(s.get("Information") or []):
+                if isinstance(x, dict):
+                    yield [*path, i], j, s.get("TOCHeading"), own, x.get("Name"), x.get("Value")
+            yield from walk(s.get("Section"), (*path, i), own)
+
+
+def nested(levels):
+    doc = [{"TOCHeading": f"H{levels}", "Information": [{"Name": "leaf", "Value": "x"}, "no item", None]}]
+    for d in range(levels - 1, 0, -1):
+        doc = [5, {"TOCHeading": f"H{d}" if d % 3 else "", "Information": [{"Name": f"n{d}", "Value": f"v{d}"}, {"Value": None}], "Section": doc}, {"Section": [{"Information": [{"Name": "side"}]}]}]
+    return doc
+
+
+@pytest.mark.parametrize("step", [1, 4, 30])
+def test_flatten_any_depth(spark, step):
+    docs = {k: nested(levels) for k, levels in ((1, 1), (2, 4), (3, 5), (12, 12), (40, 40))}
+    rows = [(k, json.dumps({"Record": {"Section": d}})) for k, d in docs.items()] + [(2, "bad"), (3, None), (4, "[]"), (5, '{"Record":{"Section":{}}}'), (6, '{"Record":{"Section":[]}}'), (12, json.dumps({"Record": {"Section": docs[2]}}))]
+    items = A.flatten(spark.createDataFrame(rows, "doc_id int, doc string"), step=step)
+    assert items.columns == ["doc_id", "path", "info_pos", "own_heading", "heading", "name", "raw"]
+    want = [(k, *x) for k, d in [*docs.items(), (12, docs[2])] for x in walk(d)]
+    assert sorted(map(str, map(tuple, items.collect()))) == sorted(map(str, want))
+    assert A.flatten(spark.createDataFrame([], "doc_id int, doc string")).collect() == []
+
+
+def test_values_as_text(spark):
+    doc = '{"Record":{"Section":[{"TOCHeading":"T","Information":[{"Name":"a","Value":"x"},{"Name":"b","Value":{"StringWithMarkup":{"String":" y "}}},{"Name":"c","Value":2.5}]}]}}'
+    items = A.flatten(spark.createDataFrame([(1, doc)], "doc_id int, doc string"))
+    assert [tuple(r) for r in items.select("name", A.text(F.col("raw")).alias("t")).orderBy("info_pos").collect()] == [("a", "x"), ("b", "y"), ("c", "2.5")]
