@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .text import strip
 
 FORM = r"^\d{1,9}-\d{2}-\d$"
+STATUSES = ["valid", "bad_check", "bad_format"]
 
 
 def is_cas(c: Column) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import blank_to_null, number, strip, study_category
@@ -27,6 +27,32 @@ def union_sheets(frames: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 
+def union_rows(rows: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """rows(header array, cells array, ...) of any number of sheets under one set of columns: those given, or all headers in the order
+    of their names, which takes a pass. A cell is that of the first header of the name; a sheet without it has null. The plan has
+    one scan and a column for each header, however many sheets there are."""
+    if columns is None:
+        columns = [r["h"] for r in rows.select(F.explode("header").alias("h")).distinct().orderBy("h").collect()]
+    at = lambda c: F.get("cells", F.nullif(F.array_position("header", c), F.lit(0)).cast("int") - 1)
+    return rows.select(*[c for c in rows.columns if c not in ("header", "cells")], *[at(c).alias(c) for c in columns])
+
+
+def sketches(df: DataFrame, by: str, column: str) -> DataFrame:
+    """(name, rows, sketch): for each load its rows and a HyperLogLog sketch of the column's distinct values, some 4 KB; null
+    isn't counted. Kept with the load, it is never computed from the rows again."""
+    return df.groupBy(F.col(by).alias("name")).agg(F.count("*").alias("rows"), F.hll_sketch_agg(column, F.lit(12)).alias("sketch"))
+
+
+def merged_sketches(kept: DataFrame, name: Column) -> DataFrame:
+    """Sketches of loads put together under new names; the order and the grouping of unions don't change the counts much."""
+    return kept.groupBy(name).agg(F.sum("rows").alias("rows"), F.hll_union_agg("sketch").alias("sketch"))
+
+
+def sketch_counts(kept: DataFrame) -> DataFrame:
+    """(name, rows, chemicals): about how many distinct values each sketch has seen; the standard error is 1.6 %."""
+    return kept.select("name", "rows", F.hll_sketch_estimate("sketch").alias("chemicals"))
+
+
 def toxvals_of(queries: DataFrame, toxvals: DataFrame, numeric: bool = False) -> DataFrame:
     """queries(dtxsid, ...) with all their toxicity rows; ids that don't start DTXSID have none."""
     asked = queries.filter(F.startswith(F.upper(strip(F.col("dtxsid"))), F.lit("DTXSID")))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -15,7 +16,8 @@ from ..operators import endpoints as E
 from ..operators import ghs as G
 from ..operators import registry as R
 from ..operators import toxvals as V
-from ..sources import files, workbooks
+from ..sources import files, tables, workbooks
+from ..sources.landing import land, scratch
 from .fixtures import view, with_views
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -129,7 +131,7 @@ def scan_tables(s: SparkSession, d: str) -> DataFrame:
 @query("select casrn, dtxsid, preferred_name, molecular_formula, average_mass, count(*) as n from registry_raw group by all", "registry_raw")
 def scan_registry_csv(s: SparkSession, d: str) -> DataFrame:
     """The registry written as CSV files and scanned as text: nothing, not even 'nan' or an empty name, is read as null."""
-    path = files.scratch(s)
+    path = scratch(s)
     names = ["casrn", "dtxsid", "preferred_name", "molecular_formula", "average_mass"]
     view(s, d, "registry_raw").select(*names).write.option("header", True).option("emptyValue", "").csv(path)
     found = files.scan_csv(s, path)
@@ -139,18 +141,46 @@ def scan_registry_csv(s: SparkSession, d: str) -> DataFrame:
 @query("select distinct k as doc_id from tox_text union select cast(floor(p_partkey / 2.0) as bigint) from part", "tox_text")
 def scan_annotations(s: SparkSession, d: str) -> DataFrame:
     """Annotation documents landed as JSON lines and read back; each parses to a tree with sections."""
-    path = files.scratch(s)
+    path = scratch(s)
     documents(s, d).write.json(path)
     landed = s.read.schema("doc_id bigint, doc string").json(path)
     return landed.filter(F.get_json_object("doc", "$.Record.Section[0].TOCHeading").isNotNull()).select("doc_id")
 
 
-@query("select src_file, cast(row_number() over (partition by src_file order by row_idx) - 1 as bigint) as row_idx, casrn as cas, dtxsid, nullif(preferred_name, '') as preferred_name, molecular_formula from registry_raw", "registry_raw")
+@query("select concat('b', cast(row_idx // 600 as bigint), '.xlsx') as src_file, src_file as sheet, cast(row_number() over (partition by row_idx // 600, src_file order by row_idx) - 1 as bigint) as row_idx, casrn as cas, dtxsid, nullif(preferred_name, '') as preferred_name, molecular_formula from registry_raw", "registry_raw")
 def scan_workbooks(s: SparkSession, d: str) -> DataFrame:
-    """The registry as workbooks of spreadsheets, one for each source file, scanned and read by their headers."""
-    raw = view(s, d, "registry_raw").withColumnRenamed("molecular_formula", "formula")
-    books = workbooks.write(raw, "src_file", "row_idx", ["casrn", "dtxsid", "preferred_name", "formula"])
-    return workbooks.columns(workbooks.read(books), R.ALIASES).select("src_file", "row_idx", "cas", "dtxsid", "preferred_name", "molecular_formula")
+    """The registry as workbooks of 600 rows in three sheets, scanned with a task for each sheet and read by their headers."""
+    folder = scratch(s)
+    raw = view(s, d, "registry_raw").withColumnRenamed("molecular_formula", "formula").withColumn("book", F.concat(F.lit("b"), F.floor(F.col("row_idx") / 600).cast("string")))
+    workbooks.write(raw, folder, "book", "src_file", "row_idx", ["casrn", "dtxsid", "preferred_name", "formula"])
+    return workbooks.columns(workbooks.scan(s, folder), R.ALIASES).select("src_file", "sheet", "row_idx", "cas", "dtxsid", "preferred_name", "molecular_formula")
+
+
+def registry_folder(s: SparkSession, d: str) -> str:
+    """A folder of registry files: f0 as CSV with one header, f1 as CSV with another, f2 as workbooks of 500 rows."""
+    folder = scratch(s)
+    raw = view(s, d, "registry_raw")
+    csv = lambda name, df: df.coalesce(1).write.option("header", True).option("emptyValue", "").csv(f"{folder}/{name}")
+    own = lambda n: raw.filter(f"src_file = '{n}'").sortWithinPartitions("row_idx")
+    csv("f0", own("f0").select("casrn", "dtxsid", "preferred_name", "molecular_formula", "average_mass"))
+    csv("f1", own("f1").select(F.col("average_mass").alias("AVG_MASS"), F.col("casrn").alias("Cas Number"), F.col("preferred_name").alias("name"), F.col("dtxsid").alias("DTXCID"), F.col("molecular_formula").alias("mf")))
+    f2 = own("f2").withColumn("book", F.format_string("f2-%06d", F.floor(F.col("row_idx") / 1500).cast("long"))).withColumn("sheet", F.lit("one"))
+    workbooks.write(f2, f"{folder}/f2", "book", "sheet", "row_idx", ["casrn", "dtxsid", "preferred_name", "molecular_formula", "average_mass"])
+    return folder
+
+
+@query(
+    "select src_file, casrn as cas, case when src_file = 'f2' then nullif(dtxsid, 'nan') else dtxsid end as dtxsid, nullif(preferred_name, '') as preferred_name, molecular_formula, average_mass, cast(row_number() over (partition by src_file order by row_idx) as bigint) as place from registry_raw",
+    "registry_raw",
+)
+def load_registry_folder(s: SparkSession, d: str) -> DataFrame:
+    """CSV files of two headers and workbooks, loaded under the ten fields, every row at its place in its file's order."""
+    folder = registry_folder(s, d)
+    found = [files.load_registry(s, f"{folder}/{n}")[0].withColumn("src_file", F.lit(n)).withColumn("file", F.col("src_file")) for n in ("f0", "f1")]
+    books = files.load_registry(s, f"{folder}/f2")[0].withColumn("file", F.col("src_file")).withColumn("src_file", F.lit("f2"))
+    place = F.row_number().over(Window.partitionBy("src_file").orderBy("file", "block", "row_idx"))
+    rows = reduce(DataFrame.unionByName, [*found, books]).withColumn("place", place.cast("long"))
+    return rows.select("src_file", "cas", "dtxsid", F.nullif(F.col("preferred_name"), F.lit("")).alias("preferred_name"), "molecular_formula", "average_mass", "place")
 
 
 # Projections.
@@ -193,18 +223,51 @@ def numeric_only(s: SparkSession, d: str) -> DataFrame:
 
 @query("also " + _MERGED + " select cas, dtxsid, replace(replace(cas, '-', ''), ' ', '') as cas_key from merged", "registry_raw")
 def write_registry(s: SparkSession, d: str) -> DataFrame:
-    return files.write_registry(registry_merged(s, d), files.scratch(s)).select("cas", "dtxsid", "cas_key")
+    return tables.write_registry(registry_merged(s, d), scratch(s)).table.select("cas", "dtxsid", "cas_key")
 
 
 @query("select dtxsid, ordinal, study_type, try_cast(nullif(toxval_numeric, 'n/a') as double) as toxval_numeric from toxval_raw", "toxval_raw")
 def write_toxvals(s: SparkSession, d: str) -> DataFrame:
-    return files.write_toxvals(toxvals(s, d), files.scratch(s)).select("dtxsid", "ordinal", "study_type", "toxval_numeric")
+    return tables.write_toxvals(toxvals(s, d), scratch(s)).table.select("dtxsid", "ordinal", "study_type", "toxval_numeric")
 
 
 @query('select casrn as "CASRN", arg_min(dtxsid, row(src_file, row_idx)) as "DTXSID" from registry_raw group by casrn', "registry_raw")
 def write_mapping_csv(s: SparkSession, d: str) -> DataFrame:
     raw = view(s, d, "registry_raw").withColumnRenamed("casrn", "cas")
-    return files.write_mapping(raw, files.scratch(s), ORDER)
+    return tables.write_mapping(raw, scratch(s), ORDER).table
+
+
+@query(
+    "also " + _MERGED + """ select 'registry' as name, count(*) as n, count(dtxsid) as counted, true as has_bytes, false as large from merged
+    union all select 'toxvals', count(*), count(try_cast(nullif(toxval_numeric, 'n/a') as double)), true, false from toxval_raw union all select 'mapping', count(*), count(*), true, false from merged""",
+    "registry_raw", "toxval_raw",
+)
+def write_counts(s: SparkSession, d: str) -> DataFrame:
+    """What the three writers count while they write: rows, rows with an id or a number, and whether files are over the warning's size."""
+    raw = view(s, d, "registry_raw").withColumnRenamed("casrn", "cas")
+    done = {"registry": tables.write_registry(registry_merged(s, d), scratch(s)), "toxvals": tables.write_toxvals(toxvals(s, d), scratch(s)), "mapping": tables.write_mapping(raw, scratch(s), ORDER)}
+    return s.createDataFrame([(n, w.rows, next(iter(w.counts.values())), w.bytes > 0, w.bytes > tables.LARGE) for n, w in done.items()], "name string, n long, counted long, has_bytes boolean, large boolean")
+
+
+@query("also " + _MERGED + " select m.cas, t.dtxsid, t.ordinal, t.study_type, try_cast(nullif(t.toxval_numeric, 'n/a') as double) as toxval_numeric from merged m join toxval_raw t on t.dtxsid = m.dtxsid", "registry_raw", "toxval_raw")
+def toxvals_by_cas_of_buckets(s: SparkSession, d: str) -> DataFrame:
+    """Both tables written in buckets of the substance id, then joined where the buckets lie."""
+    registry = tables.write_buckets(registry_merged(s, d).select("cas", "dtxsid"), scratch(s), "dtxsid", 8).table
+    values = tables.write_buckets(toxvals(s, d), scratch(s), "dtxsid", 8, "study_type").table
+    return V.toxvals_of(registry, values).select("cas", "dtxsid", "ordinal", "study_type", "toxval_numeric")
+
+
+@query(r"select casrn as cas, src_file, row_idx, case when not regexp_matches(casrn, '^\d{1,9}-\d{2}-\d$') then 'bad_format' else 'bad_check' end as status from registry_raw where k % 7 = 0 or not regexp_matches(casrn, '^\d{1,9}-\d{2}-\d$')", "registry_raw")
+def write_rejects(s: SparkSession, d: str) -> DataFrame:
+    raw = view(s, d, "registry_raw").select(F.col("casrn").alias("cas"), "src_file", "row_idx")
+    return tables.write_rejects(raw, scratch(s)).table
+
+
+@query(r"select case when not regexp_matches(casrn, '^\d{1,9}-\d{2}-\d$') then 'bad_format' when k % 7 = 0 then 'bad_check' else 'valid' end as status, count(*) as n from registry_raw group by 1", "registry_raw")
+def rejects_audit(s: SparkSession, d: str) -> DataFrame:
+    """Rows of every status, counted by the scan that writes the rejects."""
+    counts = tables.write_rejects(view(s, d, "registry_raw").select(F.col("casrn").alias("cas")), scratch(s)).counts
+    return s.createDataFrame([(k, n) for k, n in counts.items() if n], "status string, n long")
 
 
 # Identifiers.
@@ -295,6 +358,14 @@ def union_sheets(s: SparkSession, d: str) -> DataFrame:
     return V.union_sheets([view(s, d, "toxval_raw").select("dtxsid", "study_type", "toxval_units"), view(s, d, "registry_raw").select("dtxsid", "casrn", "average_mass")])
 
 
+@query("select dtxsid, study_type, " + ", ".join(f"case when k % 40 = {i} then toxval_units end as extra{i}" for i in range(40)) + " from toxval_raw", "toxval_raw")
+def union_many_sheets(s: SparkSession, d: str) -> DataFrame:
+    """Forty kinds of sheets, each with a column of its own, in one pass over their rows."""
+    extra = F.concat(F.lit("extra"), (F.col("k") % 40).cast("string"))
+    rows = view(s, d, "toxval_raw").select(F.array(F.lit("study_type"), extra, F.lit("dtxsid")).alias("header"), F.array("study_type", "toxval_units", "dtxsid").alias("cells"))
+    return V.union_rows(rows, ["dtxsid", "study_type", *(f"extra{i}" for i in range(40))])
+
+
 _DUCK_TOKENS = r"regexp_extract_all(value, '(?i)\b(rat|mouse|rabbit|dog|guinea pig|human|oral|dermal|inhalation|ip|iv|sc|ld50|lc50|fish|trout|daphnia|algae|aquatic)\b', 1)"
 _DUCK_UNIT = r"nullif(regexp_extract(value, '(mg/kg|mg/m³|ppm|g/kg|mL/kg|mg/L|µg/kg|mg/m3|ppb)(?:[^\p{L}\p{N}_]|$)', 1, 'i'), '')"
 _DUCK_ROUTE = """case when regexp_matches(lower(value), 'fish|trout|daphnia|algae|aquatic') then 'Ecotoxicity (aquatic)'
@@ -351,6 +422,22 @@ def table_stats(s: SparkSession, d: str) -> DataFrame:
     return V.table_stats(view(s, d, "toxval_raw"), view(s, d, "registry_raw"))
 
 
+@query(
+    "select src_file as name, count(*) as n, true as near from registry_raw group by 1 union all select 'all', count(*), true from registry_raw union all select 'merged again', count(*), true from registry_raw",
+    "registry_raw",
+)
+def table_sketches(s: SparkSession, d: str) -> DataFrame:
+    """Rows and about how many chemicals each source has, kept as sketches; all sources' from their union, once more from a union of
+    unions. near: within 5 % of the exact count."""
+    raw = view(s, d, "registry_raw")
+    kept = land(V.sketches(raw, "src_file", "dtxsid"))
+    whole = V.merged_sketches(kept, F.lit("all").alias("name"))
+    parts = V.merged_sketches(kept, F.when(F.col("name") == "f0", "f0").otherwise("rest").alias("name"))
+    told = V.sketch_counts(kept.unionByName(whole).unionByName(V.merged_sketches(parts, F.lit("merged again").alias("name"))))
+    exact = raw.groupBy(F.col("src_file").alias("name")).agg(F.countDistinct("dtxsid").alias("x")).unionByName(raw.agg(F.countDistinct("dtxsid").alias("x")).select(F.explode(F.array(F.lit("all"), F.lit("merged again"))).alias("name"), "x"))
+    return told.join(exact, "name").select("name", F.col("rows").alias("n"), (F.abs(F.col("chemicals") - F.col("x")) <= 0.05 * F.col("x")).alias("near"))
+
+
 @query("also " + _MERGED + " select count(*) as total, count(dtxsid) as with_dtxsid, count(preferred_name) as with_preferred_name, count(molecular_formula) as with_molecular_formula, count(average_mass) as with_average_mass, cast(0 as bigint) as with_smiles from merged", "registry_raw")
 def registry_completeness(s: SparkSession, d: str) -> DataFrame:
     return R.completeness(registry_merged(s, d), ["dtxsid", "preferred_name", "molecular_formula", "average_mass", "smiles"])

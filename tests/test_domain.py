@@ -135,7 +135,7 @@ def nested(levels):
 
 @pytest.mark.parametrize("step", [1, 4, 30])
 def test_flatten_any_depth(spark, step):
-    docs = {k: nested(levels) for k, levels in ((1, 1), (2, 4), (3, 5), (12, 12), (40, 40))}
+    docs = {k: nested(levels) for k, levels in ((1, 1), (2, 4), (3, 5), (12, 12), (14, 14))}
     rows = [(k, json.dumps({"Record": {"Section": d}})) for k, d in docs.items()] + [(2, "bad"), (3, None), (4, "[]"), (5, '{"Record":{"Section":{}}}'), (6, '{"Record":{"Section":[]}}'), (12, json.dumps({"Record": {"Section": docs[2]}}))]
     items = A.flatten(spark.createDataFrame(rows, "doc_id int, doc string"), step=step)
     assert items.columns == ["doc_id", "path", "info_pos", "own_heading", "heading", "name", "raw"]
