@@ -70,9 +70,10 @@ def shard(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: st
     """(id, size, text_crc32, tokens, group, shard, slot) of every row.
 
     Rows with equal texts are a group and stay together unless the group is over 1/``grain`` of a shard in bytes, tokens or
-    rows; then it is dealt out by id (rows without one by their place) in as many parts as it takes. Groups are dealt by hash to packs of about ``per_pack``;
-    each pack is packed into ``shards`` bins, whose bytes are then brought nearer by swaps, and the bins are packed again as items of the next level, until one pack is
-    left. So every task holds a bounded number of groups, at any size. Slots count from 0 in each shard without gaps.
+    rows; then its rows are dealt out in as many parts as it takes, by id, and by place where several share one. Groups are dealt by hash to packs of
+    about ``per_pack``; each pack is packed into ``shards`` bins, whose bytes are then brought nearer by swaps, and the bins are packed
+    again as items of the next level, until one pack is left. So every task holds a bounded number of groups, at any size. Slots count
+    from 0 in each shard without gaps: rows inside their item, items inside their bin, bins inside their shard.
 
     size is UTF-8 bytes plus 1; null texts have none, form a group with empty ones and have the CRC of no bytes. Repeated rows
     each get a slot; null ids are allowed; an empty table gives an empty result; other columns are ignored.
@@ -86,9 +87,13 @@ def shard(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: st
     limit = {d: max(1.0, whole[d] / (shards * grain)) for d in DIMS}
     parts = F.greatest(*[F.ceil(F.col(d) / limit[d]) for d in DIMS], F.lit(1)).cast("long")
     rows = join_unique(rows, groups.select("group", parts.alias("parts"), F.col("rows").alias("n")), ["group"], "n", whole["rows"])
-    part = F.pmod(F.xxhash64(F.coalesce(F.col("id").cast("string"), F.col("place").cast("string"))), F.col("parts"))
+    # A group is dealt out by id, so that reruns agree; copies that share an id, by their places.
+    rows = rows.withColumn("named", F.xxhash64(F.col("id").cast("string")))
+    shared = rows.filter("parts > 1").groupBy("group", "named").agg(F.count("*").alias("n"), F.lit(True).alias("shared")).filter("n > 1")
+    rows = join_unique(rows, shared, ["group", "named"], "n", whole["rows"], "left")
+    part = F.pmod(F.when(F.col("shared"), F.col("place")).otherwise(F.col("named")), F.col("parts"))
     rows = rows.withColumn("item", F.when(F.col("parts") == 1, F.col("group")).otherwise(F.xxhash64("group", part)))
-    rows, _ = cut(rows.drop("place"))
+    rows, _ = cut(rows.drop("place", "named", "shared"))
     discard(docs.sparkSession, seen_at)
     items, n = _sums(rows, "item"), rows.select("item").distinct().count()
 
@@ -105,9 +110,10 @@ def shard(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: st
     shard_of = trail.select("item", "pack0", "bin0", F.col("node").cast("int").alias("shard"))
 
     placed, _ = cut(rows.join(shard_of, "item"))
-    counts = placed.groupBy("shard", "pack0", "bin0").agg(F.count("*").alias("n"))
-    before = Window.partitionBy("shard").orderBy("pack0", "bin0").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("shard", "pack0", "bin0", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
-    inside = Window.partitionBy("shard", "pack0", "bin0").orderBy("id", "text_crc32")
-    slots = placed.withColumn("place", F.row_number().over(inside)).join(offsets, ["shard", "pack0", "bin0"])
+    counts, _ = cut(placed.groupBy("shard", "pack0", "bin0", "item").agg(F.count("*").alias("n")))
+    ahead = lambda by, order: F.coalesce(F.sum("n").over(Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    bins = counts.groupBy("shard", "pack0", "bin0").agg(F.sum("n").alias("n")).withColumn("before", ahead(["shard"], ["pack0", "bin0"]))
+    offsets = counts.withColumn("inside", ahead(["shard", "pack0", "bin0"], ["item"])).join(bins.drop("n"), ["shard", "pack0", "bin0"])
+    offsets = offsets.select("item", (F.col("before") + F.col("inside")).alias("offset"))
+    slots = placed.withColumn("place", F.row_number().over(Window.partitionBy("item").orderBy("id", "text_crc32"))).join(offsets, "item")
     return slots.select("id", F.col("bytes").alias("size"), "text_crc32", "tokens", "group", "shard", (F.col("offset") + F.col("place") - 1).cast("long").alias("slot"))

@@ -627,3 +627,24 @@ def test_pattern_of_strings():
     words = ["mit", "mpl-2.0", "mpl", "a", "ab"]
     p = re.compile(licenses.one_of(words) + "$")
     assert all(p.match(w) for w in words) and not any(p.match(w) for w in ("mi", "mpl-2x0", "abc", ""))
+
+
+@pytest.mark.parametrize("ids", ["one", "null", "own"])
+def test_sharding_of_repeated_rows(spark, ids):
+    """2000 texts and 3000 copies of one row: the copies are dealt out even where they agree in id and text."""
+    rows = [(i, f"text {i:05} " + "x" * (i % 50)) for i in range(2000)]
+    rows += [({"one": 7, "null": None, "own": 10**6 + i}[ids], "the same text") for i in range(3000)]
+    got = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string").repartition(6), 8).collect()
+    assert sorted(((r["id"] is None, r["id"] or 0, r["size"]) for r in got)) == sorted(((i is None, i or 0, len(t) + 1) for i, t in rows))
+    sizes, counts = [0] * 8, [[] for _ in range(8)]
+    for r in got:
+        sizes[r["shard"]] += r["size"]
+        counts[r["shard"]].append(r["slot"])
+    assert all(sorted(c) == list(range(len(c))) for c in counts)
+    assert max(sizes) <= 1.01 * sum(sizes) / 8 and min(sizes) >= 0.99 * sum(sizes) / 8 and max(map(len, counts)) <= 1.05 * len(rows) / 8
+
+
+def test_sharding_of_one_text(spark):
+    got = sharding.shard(spark.createDataFrame([(None, "a b")] * 4000 + [(1, None)], "doc_id long, text string"), 8).collect()
+    counts = [sum(r["shard"] == k for r in got) for k in range(8)]
+    assert sum(counts) == 4001 and max(counts) <= 520 and all(sorted(r["slot"] for r in got if r["shard"] == k) == list(range(counts[k])) for k in range(8))
