@@ -9,8 +9,11 @@ from ..functions.text import DASH, blank_to_null
 
 
 def compounds(df: DataFrame) -> DataFrame:
-    """(cid, smiles, formula, mw, iupac_name): the first structure that is there, the mass with two decimals."""
-    return df.select("cid", F.coalesce("smiles", "isomeric_smiles", "canonical_smiles").alias("smiles"), "formula", F.format_string("%.2f", "mw").alias("mw"), "iupac_name")
+    """(cid, smiles, formula, mw, iupac_name): the first structure that is there; the mass with two decimals, or as the text mw_text if
+    it is no number; the name, or the older iupac_name_legacy. The last two columns may be missing."""
+    own = lambda c: F.col(c) if c in df.columns else F.lit(None).cast("string")
+    mass = F.coalesce(F.when(F.col("mw").isNotNull(), F.format_string("%.2f", "mw")), own("mw_text"))
+    return df.select("cid", F.coalesce("smiles", "isomeric_smiles", "canonical_smiles").alias("smiles"), "formula", mass.alias("mw"), F.coalesce(F.nullif("iupac_name", F.lit("")), own("iupac_name_legacy")).alias("iupac_name"))
 
 
 def resolve(queries: DataFrame, xref: DataFrame, kind: str, query: str = "query") -> DataFrame:
@@ -25,6 +28,32 @@ def ordered(df: DataFrame, key: str, value: str, at: str, name: str) -> DataFram
     return once.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("at", value))), lambda x: x[value]).alias(name))
 
 
+def listed(df: DataFrame, key: str, kind: str, value: str, at: str, names: dict[str, str]) -> DataFrame:
+    """One row for each key with a list for each kind, under its name: distinct values in the order they are first seen. All lists
+    come from one pass; a kind without values has an empty list."""
+    once = df.filter(F.col(kind).isin(*names)).groupBy(key, kind, value).agg(F.min(at).alias("at"))
+    of = lambda k: F.array_sort(F.collect_list(F.when(F.col(kind) == k, F.struct("at", value))))
+    return once.groupBy(key).agg(*[F.transform(of(k), lambda x: x[value]).alias(n) for k, n in names.items()])
+
+
+def toxicity_lists(texts: DataFrame, key: str, ordinal: str, value: str = "value", most: int = 400) -> DataFrame:
+    """(key, ld50, lc50): values that name LD50 or LC50, in document order, at most ``most`` characters of each."""
+    up = F.upper(value)
+    cut = F.struct(ordinal, F.substring(value, 1, most).alias("v"))
+    of = lambda what: F.transform(F.array_sort(F.collect_list(F.when(F.contains(up, F.lit(what)), cut))), lambda x: x["v"])
+    return texts.filter(F.contains(up, F.lit("LD50")) | F.contains(up, F.lit("LC50"))).groupBy(key).agg(of("LD50").alias("ld50"), of("LC50").alias("lc50_texts"))
+
+
+def band_columns(bands: DataFrame, key: str) -> DataFrame:
+    """(key, oral, dermal, inhalation): each pathway's (dose, unit, band), null where there is none."""
+    one = F.struct("dose", "unit", "band")
+    return bands.groupBy(key).agg(*[F.max(F.when(F.col("pathway") == p, one)).alias(p) for p in ("oral", "dermal", "inhalation")])
+
+
+def joined_or_null(values: Column, sep: str = "; ") -> Column:
+    return F.when(F.size(values) > 0, F.array_join(values, sep))
+
+
 def joined(values: Column, sep: str = "; ") -> Column:
     return F.coalesce(F.array_join(values, sep), F.lit(""))
 
@@ -64,17 +93,20 @@ def report_csv(dossier: DataFrame, endpoints: DataFrame, key: str = "cas") -> Da
 
 
 def report_json(dossier: DataFrame, endpoints: DataFrame, entries: DataFrame, key: str, generated_at: str) -> DataFrame:
-    """(key, report): the nested report as JSON; lists in document order. One chemical's rows meet in one report."""
+    """(key, report): the nested report as JSON; lists in document order, empty where there is nothing, missing values null. One chemical's
+    rows meet in one report."""
     listed = lambda df, cols: df.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("ordinal", F.struct(*cols).alias("x")))).alias("l")).select(key, F.transform("l", lambda x: x["x"]).alias("l"))
     tox = listed(endpoints, [F.col("route").alias("exposure_pathway"), "species", F.col("type").alias("endpoint"), "value", "unit", "source_section"]).withColumnRenamed("l", "tox")
     eco = listed(entries, ["value", "species", "unit", "endpoint", "duration", "value_num", "ci_low", "ci_high", "conditions"]).withColumnRenamed("l", "eco")
     d = assemble(dossier, key, tox, eco)
+    full = lambda c: F.coalesce(F.col(c), F.array().cast(d.schema[c].dataType))
+    codes = F.coalesce("h_codes", F.array().cast("array<string>"))
     return d.select(key, F.to_json(F.struct(
         F.struct(F.lit(generated_at).alias("timestamp"), F.col(key).alias("cas_number")).alias("query_info"),
         F.struct("iupac_name", "cid", "formula", "mw", "smiles", F.struct("dtxsid", "preferred_name").alias("dsstox")).alias("identifiers"),
         F.struct(joined(F.col("flash_point")).alias("flash_point"), joined(F.col("vapor_pressure")).alias("vapor_pressure")).alias("physical_properties"),
-        F.struct("h_codes", "p_codes").alias("ghs"),
-        F.struct(F.filter("h_codes", lambda h: F.startswith(h, F.lit("H4"))).alias("h_codes_aquatic"), F.col("lc50").alias("aquatic_lc50_mg_l"), F.col("ec50").alias("aquatic_ec50_mg_l"), F.col("eco").alias("entries")).alias("ecotoxicity"),
-        F.col("tox").alias("toxicity_endpoints"),
+        F.struct(codes.alias("h_codes"), full("p_codes").alias("p_codes"), F.coalesce("signal_word", F.lit("")).alias("signal_word")).alias("ghs"),
+        F.struct(F.filter(codes, lambda h: F.startswith(h, F.lit("H4"))).alias("h_codes_aquatic"), F.col("lc50").alias("aquatic_lc50_mg_l"), F.col("ec50").alias("aquatic_ec50_mg_l"), full("eco").alias("entries")).alias("ecotoxicity"),
+        full("tox").alias("toxicity_endpoints"),
         F.col("has_toxvals").alias("toxvaldb_available"),
-    )).alias("report"))
+    ), {"ignoreNullFields": "false"}).alias("report"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -101,8 +101,9 @@ def display(prioritized: DataFrame, chem: str = "chem") -> DataFrame:
 
 
 def quantitative_first(displayed: DataFrame, chem: str = "chem") -> DataFrame:
-    """Order inside each chemical: quantitative rows first, PubChem before ToxValDB, then document order."""
-    return displayed.orderBy(chem, F.desc("type"), "source", "ordinal")
+    """Adds place, from 1 inside each chemical: quantitative rows first, PubChem before ToxValDB, then document order. A reader sorts by it;
+    nothing is sorted as a whole."""
+    return displayed.withColumn("place", F.row_number().over(Window.partitionBy(chem).orderBy(F.desc("type"), "source", "ordinal")).cast("long"))
 
 
 def complete(endpoints: DataFrame, chem: str = "chem") -> DataFrame:

@@ -41,8 +41,9 @@ VIEWS = {
         then concat('{"data":[{"studyType":"acute LD50","toxValNumeric":', cast(l_quantity as string), ',"toxValUnits":"mg/kg"}]}')
         else concat('[{"study_type":"ecotox fish","toxval_numeric":', cast(l_quantity as string), ',"toxval_units":"mg/L"}]') end as payload from lineitem""",
     "compound": """select 1000 + k as cid, case when k % 3 = 0 then null else concat('S', cast(k as string)) end as smiles, case when k % 6 = 0 then null else concat('I', cast(k as string)) end as isomeric_smiles,
-        concat('C', cast(k as string)) as canonical_smiles, formula, mw, iupac_name, k from (
-        select cast(floor(p_partkey / 2.0) as bigint) as k, p_type as formula, p_retailprice as mw, p_name as iupac_name from part where p_partkey % 2 = 0) c""",
+        concat('C', cast(k as string)) as canonical_smiles, formula, case when k % 9 <> 0 then price end as mw, case when k % 18 = 0 then concat('ca. ', cast(k as string)) end as mw_text,
+        case when k % 5 <> 0 then name end as iupac_name, case when k % 10 = 0 then concat('legacy ', name) end as iupac_name_legacy, k from (
+        select cast(floor(p_partkey / 2.0) as bigint) as k, p_type as formula, p_retailprice as price, p_name as name from part where p_partkey % 2 = 0) c""",
     "xref": """select 'cas' as identifier_type, casrn as identifier, 1000 + k as cid, cast(0 as bigint) as ordinal from registry_raw where row_idx % 2 = 0 and k % 10 <> 0
         union all select 'cas', casrn, 900000 + k, cast(1 as bigint) from registry_raw where row_idx % 2 = 0 and k % 4 = 0
         union all select 'name', p_name, 1000 + cast(floor(p_partkey / 2.0) as bigint), cast(floor(p_partkey / 2.0) as bigint) from part where p_partkey % 2 = 0""",
@@ -51,6 +52,7 @@ VIEWS = {
     "deep_docs": """select k as doc_id, concat('{"Record":{"Section":[{"TOCHeading":"', name, '"},', repeat('{"TOCHeading":"Level","Information":[{"Name":"n","Value":1},{"Name":"m"}],"Section":[{"TOCHeading":"","Information":[{"Value":{"StringWithMarkup":[{"String":"s"}]}}]},', d),
         '{"TOCHeading":"Leaf","Information":[{"Name":"leaf","Value":"', name, '"}],"Section":[]}', repeat(']}', d), ']}}') as doc from (
         select cast(floor(p_partkey / 2.0) as bigint) as k, cast(1 + p_size % 16 as int) as d, p_name as name from part where p_partkey % 2 = 0) p""",
+    "registry_rivals": """select k, concat(substr(digits, 1, 1), '-', substr(digits, 2)) as casrn from (select k, replace(casrn, '-', '') as digits from registry_raw where row_idx % 8 = 0) r""",
     "metric_text": """select p_partkey, item, name, txt from (
         select p_partkey, 1 as item, 'Flash Point' as name, concat(cast(p_size as string), ' °C') as txt from part
         union all select p_partkey, 2, 'Flash Point', concat(cast(p_size as string), ' °C') from part where p_partkey % 2 = 0
@@ -64,11 +66,13 @@ _TABLES = ("part", "lineitem")
 _NEEDS = {v: [n for n in (*VIEWS, *_TABLES) if f"from {n}" in sql and n != v] for v, sql in VIEWS.items()}
 
 
-def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A derived table as a DataFrame."""
+def view(spark: SparkSession, sf_dir: str, name: str, **given: DataFrame) -> DataFrame:
+    """A derived table as a DataFrame; views that are given are taken as they are."""
+    if name in given:
+        return given[name]
     if name in _TABLES:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    needs = {n: view(spark, sf_dir, n) for n in _NEEDS[name]}
+    needs = {n: view(spark, sf_dir, n, **given) for n in _NEEDS[name]}
     sql = VIEWS[name]
     for n in needs:
         sql = sql.replace(f"from {n}", f"from {{{n}}}")

@@ -32,7 +32,7 @@ def query(sql: str | None = None, *views: str) -> Callable[[Query], Query]:
     def add(f: Query) -> Query:
         QUERIES[f.__name__] = f
         if sql:
-            ORACLE_SQL[f.__name__] = with_views(sql, *views)
+            ORACLE_SQL[f.__name__] = with_views(sql, *views) if views else sql
         return f
 
     return add
@@ -41,18 +41,22 @@ def query(sql: str | None = None, *views: str) -> Callable[[Query], Query]:
 # Inputs that several queries share.
 
 
-def registry_source(s: SparkSession, d: str) -> DataFrame:
+def registry_source(s: SparkSession, d: str, **given: DataFrame) -> DataFrame:
     """The registry files' rows under the ten fields, raw."""
-    raw = view(s, d, "registry_raw")
-    return R.conform_registry(R.resolve_aliases(raw.drop("k")).withColumnsRenamed({"src_file": "src_file"}))
+    return R.conform_registry(R.resolve_aliases(view(s, d, "registry_raw", **given).drop("k")))
+
+
+def registry_clean(s: SparkSession, d: str, **given: DataFrame) -> DataFrame:
+    return R.scrub_nulls(registry_source(s, d, **given), R.FIELDS)
 
 
-def registry_clean(s: SparkSession, d: str) -> DataFrame:
-    return R.scrub_nulls(registry_source(s, d), R.FIELDS)
+def registry_merged(s: SparkSession, d: str, **given: DataFrame) -> DataFrame:
+    return R.merge_registry(registry_clean(s, d, **given), ORDER)
 
 
-def registry_merged(s: SparkSession, d: str) -> DataFrame:
-    return R.merge_registry(registry_clean(s, d), ORDER)
+def landed_registry(s: SparkSession, d: str) -> dict[str, DataFrame]:
+    """The raw registry as a table, for queries that read it several times: its long expressions are computed once."""
+    return {"registry_raw": land(view(s, d, "registry_raw"))}
 
 
 def toxvals(s: SparkSession, d: str) -> DataFrame:
@@ -98,6 +102,11 @@ def items(s: SparkSession, d: str) -> DataFrame:
 
 # Sources.
 
+_DUCK_ITEMS = """items as (select k as doc_id, type as name, value as text, 'Toxicity' as heading, case when ordinal = 1 then 'Toxicity' else '' end as own_heading from tox_text
+    union all select cast(floor(p_partkey / 2.0) as bigint), case kind when 'H' then 'GHS Hazard Statements' when 'P' then 'Precautionary Statement Codes' when 'S' then 'Signal' else 'Pictogram(s)' end, txt, 'GHS Classification', 'GHS Classification' from ghs_text
+    union all select cast(floor(p_partkey / 2.0) as bigint), name, txt, 'Experimental', 'Experimental' from metric_text)"""
+_ITEM_VIEWS = ("tox_text", "ghs_text", "metric_text")
+
 
 @query("select casrn, nullif(dtxsid, 'nan') as dtxsid, nullif(preferred_name, '') as preferred_name, molecular_formula, average_mass, row_idx from registry_raw", "registry_raw")
 def scan_registry_csv_na(s: SparkSession, d: str) -> DataFrame:
@@ -109,15 +118,18 @@ def scan_registry_csv_na(s: SparkSession, d: str) -> DataFrame:
 @query(
     """select l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice,
     coalesce(r ->> '$.studyType', r ->> '$.study_type') as study_type, cast(coalesce(r ->> '$.toxValNumeric', r ->> '$.toxval_numeric') as double) as value,
-    coalesce(r ->> '$.toxValUnits', r ->> '$.toxval_units') as units, case when r ->> '$.studyType' is null then 'ecotoxicity' else 'acute_toxicity' end as category
+    coalesce(r ->> '$.toxValUnits', r ->> '$.toxval_units') as units, coalesce(r ->> '$.species', r ->> '$.speciesName', '') as species, coalesce(r ->> '$.exposureRoute', r ->> '$.exposure_route', '') as route, coalesce(r ->> '$.reference', r ->> '$.citation', '') as reference, case when r ->> '$.studyType' is null then 'ecotoxicity' else 'acute_toxicity' end as category
     from (select *, case when payload like '[%' then json_extract(payload, '$[0]') else json_extract(payload, '$.data[0]') end as r from payloads) x""",
     "payloads",
 )
 def scan_toxval_payloads(s: SparkSession, d: str) -> DataFrame:
-    return V.read_payloads(view(s, d, "payloads")).drop("species", "route", "reference")
+    return V.read_payloads(view(s, d, "payloads"))
+
 
+_DUCK_MW, _DUCK_NAME = "coalesce(printf('%.2f', mw), mw_text)", "coalesce(iupac_name, iupac_name_legacy)"
 
-@query("select cid, coalesce(smiles, isomeric_smiles, canonical_smiles) as smiles, formula, printf('%.2f', mw) as mw, iupac_name from compound", "compound")
+
+@query(f"select cid, coalesce(smiles, isomeric_smiles, canonical_smiles) as smiles, formula, {_DUCK_MW} as mw, {_DUCK_NAME} as iupac_name from compound", "compound")
 def scan_compounds(s: SparkSession, d: str) -> DataFrame:
     return D.compounds(view(s, d, "compound"))
 
@@ -138,13 +150,13 @@ def scan_registry_csv(s: SparkSession, d: str) -> DataFrame:
     return found.select(*[F.coalesce(c, F.lit("")).alias(c) for c in names]).groupBy(*names).agg(F.count("*").alias("n"))
 
 
-@query("select distinct k as doc_id from tox_text union select cast(floor(p_partkey / 2.0) as bigint) from part", "tox_text")
+@query("also " + _DUCK_ITEMS + " select doc_id, own_heading, heading, name, text, count(*) as n from items group by all", *_ITEM_VIEWS)
 def scan_annotations(s: SparkSession, d: str) -> DataFrame:
-    """Annotation documents landed as JSON lines and read back; each parses to a tree with sections."""
+    """Annotation documents landed as JSON lines and read back: the items of their trees are those that went in."""
     path = scratch(s)
     documents(s, d).write.json(path)
-    landed = s.read.schema("doc_id bigint, doc string").json(path)
-    return landed.filter(F.get_json_object("doc", "$.Record.Section[0].TOCHeading").isNotNull()).select("doc_id")
+    found = A.flatten(s.read.schema("doc_id bigint, doc string").json(path)).withColumn("text", F.coalesce(F.get_json_object("raw", "$.StringWithMarkup[0].String"), "raw"))
+    return found.groupBy("doc_id", "own_heading", "heading", "name", "text").agg(F.count("*").alias("n"))
 
 
 @query("select concat('b', cast(row_idx // 600 as bigint), '.xlsx') as src_file, src_file as sheet, cast(row_number() over (partition by row_idx // 600, src_file order by row_idx) - 1 as bigint) as row_idx, casrn as cas, dtxsid, nullif(preferred_name, '') as preferred_name, molecular_formula from registry_raw", "registry_raw")
@@ -300,13 +312,23 @@ def classify_query_type(s: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    "also " + _MERGED + """ select q.row_idx, q.query, m.cas, m.dtxsid, m.preferred_name, m.molecular_formula, m.average_mass from queries q
-    left join merged m on replace(replace(q.query, '-', ''), ' ', '') = replace(replace(m.cas, '-', ''), ' ', '')""",
-    "registry_raw", "queries",
+    "also " + _MERGED + """, every as (select *, replace(replace(cas, '-', ''), ' ', '') as cas_key from (select cas, dtxsid, preferred_name, molecular_formula, average_mass from merged
+        union all select casrn, concat('RIVAL', k), 'rival', null, null from registry_rivals) m),
+    asked as (select row_idx, query from queries union all select k, casrn from registry_rivals),
+    best as (select q, arg_min(row(cas, dtxsid, preferred_name, molecular_formula, average_mass), row(cas <> q, cas)) as r from (select distinct query as q from asked) a join every on cas_key = replace(replace(q, '-', ''), ' ', '') group by q)
+    select row_idx, query, r[1] as cas, r[2] as dtxsid, r[3] as preferred_name, r[4] as molecular_formula, r[5] as average_mass from asked left join best on q = query""",
+    "registry_raw", "queries", "registry_rivals",
 )
 def lookup_registry_by_cas(s: SparkSession, d: str) -> DataFrame:
-    m = registry_merged(s, d).select("cas", "dtxsid", "preferred_name", "molecular_formula", "average_mass").withColumn("ordinal", F.col("cas"))
-    return R.lookup_by_cas(view(s, d, "queries"), m, ["ordinal"])
+    """Numbers in several forms; one chemical in four has a rival with the same digits, so the exact number has to win."""
+    given = landed_registry(s, d)
+    rivals = view(s, d, "registry_rivals", **given)
+    fields = ["cas", "dtxsid", "preferred_name", "molecular_formula", "average_mass"]
+    none = F.lit(None).cast("string")
+    others = rivals.select(F.col("casrn").alias("cas"), F.concat(F.lit("RIVAL"), F.col("k").cast("string")).alias("dtxsid"), F.lit("rival").alias("preferred_name"), none.alias("molecular_formula"), none.alias("average_mass"))
+    every = registry_merged(s, d, **given).select(*fields).unionByName(others).withColumn("ordinal", F.col("cas"))
+    asked = view(s, d, "queries", **given).unionByName(rivals.select(F.col("k").alias("row_idx"), F.col("casrn").alias("query")))
+    return R.lookup_by_cas(asked, every, ["ordinal"])
 
 
 _TWO = ", ".join(f"arg_min({f}, row(src_file, row_idx)) as {f}" for f in ("cas", "molecular_formula"))
@@ -321,10 +343,10 @@ def lookup_registry_by_dtxsid(s: SparkSession, d: str) -> DataFrame:
     return R.lookup_by_dtxsid(q, registry_clean(s, d).select("dtxsid", "cas", "molecular_formula", *ORDER), ORDER).drop("dtxsid")
 
 
-@query("select t.dtxsid, t.ordinal, t.study_type, try_cast(nullif(t.toxval_numeric, 'n/a') as double) as toxval_numeric, t.toxval_units from toxval_raw t join (select distinct dtxsid from registry_raw) q on q.dtxsid = t.dtxsid", "toxval_raw", "registry_raw")
+@query("select t.dtxsid, row_number() over (partition by t.dtxsid order by t.study_type nulls first, t.ordinal) as place, t.ordinal, t.study_type, try_cast(nullif(t.toxval_numeric, 'n/a') as double) as toxval_numeric, t.toxval_units from toxval_raw t join (select distinct dtxsid from registry_raw) q on q.dtxsid = t.dtxsid", "toxval_raw", "registry_raw")
 def lookup_toxvals(s: SparkSession, d: str) -> DataFrame:
     q = view(s, d, "registry_raw").select("dtxsid").distinct()
-    return V.sorted_by_study(V.toxvals_of(q, toxvals(s, d).drop("k"))).select("dtxsid", "ordinal", "study_type", "toxval_numeric", "toxval_units")
+    return V.in_study_order(V.toxvals_of(q, toxvals(s, d).drop("k")), "ordinal").select("dtxsid", "place", "ordinal", "study_type", "toxval_numeric", "toxval_units")
 
 
 @query(
@@ -486,8 +508,8 @@ def split_ecotox(s: SparkSession, d: str) -> DataFrame:
     return E.split_ecotox(E.ecotox_entries(view(s, d, "tox_text"))).select("k", "ordinal", "kind", "ci")
 
 
-def _duck_band(p: str) -> str:
-    return "case " + " ".join(f"when {p} <= {t} then {n}" for n, t in enumerate(E.BANDS[p], 1)) + " else 5 end"
+def _duck_band(p: str, dose: str = "") -> str:
+    return "case " + " ".join(f"when {dose or p} <= {t} then {n}" for n, t in enumerate(E.BANDS[p], 1)) + " else 5 end"
 
 
 _DUCK_DOSES = r"""doses as (select k, ordinal, case when contains(v, 'ld50') and contains(v, 'mg') and contains(v, 'kg') and not regexp_matches(v, 'dermal|skin') then try_cast(nullif(regexp_extract(v, '(\d+(?:\.\d+)?)\s*mg\s*/\s*kg', 1), '') as double) end as oral,
@@ -567,12 +589,6 @@ def shown_signal_words(s: SparkSession, d: str) -> DataFrame:
 
 # Annotation documents.
 
-_DUCK_ITEMS = """items as (select k as doc_id, type as name, value as text, 'Toxicity' as heading, case when ordinal = 1 then 'Toxicity' else '' end as own_heading from tox_text
-    union all select cast(floor(p_partkey / 2.0) as bigint), case kind when 'H' then 'GHS Hazard Statements' when 'P' then 'Precautionary Statement Codes' when 'S' then 'Signal' else 'Pictogram(s)' end, txt, 'GHS Classification', 'GHS Classification' from ghs_text
-    union all select cast(floor(p_partkey / 2.0) as bigint), name, txt, 'Experimental', 'Experimental' from metric_text)"""
-_ITEM_VIEWS = ("tox_text", "ghs_text", "metric_text")
-
-
 @query("also " + _DUCK_ITEMS + " select doc_id, own_heading, heading, name from items", *_ITEM_VIEWS)
 def flatten_annotations(s: SparkSession, d: str) -> DataFrame:
     return items(s, d).select("doc_id", "own_heading", "heading", "name")
@@ -626,9 +642,15 @@ def extract_hazard_metrics(s: SparkSession, d: str) -> DataFrame:
     return A.metrics(items(s, d)).select("doc_id", "metric", "text")
 
 
-@query(f"select k as doc_id, type, value, {_DUCK_UNIT} as unit, 'Toxicity' as source_section from tox_text", "tox_text")
+@query(
+    f"""also {_DUCK_ITEMS} select doc_id, name as type, text as value, {_DUCK_UNIT.replace("(value", "(text")} as unit, heading as source_section,
+    array_to_string(list_sort(list_distinct(list_transform({_DUCK_TOKENS.replace("(value", "(text")}, lambda x: lower(x)))), ',') as tokens, concat('https://example.org/', md5(text)) as urls from items where regexp_matches(lower(heading), 'tox|safety|hazard|health|exposure|pharmacokinetics|carcinogen')""",
+    *_ITEM_VIEWS,
+)
 def extract_tox_endpoints(s: SparkSession, d: str) -> DataFrame:
-    return A.tox_endpoints(items(s, d)).filter("source_section = 'Toxicity'").select("doc_id", "type", "value", "unit", "source_section")
+    e = A.tox_endpoints(items(s, d))
+    tokens = F.array_join(F.array_sort(F.array_distinct(F.transform("species_route", lambda x: F.lower(x)))), ",")
+    return e.select("doc_id", "type", "value", "unit", "source_section", F.coalesce(tokens, F.lit("")).alias("tokens"), F.array_join("reference_urls", ",").alias("urls"))
 
 
 @query("select p_partkey, metric, row_number() over (partition by p_partkey, metric order by spot) as place, txt from (select p_partkey, " + _DUCK_METRICS + " as metric, txt, min(item) as spot from metric_text group by 1, 2, 3) m", "metric_text")
@@ -657,9 +679,7 @@ def display_endpoints(s: SparkSession, d: str) -> DataFrame:
 
 @query("also " + _DUCK_PRIO + " select chem, row_number() over (partition by chem order by case priority when 'quantitative' then 0 else 1 end, source, ordinal) as place, source, ordinal from prio", "tox_text", "toxval_raw")
 def quantitative_first(s: SparkSession, d: str) -> DataFrame:
-    shown = E.quantitative_first(E.display(E.prioritize(endpoints(s, d))))
-    place = F.row_number().over(Window.partitionBy("chem").orderBy(F.desc("type"), "source", "ordinal"))
-    return shown.select("chem", place.cast("long").alias("place"), "source", "ordinal")
+    return E.quantitative_first(E.display(E.prioritize(endpoints(s, d)))).select("chem", "place", "source", "ordinal")
 
 
 @query("also " + _DUCK_ENDS + " select chem, ordinal, source, coalesce(route, '—') as route, coalesce(species, '—') as species, coalesce(endpoint, '—') as endpoint, value, value_num, coalesce(unit, '—') as unit from ends", "tox_text", "toxval_raw")
@@ -667,19 +687,30 @@ def complete_endpoints(s: SparkSession, d: str) -> DataFrame:
     return E.complete(endpoints(s, d))
 
 
+METRIC_NAMES = {"Flash Point": "flash_point", "Vapor Pressure": "vapor_pressure", "NFPA Health Rating": "nfpa", "IARC Carcinogens": "iarc", "California Proposition 65": "prop65"}
+
+
 def metric_lists(s: SparkSession, d: str) -> DataFrame:
-    """(k, flash_point, vapor_pressure) lists of each compound's metrics."""
-    m = of_chemical(view(s, d, "metric_text"))
-    flash = D.ordered(m.filter("name = 'Flash Point'"), "k", "txt", "at", "flash_point")
-    return flash.join(D.ordered(m.filter("name = 'Vapor Pressure'"), "k", "txt", "at", "vapor_pressure"), "k", "full")
+    """(k, flash_point, vapor_pressure, nfpa, iarc, prop65) lists of each compound's metrics."""
+    return D.listed(of_chemical(view(s, d, "metric_text")), "k", "name", "txt", "at", METRIC_NAMES)
+
 
+def statement_lists(s: SparkSession, d: str) -> DataFrame:
+    """(k, h_codes, p_codes, pictograms, signal_word) of each compound, in document order."""
+    ghs = of_chemical(view(s, d, "ghs_text"))
+    codes = A.codes(ghs.filter("kind in ('H', 'P')"), "k", "kind", "txt", F.col("at"))
+    names = ghs.filter("kind = 'G'").select("k", "kind", F.col("txt").alias("code"), F.struct(F.col("at").alias("o"), F.lit(0).alias("pos")).alias("at"))
+    lists = D.listed(codes.unionByName(names), "k", "kind", "code", "at", {"H": "h_codes", "P": "p_codes", "G": "pictograms"})
+    words = ghs.filter("kind = 'S'").groupBy("k").agg(F.max_by("txt", "at").alias("signal_word"))
+    return lists.join(words, "k", "full")
 
-_DUCK_LISTS = """lists as (select k, string_agg(txt, ' | ' order by spot) filter (name = 'Flash Point') as fp, string_agg(txt, ' | ' order by spot) filter (name = 'Vapor Pressure') as vp, count(*) filter (name = 'Flash Point') as nf, count(*) filter (name = 'Vapor Pressure') as nv
+
+_DUCK_LISTS = """lists as (select k, string_agg(txt, ' | ' order by spot) filter (name = 'Flash Point') as fp, string_agg(txt, ' | ' order by spot) filter (name = 'Vapor Pressure') as vp, string_agg(txt, '; ' order by spot) filter (name = 'NFPA Health Rating') as nfpa, string_agg(txt, '; ' order by spot) filter (name = 'IARC Carcinogens') as iarc, string_agg(txt, '; ' order by spot) filter (name = 'California Proposition 65') as prop65, count(*) filter (name = 'Flash Point') as nf, count(*) filter (name = 'Vapor Pressure') as nv
     from (select cast(floor(p_partkey / 2.0) as bigint) as k, name, txt, min(row(p_partkey, item)) as spot from metric_text group by 1, 2, 3) m group by k)"""
 
 
 @query(
-    "also " + _DUCK_LISTS + ", rows_of as (select c.*, l.fp, l.vp, l.nf, l.nv from compound c left join lists l on l.k = c.k) select cid, 'Molecular Formula' as property, formula as value, '—' as unit, '' as observations from rows_of union all select cid, 'Molecular Weight', printf('%.2f', mw), 'g/mol', '' from rows_of"
+    "also " + _DUCK_LISTS + ", rows_of as (select c.*, l.fp, l.vp, l.nf, l.nv from compound c left join lists l on l.k = c.k) select cid, 'Molecular Formula' as property, formula as value, '—' as unit, '' as observations from rows_of union all select cid, 'Molecular Weight', coalesce(printf('%.2f', mw), mw_text, '—'), 'g/mol', '' from rows_of"
     " union all select cid, 'Flash Point', coalesce(fp, '—'), '°C (typical)', case when nf > 1 then 'Multiple values' else '' end from rows_of union all select cid, 'Vapor Pressure', coalesce(vp, '—'), 'mmHg (typical)', case when nv > 1 then 'Multiple values' else '' end from rows_of",
     "compound", "metric_text",
 )
@@ -693,52 +724,90 @@ def registry_sections(s: SparkSession, d: str) -> DataFrame:
     return R.sections(registry_merged(s, d))
 
 
-def chemical_key(s: SparkSession, d: str) -> DataFrame:
+def chemical_key(s: SparkSession, d: str, **given: DataFrame) -> DataFrame:
     """(cas, k): the registry number of every chemical."""
-    return view(s, d, "registry_raw").select(F.col("casrn").alias("cas"), "k").distinct()
-
-
-def dossiers(s: SparkSession, d: str) -> DataFrame:
-    """One row for each registry chemical with its compound, statements, metrics and aquatic summary; facets may be missing."""
-    base = registry_merged(s, d).select("cas", "dtxsid", "preferred_name")
-    key = chemical_key(s, d)
-    cid = D.resolve(base.select("cas", F.lit("cas").alias("kind"), F.col("cas").alias("query")), view(s, d, "xref"), "kind").select("cas", "cid")
-    compound = D.compounds(view(s, d, "compound"))
-    codes = statement_codes(s, d).withColumns({"k": F.floor(F.col("p_partkey") / 2).cast("long"), "place": F.struct("p_partkey", "at", "code")})
-    h = D.ordered(codes.filter("kind = 'H'"), "k", "code", "place", "h_codes")
-    p = D.ordered(codes.filter("kind = 'P'"), "k", "code", "place", "p_codes")
-    eco = E.ecotox_summary(view(s, d, "tox_text"), "k", "ordinal").select("k", "lc50", "ec50")
+    return view(s, d, "registry_raw", **given).select(F.col("casrn").alias("cas"), "k").distinct()
+
+
+def dossiers(s: SparkSession, d: str, **given: DataFrame) -> DataFrame:
+    """One row for each registry chemical with its compound, statements, metrics, doses and aquatic summary; facets may be missing."""
+    given = given or landed_registry(s, d)
+    base = registry_merged(s, d, **given).select("cas", "dtxsid", "preferred_name").join(chemical_key(s, d, **given), "cas", "left")
+    cid = D.resolve(base.select("cas", F.lit("cas").alias("kind"), F.col("cas").alias("query")), view(s, d, "xref", **given).filter("identifier_type = 'cas'"), "kind").select("cas", "cid")
+    texts = view(s, d, "tox_text").select("k", "ordinal", "value")
+    eco = E.ecotox_summary(texts, "k", "ordinal").select("k", "lc50", "ec50", F.col("species").alias("aquatic_species"))
+    bands = D.band_columns(E.exposure_bands(texts, "k", "ordinal"), "k")
     tox = toxvals(s, d).groupBy("dtxsid").agg(F.count("*").alias("n_toxvals"))
-    full = D.assemble(base.join(key, "cas", "left"), "cas", cid)
-    full = D.assemble(full, "k", h, p, metric_lists(s, d), eco)
-    return full.join(compound, "cid", "left").join(tox, "dtxsid", "left").withColumns({"n_toxvals": F.coalesce("n_toxvals", F.lit(0)).cast("long"), "has_toxvals": F.col("n_toxvals").isNotNull()})
+    full = D.assemble(D.assemble(base, "cas", cid), "k", statement_lists(s, d), metric_lists(s, d), eco, bands, D.toxicity_lists(texts, "k", "ordinal"))
+    full = full.withColumns({c: D.joined_or_null(F.col(c)) for c in ("nfpa", "iarc", "prop65")})
+    return full.join(D.compounds(view(s, d, "compound")), "cid", "left").join(tox, "dtxsid", "left").withColumns({"n_toxvals": F.coalesce("n_toxvals", F.lit(0)).cast("long"), "has_toxvals": F.col("n_toxvals").isNotNull()})
 
 
 _DUCK_DOSSIER = _MERGED + """, keyed as (select m.*, r.k from merged m left join (select distinct casrn, k from registry_raw) r on r.casrn = m.cas), ids as (select identifier, arg_min(cid, row(ordinal, cid)) as cid from xref where identifier_type = 'cas' group by 1),
     tox as (select dtxsid, count(*) as n from toxval_raw group by 1)"""
 
 
-@query(f"also {_DUCK_DOSSIER}, {_DUCK_LISTS} select m.cas, m.dtxsid, m.preferred_name, i.cid, c.formula, printf('%.2f', c.mw) as mw, c.iupac_name, coalesce(replace(l.fp, ' | ', '; '), '') as flash_point, coalesce(t.n, 0) as n_toxvals from keyed m left join ids i on i.identifier = m.cas left join compound c on c.cid = i.cid left join lists l on l.k = m.k left join tox t on t.dtxsid = m.dtxsid", "registry_raw", "xref", "compound", "toxval_raw", "metric_text")
-def assemble_dossier(s: SparkSession, d: str) -> DataFrame:
-    return dossiers(s, d).select("cas", "dtxsid", "preferred_name", "cid", "formula", "mw", "iupac_name", D.joined(F.col("flash_point")).alias("flash_point"), "n_toxvals")
-
-
-def report_endpoints(s: SparkSession, d: str) -> DataFrame:
-    return mined(s, d).join(chemical_key(s, d), "k")
-
-
 _DUCK_TOLD = r"""seen as (select cast(floor(p_partkey / 2.0) as bigint) as k, kind, trim(regexp_replace(c[pos], '\s*\([^)]+\)', '', 'g')) as code, min(row(p_partkey, item, pos)) as spot from (select *, unnest(range(1, len(c) + 1)) as pos
     from (select *, case kind when 'H' then regexp_extract_all(txt, 'H\d+(?:\+\d+)?(?:\s*\([^)]+\))?') else regexp_extract_all(txt, 'P\d+(?:\+\d+)?(?:\s*\([^)]+\))?') end as c from ghs_text where kind in ('H', 'P')) t) u group by 1, 2, 3),
     told as (select k, string_agg(code, ' | ' order by spot) filter (kind = 'H') as h, string_agg(code, ' | ' order by spot) filter (kind = 'P') as p, string_agg(code, ' | ' order by spot) filter (code like 'H4%') as a from seen group by k)"""
 _DUCK_AQUATIC = _DUCK_ECO + ", doses as (select k, arg_min(value_num, ordinal) filter (value_num <> 0 and not coalesce(starts_with(endpoint, 'EC'), false)) as lc50, arg_max(value_num, ordinal) filter (value_num is not null and starts_with(endpoint, 'EC')) as ec50 from eco group by k)"
+_DUCK_FACETS = """signals as (select cast(floor(p_partkey / 2.0) as bigint) as k, arg_max(txt, p_partkey) as word from ghs_text where kind = 'S' group by 1),
+    names as (select k, string_agg(txt, ' | ' order by spot) as g from (select cast(floor(p_partkey / 2.0) as bigint) as k, txt, min(p_partkey) as spot from ghs_text where kind = 'G' group by 1, 2) x group by k),
+    lethal as (select k, string_agg(value[:400], ' | ' order by ordinal) filter (contains(upper(value), 'LD50')) as ld50, string_agg(value[:400], ' | ' order by ordinal) filter (contains(upper(value), 'LC50')) as lc50 from tox_text group by k)"""
+_DUCK_FIRST = _DUCK_DOSES.replace("doses as", "dosed as") + ", first as (select k, " + ", ".join(f"arg_min({p}, ordinal) filter ({p} is not null) as {p}" for p in E.BANDS) + " from dosed group by k)"
 
 
-@query(f"also {_DUCK_DOSSIER}, {_DUCK_LISTS}, {_DUCK_TOLD}, {_DUCK_AQUATIC}, {_DUCK_MINED} select m.cas as \"CAS\", coalesce(m.dtxsid, '') as \"DTXSID\", coalesce(m.preferred_name, '') as \"Preferred_Name\", coalesce(c.iupac_name, '') as \"IUPAC_Name\", coalesce(replace(l.fp, ' | ', '; '), '') as \"Flash_Point\", coalesce(replace(l.vp, ' | ', '; '), '') as \"Vapor_Pressure\", coalesce(h.h, '') as \"GHS_H\", coalesce(h.p, '') as \"GHS_P\", coalesce(h.a, '') as \"Aquatic_H\", x.lc50 as \"Aquatic_LC50_mg_L\", x.ec50 as \"Aquatic_EC50_mg_L\", coalesce(c.formula, '') as \"Formula\", coalesce(printf('%.2f', c.mw), '') as \"MW\", coalesce(e.ordinal, 0) as \"Row\", coalesce(e.route, '') as \"Exposure_Pathway\", coalesce(e.species, '') as \"Species\", trim(coalesce(e.type, '')) as \"Endpoint\", coalesce(e.value, '') as \"Value\", coalesce(e.unit, '') as \"Unit\" from keyed m left join ids i on i.identifier = m.cas left join compound c on c.cid = i.cid left join mined e on e.k = m.k left join lists l on l.k = m.k left join told h on h.k = m.k left join doses x on x.k = m.k", "registry_raw", "xref", "compound", "toxval_raw", "tox_text", "metric_text", "ghs_text")
+@query(
+    f"also {_DUCK_DOSSIER}, {_DUCK_LISTS}, {_DUCK_TOLD}, {_DUCK_AQUATIC}, {_DUCK_FACETS}, {_DUCK_FIRST} select m.cas, m.dtxsid, m.preferred_name, i.cid, c.formula, coalesce(printf('%.2f', c.mw), c.mw_text) as mw, coalesce(c.iupac_name, c.iupac_name_legacy) as iupac_name, coalesce(c.smiles, c.isomeric_smiles, c.canonical_smiles) as smiles,"
+    " coalesce(replace(l.fp, ' | ', '; '), '') as flash_point, coalesce(replace(l.vp, ' | ', '; '), '') as vapor_pressure, l.nfpa, l.iarc, l.prop65, coalesce(h.h, '') as h_codes, coalesce(h.p, '') as p_codes, s.word as signal_word, coalesce(g.g, '') as pictograms, coalesce(x.ld50, '') as ld50, coalesce(x.lc50, '') as lc50_texts,"
+    + ", ".join(f"f.{p} as {p}_dose, case when f.{p} is not null then {_duck_band(p, 'f.' + p)} end as {p}_band" for p in E.BANDS)
+    + ", e.lc50, e.ec50, coalesce(t.n, 0) as n_toxvals from keyed m left join ids i on i.identifier = m.cas left join compound c on c.cid = i.cid left join lists l on l.k = m.k left join told h on h.k = m.k left join signals s on s.k = m.k left join names g on g.k = m.k left join lethal x on x.k = m.k left join first f on f.k = m.k left join doses e on e.k = m.k left join tox t on t.dtxsid = m.dtxsid",
+    "registry_raw", "xref", "compound", "toxval_raw", "metric_text", "ghs_text", "tox_text",
+)
+def assemble_dossier(s: SparkSession, d: str) -> DataFrame:
+    """Every facet of every chemical; lists as texts."""
+    lists = [D.joined(F.col(c), sep).alias(c) for c, sep in {"flash_point": "; ", "vapor_pressure": "; ", "h_codes": " | ", "p_codes": " | ", "pictograms": " | ", "ld50": " | ", "lc50_texts": " | "}.items()]
+    doses = [F.col(f"{p}.{c}").alias(f"{p}_{c}") for p in E.BANDS for c in ("dose", "band")]
+    return dossiers(s, d).select("cas", "dtxsid", "preferred_name", "cid", "formula", "mw", "iupac_name", "smiles", *lists, "nfpa", "iarc", "prop65", "signal_word", *doses, "lc50", "ec50", "n_toxvals")
+
+
+def report_endpoints(s: SparkSession, d: str, **given: DataFrame) -> DataFrame:
+    return mined(s, d).join(chemical_key(s, d, **given), "k")
+
+
+@query(f"also {_DUCK_DOSSIER}, {_DUCK_LISTS}, {_DUCK_TOLD}, {_DUCK_AQUATIC}, {_DUCK_MINED} select m.cas as \"CAS\", coalesce(m.dtxsid, '') as \"DTXSID\", coalesce(m.preferred_name, '') as \"Preferred_Name\", coalesce(c.iupac_name, c.iupac_name_legacy, '') as \"IUPAC_Name\", coalesce(replace(l.fp, ' | ', '; '), '') as \"Flash_Point\", coalesce(replace(l.vp, ' | ', '; '), '') as \"Vapor_Pressure\", coalesce(h.h, '') as \"GHS_H\", coalesce(h.p, '') as \"GHS_P\", coalesce(h.a, '') as \"Aquatic_H\", x.lc50 as \"Aquatic_LC50_mg_L\", x.ec50 as \"Aquatic_EC50_mg_L\", coalesce(c.formula, '') as \"Formula\", coalesce(printf('%.2f', c.mw), c.mw_text, '') as \"MW\", coalesce(e.ordinal, 0) as \"Row\", coalesce(e.route, '') as \"Exposure_Pathway\", coalesce(e.species, '') as \"Species\", trim(coalesce(e.type, '')) as \"Endpoint\", coalesce(e.value, '') as \"Value\", coalesce(e.unit, '') as \"Unit\" from keyed m left join ids i on i.identifier = m.cas left join compound c on c.cid = i.cid left join mined e on e.k = m.k left join lists l on l.k = m.k left join told h on h.k = m.k left join doses x on x.k = m.k", "registry_raw", "xref", "compound", "toxval_raw", "tox_text", "metric_text", "ghs_text")
 def report_csv(s: SparkSession, d: str) -> DataFrame:
-    return D.report_csv(dossiers(s, d), report_endpoints(s, d))
+    given = landed_registry(s, d)
+    return D.report_csv(dossiers(s, d, **given), report_endpoints(s, d, **given))
+
 
+_REPORT_VIEWS = ("registry_raw", "xref", "compound", "toxval_raw", "tox_text", "metric_text", "ghs_text")
+_DUCK_REPORT = f"""also {_DUCK_DOSSIER}, {_DUCK_LISTS}, {_DUCK_TOLD}, {_DUCK_AQUATIC}, {_DUCK_MINED}, {_DUCK_FACETS}, coded as (select k, list(code order by spot) filter (kind = 'H') as h, list(code order by spot) filter (kind = 'P') as p, list(code order by spot) filter (code like 'H4%') as a from seen group by k),
+    rows_of as (select k, list(struct_pack(exposure_pathway := route, species := species, endpoint := type, value := value, unit := unit, source_section := source_section) order by ordinal) as l from mined group by k),
+    entries as (select k, list(struct_pack(value := value[:400], species := species, unit := coalesce(unit, 'mg/L'), endpoint := endpoint, duration := duration, value_num := value_num, ci_low := ci_low, ci_high := ci_high, conditions := trim(value)) order by ordinal) as l from eco group by k)
+    select m.cas, to_json(struct_pack(query_info := struct_pack("timestamp" := '2024-01-01T00:00:00', cas_number := m.cas),
+    identifiers := struct_pack(iupac_name := coalesce(c.iupac_name, c.iupac_name_legacy), cid := i.cid, formula := c.formula, mw := coalesce(printf('%.2f', c.mw), c.mw_text), smiles := coalesce(c.smiles, c.isomeric_smiles, c.canonical_smiles), dsstox := struct_pack(dtxsid := m.dtxsid, preferred_name := m.preferred_name)),
+    physical_properties := struct_pack(flash_point := coalesce(replace(l.fp, ' | ', '; '), ''), vapor_pressure := coalesce(replace(l.vp, ' | ', '; '), '')),
+    ghs := struct_pack(h_codes := coalesce(h.h, []), p_codes := coalesce(h.p, []), signal_word := coalesce(s.word, '')),
+    ecotoxicity := struct_pack(h_codes_aquatic := coalesce(h.a, []), aquatic_lc50_mg_l := x.lc50, aquatic_ec50_mg_l := x.ec50, entries := coalesce(e.l, [])),
+    toxicity_endpoints := coalesce(r.l, []), toxvaldb_available := t.n is not null)) as report
+    from keyed m left join ids i on i.identifier = m.cas left join compound c on c.cid = i.cid left join lists l on l.k = m.k left join coded h on h.k = m.k left join signals s on s.k = m.k left join doses x on x.k = m.k left join rows_of r on r.k = m.k left join entries e on e.k = m.k left join tox t on t.dtxsid = m.dtxsid"""
 
-@query()
+
+@query(_DUCK_REPORT, *_REPORT_VIEWS)
 def report_json(s: SparkSession, d: str) -> DataFrame:
-    entries = E.ecotox_entries(view(s, d, "tox_text")).join(chemical_key(s, d), "k")
-    return D.report_json(dossiers(s, d), report_endpoints(s, d), entries, "cas", "2024-01-01T00:00:00")
+    given = landed_registry(s, d)
+    entries = E.ecotox_entries(view(s, d, "tox_text")).join(chemical_key(s, d, **given), "k")
+    return D.report_json(dossiers(s, d, **given), report_endpoints(s, d, **given), entries, "cas", "2024-01-01T00:00:00")
+
+
+@query(ORACLE_SQL["report_csv"])
+def write_report_csv(s: SparkSession, d: str) -> DataFrame:
+    """The flat report written as CSV files in hash buckets of the chemical, checked and read back."""
+    return tables.write_report(report_csv(s, d), scratch(s)).table
+
+
+@query(ORACLE_SQL["report_json"].replace("select m.cas, to_json(", "select to_json(", 1))
+def write_report_json(s: SparkSession, d: str) -> DataFrame:
+    """The nested reports written as lines of JSON and read back."""
+    return tables.write_json_reports(report_json(s, d), scratch(s)).table
