@@ -49,32 +49,35 @@ def draw_counts(need: np.ndarray, limit: np.ndarray, shards: int, seed: int) ->
     return out
 
 
-def permute(x: np.ndarray, n: int, key: int) -> np.ndarray:
-    """A pseudorandom permutation of 0 .. n-1: a four-round Feistel network whose results beyond n are sent through again."""
-    half = max(1, (max(2, n - 1).bit_length() + 1) // 2)
-    mask = np.uint64((1 << half) - 1)
-
-    def once(v: np.ndarray) -> np.ndarray:
-        a, b = v >> np.uint64(half), v & mask
+def permute(x: np.ndarray, n: int | np.ndarray, key: int | np.ndarray) -> np.ndarray:
+    """A pseudorandom permutation of 0 .. n-1: a four-round Feistel network whose results beyond n are sent through again. Each of x may
+    have an n and a key of its own."""
+    v = x.astype(np.uint64)
+    n, key = np.broadcast_to(np.asarray(n, np.int64), v.shape), np.broadcast_to(np.asarray(key, np.int64), v.shape).astype(np.uint64)
+    bits = np.frexp(np.maximum(n - 1, 2).astype(float))[1]  # as int.bit_length(), below 2**53
+    half = np.maximum((bits + 1) // 2, 1).astype(np.uint64)
+    over = np.arange(len(v))
+    while len(over):
+        h, k, one = half[over], key[over] * np.uint64(4), np.uint64(1)
+        mask = (one << h) - one
+        a, b = v[over] >> h, v[over] & mask
         for r in range(4):
-            f = (b + np.uint64((key * 4 + r + 1) & 0xFFFFFFFF)) * np.uint64(0x9E3779B97F4A7C15)
+            f = (b + ((k + np.uint64(r + 1)) & np.uint64(0xFFFFFFFF))) * np.uint64(0x9E3779B97F4A7C15)
             f ^= f >> np.uint64(29)
             f *= np.uint64(0xBF58476D1CE4E5B9)
             a, b = b, a ^ ((f >> np.uint64(32)) & mask)
-        return (a << np.uint64(half)) | b
-
-    v = once(x.astype(np.uint64))
-    while (over := v >= n).any():
-        v[over] = once(v[over])
+        v[over] = (a << h) | b
+        over = over[v[over] >= n[over].astype(np.uint64)]
     return v.astype(np.int64)
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, cap: float = 2.0, block: int = 32, shards: int = 256, seed: int = 42, per_bucket: int = 2048, draw_seed: int = 42) -> DataFrame:
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, cap: float = 2.0, block: int | None = None, shards: int = 256, seed: int = 42, per_bucket: int = 2048, draw_seed: int = 42) -> DataFrame:
     """(id, same, size, source, source_size, target, taken, pieces) of every row.
 
     size counts the words of the text (null: none). Sources in code point order, null last, have the weights in turn; their
     targets share ``share`` times all words, none above ``cap`` times its source's. A source's rows, in the order of a hash,
-    form a stream that is cut into blocks of ``block`` words. Each output shard draws how many of its slots each source gets
+    form a stream that is cut into blocks of ``block`` words: 32, or as many as leave some 2**28 blocks of all words, so that rows of the
+    join don't grow with a very large corpus. Each output shard draws how many of its slots each source gets
     (draw_counts(), by ``draw_seed``). A source's slots are numbered through the shards; slot i is block perm(i mod n) under
     the permutation of pass i div n (by ``seed``), and blocks and slots are joined by index. ``pieces`` lists the ranges of
     words taken, with pass, shard and place in the shard; a pass takes a word once at most, and ``cap`` rounded up is the
@@ -90,6 +93,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     found = rows.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect()
     found.sort(key=lambda r: (r["source"] is None, r["source"] or ""))
     sizes = [r["size"] for r in found]
+    block = block or max(32, -(-sum(sizes) // (1 << 28)))
     goal = targets([float(s) for s in sizes], [float(weights[i % len(weights)]) for i in range(len(found))], share * sum(sizes), cap)
     blocks = np.array([-(-s // block) for s in sizes], np.int64)
     need = np.array([g * b / s if s else 0.0 for g, b, s in zip(goal, blocks, sizes, strict=True)])
@@ -123,7 +127,8 @@ def slots(spark: SparkSession, counts: np.ndarray, blocks: np.ndarray, seed: int
     """(src, block, pass, shard, slot): the block of each slot of the output shards.
 
     counts(shards, sources) are runs of a source's indexes, taken in the order of the shards; each index goes through the
-    permutation of its pass. Inside a shard, slots are dealt by another permutation, so that its sources lie mixed."""
+    permutation of its pass. Inside a shard, slots are dealt by another permutation, so that its sources lie mixed. Runs of more than
+    ``step`` slots are cut; a task expands some 250,000 slots at once, of whatever runs. No counts, no slots."""
     first, ahead, sizes = np.cumsum(counts, axis=0) - counts, np.cumsum(counts, axis=1) - counts, counts.sum(axis=1)
     runs = [(int(s), int(k), int(first[k, s]), int(ahead[k, s]), int(counts[k, s]), int(blocks[s]), int(sizes[k])) for k, s in zip(*np.nonzero(counts), strict=True)]
     dealt = spark.createDataFrame(runs, "src int, shard int, at long, ahead long, n long, blocks long, size long")
@@ -132,13 +137,20 @@ def slots(spark: SparkSession, counts: np.ndarray, blocks: np.ndarray, seed: int
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for t in parts:
-            for src, shard, at, ahead, count, n, size in t.itertuples(index=False):
-                i = np.arange(at, at + count, dtype=np.int64)
-                block = np.concatenate([permute(i[i // n == p] % n, n, seed * 1_000_003 + src * 101 + int(p)) for p in np.unique(i // n)])
-                slot = permute(np.arange(ahead, ahead + count, dtype=np.int64), size, seed * 7919 + shard)
-                yield pd.DataFrame({"src": np.full(count, src, np.int32), "block": block, "pass": (i // n).astype(np.int32), "shard": np.full(count, shard, np.int32), "slot": slot})
-
-    return dealt.repartition(int(counts.sum() // 250_000) + 1, "src", "at").mapInPandas(run, "src int, block long, pass int, shard int, slot long")
+            chunk = (t["n"].cumsum() - 1) // 250_000
+            for _, c in t.groupby(chunk.to_numpy()):
+                src, shard, at, before, count, n, size = (c[x].to_numpy() for x in ("src", "shard", "at", "ahead", "n", "blocks", "size"))
+                of = np.repeat(np.arange(len(c)), count)
+                inside = np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
+                i = at[of] + inside
+                rounds = i // n[of]
+                block = permute(i % n[of], n[of], seed * 1_000_003 + src[of].astype(np.int64) * 101 + rounds)
+                slot = permute(before[of] + inside, size[of], seed * 7919 + shard[of].astype(np.int64))
+                yield pd.DataFrame({"src": src[of].astype(np.int32), "block": block, "pass": rounds.astype(np.int32), "shard": shard[of].astype(np.int32), "slot": slot})
+
+    total = int(counts.sum())
+    tasks = max(total // 250_000 + 1, min(spark.sparkContext.defaultParallelism, total // 10_000 + 1))
+    return dealt.repartition(tasks, "src", "shard", "at").mapInPandas(run, "src int, block long, pass int, shard int, slot long")
 
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", length_col: str = "n_chars", **options) -> DataFrame:
