@@ -93,16 +93,18 @@ def build(rows: list[Row], window: int = 13) -> tuple[list[str], WordNumbers, li
 
 
 class Search:
-    """The searches of a broadcast slice of the benchmark; built once in each worker."""
+    """The searches of a broadcast slice of the benchmark. A worker builds them once: they stay with its copy of the broadcast, which its
+    tasks share, and go with it."""
 
     def __init__(self, sent, window: int):
-        self.sent, self.window, self.built = sent, window, None
+        self.sent, self.window = sent, window
 
     def __call__(self, text: bytes) -> tuple[np.ndarray, list[str]]:
         """Whether each word of the text is hit, and the items that occur."""
-        if self.built is None:
-            self.built = build(self.sent.value, self.window)
-        names, number, searches = self.built
+        built = getattr(self.sent, "searches", None)
+        if built is None:
+            built = self.sent.searches = build(self.sent.value, self.window)
+        names, number, searches = built
         words = item_words(text)
         numbers, hit, items = np.fromiter(map(number.__getitem__, words), np.int32, len(words)), np.zeros(len(words), bool), set()
         for s in searches:
@@ -140,7 +142,7 @@ def scan_hits(docs: DataFrame, rows: list[Row], window: int) -> DataFrame:
     return out
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", window: int = 13, share: int = 20, max_pattern_bytes: int = 4 << 20, whole_rows: bool = False) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", window: int = 13, share: int = 20, max_pattern_bytes: int = 5 << 20, whole_rows: bool = False) -> DataFrame:
     """(id, n_words, n_hit, n_items, items, contaminated) of every row of docs; with ``whole_rows`` also ``row``, the row itself.
 
     Words are runs of a-z, 0-9 and characters beyond ASCII, after lower-casing A-Z. A window is ``window`` words of an item, or
@@ -149,10 +151,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     rows each come back, ids may be null, an empty table gives an empty result.
 
     At most ``max_pattern_bytes`` of item text are searched at once: a worker holds about 20 bytes of patterns and table for
-    each of them. A larger benchmark is cut into slices by hash. Each is collected, searched in its own pass, and dropped before
+    each of them, built once for all its tasks. Repeated items are one. A larger benchmark is cut into slices by hash. Each is collected, searched in its own pass, and dropped before
     the next; only rows with hits are written, and added up by row.
     """
-    items = benchmark.filter(F.col(item_col).isNotNull()).select(F.col(item_col).cast("string").alias("item"), text_bytes(text_col).alias("t"))
+    items = benchmark.filter(F.col(item_col).isNotNull()).select(F.col(item_col).cast("string").alias("item"), text_bytes(text_col).alias("t")).distinct()
     total = items.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0]
     slices = int(total // max_pattern_bytes) + 1
     of = lambda k: [(r["item"], bytes(r["t"])) for r in items.filter(F.pmod(F.xxhash64("item", "t"), F.lit(slices)) == k).collect()]
