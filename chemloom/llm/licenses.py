@@ -34,7 +34,17 @@ TEMPLATES: dict[str, list[str]] = {
         "This work is licensed under the GNU General Public License, version 3.",
         "Released under the GNU General Public License, version 3 or later.",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, version 3.",
+        "Licensed under the GNU General Public License, version 3.",
         "SPDX-License-Identifier: GPL-3.0-or-later",
+        "SPDX-License-Identifier: GPL-3.0-only",
+    ],
+    "GPL-2.0": [
+        "This work is licensed under the GNU General Public License, version 2.",
+        "Released under the GNU General Public License, version 2 or later.",
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+        "Licensed under the GNU General Public License, version 2.",
+        "SPDX-License-Identifier: GPL-2.0-only",
+        "SPDX-License-Identifier: GPL-2.0-or-later",
     ],
     "LGPL": [
         "Licensed under the GNU Lesser General Public License, version 2.1.",
@@ -69,9 +79,39 @@ TEMPLATES: dict[str, list[str]] = {
     ],
     "Public-domain": [
         "This work is dedicated to the public domain under CC0 1.0.",
-        "This is free and unencumbered software released into the public domain.",
+        "Dedicated to the public domain under the CC0 1.0 Universal dedication.",
         "SPDX-License-Identifier: CC0-1.0",
     ],
+    "Unlicense": [
+        "This is free and unencumbered software released into the public domain.",
+        "Released under the Unlicense.",
+        "SPDX-License-Identifier: Unlicense",
+    ],
+    "ISC": [
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+        "Licensed under the ISC License.",
+        "SPDX-License-Identifier: ISC",
+    ],
+    "EPL-2.0": [
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0.",
+        "Licensed under the Eclipse Public License, version 2.0.",
+        "SPDX-License-Identifier: EPL-2.0",
+    ],
+    "BSL-1.0": [
+        "Distributed under the Boost Software License, Version 1.0.",
+        "Licensed under the Boost Software License 1.0.",
+        "SPDX-License-Identifier: BSL-1.0",
+    ],
+    "Zlib": [
+        "This software is provided as-is, without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.",
+        "Licensed under the zlib License.",
+        "SPDX-License-Identifier: Zlib",
+    ],
+    "Artistic-2.0": [
+        "This package is free software and may be copied under the terms of the Artistic License 2.0.",
+        "Licensed under the Artistic License 2.0.",
+        "SPDX-License-Identifier: Artistic-2.0",
+    ],
     "Proprietary": [
         "Copyright. All rights reserved. Unauthorized copying of this file is strictly prohibited.",
         "This software is proprietary and confidential. All rights reserved.",
@@ -98,8 +138,40 @@ LOOKALIKES = [
     "An essay on the GNU General Public License and its history.",
     "He reserved all rights to the seat.",
 ]
+# How notices name the licences; sentences that name them and grant nothing, by the way they do it. The last of each way
+# is held out.
+NAMES = {
+    "MIT": "the MIT License",
+    "Apache-2.0": "the Apache License, Version 2.0",
+    "GPL-3.0": "the GNU General Public License, version 3",
+    "GPL-2.0": "the GNU General Public License, version 2",
+    "LGPL": "the GNU Lesser General Public License",
+    "AGPL-3.0": "the GNU Affero General Public License, version 3",
+    "BSD": "the BSD 3-Clause License",
+    "MPL-2.0": "the Mozilla Public License, version 2.0",
+    "CC-BY-NC": "CC BY-NC 4.0",
+    "CC-BY": "CC BY 4.0",
+    "Unlicense": "the Unlicense",
+    "ISC": "the ISC License",
+    "EPL-2.0": "the Eclipse Public License 2.0",
+    "BSL-1.0": "the Boost Software License 1.0",
+    "Zlib": "the zlib License",
+    "Artistic-2.0": "the Artistic License 2.0",
+}
+WAYS = {
+    "negation": ["Nothing here is {v} under {n}.", "You may not use code {v} under {n} in this project.", "This work is not {v} under {n}.", "No part of it was ever {v} under {n}.", "None of these files are {v} under {n}."],
+    "question": ["Is this project {v} under {n}?", "We wondered whether it had been {v} under {n}.", "The court asked whether the dataset was {v} under {n}."],
+    "citation": ["See {n} for an example of a short text.", "The phrase {v} under {n} appears in many files.", "They discussed {n} at the meeting.", "Unlike works {v} under {n}, the agreement says nothing about patents."],
+    "condition": ["Unless it is {v} under {n}, do not copy it.", "Had it been {v} under {n}, it could be shared.", "If the work were {v} under {n}, we would ship it; it is not."],
+}
 # Words whose negation turns a notice into a statement that grants nothing.
 NEGATED = r"(?i)\b(licensed|released|granted|dedicated|distributed|permitted|subject|free|proprietary)\b"
+VERBS = ("licensed", "released", "distributed")
+# Words that make a sentence about a licence no notice, unless the notice's own text has them.
+CUES = ["not", "nothing", "never", "none", "no", "neither", "nor", "cannot", "if", "whether", "unless", "unlike", "would", "were", "had", "example"]
+# Versions of the families that have one; how a text names a version.
+VERSIONS = {"Apache-2.0": "2", "GPL-3.0": "3", "GPL-2.0": "2", "AGPL-3.0": "3", "MPL-2.0": "2", "EPL-2.0": "2", "BSL-1.0": "1", "Artistic-2.0": "2"}
+VERSION = r"(?i)(?:version|\bv\.?|licen[cs]e,?|[a-z]-)\s*(\d+(?:\.\d+)*)"
 SEEDS = r"(?i)licen[cs]e|copyright|spdx|warrant|permission|public domain|rights reserved"
 WORD = r"[a-z0-9]+(?:[.-][a-z0-9]+)*"
 
@@ -129,19 +201,20 @@ def paragraphs(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def training(docs: DataFrame, id_col: str, text_col: str, max_negatives: int, variants: int = 8) -> DataFrame:
-    """(label, w, held, corpus): templates, each with words left out in several ways; negated templates, lookalikes and
-    paragraphs of the corpus as unknown.
+    """(label, w, held, corpus): templates, each with words left out in several ways; sentences that negate, ask, cite or suppose a
+    licence, lookalikes and paragraphs of the corpus as unknown.
 
-    Every fourth template, with all its variants, is held out. A paragraph of the corpus is taken for unknown only if it has no
+    Every fourth template, with all its variants, is held out, and one sentence of each way. A paragraph of the corpus is taken for unknown only if it has no
     word like licence or copyright and is unlike every template; at most ``max_negatives``, of as many documents of least hash."""
     spark = docs.sparkSession
     notices = [(family, t, i % 4 == 1) for family, ts in TEMPLATES.items() for i, t in enumerate(ts)]
     negated = [(UNKNOWN, re.sub(NEGATED, r"not \1", t, count=1), h) for _, t, h in notices if re.search(NEGATED, t)]
-    fixed = [*notices, *negated, *((UNKNOWN, t, i % 4 == 1) for i, t in enumerate(LOOKALIKES))]
-    rows = F.explode(F.array(*[F.struct(F.lit(a).alias("label"), F.lit(b).alias("text"), F.lit(h).alias("held")) for a, b, h in fixed]))
-    base = spark.range(1).select(rows.alias("r")).select("r.label", "r.held", words(F.col("r.text")).alias("w"))
-    base = base.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(variants - 1))))
-    base = base.select("label", F.filter("w", lambda x: (F.col("k") == 0) | (x == "not") | (F.pmod(F.xxhash64(x, F.col("k")), F.lit(10)) > 0)).alias("w"), "held")
+    told = [(UNKNOWN, t.format(v=VERBS[(i + j) % len(VERBS)], n=n), t == ways[-1]) for ways in WAYS.values() for i, t in enumerate(ways) for j, n in enumerate(NAMES.values())]
+    fixed = [*((*x, variants) for x in [*notices, *negated, *((UNKNOWN, t, i % 4 == 1) for i, t in enumerate(LOOKALIKES))]), *((*x, 2) for x in told)]
+    rows = F.explode(F.array(*[F.struct(F.lit(a).alias("label"), F.lit(b).alias("text"), F.lit(h).alias("held"), F.lit(n).alias("times")) for a, b, h, n in fixed]))
+    base = spark.range(1).select(rows.alias("r")).select("r.label", "r.held", "r.times", words(F.col("r.text")).alias("w"))
+    base = base.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("times") - 1)))
+    base = base.select("label", F.filter("w", lambda x: (F.col("k") == 0) | x.isin(*CUES) | (F.pmod(F.xxhash64(x, F.col("k")), F.lit(10)) > 0)).alias("w"), "held")
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     ids = rows.select("id").distinct().orderBy(F.xxhash64("id"), "id").limit(max_negatives)  # bounded
     chosen = rows.alias("d").join(F.broadcast(ids.alias("i")), F.expr("d.id <=> i.id"), "left_semi")
@@ -224,13 +297,24 @@ def one_of(strings: list[str]) -> str:
     return f"(?:{'|'.join(tails)})" + ("?" if "" in by_first else "") if tails else ""
 
 
+def notice() -> Column:
+    """Whether a paragraph that is like a template (own) of a family grants what it says: no sentence that shares three of its runs asks
+    something or has a cue that the template hasn't, and if a version is named, the family's is."""
+    said = F.filter(F.split("paragraph", r"(?<=[.!?])\s+"), lambda x: F.size(F.array_intersect(ngrams(words(x)), "own")) >= 3)
+    cues = F.array_except(F.array(*map(F.lit, CUES)), "own")
+    other = F.exists(said, lambda x: F.contains(x, F.lit("?")) | F.arrays_overlap(words(x), cues))
+    named = F.transform(F.regexp_extract_all("paragraph", F.lit(VERSION), F.lit(1)), lambda x: F.regexp_replace(x, r"(\.0)+$", ""))
+    version = F.element_at(F.create_map(*[F.lit(x) for v in VERSIONS.items() for x in v]), F.col("family"))
+    return ~other & (version.isNull() | (F.size(named) == 0) | F.array_contains(named, version))
+
+
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", floor: float = 0.5, least_match: float = 0.6, max_negatives: int = 4000, model: dict | None = None) -> DataFrame:
     """(id, family, probability, confirmed, n_licence, found) of every row of docs.
 
     Lines are paragraphs; a line that ends without a stop goes on in the next one. A paragraph's features are its distinct runs of one to three words that occur in the
     templates; a multinomial logistic regression, its temperature fitted on held-out rows, gives the families and an unknown
     class. A family of probability ``floor`` or more is a finding; it is confirmed if ``least_match`` of some template's
-    one- to three-word runs occur in the paragraph. ``family`` is the finding with the highest probability (earliest on ties).
+    one- to three-word runs occur in the paragraph and it is a notice() by them. ``family`` is the finding with the highest probability (earliest on ties).
 
     ``model`` is what fit() returns, here or for other documents. The negatives are a bounded sample (``max_negatives``); everything else covers every paragraph, common words all documents. Paragraphs without any anchor
     word are unknown by proof, see anchors(), and aren't scored. Null and empty texts have no findings; repeated rows each come
@@ -245,22 +329,23 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", floor:
     if needed:
         lines = lines.filter(F.rlike("paragraph", near))
     lines, _ = cut(lines.distinct().withColumn("w", words(F.col("paragraph"))))  # apart, else the words are found anew for every run
-    lines, _ = cut(lines.select("id", "row", "place", ngrams(F.col("w")).alias("grams")))
+    lines, _ = cut(lines.select("id", "row", "place", "paragraph", ngrams(F.col("w")).alias("grams")))
     deltas = [(t, [float(x) for x in model["w"][:, i]]) for i, t in enumerate(terms)]
     weights = F.broadcast(spark.createDataFrame(deltas, "term string, w array<double>"))  # bounded by the templates
-    hits = lines.select("id", "row", "place", F.explode("grams").alias("term")).join(weights, "term")
-    sums = hits.groupBy("id", "row", "place").agg(F.array(*[F.sum(F.col("w")[i]) for i in range(len(names))]).alias("z"))
+    # Where no word has to be there, a paragraph without any term can be a finding, too.
+    hits = lines.select("id", "row", "place", F.explode_outer("grams").alias("term")).join(weights, "term", "inner" if needed else "left")
+    sums = hits.groupBy("id", "row", "place").agg(F.array(*[F.coalesce(F.sum(F.col("w")[i]), F.lit(0.0)) for i in range(len(names))]).alias("z"))
     z = F.transform(F.arrays_zip("z", F.array(*[F.lit(float(x)) for x in model["b"]]).alias("b")), lambda x: x["z"] + x["b"])
     soft = sums.withColumn("z", z).withColumn("z", F.transform("z", lambda x: F.exp(x - F.array_max("z"))))
     soft = soft.withColumn("z", F.transform("z", lambda x: x / F.aggregate("z", F.lit(0.0), lambda s, v: s + v)))
     known = F.slice("z", 1, len(names) - 1)
     named = soft.select("id", "row", "place", F.array_max(known).alias("probability"), F.element_at(F.array(*[F.lit(x) for x in names]), F.array_position(known, F.array_max(known)).cast("int")).alias("family"))
-    good = named.filter(F.col("probability") >= floor).alias("g").join(lines.alias("l"), F.expr("g.id <=> l.id and g.row = l.row and g.place = l.place")).select("g.*", "l.grams")
+    good = named.filter(F.col("probability") >= floor).alias("g").join(lines.alias("l"), F.expr("g.id <=> l.id and g.row = l.row and g.place = l.place")).select("g.*", "l.grams", "l.paragraph")
     shapes = spark.range(1).select(F.explode(F.array(*[F.struct(F.lit(a).alias("family"), F.lit(t).alias("text")) for a, ts in TEMPLATES.items() for t in ts])).alias("r"))
     shapes = F.broadcast(shapes.select("r.family", ngrams(words(F.col("r.text"))).alias("own")))
     match = F.size(F.array_intersect("own", "grams")) / F.size("own")
-    good = good.join(shapes, "family").groupBy("id", "row", "place", "family", "probability").agg(F.max(match).alias("match"))
-    good = good.select("id", "row", F.struct(F.col("place").alias("line"), "family", F.round("probability", 9).alias("probability"), F.round("match", 9).alias("match"), (F.col("match") >= least_match).alias("confirmed")).alias("f"))
+    good = good.join(shapes, "family").groupBy("id", "row", "place", "family", "probability").agg(F.max(match).alias("match"), F.bool_or((match >= least_match) & notice()).alias("confirmed"))
+    good = good.select("id", "row", F.struct(F.col("place").alias("line"), "family", F.round("probability", 9).alias("probability"), F.round("match", 9).alias("match"), "confirmed").alias("f"))
     per_row = good.groupBy("id", "row").agg(F.array_sort(F.collect_list("f")).alias("found"), F.max(F.struct(F.col("f.probability"), (-F.col("f.line")).alias("line"), F.col("f.family"), F.col("f.confirmed"))).alias("best"))
     both = base.alias("b").join(per_row.alias("p"), F.expr("b.id <=> p.id and b.row = p.row"), "left")
     return both.select("b.id", F.coalesce("best.family", F.lit(UNKNOWN)).alias("family"), "best.probability", F.coalesce("best.confirmed", F.lit(False)).alias("confirmed"), F.coalesce(F.size("found"), F.lit(0)).alias("n_licence"), "found")
