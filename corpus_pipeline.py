@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chemloom.llm import decontam, mixing, sharding, simhash, toxicity
-from chemloom.llm.common import shared_dir, table
+from chemloom.llm.common import discard, shared_dir, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,7 +30,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents as the mix takes them: a row for a first taking and one for a second, cut where only blocks are taken."""
+    """The documents as the mix takes them: a row for each pass that takes some of a document's words, cut where only blocks are taken."""
     return mixing.mixed_documents(docs)
 
 
@@ -52,8 +52,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, place = table(spark, sf_dir, "documents"), f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    """The shards of the documents that all stages keep. Each stage is written and read again; its input's table goes once it is."""
+    docs, place, last = table(spark, sf_dir, "documents"), f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}", None
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{place}/{name}")
-        docs = spark.read.parquet(f"{place}/{name}")
+        if last:
+            discard(spark, last)
+        last = f"{place}/{name}"
+        docs = spark.read.parquet(last)
     return docs
