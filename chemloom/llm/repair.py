@@ -249,15 +249,13 @@ def summary(symbols: np.ndarray) -> tuple[list[int], list[int], list[int]]:
     return v.tolist(), rise.tolist(), state.ravel().tolist()
 
 
-def _expanded(t: pd.DataFrame) -> pd.DataFrame:
-    """A stretch's distinct rows in order, each with its copies after it; copies repeat their row, so they are duplicates (or blank)."""
-    t = t.sort_values("place")
-    copies = t["copies"].to_numpy()
-    t = t.loc[t.index.repeat(copies)].reset_index(drop=True)
-    later = np.ones(len(t), bool)
-    later[np.cumsum(copies) - copies] = False
-    t["found"] = [fault(x, s) for x, s in zip(t["text"], later | t["seen"].to_numpy(), strict=True)]
-    return t
+def _judged(t: pd.DataFrame) -> pd.DataFrame:
+    """A stretch's distinct rows in order, with the fault of each one's first copy and how many more copies there are.
+
+    Later copies have to be deleted, as blanks or duplicates. That adds a D and its cost and changes neither a state nor a vector, so
+    they are counted, not made, however many there are."""
+    t = t.sort_values("place").reset_index(drop=True)
+    return t.assign(found=[fault(x, s) for x, s in zip(t["text"], t["seen"], strict=True)], more=t["copies"] - 1)
 
 
 def _symbols(t: pd.DataFrame) -> np.ndarray:
@@ -276,11 +274,13 @@ def _large(rows: DataFrame, kind: str) -> DataFrame:
     dealt, p1 = cut(dealt.select("*", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("place")))
 
     def look(t: pd.DataFrame) -> pd.DataFrame:
-        t = _expanded(t)
+        t = _judged(t)
         v, rise, state = summary(_symbols(t))
-        roles, found = t["role"].tolist(), t["found"].tolist()
-        illegal = sum(a[:1] + b[:1] not in LEGAL for a, b in pairwise(roles))
-        return pd.DataFrame([(t["id"].iloc[0], t["part"].iloc[0], v, rise, state, roles[0][:1], roles[-1][:1], illegal, *(found.count(x) for x in ("blank", "duplicate", "truncated")))])
+        roles, more = t["role"].tolist(), int(t["more"].sum())
+        illegal = more + sum(a[:1] + b[:1] not in LEGAL for a, b in pairwise(roles))
+        n = {x: int((t["found"] == x).sum()) for x in ("blank", "duplicate", "truncated")}
+        blank = int(t["more"][t["found"] == "blank"].sum())
+        return pd.DataFrame([(t["id"].iloc[0], t["part"].iloc[0], v, [r + DELETE * more for r in rise], state, roles[0][:1], roles[-1][:1], illegal, n["blank"] + blank, n["duplicate"] + more - blank, n["truncated"])])
 
     seen = dealt.groupBy("id", "part").applyInPandas(look, f"id {kind}, part int, v array<int>, rise array<long>, state array<int>, first string, last string, illegal long, blank long, duplicate long, truncated long")
 
@@ -307,9 +307,9 @@ def _large(rows: DataFrame, kind: str) -> DataFrame:
     def mend(t: pd.DataFrame) -> pd.DataFrame:
         """A stretch's initials and repaired lines, some at a time, each with its newline but the conversation's first."""
         end, start, final = t["end"].iloc[0], t["start"].iloc[0], t["final"].iloc[0]
-        t = _expanded(t)
+        t = _judged(t)
         pieces, state = trace(_symbols(t), end, start)
-        said = "".join(p[0] for p in pieces)
+        said = "".join(p[0] + "D" * n for p, n in zip(pieces, t["more"], strict=True))
         lines = list(told(pieces, t["role"].tolist(), t["text"].tolist()))
         if final:
             said += "I" * len(finish(state))
