@@ -297,15 +297,22 @@ def one_of(strings: list[str]) -> str:
     return f"(?:{'|'.join(tails)})" + ("?" if "" in by_first else "") if tails else ""
 
 
-def notice() -> Column:
-    """Whether a paragraph that is like a template (own) of a family grants what it says: no sentence that shares three of its runs asks
-    something or has a cue that the template hasn't, and if a version is named, the family's is."""
-    said = F.filter(F.split("paragraph", r"(?<=[.!?])\s+"), lambda x: F.size(F.array_intersect(ngrams(words(x)), "own")) >= 3)
-    cues = F.array_except(F.array(*map(F.lit, CUES)), "own")
-    other = F.exists(said, lambda x: F.contains(x, F.lit("?")) | F.arrays_overlap(words(x), cues))
+def cued(good: DataFrame, shapes: DataFrame) -> DataFrame:
+    """good(id, row, place, family, paragraph) and shapes(family, template, own) -> (id, row, place, template, cue): whether a sentence of
+    the paragraph that shares three of a template's runs asks something or has a cue that the template hasn't."""
+    said = good.select("id", "row", "place", "family", F.explode(F.split("paragraph", r"(?<=[.!?])\s+")).alias("sentence"))
+    said, _ = cut(said.withColumn("w", words(F.col("sentence"))))  # apart, else the words are found anew for every run
+    said, _ = cut(said.select("id", "row", "place", "family", "w", F.contains("sentence", F.lit("?")).alias("asks"), ngrams(F.col("w")).alias("runs")))
+    near = said.join(shapes, "family").filter(F.size(F.array_intersect("runs", "own")) >= 3)
+    other = F.col("asks") | F.arrays_overlap("w", F.array_except(F.array(*map(F.lit, CUES)), "own"))
+    return near.groupBy("id", "row", "place", "template").agg(F.bool_or(other).alias("cue"))
+
+
+def same_version() -> Column:
+    """Whether a paragraph names no version, or its family's, if that has one."""
     named = F.transform(F.regexp_extract_all("paragraph", F.lit(VERSION), F.lit(1)), lambda x: F.regexp_replace(x, r"(\.0)+$", ""))
     version = F.element_at(F.create_map(*[F.lit(x) for v in VERSIONS.items() for x in v]), F.col("family"))
-    return ~other & (version.isNull() | (F.size(named) == 0) | F.array_contains(named, version))
+    return version.isNull() | (F.size(named) == 0) | F.array_contains(named, version)
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", floor: float = 0.5, least_match: float = 0.6, max_negatives: int = 4000, model: dict | None = None) -> DataFrame:
@@ -314,7 +321,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", floor:
     Lines are paragraphs; a line that ends without a stop goes on in the next one. A paragraph's features are its distinct runs of one to three words that occur in the
     templates; a multinomial logistic regression, its temperature fitted on held-out rows, gives the families and an unknown
     class. A family of probability ``floor`` or more is a finding; it is confirmed if ``least_match`` of some template's
-    one- to three-word runs occur in the paragraph and it is a notice() by them. ``family`` is the finding with the highest probability (earliest on ties).
+    one- to three-word runs occur in the paragraph, no sentence that shares them has a cue against it (cued()) and a version that is named
+    is the family's. ``family`` is the finding with the highest probability (earliest on ties).
 
     ``model`` is what fit() returns, here or for other documents. The negatives are a bounded sample (``max_negatives``); everything else covers every paragraph, common words all documents. Paragraphs without any anchor
     word are unknown by proof, see anchors(), and aren't scored. Null and empty texts have no findings; repeated rows each come
@@ -341,10 +349,15 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", floor:
     known = F.slice("z", 1, len(names) - 1)
     named = soft.select("id", "row", "place", F.array_max(known).alias("probability"), F.element_at(F.array(*[F.lit(x) for x in names]), F.array_position(known, F.array_max(known)).cast("int")).alias("family"))
     good = named.filter(F.col("probability") >= floor).alias("g").join(lines.alias("l"), F.expr("g.id <=> l.id and g.row = l.row and g.place = l.place")).select("g.*", "l.grams", "l.paragraph")
-    shapes = spark.range(1).select(F.explode(F.array(*[F.struct(F.lit(a).alias("family"), F.lit(t).alias("text")) for a, ts in TEMPLATES.items() for t in ts])).alias("r"))
-    shapes = F.broadcast(shapes.select("r.family", ngrams(words(F.col("r.text"))).alias("own")))
+    shapes = spark.range(1).select(F.explode(F.array(*[F.struct(F.lit(a).alias("family"), F.lit(t).alias("template")) for a, ts in TEMPLATES.items() for t in ts])).alias("r"))
+    shapes, _ = cut(shapes.select("r.family", "r.template", ngrams(words(F.col("r.template"))).alias("own")))
+    good, _ = cut(good)
+    cues = cued(good, F.broadcast(shapes))
     match = F.size(F.array_intersect("own", "grams")) / F.size("own")
-    good = good.join(shapes, "family").groupBy("id", "row", "place", "family", "probability").agg(F.max(match).alias("match"), F.bool_or((match >= least_match) & notice()).alias("confirmed"))
+    good = good.join(F.broadcast(shapes), "family").select("id", "row", "place", "family", "probability", "template", match.alias("match"), same_version().alias("agrees")).alias("g")
+    good = good.join(cues.alias("c"), F.expr("g.id <=> c.id and g.row = c.row and g.place = c.place and g.template = c.template"), "left").select("g.*", "c.cue")
+    sure = (F.col("match") >= least_match) & F.col("agrees") & ~F.coalesce("cue", F.lit(False))
+    good = good.groupBy("id", "row", "place", "family", "probability").agg(F.max("match").alias("match"), F.bool_or(sure).alias("confirmed"))
     good = good.select("id", "row", F.struct(F.col("place").alias("line"), "family", F.round("probability", 9).alias("probability"), F.round("match", 9).alias("match"), "confirmed").alias("f"))
     per_row = good.groupBy("id", "row").agg(F.array_sort(F.collect_list("f")).alias("found"), F.max(F.struct(F.col("f.probability"), (-F.col("f.line")).alias("line"), F.col("f.family"), F.col("f.confirmed"))).alias("best"))
     both = base.alias("b").join(per_row.alias("p"), F.expr("b.id <=> p.id and b.row = p.row"), "left")
