@@ -211,8 +211,7 @@ def training(docs: DataFrame, id_col: str, text_col: str, max_negatives: int, va
     negated = [(UNKNOWN, re.sub(NEGATED, r"not \1", t, count=1), h) for _, t, h in notices if re.search(NEGATED, t)]
     told = [(UNKNOWN, t.format(v=VERBS[(i + j) % len(VERBS)], n=n), t == ways[-1]) for ways in WAYS.values() for i, t in enumerate(ways) for j, n in enumerate(NAMES.values())]
     fixed = [*((*x, variants) for x in [*notices, *negated, *((UNKNOWN, t, i % 4 == 1) for i, t in enumerate(LOOKALIKES))]), *((*x, 2) for x in told)]
-    rows = F.explode(F.array(*[F.struct(F.lit(a).alias("label"), F.lit(b).alias("text"), F.lit(h).alias("held"), F.lit(n).alias("times")) for a, b, h, n in fixed]))
-    base = spark.range(1).select(rows.alias("r")).select("r.label", "r.held", "r.times", words(F.col("r.text")).alias("w"))
+    base = spark.createDataFrame(fixed, "label string, text string, held boolean, times int").select("label", "held", "times", words(F.col("text")).alias("w"))
     base = base.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("times") - 1)))
     base = base.select("label", F.filter("w", lambda x: (F.col("k") == 0) | x.isin(*CUES) | (F.pmod(F.xxhash64(x, F.col("k")), F.lit(10)) > 0)).alias("w"), "held")
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
@@ -220,7 +219,8 @@ def training(docs: DataFrame, id_col: str, text_col: str, max_negatives: int, va
     chosen = rows.alias("d").join(F.broadcast(ids.alias("i")), F.expr("d.id <=> i.id"), "left_semi")
     lines = paragraphs(chosen, "id", "text").filter(~F.rlike("paragraph", F.lit(SEEDS)))
     lines = lines.orderBy(F.xxhash64("paragraph"), "paragraph").limit(max_negatives).select(words(F.col("paragraph")).alias("w"), (F.pmod(F.xxhash64("paragraph"), F.lit(4)) == 1).alias("held"))
-    shapes = F.array(*[F.array(*[F.lit(x) for x in sorted(set(re.findall(WORD, t.lower())))]) for ts in TEMPLATES.values() for t in ts])
+    own_words = "|".join(" ".join(sorted(set(re.findall(WORD, t.lower())))) for ts in TEMPLATES.values() for t in ts)
+    shapes = F.transform(F.split(F.lit(own_words), r"\|"), lambda x: F.split(x, " "))
     lines = lines.filter(~F.exists(shapes, lambda own: 2 * F.size(F.array_intersect(own, "w")) >= F.size(own)))
     both = base.withColumn("corpus", F.lit(False)).unionByName(lines.select(F.lit(UNKNOWN).alias("label"), "w", "held", F.lit(True).alias("corpus")))
     return both.select("label", "w", "held", "corpus")
@@ -349,8 +349,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", floor:
     known = F.slice("z", 1, len(names) - 1)
     named = soft.select("id", "row", "place", F.array_max(known).alias("probability"), F.element_at(F.array(*[F.lit(x) for x in names]), F.array_position(known, F.array_max(known)).cast("int")).alias("family"))
     good = named.filter(F.col("probability") >= floor).alias("g").join(lines.alias("l"), F.expr("g.id <=> l.id and g.row = l.row and g.place = l.place")).select("g.*", "l.grams", "l.paragraph")
-    shapes = spark.range(1).select(F.explode(F.array(*[F.struct(F.lit(a).alias("family"), F.lit(t).alias("template")) for a, ts in TEMPLATES.items() for t in ts])).alias("r"))
-    shapes, _ = cut(shapes.select("r.family", "r.template", ngrams(words(F.col("r.template"))).alias("own")))
+    shapes = spark.createDataFrame([(a, t) for a, ts in TEMPLATES.items() for t in ts], "family string, template string")
+    shapes, _ = cut(shapes.withColumn("own", ngrams(words(F.col("template")))))
     good, _ = cut(good)
     cues = cued(good, F.broadcast(shapes))
     match = F.size(F.array_intersect("own", "grams")) / F.size("own")
