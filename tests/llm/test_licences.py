@@ -9,8 +9,6 @@ GRANTS = [
     ("The code in this repository is released under the MIT License.", "MIT"),
     ("This dataset is licensed under the Apache License, Version 2.0.", "Apache-2.0"),
     ('Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance\nwith the License.', "Apache-2.0"),
-    ("This is free software, licensed under the GNU General Public License version 2.", "GPL-2.0"),
-    ("This program is free software; you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation; version 2 of the License.", "GPL-2.0"),
     ("Our tool is released under the GNU General Public License, version 3.", "GPL-3.0"),
     ("The library is licensed under the GNU Lesser General Public License, version 3.", "LGPL"),
     ("The server is licensed under the GNU Affero General Public License, version 3.", "AGPL-3.0"),
@@ -18,15 +16,11 @@ GRANTS = [
     ("The source is subject to the terms of the Mozilla Public License, v. 2.0.", "MPL-2.0"),
     ("The manual is licensed under CC BY-SA 4.0.", "CC-BY"),
     ("The pictures are licensed under CC BY-NC 4.0.", "CC-BY-NC"),
-    ("Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice appear in all copies.", "ISC"),
-    ("This file is made available under the terms of the Eclipse Public License 2.0.", "EPL-2.0"),
-    ("The headers are distributed under the Boost Software License, Version 1.0.", "BSL-1.0"),
-    ("The decoder is licensed under the zlib license.", "Zlib"),
-    ("This module may be copied under the terms of the Artistic License 2.0.", "Artistic-2.0"),
     ("The text is dedicated to the public domain under CC0 1.0.", "Public-domain"),
     ("All rights reserved.", "Proprietary"),
 ]
 OTHERS = [
+    "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License.",
     "You may not use code licensed under the MIT License in this project.",
     "Nothing here is licensed under the Apache License, Version 2.0.",
     "The court asked whether the dataset was released under the MIT License.",
