@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -23,6 +25,11 @@ def strip(c: Column) -> Column:
     return F.btrim(c, F.lit(BLANKS))
 
 
+def once(c: Column, use: Callable[[Column], Column]) -> Column:
+    """use(c), with c computed once however often it is used."""
+    return F.element_at(F.transform(F.array(c), use), 1)
+
+
 def blank_to_null(c: Column) -> Column:
     return F.nullif(c, F.lit(""))
 
@@ -52,7 +59,7 @@ def unit_of(text: Column) -> Column:
 def species_route_tokens(text: Column) -> Column:
     """All species and route tokens, each spelling once, in the order they are first seen; null without any."""
     found = F.array_distinct(F.regexp_extract_all(text, F.lit(rf"(?i)\b({TOKENS})\b"), 1))
-    return F.when(F.size(found) > 0, found)
+    return once(found, lambda x: F.when(F.size(x) > 0, x))
 
 
 def has_number(text: Column) -> Column:

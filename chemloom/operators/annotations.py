@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -24,54 +23,79 @@ def flatten(docs: DataFrame, key: str = "doc_id", doc: str = "doc", step: int =
     section's own or the nearest above it. Documents that are no JSON, or have no list of sections, have no rows; what is no
     object where a section or an item should be is left out.
 
-    A document is parsed once, as a VARIANT. A pass goes down ``step`` levels in one stage and lands its items beside the
-    sections it didn't enter; these alone feed the next pass, until there are none. Most documents end in the first."""
-    sections = lambda v, at: F.try_variant_get(v, at, "array<variant>")
-    rows = docs.select(key, sections(F.try_parse_json(doc), "$.Record.Section").alias("below"), F.array().cast("array<int>").alias("path"), F.lit(None).cast("string").alias("heading"))
+    A document is parsed once, as a VARIANT, and ``step`` levels are read from it by one cast. A pass goes down these in one stage
+    and lands its items beside the sections it didn't enter, which stay variants; these alone feed the next pass, until there
+    are none. Most documents end in the first."""
+    levels = _levels(step)
+    rows = docs.select(key, F.try_variant_get(F.try_parse_json(doc), "$.Record.Section", levels).alias("below"), F.array().cast("array<int>").alias("path"), F.lit(None).cast("string").alias("heading"))
     passes = []
     while True:
-        landed = land(_descend(rows.filter(F.size("below") > 0), key, step, sections))
+        landed = land(_descend(rows, key, step))
         passes.append(landed.filter("info_pos >= 0").drop("below"))
-        rows = landed.filter("info_pos < 0").select(key, "below", "path", "heading")
-        if rows.isEmpty():
+        deeper = landed.filter("info_pos < 0")
+        if deeper.isEmpty():
             return reduce(DataFrame.unionByName, passes)
+        section = levels.removeprefix("array<").removesuffix(">")
+        rows = deeper.select(key, F.transform("below", lambda s: F.try_variant_get(s, "$", section)).alias("below"), "path", "heading")
 
 
-def _descend(rows: DataFrame, key: str, step: int, sections: Callable[[Column, str], Column]) -> DataFrame:
+def _levels(step: int) -> str:
+    """The type of a list of sections down to ``step`` levels; a cast to it gives null for what is no object."""
+    below = "array<variant>"
+    for _ in range(step):
+        below = f"array<struct<TOCHeading: string, Information: array<struct<Name: string, Value: string>>, Section: {below}>>"
+    return below
+
+
+def _descend(rows: DataFrame, key: str, step: int) -> DataFrame:
     """Items of the next ``step`` levels under rows(key, path, heading, below), and a row at -1 for each section with more below it."""
     none = F.lit(None)
-    rows = rows.withColumns({"own": none.cast("string"), "info": none.cast("array<variant>")})
-    for _ in range(step):
-        named = lambda s: F.try_variant_get(s, "$.TOCHeading", "string")
-        child = lambda s, i: F.struct(F.concat("path", F.array(i)).alias("path"), named(s).alias("own"), F.coalesce(T.blank_to_null(named(s)), F.col("heading")).alias("heading"), sections(s, "$.Information").alias("info"), sections(s, "$.Section").alias("below"))
-        own = F.array(F.struct("path", "own", "heading", "info", none.cast("array<variant>").alias("below")))
-        rows = rows.select(key, F.explode(F.concat(own, F.coalesce(F.transform("below", child), F.array().cast("array<struct<path: array<int>, own: string, heading: string, info: array<variant>, below: array<variant>>>")))).alias("s"))
+    rows = rows.withColumns({"own": none.cast("string"), "info": none.cast("array<struct<Name: string, Value: string>>")})
+    for left in range(step - 1, -1, -1):
+        child = lambda s, i: F.struct(F.concat("path", F.array(i)).alias("path"), s["TOCHeading"].alias("own"), F.coalesce(T.blank_to_null(s["TOCHeading"]), F.col("heading")).alias("heading"), s["Information"].alias("info"), s["Section"].alias("below"))
+        own = F.array(F.struct("path", "own", "heading", "info", none.cast(_levels(left)).alias("below")))
+        rows = rows.select(key, F.explode(F.concat(own, F.coalesce(F.transform("below", child), F.array().cast(f"array<struct<path: array<int>, own: string, heading: string, info: array<struct<Name: string, Value: string>>, below: {_levels(left)}>>")))).alias("s"))
         rows = rows.select(key, "s.*")
-    is_item = lambda x: F.coalesce(F.startswith(F.schema_of_variant(x), F.lit("OBJECT")), F.lit(False))
-    item = lambda x, i: F.struct(i.alias("info_pos"), F.try_variant_get(x, "$.Name", "string").alias("name"), F.try_variant_get(x, "$.Value", "string").alias("raw"), is_item(x).alias("fits"), none.cast("array<variant>").alias("below"))
+    item = lambda x, i: F.struct(i.alias("info_pos"), x["Name"].alias("name"), x["Value"].alias("raw"), x.isNotNull().alias("fits"), none.cast("array<variant>").alias("below"))
     deeper = F.when(F.size("below") > 0, F.array(F.struct(F.lit(-1).alias("info_pos"), none.cast("string").alias("name"), none.cast("string").alias("raw"), F.lit(True).alias("fits"), "below")))
     found = rows.select(key, "path", F.col("own").alias("own_heading"), "heading", F.explode(F.flatten(F.array_compact(F.array(F.transform("info", item), deeper)))).alias("x")).filter("x.fits")
     return found.select(key, "path", "x.info_pos", "own_heading", "heading", "x.name", "x.raw", "x.below")
 
 
 def _markup(raw: Column) -> Column:
-    return F.from_json(F.get_json_object(raw, "$.StringWithMarkup"), MARKUP)
+    """The strings of a value. One pass reads a list of objects, which nearly all are; the rest is read as it comes."""
+    return F.coalesce(F.from_json(raw, f"struct<StringWithMarkup: {MARKUP}>")["StringWithMarkup"], F.from_json(F.get_json_object(raw, "$.StringWithMarkup"), MARKUP))
+
+
+def _text_of(markup: Column, raw: Column) -> Column:
+    is_object = F.startswith(F.ltrim(raw), F.lit("{"))
+    joined = F.array_join(F.filter(F.transform(markup, lambda x: x["String"]), lambda x: x.isNotNull()), " ")
+    found = F.when(is_object, T.once(joined, lambda j: F.coalesce(F.when(j != "", j), F.get_json_object(raw, "$.String")))).otherwise(raw)
+    return T.once(T.strip(found), lambda s: F.when(s != "", s))
 
 
 def text(raw: Column) -> Column:
     """The text of a value: its strings joined by blanks, its String, or the scalar itself; null if blank."""
-    is_object = F.startswith(F.ltrim(raw), F.lit("{"))
-    joined = F.array_join(F.filter(F.transform(_markup(raw), lambda x: x["String"]), lambda x: x.isNotNull()), " ")
-    found = F.when(is_object, F.coalesce(T.blank_to_null(joined), F.get_json_object(raw, "$.String"))).otherwise(raw)
-    return T.blank_to_null(T.strip(found))
+    return T.once(_markup(raw), lambda m: _text_of(m, raw))
 
 
 def urls(raw: Column, most: int = 5) -> Column:
     """The first addresses that the value's strings link to."""
-    found = F.flatten(F.transform(_markup(raw), lambda x: F.coalesce(F.filter(F.transform(x["Markup"], lambda m: m["URL"]), lambda u: u.isNotNull() & (u != "")), F.array().cast("array<string>"))))
+    return _urls_of(_markup(raw), most)
+
+
+def _urls_of(markup: Column, most: int = 5) -> Column:
+    found = F.flatten(F.transform(markup, lambda x: F.coalesce(F.filter(F.transform(x["Markup"], lambda m: m["URL"]), lambda u: u.isNotNull() & (u != "")), F.array().cast("array<string>"))))
     return F.slice(found, 1, most)
 
 
+def _with_text(items: DataFrame) -> DataFrame:
+    """Items that have a text, with it and their links, read once: a row comes out of the list that holds them if there is a text."""
+    read = F.transform(F.array(_markup(F.col("raw"))), lambda m: F.struct(_text_of(m, F.col("raw")).alias("text"), _urls_of(m).alias("links")))
+    kept = [c for c in items.columns if c not in ("text", "links")]
+    return items.select(*kept, F.explode(F.filter(read, lambda x: x["text"].isNotNull())).alias("x")).select(*kept, "x.*")
+
+
 def ordinal() -> Column:
     return F.struct("path", "info_pos")
 
@@ -118,12 +142,11 @@ def metrics(items: DataFrame, key: str = "doc_id") -> DataFrame:
     tests = [F.when(F.contains(name, F.lit(p)) | F.contains(head, F.lit(p)), F.lit(m)) for m, p in METRICS.items()]
     tests.append(F.when(F.contains(name, F.lit("proposition 65")) | F.contains(name, F.lit("prop 65")), F.lit("prop65")))
     long = items.select(key, "path", "info_pos", "raw", F.explode(F.array_compact(F.array(*tests))).alias("metric"))
-    long = long.withColumn("text", text(F.col("raw"))).filter("text is not null")
+    long = _with_text(long)
     return long.groupBy(key, "metric", "text").agg(F.min(ordinal()).alias("at"))
 
 
 def tox_endpoints(items: DataFrame, key: str = "doc_id") -> DataFrame:
     """(key, path, info_pos, type, value, unit, species_route, source_section, reference_urls) of items under toxicity headings."""
-    near = items.filter(F.rlike(F.lower(F.coalesce(F.col("heading"), F.lit(""))), F.lit(TOX_HEADINGS))).withColumn("text", text(F.col("raw"))).filter("text is not null")
-    links = urls(F.col("raw"))
-    return near.select(key, "path", "info_pos", F.coalesce(T.blank_to_null(F.col("name")), F.lit("Toxicity")).alias("type"), F.substring("text", 1, 400).alias("value"), T.unit_of(F.col("text")).alias("unit"), T.species_route_tokens(F.col("text")).alias("species_route"), F.col("heading").alias("source_section"), F.when(F.size(links) > 0, links).alias("reference_urls"))
+    near = _with_text(items.filter(F.rlike(F.lower(F.coalesce(F.col("heading"), F.lit(""))), F.lit(TOX_HEADINGS))))
+    return near.select(key, "path", "info_pos", F.coalesce(T.blank_to_null(F.col("name")), F.lit("Toxicity")).alias("type"), F.substring("text", 1, 400).alias("value"), T.unit_of(F.col("text")).alias("unit"), T.species_route_tokens(F.col("text")).alias("species_route"), F.col("heading").alias("source_section"), F.when(F.size("links") > 0, F.col("links")).alias("reference_urls"))

@@ -79,14 +79,17 @@ def of_chemical(parts: DataFrame) -> DataFrame:
 def documents(s: SparkSession, d: str) -> DataFrame:
     """(doc_id, doc): one nested annotation document for each chemical, made of its sentences, statements and metrics."""
     item = lambda name, value: F.struct(name.alias("Name"), F.struct(F.array(F.struct(value.alias("String"), F.array(F.struct(F.concat(F.lit("https://example.org/"), F.md5(value)).alias("URL"), F.when(name == "Pictogram(s)", value).alias("Extra"))).alias("Markup"))).alias("StringWithMarkup")).alias("Value"))
-    by = lambda df, key, at, name, value, out: df.groupBy(F.col(key).alias("doc_id")).agg(F.array_sort(F.collect_list(F.struct(F.col(at).alias("o"), item(name, value).alias("i")))).alias(out)).select("doc_id", F.transform(out, lambda x: x["i"]).alias(out))
-    tox = view(s, d, "tox_text")
-    texts = by(tox.filter("ordinal > 1"), "k", "ordinal", F.col("type"), F.col("value"), "tox")
-    parent = by(tox.filter("ordinal = 1"), "k", "ordinal", F.col("type"), F.col("value"), "first")
+    # Lists are gathered as plain values; items are made of them afterwards.
+    by = lambda df, key, at, name, value, out: df.groupBy(F.col(key).alias("doc_id")).agg(F.array_sort(F.collect_list(F.struct(F.col(at).alias("o"), name.alias("n"), value.alias("v")))).alias(out))
+    made = lambda c: F.transform(c, lambda x: item(x["n"], x["v"]))
+    some = lambda c, keep: T.once(F.filter(c, keep), lambda l: F.when(F.size(l) > 0, made(l)))
+    sentences = by(view(s, d, "tox_text"), "k", "ordinal", F.col("type"), F.col("value"), "all")
+    texts = sentences.select("doc_id", some("all", lambda x: x["o"] > 1).alias("tox"), some("all", lambda x: x["o"] == 1).alias("first"))
     names = F.element_at(F.create_map(F.lit("H"), F.lit("GHS Hazard Statements"), F.lit("P"), F.lit("Precautionary Statement Codes"), F.lit("S"), F.lit("Signal"), F.lit("G"), F.lit("Pictogram(s)")), F.col("kind"))
-    codes = by(of_chemical(view(s, d, "ghs_text")), "k", "at", names, F.col("txt"), "ghs")
-    metrics = by(of_chemical(view(s, d, "metric_text")), "k", "at", F.col("name"), F.col("txt"), "met")
-    rows = texts.join(parent, "doc_id", "full").join(codes, "doc_id", "full").join(metrics, "doc_id", "full")
+    codes = by(of_chemical(view(s, d, "ghs_text")), "k", "at", names, F.col("txt"), "ghs").withColumn("ghs", made("ghs"))
+    metrics = by(of_chemical(view(s, d, "metric_text")), "k", "at", F.col("name"), F.col("txt"), "met").withColumn("met", made("met"))
+    # The many sentences are joined last, where their window left them: they aren't shuffled again.
+    rows = texts.join(codes.join(metrics, "doc_id", "full"), "doc_id", "full")
     leaf = lambda heading, info: F.struct(F.lit(heading).alias("TOCHeading"), F.col(info).alias("Information"))
     untitled = F.struct(F.lit("").alias("TOCHeading"), F.col("tox").alias("Information"))
     safety = F.struct(F.lit("Safety and Hazards").alias("TOCHeading"), F.array(F.struct(F.lit("Identification").alias("TOCHeading"), F.array(leaf("GHS Classification", "ghs")).alias("Section"))).alias("Section"))

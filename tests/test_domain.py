@@ -148,3 +148,13 @@ def test_values_as_text(spark):
     doc = '{"Record":{"Section":[{"TOCHeading":"T","Information":[{"Name":"a","Value":"x"},{"Name":"b","Value":{"StringWithMarkup":{"String":" y "}}},{"Name":"c","Value":2.5}]}]}}'
     items = A.flatten(spark.createDataFrame([(1, doc)], "doc_id int, doc string"))
     assert [tuple(r) for r in items.select("name", A.text(F.col("raw")).alias("t")).orderBy("info_pos").collect()] == [("a", "x"), ("b", "y"), ("c", "2.5")]
+
+
+def test_a_value_is_read_once(spark):
+    doc = '{"Record":{"Section":[{"TOCHeading":"Toxicity","Information":[{"Name":"a","Value":{"StringWithMarkup":[{"String":"LD50 rat","Markup":[{"URL":"u"}]},{"String":"oral 5 mg/kg"}]}},{"Name":"b","Value":{"StringWithMarkup":[{"String":""}],"String":" y "}},{"Name":"c","Value":" "},{"Name":"d","Value":true}]}]}}'
+    items = A.flatten(spark.createDataFrame([(1, doc)], "doc_id int, doc string"))
+    found = A.tox_endpoints(items)
+    assert [(r["type"], r["value"], r["unit"], r["species_route"], r["reference_urls"]) for r in found.orderBy("info_pos").collect()] == [("a", "LD50 rat oral 5 mg/kg", "mg/kg", ["LD50", "rat", "oral"], ["u"]), ("b", "y", None, None, None), ("d", "true", None, None, None)]
+    for df in (found, A.metrics(items)):
+        # One reading, and the other way for what is no list of objects; it was in the filter and in every column.
+        assert df._jdf.queryExecution().optimizedPlan().toString().count("from_json(") == 2

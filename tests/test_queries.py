@@ -41,6 +41,11 @@ def test_no_nested_loops(spark, sf_dir):
         assert "Cartesian" not in plan and "NestedLoop" not in plan and "Python" not in plan
 
 
+def test_documents_number_their_sentences_once(spark, sf_dir):
+    plan = plans.documents(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("row_number()") == 1
+
+
 def test_report_json_nests_what_the_flat_report_has(spark, sf_dir):
     flat = {}
     for r in plans.QUERIES["report_csv"](spark, sf_dir).filter("Row > 0").orderBy("CAS", "Row").collect():
