@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import cas
@@ -63,6 +63,23 @@ def toxvals(s: SparkSession, d: str) -> DataFrame:
     return V.coerce_numeric(view(s, d, "toxval_raw"))
 
 
+#: Rows of toxicity values that one task sorts together, about.
+STRETCH = 500_000
+
+
+def dealt(df: DataFrame, rows: int, *keys: Column | str) -> DataFrame:
+    """df in tasks by the keys, as many as its rows need, if the session's number of tasks is less: a task's memory doesn't grow with the table."""
+    n = rows // STRETCH + 1
+    return df.repartition(n, *keys) if n > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
+
+
+def dealt_toxvals(s: SparkSession, d: str) -> DataFrame:
+    """Toxicity values in tasks by substance, numbered in tasks by chemical."""
+    lines = view(s, d, "lineitem")
+    n = lines.count()  # from the files' footers
+    return dealt(V.coerce_numeric(view(s, d, "toxval_raw", lineitem=dealt(lines, n, F.expr("cast(floor(l_partkey / 2.0) as bigint)")))), n, "dtxsid")
+
+
 def mined(s: SparkSession, d: str) -> DataFrame:
     return E.mine(view(s, d, "tox_text"))
 
@@ -349,7 +366,7 @@ def lookup_registry_by_dtxsid(s: SparkSession, d: str) -> DataFrame:
 @query("select t.dtxsid, row_number() over (partition by t.dtxsid order by t.study_type nulls first, t.ordinal) as place, t.ordinal, t.study_type, try_cast(nullif(t.toxval_numeric, 'n/a') as double) as toxval_numeric, t.toxval_units from toxval_raw t join (select distinct dtxsid from registry_raw) q on q.dtxsid = t.dtxsid", "toxval_raw", "registry_raw")
 def lookup_toxvals(s: SparkSession, d: str) -> DataFrame:
     q = view(s, d, "registry_raw").select("dtxsid").distinct()
-    return V.in_study_order(V.toxvals_of(q, toxvals(s, d).drop("k")), "ordinal").select("dtxsid", "place", "ordinal", "study_type", "toxval_numeric", "toxval_units")
+    return V.in_study_order(V.toxvals_of(q, dealt_toxvals(s, d).drop("k")), "ordinal").select("dtxsid", "place", "ordinal", "study_type", "toxval_numeric", "toxval_units")
 
 
 @query(

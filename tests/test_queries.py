@@ -46,6 +46,16 @@ def test_documents_number_their_sentences_once(spark, sf_dir):
     assert plan.count("row_number()") == 1
 
 
+def test_values_are_sorted_in_bounded_tasks(spark, sf_dir, monkeypatch):
+    want = plans.QUERIES["lookup_toxvals"](spark, sf_dir).collect()
+    monkeypatch.setattr(plans, "STRETCH", 300, raising=False)
+    df = plans.QUERIES["lookup_toxvals"](spark, sf_dir)
+    assert df.rdd.getNumPartitions() >= 20
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("RepartitionByExpression") == 2
+    assert df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning(_w0") == 0
+    assert sorted(map(str, df.collect())) == sorted(map(str, want))
+
+
 def test_report_json_nests_what_the_flat_report_has(spark, sf_dir):
     flat = {}
     for r in plans.QUERIES["report_csv"](spark, sf_dir).filter("Row > 0").orderBy("CAS", "Row").collect():
