@@ -19,6 +19,7 @@ INTERVAL = r"(?:CI|confidence interval)[^0-9]*([0-9]+(?:\.\d+)?)\s*[–-]\s*([0-
 AQUATIC = ["fish", "trout", "daphnia", "algae", "aquatic"]
 NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 DASH = "—"
+# Before the alternatives of UNITS and TOKENS, patterns ask for one of their first letters.
 
 
 def strip(c: Column) -> Column:
@@ -53,12 +54,12 @@ def has_any(c: Column, parts: list[str]) -> Column:
 
 def unit_of(text: Column) -> Column:
     """The first dose unit, as written. Alternatives are tried in order at each place, so '5 ug/kg' has the unit g/kg."""
-    return extract(text, rf"(?iu)({UNITS})(?![\p{{L}}\p{{N}}_])", 1)
+    return extract(text, rf"(?iu)(?=[mpgµ])({UNITS})(?![\p{{L}}\p{{N}}_])", 1)
 
 
 def species_route_tokens(text: Column) -> Column:
     """All species and route tokens, each spelling once, in the order they are first seen; null without any."""
-    found = F.array_distinct(F.regexp_extract_all(text, F.lit(rf"(?i)\b({TOKENS})\b"), 1))
+    found = F.array_distinct(F.regexp_extract_all(text, F.lit(rf"(?i)\b(?=[rmdghoislfta])({TOKENS})\b"), 1))
     return once(found, lambda x: F.when(F.size(x) > 0, x))
 
 
@@ -77,27 +78,34 @@ def route_and_species(value: Column, tokens: Column) -> Column:
     Rules look for parts of words, so 'concentration' counts as rat; species come from the tokens, else from such parts."""
     low = F.lower(F.coalesce(value, F.lit("")))
     own = F.coalesce(F.transform(tokens, lambda x: F.lower(strip(x))), F.array().cast("array<string>"))
-    species = F.array_distinct(F.filter(own, lambda x: ~x.isin(*ROUTES, "ld50", "lc50")))
-    routes = F.filter(own, lambda x: x.isin(*ROUTES))
+    # What later rules read is computed once, not in every rule.
+    read = lambda x: F.struct(x["low"].alias("low"), F.array_distinct(F.filter(x["own"], lambda y: ~y.isin(*ROUTES, "ld50", "lc50"))).alias("species"), _route(x["low"], F.filter(x["own"], lambda y: y.isin(*ROUTES))).alias("route"))
+    return once(once(F.struct(low.alias("low"), own.alias("own")), read), lambda x: F.struct(x["route"].alias("route"), _species(x["low"], x["species"], x["route"]).alias("species")))
+
+
+def _route(low: Column, routes: Column) -> Column:
     has = lambda p: F.contains(low, F.lit(p))
-    none = F.size(species) == 0
-    named = F.when(none, F.lit(DASH)).otherwise(F.array_join(species, ", "))
-    pick = lambda *names: F.when(~none, named) if not names else _first(none, named, [(has(n), n) for n in names])
-    route = (
+    return (
         F.when(has_any(low, AQUATIC), "Ecotoxicity (aquatic)")
         .when(has("dermal") | has("skin") | F.array_contains(routes, "dermal"), "Dermal")
         .when(has("inhalation") | has("inhaled") | has("mg/m") | has("ppm") | F.array_contains(routes, "inhalation"), "Inhalation")
         .when(has("oral") | has("po ") | F.array_contains(routes, "oral") | (has("rat") & ~has("dermal") & ~has("inhalation")), "Oral")
         .otherwise("Other")
     )
-    who = (
+
+
+def _species(low: Column, species: Column, route: Column) -> Column:
+    has = lambda p: F.contains(low, F.lit(p))
+    none = F.size(species) == 0
+    named = F.when(none, F.lit(DASH)).otherwise(F.array_join(species, ", "))
+    pick = lambda *names: _first(none, named, [(has(n), n) for n in names])
+    return (
         F.when(route == "Ecotoxicity (aquatic)", F.when(none, aquatic_species(low)).otherwise(named))
         .when(route == "Dermal", pick("rabbit", "rat"))
         .when(route == "Inhalation", pick("rat"))
         .when(route == "Oral", pick("rat", "mouse"))
         .otherwise(named)
     )
-    return F.struct(route.alias("route"), who.alias("species"))
 
 
 def _first(none: Column, named: Column, tests: list[tuple[Column, str]]) -> Column:
