@@ -158,3 +158,11 @@ def test_a_value_is_read_once(spark):
     for df in (found, A.metrics(items)):
         # One reading, and the other way for what is no list of objects; it was in the filter and in every column.
         assert df._jdf.queryExecution().optimizedPlan().toString().count("from_json(") == 2
+
+
+def test_tokens_are_found_once(spark):
+    texts = spark.createDataFrame([("LD50 Rat ORAL 5 μG/KG bw, 7 ug/kg",), ("strat",), (None,)], "value string")
+    df = E.mine(texts)
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all(") == 1
+    got = {r["value"]: (r["unit"], r["species_route"], r["route"], r["species"]) for r in df.collect()}
+    assert got == {texts.first()["value"]: ("μG/KG", ["LD50", "Rat", "ORAL"], "Oral", "rat"), "strat": (None, None, "Oral", "rat"), None: (None, None, "Other", "—")}
