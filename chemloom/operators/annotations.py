@@ -23,11 +23,11 @@ def flatten(docs: DataFrame, key: str = "doc_id", doc: str = "doc", step: int =
     section's own or the nearest above it. Documents that are no JSON, or have no list of sections, have no rows; what is no
     object where a section or an item should be is left out.
 
-    A document is parsed once, as a VARIANT, and ``step`` levels are read from it by one cast. A pass goes down these in one stage
-    and lands its items beside the sections it didn't enter, which stay variants; these alone feed the next pass, until there
-    are none. Most documents end in the first."""
+    A document is parsed once, straight into ``step`` levels. A pass goes down these in one stage and lands its items beside the
+    sections it didn't enter, which are variants; these alone feed the next pass, until there are none. Most documents end in
+    the first."""
     levels = _levels(step)
-    rows = docs.select(key, F.try_variant_get(F.try_parse_json(doc), "$.Record.Section", levels).alias("below"), F.array().cast("array<int>").alias("path"), F.lit(None).cast("string").alias("heading"))
+    rows = docs.select(key, _sections(F.col(doc), levels).alias("below"), F.array().cast("array<int>").alias("path"), F.lit(None).cast("string").alias("heading"))
     passes = []
     while True:
         landed = land(_descend(rows, key, step))
@@ -39,6 +39,14 @@ def flatten(docs: DataFrame, key: str = "doc_id", doc: str = "doc", step: int =
         rows = deeper.select(key, F.transform("below", lambda s: F.try_variant_get(s, "$", section)).alias("below"), "path", "heading")
 
 
+def _sections(doc: Column, levels: str) -> Column:
+    """A document's sections, down to the given levels. A document that doesn't fit their types throughout (a reader marks it as
+    corrupt, or it is no object) is read again as a VARIANT, from which what fits is taken."""
+    strict = {"columnNameOfCorruptRecord": "__corrupt", "allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
+    read = F.from_json(doc, f"struct<Record: struct<Section: {levels}>, __corrupt: string>", strict)
+    return T.once(read, lambda r: F.when(F.startswith(F.ltrim(doc), F.lit("{")) & r["__corrupt"].isNull(), r["Record"]["Section"]).otherwise(F.try_variant_get(F.try_parse_json(doc), "$.Record.Section", levels)))
+
+
 def _levels(step: int) -> str:
     """The type of a list of sections down to ``step`` levels; a cast to it gives null for what is no object."""
     below = "array<variant>"

@@ -166,3 +166,12 @@ def test_tokens_are_found_once(spark):
     assert df._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all(") == 1
     got = {r["value"]: (r["unit"], r["species_route"], r["route"], r["species"]) for r in df.collect()}
     assert got == {texts.first()["value"]: ("μG/KG", ["LD50", "Rat", "ORAL"], "Oral", "rat"), "strat": (None, None, "Oral", "rat"), None: (None, None, "Other", "—")}
+
+
+def test_odd_documents_are_read_as_far_as_they_fit(spark):
+    good = '{"TOCHeading":"T","Information":[{"Name":"a","Value":{"z":1,"b":2}}]}'
+    docs = [f'{{"Record":{{"Section":[{good}]}}}}', f'{{"Record":{{"Section":[5,null,{good}]}}}}', f'{{"Record":{{"Section":[{{"TOCHeading":7,"Information":"no list"}},{good}]}}}}', f'[{{"Record":{{"Section":[{good}]}}}}]', f"{{'Record':{{'Section':[{good}]}}}}", f'{{"Record":{{"Section":[{good}]']
+    items = A.flatten(spark.createDataFrame(list(enumerate(docs)), "doc_id int, doc string"))
+    assert sorted((r["doc_id"], r["path"], r["own_heading"], r["name"], json.loads(r["raw"])) for r in items.collect()) == [(i, [p], "T", "a", {"z": 1, "b": 2}) for i, p in ((0, 0), (1, 2), (2, 1))]
+    # One typed reading; a second one by variant is for documents that don't fit. All were variants.
+    assert "from_json" in str(A._sections(F.col("doc"), A._levels(4)))
