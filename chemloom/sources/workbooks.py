@@ -7,6 +7,7 @@ import re
 import sys
 import zipfile
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import lru_cache
 from xml.etree.ElementTree import ParseError, iterparse
@@ -29,6 +30,8 @@ ARROW = pa.schema([("src_file", pa.string()), ("sheet", pa.string()), ("row_idx"
 BROKEN = (zipfile.BadZipFile, KeyError, OSError, ParseError, StopIteration, ValueError, IndexError, EOFError)
 #: Rows that are handed on together.
 STEP = 2000
+#: Partitions of a scan, at most: a task for each of many small sheets would take longer to start than to run.
+TASKS = 1000
 
 
 def store(uri: str) -> tuple[fs.FileSystem, str]:
@@ -108,13 +111,21 @@ class Sheet(InputPartition):
     error: str | None
 
 
+@dataclass
+class Sheets(InputPartition):
+    """Sheets that one task reads, one after the other."""
+
+    own: list[Sheet]
+
+
 class WorkbookReader(DataSourceReader):
     def __init__(self, options: dict[str, str]):
         self.uri, self.which = options["path"], options.get("sheets", "all")
         self.wanted = [c.strip().upper() for c in options.get("columns", "").split(",") if c.strip()]
 
-    def partitions(self) -> list[Sheet]:
-        """Sheets of all .xlsx and .xls files of the folder, or of the one file; only the lists of sheets are read here."""
+    def partitions(self) -> list[Sheets]:
+        """Sheets of all .xlsx and .xls files of the folder, or of the one file; only the lists of sheets are read here, many at once.
+        A sheet is a partition; of more than TASKS, neighbours share one."""
         where, path = store(self.uri)
         found = where.get_file_info(path)
         if found.type == fs.FileType.NotFound:
@@ -131,9 +142,16 @@ class WorkbookReader(DataSourceReader):
                 return [Sheet(uri, f.size, None, None, f"broken: {type(e).__name__}" if book else "no workbook")]
             return own[:1] if self.which == "first" else own
 
-        return [s for f in sorted(files, key=lambda f: f.base_name) for s in look(f)]
+        with ThreadPoolExecutor(16) as pool:
+            found_sheets = [s for own in pool.map(look, sorted(files, key=lambda f: f.base_name)) for s in own]
+        step = -(-len(found_sheets) // TASKS) or 1
+        return [Sheets(found_sheets[i : i + step]) for i in range(0, len(found_sheets), step)]
+
+    def read(self, sheets: Sheets) -> Iterator[pa.RecordBatch]:
+        for sheet in sheets.own:
+            yield from self.read_sheet(sheet)
 
-    def read(self, sheet: Sheet) -> Iterator[pa.RecordBatch]:
+    def read_sheet(self, sheet: Sheet) -> Iterator[pa.RecordBatch]:
         file, out = sheet.uri.rpartition("/")[2], []
         error = (file, sheet.name, None, None, None)
         if sheet.error:

@@ -196,3 +196,12 @@ def test_sketches(spark):
 def test_whole_documents(spark, tmp_path):
     (tmp_path / "7.json").write_text('{"Record":{}}')
     assert [tuple(r) for r in files.scan_documents(spark, str(tmp_path)).collect()] == [("7", '{"Record":{}}')]
+
+
+def test_many_sheets_share_partitions(spark, tmp_path, monkeypatch):
+    df = spark.createDataFrame([(f"b{i:02}", f"s{i % 2}", i, str(i)) for i in range(40)], "book string, sheet string, o int, A string")
+    workbooks.write(df, str(tmp_path / "out"), "book", "sheet", "o", ["A"])
+    monkeypatch.setattr(workbooks, "TASKS", 7, raising=False)
+    got = workbooks.WorkbookReader({"path": str(tmp_path / "out")}).partitions()
+    assert len(got) == 7 and [s.uri.rpartition("/")[2] for p in got for s in p.own] == [f"b{i:02}.xlsx" for i in range(40)]
+    assert sorted(r["cells"][0] for r in workbooks.scan(spark, str(tmp_path / "out")).collect()) == sorted(str(i) for i in range(40))
