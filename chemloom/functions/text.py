@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BLANKS = " \t\n\r\f\v"
@@ -31,6 +31,12 @@ def once(c: Column, use: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(c), use), 1)
 
 
+def with_once(df: DataFrame, name: str, c: Column) -> DataFrame:
+    """df with c as a column that is computed once for each row. A plain column is computed again in every use: filters, branches, and
+    lower and upper are dear on texts that aren't ASCII."""
+    return df.select("*", F.explode(F.array(c)).alias(name))
+
+
 def blank_to_null(c: Column) -> Column:
     return F.nullif(c, F.lit(""))
 
@@ -79,17 +85,18 @@ def route_and_species(value: Column, tokens: Column) -> Column:
     low = F.lower(F.coalesce(value, F.lit("")))
     own = F.coalesce(F.transform(tokens, lambda x: F.lower(strip(x))), F.array().cast("array<string>"))
     # What later rules read is computed once, not in every rule.
-    read = lambda x: F.struct(x["low"].alias("low"), F.array_distinct(F.filter(x["own"], lambda y: ~y.isin(*ROUTES, "ld50", "lc50"))).alias("species"), _route(x["low"], F.filter(x["own"], lambda y: y.isin(*ROUTES))).alias("route"))
+    others = F.array(*map(F.lit, [*ROUTES, "ld50", "lc50", None]))
+    read = lambda x: F.struct(x["low"].alias("low"), F.array_except(x["own"], others).alias("species"), _route(x["low"], x["own"]).alias("route"))
     return once(once(F.struct(low.alias("low"), own.alias("own")), read), lambda x: F.struct(x["route"].alias("route"), _species(x["low"], x["species"], x["route"]).alias("species")))
 
 
-def _route(low: Column, routes: Column) -> Column:
+def _route(low: Column, tokens: Column) -> Column:
     has = lambda p: F.contains(low, F.lit(p))
     return (
         F.when(has_any(low, AQUATIC), "Ecotoxicity (aquatic)")
-        .when(has("dermal") | has("skin") | F.array_contains(routes, "dermal"), "Dermal")
-        .when(has("inhalation") | has("inhaled") | has("mg/m") | has("ppm") | F.array_contains(routes, "inhalation"), "Inhalation")
-        .when(has("oral") | has("po ") | F.array_contains(routes, "oral") | (has("rat") & ~has("dermal") & ~has("inhalation")), "Oral")
+        .when(has("dermal") | has("skin") | F.array_contains(tokens, "dermal"), "Dermal")
+        .when(has("inhalation") | has("inhaled") | has("mg/m") | has("ppm") | F.array_contains(tokens, "inhalation"), "Inhalation")
+        .when(has("oral") | has("po ") | F.array_contains(tokens, "oral") | (has("rat") & ~has("dermal") & ~has("inhalation")), "Oral")
         .otherwise("Other")
     )
 
@@ -118,18 +125,21 @@ def _first(none: Column, named: Column, tests: list[tuple[Column, str]]) -> Colu
 def ecotox(value: Column) -> Column:
     """Struct (endpoint, duration, value_num, unit, ci_low, ci_high, conditions) read from a sentence; commas are dropped from
     the value, and any 'ci' before two numbers counts as an interval."""
-    text = strip(value)
-    raw = extract(text, "(?iu)" + ECOTOX_VALUE, 1)
-    plain = F.regexp_replace(F.replace(raw, F.lit(","), F.lit("")), r"[<>~]\s*", "")
-    return F.struct(
-        F.upper(extract(text, rf"(?i)\b({ENDPOINTS})\b", 1)).alias("endpoint"),
-        extract(text, "(?i)" + DURATION, 1).alias("duration"),
-        strip(plain).try_cast("double").alias("value_num"),
-        extract(text, "(?iu)" + ECOTOX_VALUE, 2).alias("unit"),
-        extract(text, "(?iu)" + INTERVAL, 1).try_cast("double").alias("ci_low"),
-        extract(text, "(?iu)" + INTERVAL, 2).try_cast("double").alias("ci_high"),
-        text.alias("conditions"),
-    )
+    # A text is searched once for each pattern; what it found is taken apart. Blanks become nulls only at the end, as nullif computes
+    # its first argument twice here.
+    dose, interval, get = "(?iu)" + ECOTOX_VALUE, "(?iu)" + INTERVAL, F.regexp_extract
+    found = lambda t: F.struct(t.alias("text"), get(t, rf"(?i)\b(?=[len])({ENDPOINTS})\b", 1).alias("endpoint"), get(t, "(?i)" + DURATION, 1).alias("duration"), get(t, dose, 0).alias("dose"), get(t, interval, 0).alias("interval"))
+    parts = lambda x: F.struct(x["text"].alias("text"), x["endpoint"].alias("endpoint"), x["duration"].alias("duration"), *[F.when(x[c] != "", get(x[c], p, i)).otherwise("").alias(f"{c}{i}") for c, p in (("dose", dose), ("interval", interval)) for i in (1, 2)])
+    plain = lambda c: strip(F.regexp_replace(F.replace(c, F.lit(","), F.lit("")), r"[<>~]\s*", "")).try_cast("double")
+    return once(once(once(strip(value), found), parts), lambda x: F.struct(
+        F.upper(blank_to_null(x["endpoint"])).alias("endpoint"),
+        blank_to_null(x["duration"]).alias("duration"),
+        plain(blank_to_null(x["dose1"])).alias("value_num"),
+        blank_to_null(x["dose2"]).alias("unit"),
+        blank_to_null(x["interval1"]).try_cast("double").alias("ci_low"),
+        blank_to_null(x["interval2"]).try_cast("double").alias("ci_high"),
+        x["text"].alias("conditions"),
+    ))
 
 
 def study_category(study_type: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import DASH, blank_to_null
+from ..functions.text import DASH, blank_to_null, with_once
 
 
 def compounds(df: DataFrame) -> DataFrame:
@@ -38,10 +38,10 @@ def listed(df: DataFrame, key: str, kind: str, value: str, at: str, names: dict[
 
 def toxicity_lists(texts: DataFrame, key: str, ordinal: str, value: str = "value", most: int = 400) -> DataFrame:
     """(key, ld50, lc50): values that name LD50 or LC50, in document order, at most ``most`` characters of each."""
-    up = F.upper(value)
+    up = F.col("__up")
     cut = F.struct(ordinal, F.substring(value, 1, most).alias("v"))
     of = lambda what: F.transform(F.array_sort(F.collect_list(F.when(F.contains(up, F.lit(what)), cut))), lambda x: x["v"])
-    return texts.filter(F.contains(up, F.lit("LD50")) | F.contains(up, F.lit("LC50"))).groupBy(key).agg(of("LD50").alias("ld50"), of("LC50").alias("lc50_texts"))
+    return with_once(texts, "__up", F.upper(value)).filter(F.contains(up, F.lit("LD50")) | F.contains(up, F.lit("LC50"))).groupBy(key).agg(of("LD50").alias("ld50"), of("LC50").alias("lc50_texts"))
 
 
 def band_columns(bands: DataFrame, key: str) -> DataFrame:
@@ -76,13 +76,14 @@ def property_table(df: DataFrame, key: str = "cid") -> DataFrame:
     return df.select(key, long.alias("x")).select(key, "x.*")
 
 
-def report_csv(dossier: DataFrame, endpoints: DataFrame, key: str = "cas") -> DataFrame:
+def report_csv(dossier: DataFrame, endpoints: DataFrame, key: str = "cas", by: str | None = None) -> DataFrame:
     """The flat report: a chemical's base columns on each of its endpoint rows, on one row with an empty tail if it has none.
 
-    dossier has the base columns and lists; endpoints has route, species, type, value, unit and ordinal."""
+    dossier has the base columns and lists; endpoints has route, species, type, value, unit and ordinal. They are joined by ``by``,
+    the key if none is given: the many endpoints needn't have the key, nor move to it."""
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
-    tail = endpoints.select(key, "ordinal", F.struct("route", "species", "type", "value", "unit").alias("e"))
-    both = dossier.join(tail, key, "left")
+    tail = endpoints.select(by or key, "ordinal", F.struct("route", "species", "type", "value", "unit").alias("e"))
+    both = dossier.join(tail, by or key, "left")
     return both.select(
         F.col(key).alias("CAS"), text("dtxsid").alias("DTXSID"), text("preferred_name").alias("Preferred_Name"), text("iupac_name").alias("IUPAC_Name"), text("formula").alias("Formula"), text("mw").alias("MW"),
         joined(F.col("flash_point")).alias("Flash_Point"), joined(F.col("vapor_pressure")).alias("Vapor_Pressure"),
@@ -92,13 +93,14 @@ def report_csv(dossier: DataFrame, endpoints: DataFrame, key: str = "cas") -> Da
     )
 
 
-def report_json(dossier: DataFrame, endpoints: DataFrame, entries: DataFrame, key: str, generated_at: str) -> DataFrame:
+def report_json(dossier: DataFrame, endpoints: DataFrame, entries: DataFrame, key: str, generated_at: str, by: str | None = None) -> DataFrame:
     """(key, report): the nested report as JSON; lists in document order, empty where there is nothing, missing values null. One chemical's
-    rows meet in one report."""
-    listed = lambda df, cols: df.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("ordinal", F.struct(*cols).alias("x")))).alias("l")).select(key, F.transform("l", lambda x: x["x"]).alias("l"))
+    rows meet in one report, by ``by``, the key if none is given."""
+    by = by or key
+    listed = lambda df, cols: df.groupBy(by).agg(F.array_sort(F.collect_list(F.struct("ordinal", F.struct(*cols).alias("x")))).alias("l")).select(by, F.transform("l", lambda x: x["x"]).alias("l"))
     tox = listed(endpoints, [F.col("route").alias("exposure_pathway"), "species", F.col("type").alias("endpoint"), "value", "unit", "source_section"]).withColumnRenamed("l", "tox")
     eco = listed(entries, ["value", "species", "unit", "endpoint", "duration", "value_num", "ci_low", "ci_high", "conditions"]).withColumnRenamed("l", "eco")
-    d = assemble(dossier, key, tox, eco)
+    d = assemble(dossier, by, tox, eco)
     full = lambda c: F.coalesce(F.col(c), F.array().cast(d.schema[c].dataType))
     codes = F.coalesce("h_codes", F.array().cast("array<string>"))
     return d.select(key, F.to_json(F.struct(

@@ -24,8 +24,8 @@ def naming(texts: DataFrame, what: str, value: str = "value") -> DataFrame:
 
 def ecotox_entries(texts: DataFrame, value: str = "value") -> DataFrame:
     """Aquatic rows with their parsed sentence. Units aren't converted; a missing unit reads mg/L; value_mg_l is converted."""
-    low = F.lower(F.col(value))
-    a = texts.filter(T.has_any(low, T.AQUATIC)).withColumn("e", T.ecotox(F.col(value)))
+    low = F.col("__low")
+    a = T.with_once(T.with_once(texts, "__low", F.lower(value)).filter(T.has_any(low, T.AQUATIC)), "e", T.ecotox(F.col(value)))
     scale = F.when(F.lower("e.unit") == "mg/l", 1.0).when(F.lower("e.unit").isin("µg/l", "ug/l"), 1e-3).when(F.lower("e.unit") == "g/l", 1e3)
     kept = [c for c in texts.columns if c != value]
     return a.select(*kept, F.substring(value, 1, 400).alias("value"), T.aquatic_species(low).alias("species"), F.coalesce("e.unit", F.lit("mg/L")).alias("unit"), "e.endpoint", "e.duration", "e.value_num", "e.ci_low", "e.ci_high", "e.conditions", (F.col("e.value_num") * scale).alias("value_mg_l"))
@@ -35,21 +35,25 @@ def ecotox_summary(texts: DataFrame, chem: str, ordinal: str, value: str = "valu
     """(chem, lc50, ec50, species, excerpt, entries): LC50 is the first value that isn't 0 of an endpoint other than EC...,
     EC50 and the excerpt are the last, the species is the first. A chemical without aquatic rows falls back on its first text
     with LC50, mg and a capital L: that gives an excerpt and an entry, no number."""
-    e = ecotox_entries(texts.select(chem, ordinal, value), value)
+    own, o = ecotox_own(ecotox_entries(texts.select(chem, ordinal, value), value), chem, ordinal), F.col(ordinal)
+    t = F.col(value)
+    last = texts.filter(F.contains(F.upper(t), F.lit("LC50")) & F.contains(F.lower(t), F.lit("mg")) & F.contains(t, F.lit("L")))
+    last = last.groupBy(chem).agg(F.min_by(F.substring(t, 1, 250), o).alias("other"))
+    both = own.join(last, chem, "full")
+    return both.select(chem, "lc50", "ec50", "species", F.when(F.col("entries").isNull(), F.col("other")).otherwise(F.col("excerpt")).alias("excerpt"), F.coalesce("entries", F.lit(1)).cast("long").alias("entries"))
+
+
+def ecotox_own(entries: DataFrame, chem: str, ordinal: str) -> DataFrame:
+    """The summary of the chemicals that have aquatic rows."""
     o, v = F.col(ordinal), F.col("value_num")
     is_ec = F.coalesce(F.startswith("endpoint", F.lit("EC")), F.lit(False))
-    own = e.groupBy(chem).agg(
+    return entries.groupBy(chem).agg(
         F.min_by(v, F.when(v.isNotNull() & (v != 0) & ~is_ec, o)).alias("lc50"),
         F.max_by(v, F.when(v.isNotNull() & is_ec, o)).alias("ec50"),
         F.min_by("species", F.when(v.isNotNull(), o)).alias("species"),
         F.max_by(F.substring("value", 1, 250), F.when(v.isNotNull(), o)).alias("excerpt"),
         F.count("*").alias("entries"),
     )
-    t = F.col(value)
-    last = texts.filter(F.contains(F.upper(t), F.lit("LC50")) & F.contains(F.lower(t), F.lit("mg")) & F.contains(t, F.lit("L")))
-    last = last.groupBy(chem).agg(F.min_by(F.substring(t, 1, 250), o).alias("other"))
-    both = own.join(last, chem, "full")
-    return both.select(chem, "lc50", "ec50", "species", F.when(F.col("entries").isNull(), F.col("other")).otherwise(F.col("excerpt")).alias("excerpt"), F.coalesce("entries", F.lit(1)).cast("long").alias("entries"))
 
 
 def split_ecotox(entries: DataFrame) -> DataFrame:
@@ -60,7 +64,7 @@ def split_ecotox(entries: DataFrame) -> DataFrame:
 
 def exposure_bands(texts: DataFrame, chem: str, ordinal: str, value: str = "value") -> DataFrame:
     """(chem, pathway, dose, unit, band): the first qualifying oral LD50, dermal LD50 and inhalation LC50 of each chemical."""
-    v, o = F.lower(F.col(value)), F.col(ordinal)
+    v, o = F.col("__low"), F.col(ordinal)
     has = lambda p: F.contains(v, F.lit(p))
     per_kg = T.extract(v, r"(\d+(?:\.\d+)?)\s*mg\s*/\s*kg", 1).try_cast("double")
     per_m = F.replace(T.extract(v, r"(\d+(?:[.,]\d+)*)\s*mg\s*/\s*m", 1), F.lit(","), F.lit("")).try_cast("double")
@@ -71,7 +75,7 @@ def exposure_bands(texts: DataFrame, chem: str, ordinal: str, value: str = "valu
         "inhalation": F.when(has("lc50"), per_m),
     }
     # What can't give a dose doesn't reach the shuffle.
-    near = texts.withColumns({p: d for p, d in doses.items()}).filter(F.coalesce(*doses).isNotNull())
+    near = T.with_once(T.with_once(texts, "__low", F.lower(value)), "__doses", F.struct(*[d.alias(p) for p, d in doses.items()])).select("*", "__doses.*").filter(F.coalesce(*doses).isNotNull())
     first = near.groupBy(chem).agg(*[F.min_by(p, F.when(F.col(p).isNotNull(), o)).alias(p) for p in doses])
     rows = F.explode(F.array(*[F.struct(F.lit(p).alias("pathway"), F.col(p).alias("dose"), F.lit("mg/m3" if p == "inhalation" else "mg/kg").alias("unit"), T.band(F.col(p), BANDS[p]).alias("band")) for p in doses]))
     return first.select(chem, rows.alias("x")).select(chem, "x.*").filter("dose is not null")

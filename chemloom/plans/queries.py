@@ -63,8 +63,10 @@ def toxvals(s: SparkSession, d: str) -> DataFrame:
     return V.coerce_numeric(view(s, d, "toxval_raw"))
 
 
-#: Rows of toxicity values that one task sorts together, about.
+#: Rows of toxicity values or sentences that one task sorts together, about.
 STRETCH = 500_000
+#: The chemical of a line.
+CHEMICAL = "cast(floor(l_partkey / 2.0) as bigint)"
 
 
 def dealt(df: DataFrame, rows: int, *keys: Column | str) -> DataFrame:
@@ -77,11 +79,19 @@ def dealt_toxvals(s: SparkSession, d: str) -> DataFrame:
     """Toxicity values in tasks by substance, numbered in tasks by chemical."""
     lines = view(s, d, "lineitem")
     n = lines.count()  # from the files' footers
-    return dealt(V.coerce_numeric(view(s, d, "toxval_raw", lineitem=dealt(lines, n, F.expr("cast(floor(l_partkey / 2.0) as bigint)")))), n, "dtxsid")
+    return dealt(V.coerce_numeric(view(s, d, "toxval_raw", lineitem=dealt(lines, n, F.expr(CHEMICAL)))), n, "dtxsid")
+
+
+def sentences(s: SparkSession, d: str) -> DataFrame:
+    """Toxicity sentences, dealt to tasks by chemical before they are numbered: what then groups or joins them by k finds them there, and
+    queries that read them several times share the one shuffle."""
+    lines = view(s, d, "lineitem")
+    n = max(lines.count() // STRETCH + 1, int(s.conf.get("spark.sql.shuffle.partitions")))  # the count is from the files' footers
+    return view(s, d, "tox_text", lineitem=lines.repartition(n, F.expr(CHEMICAL)))
 
 
 def mined(s: SparkSession, d: str) -> DataFrame:
-    return E.mine(view(s, d, "tox_text"))
+    return E.mine(sentences(s, d))
 
 
 def endpoints(s: SparkSession, d: str) -> DataFrame:
@@ -100,8 +110,8 @@ def documents(s: SparkSession, d: str) -> DataFrame:
     by = lambda df, key, at, name, value, out: df.groupBy(F.col(key).alias("doc_id")).agg(F.array_sort(F.collect_list(F.struct(F.col(at).alias("o"), name.alias("n"), value.alias("v")))).alias(out))
     made = lambda c: F.transform(c, lambda x: item(x["n"], x["v"]))
     some = lambda c, keep: T.once(F.filter(c, keep), lambda l: F.when(F.size(l) > 0, made(l)))
-    sentences = by(view(s, d, "tox_text"), "k", "ordinal", F.col("type"), F.col("value"), "all")
-    texts = sentences.select("doc_id", some("all", lambda x: x["o"] > 1).alias("tox"), some("all", lambda x: x["o"] == 1).alias("first"))
+    texts = by(sentences(s, d), "k", "ordinal", F.col("type"), F.col("value"), "all")
+    texts = texts.select("doc_id", some("all", lambda x: x["o"] > 1).alias("tox"), some("all", lambda x: x["o"] == 1).alias("first"))
     names = F.element_at(F.create_map(F.lit("H"), F.lit("GHS Hazard Statements"), F.lit("P"), F.lit("Precautionary Statement Codes"), F.lit("S"), F.lit("Signal"), F.lit("G"), F.lit("Pictogram(s)")), F.col("kind"))
     codes = by(of_chemical(view(s, d, "ghs_text")), "k", "at", names, F.col("txt"), "ghs").withColumn("ghs", made("ghs"))
     metrics = by(of_chemical(view(s, d, "metric_text")), "k", "at", F.col("name"), F.col("txt"), "met").withColumn("met", made("met"))
@@ -749,18 +759,21 @@ def chemical_key(s: SparkSession, d: str, **given: DataFrame) -> DataFrame:
     return view(s, d, "registry_raw", **given).select(F.col("casrn").alias("cas"), "k").distinct()
 
 
-def dossiers(s: SparkSession, d: str, **given: DataFrame) -> DataFrame:
-    """One row for each registry chemical with its compound, statements, metrics, doses and aquatic summary; facets may be missing."""
+def dossiers(s: SparkSession, d: str, *facets: DataFrame, **given: DataFrame) -> DataFrame:
+    """One row for each registry chemical with its compound, statements, metrics and aquatic summary, and the other facets given by k;
+    facets may be missing. Only what a query shows is given: a facet that is joined is computed, shown or not."""
     given = given or landed_registry(s, d)
     base = registry_merged(s, d, **given).select("cas", "dtxsid", "preferred_name").join(chemical_key(s, d, **given), "cas", "left")
     cid = D.resolve(base.select("cas", F.lit("cas").alias("kind"), F.col("cas").alias("query")), view(s, d, "xref", **given).filter("identifier_type = 'cas'"), "kind").select("cas", "cid")
-    texts = view(s, d, "tox_text").select("k", "ordinal", "value")
-    eco = E.ecotox_summary(texts, "k", "ordinal").select("k", "lc50", "ec50", F.col("species").alias("aquatic_species"))
-    bands = D.band_columns(E.exposure_bands(texts, "k", "ordinal"), "k")
+    # Facets that are small come first, those made of sentences last, where these lie.
+    small = D.assemble(base, "cas", cid).join(D.compounds(view(s, d, "compound")), "cid", "left")
+    full = D.assemble(small, "k", statement_lists(s, d), metric_lists(s, d), E.ecotox_own(E.ecotox_entries(sentences(s, d).select("k", "ordinal", "value")), "k", "ordinal").select("k", "lc50", "ec50"), *facets)
+    return full.withColumns({c: D.joined_or_null(F.col(c)) for c in ("nfpa", "iarc", "prop65")})
+
+
+def with_toxval_counts(s: SparkSession, d: str, dossier: DataFrame) -> DataFrame:
     tox = toxvals(s, d).groupBy("dtxsid").agg(F.count("*").alias("n_toxvals"))
-    full = D.assemble(D.assemble(base, "cas", cid), "k", statement_lists(s, d), metric_lists(s, d), eco, bands, D.toxicity_lists(texts, "k", "ordinal"))
-    full = full.withColumns({c: D.joined_or_null(F.col(c)) for c in ("nfpa", "iarc", "prop65")})
-    return full.join(D.compounds(view(s, d, "compound")), "cid", "left").join(tox, "dtxsid", "left").withColumns({"n_toxvals": F.coalesce("n_toxvals", F.lit(0)).cast("long"), "has_toxvals": F.col("n_toxvals").isNotNull()})
+    return dossier.join(tox, "dtxsid", "left").withColumns({"n_toxvals": F.coalesce("n_toxvals", F.lit(0)).cast("long"), "has_toxvals": F.col("n_toxvals").isNotNull()})
 
 
 _DUCK_DOSSIER = _MERGED + """, keyed as (select m.*, r.k from merged m left join (select distinct casrn, k from registry_raw) r on r.casrn = m.cas), ids as (select identifier, arg_min(cid, row(ordinal, cid)) as cid from xref where identifier_type = 'cas' group by 1),
@@ -788,17 +801,16 @@ def assemble_dossier(s: SparkSession, d: str) -> DataFrame:
     """Every facet of every chemical; lists as texts."""
     lists = [D.joined(F.col(c), sep).alias(c) for c, sep in {"flash_point": "; ", "vapor_pressure": "; ", "h_codes": " | ", "p_codes": " | ", "pictograms": " | ", "ld50": " | ", "lc50_texts": " | "}.items()]
     doses = [F.col(f"{p}.{c}").alias(f"{p}_{c}") for p in E.BANDS for c in ("dose", "band")]
-    return dossiers(s, d).select("cas", "dtxsid", "preferred_name", "cid", "formula", "mw", "iupac_name", "smiles", *lists, "nfpa", "iarc", "prop65", "signal_word", *doses, "lc50", "ec50", "n_toxvals")
-
-
-def report_endpoints(s: SparkSession, d: str, **given: DataFrame) -> DataFrame:
-    return mined(s, d).join(chemical_key(s, d, **given), "k")
+    texts = sentences(s, d).select("k", "ordinal", "value")
+    bands = D.band_columns(E.exposure_bands(texts, "k", "ordinal"), "k")
+    full = with_toxval_counts(s, d, dossiers(s, d, bands, D.toxicity_lists(texts, "k", "ordinal")))
+    return full.select("cas", "dtxsid", "preferred_name", "cid", "formula", "mw", "iupac_name", "smiles", *lists, "nfpa", "iarc", "prop65", "signal_word", *doses, "lc50", "ec50", "n_toxvals")
 
 
 @query(f"also {_DUCK_DOSSIER}, {_DUCK_LISTS}, {_DUCK_TOLD}, {_DUCK_AQUATIC}, {_DUCK_MINED} select m.cas as \"CAS\", coalesce(m.dtxsid, '') as \"DTXSID\", coalesce(m.preferred_name, '') as \"Preferred_Name\", coalesce(c.iupac_name, c.iupac_name_legacy, '') as \"IUPAC_Name\", coalesce(replace(l.fp, ' | ', '; '), '') as \"Flash_Point\", coalesce(replace(l.vp, ' | ', '; '), '') as \"Vapor_Pressure\", coalesce(h.h, '') as \"GHS_H\", coalesce(h.p, '') as \"GHS_P\", coalesce(h.a, '') as \"Aquatic_H\", x.lc50 as \"Aquatic_LC50_mg_L\", x.ec50 as \"Aquatic_EC50_mg_L\", coalesce(c.formula, '') as \"Formula\", coalesce(printf('%.2f', c.mw), c.mw_text, '') as \"MW\", coalesce(e.ordinal, 0) as \"Row\", coalesce(e.route, '') as \"Exposure_Pathway\", coalesce(e.species, '') as \"Species\", trim(coalesce(e.type, '')) as \"Endpoint\", coalesce(e.value, '') as \"Value\", coalesce(e.unit, '') as \"Unit\" from keyed m left join ids i on i.identifier = m.cas left join compound c on c.cid = i.cid left join mined e on e.k = m.k left join lists l on l.k = m.k left join told h on h.k = m.k left join doses x on x.k = m.k", "registry_raw", "xref", "compound", "toxval_raw", "tox_text", "metric_text", "ghs_text")
 def report_csv(s: SparkSession, d: str) -> DataFrame:
     given = landed_registry(s, d)
-    return D.report_csv(dossiers(s, d, **given), report_endpoints(s, d, **given))
+    return D.report_csv(dossiers(s, d, **given), mined(s, d), by="k")
 
 
 _REPORT_VIEWS = ("registry_raw", "xref", "compound", "toxval_raw", "tox_text", "metric_text", "ghs_text")
@@ -817,8 +829,8 @@ _DUCK_REPORT = f"""also {_DUCK_DOSSIER}, {_DUCK_LISTS}, {_DUCK_TOLD}, {_DUCK_AQU
 @query(_DUCK_REPORT, *_REPORT_VIEWS)
 def report_json(s: SparkSession, d: str) -> DataFrame:
     given = landed_registry(s, d)
-    entries = E.ecotox_entries(view(s, d, "tox_text")).join(chemical_key(s, d, **given), "k")
-    return D.report_json(dossiers(s, d, **given), report_endpoints(s, d, **given), entries, "cas", "2024-01-01T00:00:00")
+    dossier = with_toxval_counts(s, d, dossiers(s, d, **given))
+    return D.report_json(dossier, mined(s, d), E.ecotox_entries(sentences(s, d)), "cas", "2024-01-01T00:00:00", by="k")
 
 
 @query(ORACLE_SQL["report_csv"])

@@ -82,12 +82,13 @@ def write_report(report: DataFrame, path: str, key: str = "CAS", order: str = "R
     """The flat report as CSV files with headers, in a folder for each hash bucket of the chemical, at most ``most`` rows a file; what is
     read back must equal what was written, in number and in the sum of its rows' hashes, else RuntimeError.
 
-    A chemical's rows are spread over tasks by stretches of their order, so one with many rows isn't one task."""
+    Every task writes its rows where they are, sorted, into the buckets it has: the report isn't shuffled again, and as many tasks
+    write it as made it, not one for each bucket."""
     spark, names = report.sparkSession, report.columns
     digest = F.sum(F.xxhash64(*names).cast("decimal(38,0)")).alias("digest")
     seen = Observation()
     dealt = report.observe(seen, F.count(F.lit(1)).alias("rows"), digest).withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
-    dealt = dealt.repartition("bucket", F.floor(F.col(order) / most)).sortWithinPartitions("bucket", key, order)
+    dealt = dealt.sortWithinPartitions("bucket", key, order)
     style = {"header": True, "quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
     dealt.write.mode("overwrite").partitionBy("bucket").options(**style, maxRecordsPerFile=most).csv(path)
     back = spark.read.schema(report.schema).options(**style, nullValue="\x00", emptyValue="", multiLine=True, recursiveFileLookup=True).csv(path)
@@ -98,9 +99,10 @@ def write_report(report: DataFrame, path: str, key: str = "CAS", order: str = "R
 
 
 def write_json_reports(reports: DataFrame, path: str, key: str = "cas", buckets: int = 16) -> Written:
-    """Nested reports (key, report) as lines of JSON texts in folders of hash buckets, one report a line."""
+    """Nested reports (key, report) as lines of JSON texts in folders of hash buckets, one report a line; written by the tasks that
+    made them, not by one for each bucket."""
     spark = reports.sparkSession
-    df, seen = observed(reports.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")).repartition("bucket"))
+    df, seen = observed(reports.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")))
     df.select(F.col("report").alias("value"), "bucket").write.mode("overwrite").partitionBy("bucket").text(path)
     back = spark.read.option("recursiveFileLookup", True).text(path).withColumnRenamed("value", "report")
     return Written(back, seen.get["rows"], size_of(spark, path))

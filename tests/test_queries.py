@@ -66,3 +66,17 @@ def test_report_json_nests_what_the_flat_report_has(spark, sf_dir):
         assert got == flat.get(r["cas"], [])
         assert report["query_info"] == {"timestamp": "2024-01-01T00:00:00", "cas_number": r["cas"]}
         assert all(h.startswith("H4") for h in report["ecotoxicity"].get("h_codes_aquatic", []))
+
+
+def test_sentences_stay_with_their_chemical(spark, sf_dir):
+    """Grouping and joining by chemical, and lower case, cost no further shuffle or evaluation; a report has only the facets that it shows."""
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = lambda df: df._jdf.queryExecution()
+        assert plan(plans.E.exposure_bands(plans.sentences(spark, sf_dir), "k", "ordinal")).executedPlan().toString().count("Exchange") == 1
+        assert plan(plans.E.exposure_bands(plans.sentences(spark, sf_dir), "k", "ordinal")).optimizedPlan().toString().count("lower(") == 1
+        assert plan(plans.E.ecotox_entries(plans.sentences(spark, sf_dir))).optimizedPlan().toString().count("lower(value") == 1
+        assert "dermal#" not in plan(plans.QUERIES["report_csv"](spark, sf_dir)).optimizedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
