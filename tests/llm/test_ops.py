@@ -251,6 +251,11 @@ def test_mixing(spark):
     assert mixing.mix(df.limit(0)).count() == 0 and mixing.mixed_documents(df.limit(0)).count() == 0
 
 
+def test_mixing_sends_no_blocks_through_the_driver(spark):
+    df = frame(spark, [prose(i, 3000) for i in range(8)], ["a", "b"] * 4)
+    assert "Broadcast" not in mixing.mix(df)._jdf.queryExecution().executedPlan().toString()  # Spark takes a text's 94 blocks for one small row
+
+
 @pytest.mark.parametrize("cap, share", [(2.0, 1.5), (3.5, 3.0), (1.5, 1.2)])
 def test_mixed_documents(spark, cap, share):
     rng = random.Random(2)
