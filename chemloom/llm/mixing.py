@@ -170,7 +170,7 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         rows = rows.withColumn("rank", F.row_number().over(key.orderBy(F.xxhash64("row"))))
         got = got.withColumn("rank", F.row_number().over(key.orderBy("pieces")))
         on += " and d.rank = g.rank"
-    full = rows.alias("d").join(got.alias("g"), F.expr(on)).select("d.row", "g.size", "g.pieces")
+    full = rows.alias("d").hint("merge").join(got.alias("g"), F.expr(on)).select("d.row", "g.size", "g.pieces")
     full = full.withColumn("pass", F.explode(F.array_distinct(F.transform("pieces", lambda p: p["pass"]))))
     full = full.withColumn("pieces", F.filter("pieces", lambda p: p["pass"] == F.col("pass")))
     cover = F.aggregate("pieces", F.lit(0).cast("long"), lambda s, p: s + p["to"] - p["from"])

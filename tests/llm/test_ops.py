@@ -253,7 +253,8 @@ def test_mixing(spark):
 
 def test_mixing_sends_no_blocks_through_the_driver(spark):
     df = frame(spark, [prose(i, 3000) for i in range(8)], ["a", "b"] * 4)
-    assert "Broadcast" not in mixing.mix(df)._jdf.queryExecution().executedPlan().toString()  # Spark takes a text's 94 blocks for one small row
+    for plan in (mixing.mix(df), mixing.mixed_documents(df)):
+        assert "Broadcast" not in plan._jdf.queryExecution().executedPlan().toString()  # Spark takes a text's 94 blocks for one small row
 
 
 @pytest.mark.parametrize("cap, share", [(2.0, 1.5), (3.5, 3.0), (1.5, 1.2)])
