@@ -98,12 +98,13 @@ def write_report(report: DataFrame, path: str, key: str = "CAS", order: str = "R
     return Written(back, found["rows"], size_of(spark, path))
 
 
-def write_json_reports(reports: DataFrame, path: str, key: str = "cas", buckets: int = 16) -> Written:
+def write_json_reports(reports: DataFrame, path: str, key: str = "cas", buckets: int = 16, compression: str = "gzip") -> Written:
     """Nested reports (key, report) as lines of JSON texts in folders of hash buckets, one report a line; written by the tasks that
-    made them, not by one for each bucket."""
+    made them, not by one for each bucket. The texts repeat their names and are far larger than what they are made of: they are
+    compressed, "none" leaves them plain. A compressed file is read by one task; there is one for each task and bucket."""
     spark = reports.sparkSession
     df, seen = observed(reports.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")))
-    df.select(F.col("report").alias("value"), "bucket").write.mode("overwrite").partitionBy("bucket").text(path)
+    df.select(F.col("report").alias("value"), "bucket").write.mode("overwrite").partitionBy("bucket").option("compression", compression).text(path)
     back = spark.read.option("recursiveFileLookup", True).text(path).withColumnRenamed("value", "report")
     return Written(back, seen.get["rows"], size_of(spark, path))
 

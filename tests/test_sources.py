@@ -168,6 +168,16 @@ def test_report_is_read_back(spark, tmp_path):
         tables.write_report(lost, str(tmp_path / "s"), buckets=3, most=20)
 
 
+def test_json_reports_are_compressed(spark, tmp_path):
+    reports = spark.range(200).selectExpr("cast(id as string) as cas", """concat('{"id":', id, ',"entries":[', repeat('{"exposure_pathway":"é","species":"rat"},', 99), '{}]}') as report""")
+    want = sorted(r["report"] for r in reports.collect())
+    for compression, most in (("gzip", 0.1), ("none", 1.1)):
+        done = tables.write_json_reports(reports, str(tmp_path / compression), buckets=3, compression=compression)
+        assert done.rows == 200 and sorted(r["report"] for r in done.table.collect()) == want
+        assert done.bytes < most * sum(len(w.encode()) for w in want)
+    assert tables.write_json_reports(reports, str(tmp_path / "default")).bytes < 0.1 * sum(map(len, want))
+
+
 def test_rejects_and_counts_from_one_scan(spark, tmp_path):
     df = spark.createDataFrame([("67-64-1",), ("67-64-2",), ("x",), (None,)], "cas string")
     done = tables.write_rejects(df, str(tmp_path / "r"))
