@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import DASH, blank_to_null, with_once
+from .endpoints import aquatic_doses
 
 
 def compounds(df: DataFrame) -> DataFrame:
@@ -93,14 +94,20 @@ def report_csv(dossier: DataFrame, endpoints: DataFrame, key: str = "cas", by: s
     )
 
 
-def report_json(dossier: DataFrame, endpoints: DataFrame, entries: DataFrame, key: str, generated_at: str, by: str | None = None) -> DataFrame:
-    """(key, report): the nested report as JSON; lists in document order, empty where there is nothing, missing values null. One chemical's
-    rows meet in one report, by ``by``, the key if none is given."""
-    by = by or key
-    listed = lambda df, cols: df.groupBy(by).agg(F.array_sort(F.collect_list(F.struct("ordinal", F.struct(*cols).alias("x")))).alias("l")).select(by, F.transform("l", lambda x: x["x"]).alias("l"))
-    tox = listed(endpoints, [F.col("route").alias("exposure_pathway"), "species", F.col("type").alias("endpoint"), "value", "unit", "source_section"]).withColumnRenamed("l", "tox")
-    eco = listed(entries, ["value", "species", "unit", "endpoint", "duration", "value_num", "ci_low", "ci_high", "conditions"]).withColumnRenamed("l", "eco")
-    d = assemble(dossier, by, tox, eco)
+def report_lists(endpoints: DataFrame, by: str) -> DataFrame:
+    """(by, tox, eco, lc50, ec50): a chemical's endpoints and aquatic entries in document order, and the aquatic doses, all gathered in one pass.
+    endpoints has the struct eco, null on rows that are no entry."""
+    listed = lambda row, keep: F.transform(F.array_sort(F.collect_list(F.when(keep, F.struct("ordinal", row.alias("x"))))), lambda x: x["x"])
+    tox = F.struct(F.col("route").alias("exposure_pathway"), "species", F.col("type").alias("endpoint"), "value", "unit", "source_section")
+    eco = F.struct(*[F.col(f"eco.{c}").alias(c) for c in ("value", "species", "unit", "endpoint", "duration", "value_num", "ci_low", "ci_high", "conditions")])
+    lc50, ec50 = aquatic_doses(F.col("eco.value_num"), F.col("eco.endpoint"), F.col("ordinal"))
+    return endpoints.groupBy(by).agg(listed(tox, F.lit(True)).alias("tox"), listed(eco, F.col("eco").isNotNull()).alias("eco"), lc50.alias("lc50"), ec50.alias("ec50"))
+
+
+def report_json(dossier: DataFrame, lists: DataFrame, key: str, generated_at: str, by: str | None = None) -> DataFrame:
+    """(key, report): the nested report as JSON; lists in document order, empty where there is nothing, missing values null. lists are those
+    of report_lists(), which one chemical's dossier meets by ``by``, the key if none is given."""
+    d = assemble(dossier, by or key, lists)
     full = lambda c: F.coalesce(F.col(c), F.array().cast(d.schema[c].dataType))
     codes = F.coalesce("h_codes", F.array().cast("array<string>"))
     return d.select(key, F.to_json(F.struct(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -28,7 +28,19 @@ def ecotox_entries(texts: DataFrame, value: str = "value") -> DataFrame:
     a = T.with_once(T.with_once(texts, "__low", F.lower(value)).filter(T.has_any(low, T.AQUATIC)), "e", T.ecotox(F.col(value)))
     scale = F.when(F.lower("e.unit") == "mg/l", 1.0).when(F.lower("e.unit").isin("µg/l", "ug/l"), 1e-3).when(F.lower("e.unit") == "g/l", 1e3)
     kept = [c for c in texts.columns if c != value]
-    return a.select(*kept, F.substring(value, 1, 400).alias("value"), T.aquatic_species(low).alias("species"), F.coalesce("e.unit", F.lit("mg/L")).alias("unit"), "e.endpoint", "e.duration", "e.value_num", "e.ci_low", "e.ci_high", "e.conditions", (F.col("e.value_num") * scale).alias("value_mg_l"))
+    return a.select(*kept, *[c.alias(n) for n, c in _entry(F.col("e"), F.col(value), low).items()], (F.col("e.value_num") * scale).alias("value_mg_l"))
+
+
+def with_ecotox(texts: DataFrame, value: str = "value") -> DataFrame:
+    """All rows, with the fields of ecotox_entries() but value_mg_l as the struct eco of the aquatic ones, null on the others."""
+    low = F.col("__low")
+    entry = T.once(T.ecotox(F.col(value)), lambda e: F.struct(*[c.alias(n) for n, c in _entry(e, F.col(value), low).items()]))
+    return T.with_once(T.with_once(texts, "__low", F.lower(value)), "eco", F.when(T.has_any(low, T.AQUATIC), entry)).drop("__low")
+
+
+def _entry(e: Column, value: Column, low: Column) -> dict[str, Column]:
+    out = {"value": F.substring(value, 1, 400), "species": T.aquatic_species(low), "unit": F.coalesce(e["unit"], F.lit("mg/L"))}
+    return out | {c: e[c] for c in ("endpoint", "duration", "value_num", "ci_low", "ci_high", "conditions")}
 
 
 def ecotox_summary(texts: DataFrame, chem: str, ordinal: str, value: str = "value") -> DataFrame:
@@ -46,16 +58,22 @@ def ecotox_summary(texts: DataFrame, chem: str, ordinal: str, value: str = "valu
 def ecotox_own(entries: DataFrame, chem: str, ordinal: str) -> DataFrame:
     """The summary of the chemicals that have aquatic rows."""
     o, v = F.col(ordinal), F.col("value_num")
-    is_ec = F.coalesce(F.startswith("endpoint", F.lit("EC")), F.lit(False))
+    lc50, ec50 = aquatic_doses(v, F.col("endpoint"), o)
     return entries.groupBy(chem).agg(
-        F.min_by(v, F.when(v.isNotNull() & (v != 0) & ~is_ec, o)).alias("lc50"),
-        F.max_by(v, F.when(v.isNotNull() & is_ec, o)).alias("ec50"),
+        lc50.alias("lc50"),
+        ec50.alias("ec50"),
         F.min_by("species", F.when(v.isNotNull(), o)).alias("species"),
         F.max_by(F.substring("value", 1, 250), F.when(v.isNotNull(), o)).alias("excerpt"),
         F.count("*").alias("entries"),
     )
 
 
+def aquatic_doses(v: Column, endpoint: Column, o: Column) -> tuple[Column, Column]:
+    """Aggregates for a chemical: the first value that isn't 0 of an endpoint other than EC..., the last of one that is."""
+    is_ec = F.coalesce(F.startswith(endpoint, F.lit("EC")), F.lit(False))
+    return F.min_by(v, F.when(v.isNotNull() & (v != 0) & ~is_ec, o)), F.max_by(v, F.when(v.isNotNull() & is_ec, o))
+
+
 def split_ecotox(entries: DataFrame) -> DataFrame:
     """Entries with kind quantitative or text, and the interval as text."""
     ci = F.when(F.col("ci_low").isNotNull() & F.col("ci_high").isNotNull(), F.concat_ws("–", F.col("ci_low").cast("string"), F.col("ci_high").cast("string"))).otherwise("")

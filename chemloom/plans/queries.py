@@ -759,15 +759,20 @@ def chemical_key(s: SparkSession, d: str, **given: DataFrame) -> DataFrame:
     return view(s, d, "registry_raw", **given).select(F.col("casrn").alias("cas"), "k").distinct()
 
 
+def aquatic(s: SparkSession, d: str) -> DataFrame:
+    """(k, lc50, ec50) of every chemical with aquatic sentences."""
+    return E.ecotox_own(E.ecotox_entries(sentences(s, d).select("k", "ordinal", "value")), "k", "ordinal").select("k", "lc50", "ec50")
+
+
 def dossiers(s: SparkSession, d: str, *facets: DataFrame, **given: DataFrame) -> DataFrame:
-    """One row for each registry chemical with its compound, statements, metrics and aquatic summary, and the other facets given by k;
-    facets may be missing. Only what a query shows is given: a facet that is joined is computed, shown or not."""
+    """One row for each registry chemical with its compound, statements and metrics, and the other facets given by k; facets may be
+    missing. Only what a query shows is given: a facet that is joined is computed, shown or not."""
     given = given or landed_registry(s, d)
     base = registry_merged(s, d, **given).select("cas", "dtxsid", "preferred_name").join(chemical_key(s, d, **given), "cas", "left")
     cid = D.resolve(base.select("cas", F.lit("cas").alias("kind"), F.col("cas").alias("query")), view(s, d, "xref", **given).filter("identifier_type = 'cas'"), "kind").select("cas", "cid")
     # Facets that are small come first, those made of sentences last, where these lie.
     small = D.assemble(base, "cas", cid).join(D.compounds(view(s, d, "compound")), "cid", "left")
-    full = D.assemble(small, "k", statement_lists(s, d), metric_lists(s, d), E.ecotox_own(E.ecotox_entries(sentences(s, d).select("k", "ordinal", "value")), "k", "ordinal").select("k", "lc50", "ec50"), *facets)
+    full = D.assemble(small, "k", statement_lists(s, d), metric_lists(s, d), *facets)
     return full.withColumns({c: D.joined_or_null(F.col(c)) for c in ("nfpa", "iarc", "prop65")})
 
 
@@ -803,14 +808,14 @@ def assemble_dossier(s: SparkSession, d: str) -> DataFrame:
     doses = [F.col(f"{p}.{c}").alias(f"{p}_{c}") for p in E.BANDS for c in ("dose", "band")]
     texts = sentences(s, d).select("k", "ordinal", "value")
     bands = D.band_columns(E.exposure_bands(texts, "k", "ordinal"), "k")
-    full = with_toxval_counts(s, d, dossiers(s, d, bands, D.toxicity_lists(texts, "k", "ordinal")))
+    full = with_toxval_counts(s, d, dossiers(s, d, aquatic(s, d), bands, D.toxicity_lists(texts, "k", "ordinal")))
     return full.select("cas", "dtxsid", "preferred_name", "cid", "formula", "mw", "iupac_name", "smiles", *lists, "nfpa", "iarc", "prop65", "signal_word", *doses, "lc50", "ec50", "n_toxvals")
 
 
 @query(f"also {_DUCK_DOSSIER}, {_DUCK_LISTS}, {_DUCK_TOLD}, {_DUCK_AQUATIC}, {_DUCK_MINED} select m.cas as \"CAS\", coalesce(m.dtxsid, '') as \"DTXSID\", coalesce(m.preferred_name, '') as \"Preferred_Name\", coalesce(c.iupac_name, c.iupac_name_legacy, '') as \"IUPAC_Name\", coalesce(replace(l.fp, ' | ', '; '), '') as \"Flash_Point\", coalesce(replace(l.vp, ' | ', '; '), '') as \"Vapor_Pressure\", coalesce(h.h, '') as \"GHS_H\", coalesce(h.p, '') as \"GHS_P\", coalesce(h.a, '') as \"Aquatic_H\", x.lc50 as \"Aquatic_LC50_mg_L\", x.ec50 as \"Aquatic_EC50_mg_L\", coalesce(c.formula, '') as \"Formula\", coalesce(printf('%.2f', c.mw), c.mw_text, '') as \"MW\", coalesce(e.ordinal, 0) as \"Row\", coalesce(e.route, '') as \"Exposure_Pathway\", coalesce(e.species, '') as \"Species\", trim(coalesce(e.type, '')) as \"Endpoint\", coalesce(e.value, '') as \"Value\", coalesce(e.unit, '') as \"Unit\" from keyed m left join ids i on i.identifier = m.cas left join compound c on c.cid = i.cid left join mined e on e.k = m.k left join lists l on l.k = m.k left join told h on h.k = m.k left join doses x on x.k = m.k", "registry_raw", "xref", "compound", "toxval_raw", "tox_text", "metric_text", "ghs_text")
 def report_csv(s: SparkSession, d: str) -> DataFrame:
     given = landed_registry(s, d)
-    return D.report_csv(dossiers(s, d, **given), mined(s, d), by="k")
+    return D.report_csv(dossiers(s, d, aquatic(s, d), **given), mined(s, d), by="k")
 
 
 _REPORT_VIEWS = ("registry_raw", "xref", "compound", "toxval_raw", "tox_text", "metric_text", "ghs_text")
@@ -830,7 +835,8 @@ _DUCK_REPORT = f"""also {_DUCK_DOSSIER}, {_DUCK_LISTS}, {_DUCK_TOLD}, {_DUCK_AQU
 def report_json(s: SparkSession, d: str) -> DataFrame:
     given = landed_registry(s, d)
     dossier = with_toxval_counts(s, d, dossiers(s, d, **given))
-    return D.report_json(dossier, mined(s, d), E.ecotox_entries(sentences(s, d)), "cas", "2024-01-01T00:00:00", by="k")
+    # The lists, far larger than all else, are gathered in one pass and joined last, where the sentences lie.
+    return D.report_json(dossier, D.report_lists(E.with_ecotox(mined(s, d)), "k"), "cas", "2024-01-01T00:00:00", by="k")
 
 
 @query(ORACLE_SQL["report_csv"])

@@ -68,6 +68,15 @@ def test_report_json_nests_what_the_flat_report_has(spark, sf_dir):
         assert all(h.startswith("H4") for h in report["ecotoxicity"].get("h_codes_aquatic", []))
 
 
+def test_reports_read_each_sentence_once(spark, sf_dir):
+    plan = plans.QUERIES["report_json"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("row_number()") == 1 and plan.count("NOEC algae") == 1
+    entries = plans.E.ecotox_entries(plans.sentences(spark, sf_dir))
+    kept = [c for c in entries.columns if c not in ("k", "ordinal", "source_section", "type", "value_mg_l")]
+    both = plans.E.with_ecotox(plans.mined(spark, sf_dir)).filter("eco is not null")
+    assert sorted(map(str, both.select("k", "ordinal", *[f"eco.{c}" for c in kept]).collect())) == sorted(map(str, entries.select("k", "ordinal", *kept).collect()))
+
+
 def test_sentences_stay_with_their_chemical(spark, sf_dir):
     """Grouping and joining by chemical, and lower case, cost no further shuffle or evaluation; a report has only the facets that it shows."""
     old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
