@@ -13,8 +13,7 @@ BANDS = {"oral": [5, 50, 300, 2000, 5000], "dermal": [50, 200, 1000, 2000, 5000]
 
 def mine(texts: DataFrame, value: str = "value") -> DataFrame:
     """Adds unit, species_route, route and species to rows with a text."""
-    t = texts.withColumns({"unit": T.unit_of(F.col(value)), "species_route": T.species_route_tokens(F.col(value))})
-    return t.withColumn("rs", T.route_and_species(F.col(value), F.col("species_route"))).select("*", "rs.route", "rs.species").drop("rs")
+    return T.with_route_and_species(T.with_species_route(texts.withColumn("unit", T.unit_of(F.col(value))), value), value, "species_route")
 
 
 def naming(texts: DataFrame, what: str, value: str = "value") -> DataFrame:

@@ -168,6 +168,15 @@ def test_tokens_are_found_once(spark):
     assert got == {texts.first()["value"]: ("μG/KG", ["LD50", "Rat", "ORAL"], "Oral", "rat"), "strat": (None, None, "Oral", "rat"), None: (None, None, "Other", "—")}
 
 
+def test_rules_of_routes_are_compiled(spark):
+    texts = spark.createDataFrame([(v,) for v in ("LD50 Rat ORAL 5 mg/kg", "strat", None, "", "LC50 fish, algae 3 mg/L", "dermal rabbit skin", "ppm mouse", "po dog IV Human", "Daphnia")], "value string")
+    df = E.mine(texts)
+    assert "lambdafunction(struct(" not in df._jdf.queryExecution().optimizedPlan().toString()  # Spark interprets what lambdas hold
+    tokens = T.species_route_tokens(F.col("value"))
+    plain = texts.select("value", tokens.alias("species_route"), T.route_and_species(F.col("value"), tokens).alias("rs")).select("value", "species_route", "rs.*")
+    assert sorted(map(str, df.select(plain.columns).collect())) == sorted(map(str, plain.collect()))
+
+
 def test_odd_documents_are_read_as_far_as_they_fit(spark):
     good = '{"TOCHeading":"T","Information":[{"Name":"a","Value":{"z":1,"b":2}}]}'
     docs = [f'{{"Record":{{"Section":[{good}]}}}}', f'{{"Record":{{"Section":[5,null,{good}]}}}}', f'{{"Record":{{"Section":[{{"TOCHeading":7,"Information":"no list"}},{good}]}}}}', f'[{{"Record":{{"Section":[{good}]}}}}]', f"{{'Record':{{'Section':[{good}]}}}}", f'{{"Record":{{"Section":[{good}]']
